@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .hmm_lm import op6_hmm
 from .jaccard_join import op9_jaccard
 from .phrase_index import op2_decontamination
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op6_hmm": op6_hmm,
     "op9_jaccard": op9_jaccard,
 }
 
