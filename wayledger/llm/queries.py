@@ -8,12 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .hmm_lm import op6_hmm
 from .jaccard_join import op9_jaccard
+from .mixing import OP7_SQL, op7_mixing
 from .phrase_index import op2_decontamination
+from .token_counts import op3_tokens
+from .warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_decontamination": op2_decontamination,
+    "op3_tokens": op3_tokens,
     "op6_hmm": op6_hmm,
+    "op7_mixing": op7_mixing,
+    "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
+    "op8_warc": OP8_SQL,
+}
