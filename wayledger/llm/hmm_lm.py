@@ -24,10 +24,10 @@ from .common import crc_mod, stored, table
 
 OWN = 4096
 BUCKETS = 4096
-HEAD = 1 << 19
+HEAD = 1 << 17
 STATES = 8
 #: Documents of the sample that the first states come from; all documents train afterwards.
-SEED_DOCS = 1500
+SEED_DOCS = 600
 SEED_ROUNDS = 4
 ROUNDS = 2
 #: Words of a training window. Scores are over whole documents.

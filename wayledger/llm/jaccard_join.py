@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
@@ -21,9 +21,11 @@ from .common import stored
 from .components import components
 
 #: Cells of the frequency sketch that decides which n-grams come last in the order.
-CELLS = 1 << 20
+CELLS = 1 << 24
 #: Most cells that may be marked as common; the table of them is sent to every task.
 MAX_COMMON_CELLS = 1 << 16
+#: Members of a component that travel together in a candidate group.
+CHUNK = 256
 
 
 def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -40,7 +42,7 @@ def _summaries(k: int):
     this task's frequent sketch cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.int64)
+        cells = np.zeros(CELLS, np.uint32)
         for batch in batches:
             for lo, hi, data, off in tb.blocks(batch.column(2)):
                 d, h = tb.shingles(tb.words(data, off, tb.NON_SPACE), k)
@@ -50,20 +52,15 @@ def _summaries(k: int):
                 np.cumsum(tb.mix(h ^ np.uint64(0xA5A5A5A5DEADBEEF)), out=c[1, 1:])
                 at = np.concatenate([[0], np.cumsum(n)])
                 s = (c[:, at[1:]] - c[:, at[:-1]]).view(np.int64)
-                np.add.at(cells, *_counted(h))
+                np.add.at(cells, (h & np.uint64(CELLS - 1)).astype(np.int64), 1)
                 yield _summary(batch.column(0)[lo:hi], batch.column(1)[lo:hi], n, s[0], s[1])
-        often = np.flatnonzero(cells > 8 + 4 * cells.mean())
+        often = np.flatnonzero(cells > 3 + 4 * cells.mean())
         nulls = pa.nulls(len(often), pa.int64())
         yield _summary(nulls, nulls, cells[often], often, np.zeros(len(often), np.int64))
 
     return run
 
 
-def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    cell, n = np.unique(h & np.uint64(CELLS - 1), return_counts=True)
-    return cell.astype(np.int64), n
-
-
 def _summary(node, ids, n, s1, s2) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [node, ids, pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())],
@@ -106,13 +103,76 @@ def _near(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose summed fragment overlaps reach the threshold."""
-    left = segments.select(F.col("node").alias("a"), "frag", F.col("n").alias("na"), F.col("keys").alias("ka"))
-    right = segments.select(F.col("node").alias("b"), "frag", F.col("n").alias("nb"), F.col("keys").alias("kb"))
+def _plausible(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that the first fragment, the two prefixes, doesn't rule out.
+
+    Up to the smaller of the two prefix ends both sets are known whole, so the keys there
+    that only one side has are differences for certain; similarity bounds their number.
+    """
+    end = F.when(F.size("keys") == F.col("n"), F.lit((1 << 63) - 1)).otherwise(F.array_max("keys"))
+    side = prefixes.select("node", "n", "keys", end.alias("end"))
+    left = side.toDF("a", "na", "ka", "ea")
+    right = side.toDF("b", "nb", "kb", "eb")
+    both = pairs.join(left, "a").join(right, "b").withColumn("end", F.least("ea", "eb"))
+    ka, kb = F.filter("ka", lambda x: x <= F.col("end")), F.filter("kb", lambda x: x <= F.col("end"))
+    apart = F.size(ka) + F.size(kb) - 2 * F.size(F.array_intersect(ka, kb))
+    return both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def _segments(rows: DataFrame, nodes: DataFrame, k: int, level: np.ndarray, fragments: int) -> DataFrame:
+    """(node, n, frag, keys): whole sets of the given nodes, cut by ranges of the order.
+
+    Within a level the order is the hash, so cutting by its low range is even.
+    """
+    text = rows.join(nodes, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
+    keyed = text.mapInArrow(_keys(k, level, lambda n: n, 1), "node bigint, n bigint, keys array<bigint>")
+    cut = F.lit(fragments)
+    by_fragment = F.transform(
+        F.sequence(F.lit(0), cut - 1),
+        lambda f: F.struct(f.alias("frag"), F.filter("keys", lambda x: F.shiftright(x.bitwiseAND((1 << 57) - 1) * cut, 57) == f).alias("keys")),
+    )
+    return stored(keyed.select("node", "n", F.inline(by_fragment)), "segments")
+
+
+def _verified(rows: DataFrame, pairs: DataFrame, k: int, level: np.ndarray, fragments: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose fragment overlaps, counted apart and summed, reach the threshold."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    segments = _segments(rows, nodes, k, level, fragments)
+    left = segments.toDF("a", "na", "frag", "ka")
+    right = segments.toDF("b", "nb", "frag", "kb")
     partial = pairs.join(left, "a").join(right, ["b", "frag"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ka", "kb")).alias("hits"))
     total = partial.groupBy("a", "b").agg(F.sum("hits").alias("both"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    return total.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+    return stored(total.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
+
+
+def _between(shared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of nodes that share a key, lie in different components and may be similar.
+
+    A pair meets under every prefix key that both have. Up to the last of those, ``rank``
+    (from 1) counts each side's keys, so the two ranks less twice the meetings are certain
+    differences, whose number similarity bounds.
+
+    The members of a component under a key travel in chunks of bounded length, so that a
+    group of near copies is skipped chunk by chunk and never held as one array.
+    """
+    labelled = shared.select("key", "node", "n", "rank").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    labelled = stored(labelled, "labelled")
+    counts = labelled.groupBy("key", "part").agg(F.count("*").alias("c"))
+    open_keys = counts.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
+    sized = labelled.join(open_keys, "key", "left_semi").join(counts, ["key", "part"])
+    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / CHUNK))
+    left = stored(sized.groupBy("key", "part", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "n", "rank")).alias("members")), "open")
+    right = left.select("key", F.col("part").alias("part_b"), F.col("members").alias("members_b"))
+    x, y = F.col("x"), F.col("y")
+    return (
+        left.join(right, "key").where("part < part_b")
+        .select(F.explode("members").alias("x"), "members_b").select("x", F.explode("members_b").alias("y"))
+        .where(_near(x["n"], y["n"], percent))
+        .select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"), (x["rank"] + y["rank"]).alias("ranks"), (x["n"] + y["n"]).alias("n"))
+        .groupBy("a", "b").agg(F.count("*").alias("both"), F.max("ranks").alias("ranks"), F.first("n").alias("n"))
+        .where((100 + percent) * (F.col("ranks") - 2 * F.col("both")) <= (100 - percent) * F.col("n"))
+        .select("a", "b")
+    )
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, fragments: int = 8) -> DataFrame:
@@ -151,46 +211,24 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def prefix(n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
-    schema = "node bigint, n bigint, keys array<bigint>"
-    prefixes = rows.select("node", "text").mapInArrow(_keys(k, level, prefix, 1), schema).where("n > 0")
-    entries = prefixes.join(reps, "node", "left_semi").select("node", "n", F.explode("keys").alias("key"))
-    from pyspark.sql import Window
-
+    cut = rows.select("node", "text").mapInArrow(_keys(k, level, prefix, 1), "node bigint, n bigint, keys array<bigint>")
+    prefixes = stored(cut.where("n > 0").join(reps, "node", "left_semi").dropDuplicates(["node"]), "prefixes")
     group = Window.partitionBy("key")
-    shared = (
-        entries.select("*", F.count("*").over(group).alias("c"), F.min(F.struct("node", "n")).over(group).alias("first"))
+    shared = stored(
+        prefixes.select("node", "n", F.posexplode("keys").alias("rank", "key")).withColumn("rank", F.col("rank") + 1)
+        .select("*", F.count("*").over(group).alias("c"), F.min(F.struct("node", "n")).over(group).alias("first"))
         .where("c > 1")
-        .select("key", "node", "n", F.col("first.node").alias("first"), F.col("first.n").alias("first_n"))
+        .select("key", "node", "n", "rank", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")),
+        "shared",
     )
-    shared = stored(shared, "shared")
-    partners = shared.select("node").distinct()
-    whole = rows.join(partners, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
-    cut_at = F.lit(fragments)
-    keyed = whole.mapInArrow(_keys(k, level, lambda n: n, 1), schema)
-    # The order's first level covers most n-grams: cut by the hash part, which is even.
-    by_fragment = F.transform(F.sequence(F.lit(0), cut_at - 1), lambda f: F.struct(f.alias("frag"), F.filter("keys", lambda x: F.pmod(F.shiftrightunsigned(x, 50), cut_at) == f).alias("keys")))
-    segments = stored(keyed.select("node", "n", F.inline(by_fragment)), "segments")
-
     star = shared.where((F.col("node") != F.col("first")) & _near(F.col("n"), F.col("first_n"), percent))
-    pairs = star.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = stored(_verified(pairs, segments, percent), "links")
+    tested = stored(star.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "star")
+    likely = stored(_plausible(tested, prefixes, percent), "likely")
+    links = _verified(rows, likely, k, level, fragments, percent)
     parts = components(links).withColumnRenamed("component", "part")
-
-    grouped = shared.select("key", "node", "n").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    grouped = stored(grouped.groupBy("key", "part").agg(F.collect_set(F.struct("node", "n")).alias("members")), "grouped")
-    open_keys = grouped.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
-    left = grouped.join(open_keys, "key", "left_semi")
-    right = left.select("key", F.col("part").alias("part_b"), F.col("members").alias("members_b"))
-    x, y = F.col("x"), F.col("y")
-    rest = (
-        left.join(right, "key").where("part < part_b")
-        .select(F.explode("members").alias("x"), "members_b").select("x", F.explode("members_b").alias("y"))
-        .where(_near(x["n"], y["n"], percent))
-        .select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"))
-        .distinct()
-    )
-    tested = star.select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct()
-    more = _verified(rest.join(tested, ["a", "b"], "left_anti"), segments, percent)
+    rest = _between(shared, parts, percent).join(tested, ["a", "b"], "left_anti")
+    likely = stored(_plausible(rest, prefixes, percent), "likely")
+    more = _verified(rows, likely, k, level, fragments, percent)
     final = components(links.unionByName(more))
 
     found = sets.join(classes, ["n", "s1", "s2"]).join(final.withColumnRenamed("node", "rep"), "rep", "left")
