@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .gam import op1_quality
 from .hmm_lm import op6_hmm
 from .jaccard_join import op9_jaccard
 from .mixing import OP7_SQL, op7_mixing
@@ -14,6 +15,7 @@ from .token_counts import op3_tokens
 from .warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op3_tokens": op3_tokens,
     "op6_hmm": op6_hmm,
