@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .gam import op1_quality
@@ -11,6 +12,7 @@ from .hmm_lm import op6_hmm
 from .jaccard_join import op9_jaccard
 from .mixing import OP7_SQL, op7_mixing
 from .phrase_index import op2_decontamination
+from .pii import op10_pii
 from .token_counts import op3_tokens
 from .warc import OP8_SQL, op8_warc
 
@@ -22,6 +24,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
+    "op10_pii": op10_pii,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES: dict[str, str] = {
