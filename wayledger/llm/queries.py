@@ -14,6 +14,7 @@ from .jaccard_join import op9_jaccard
 from .mixing import OP7_SQL, op7_mixing
 from .phrase_index import op2_decontamination
 from .pii import op10_pii
+from .rlbwt import op4_repeats
 from .token_counts import op3_tokens
 from .warc import OP8_SQL, op8_warc
 
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontamination": op2_decontamination,
     "op3_tokens": op3_tokens,
+    "op4_repeats": op4_repeats,
     "op5_bm25": op5_bm25,
     "op6_hmm": op6_hmm,
     "op7_mixing": op7_mixing,
