@@ -26,6 +26,8 @@ CELLS = 1 << 24
 MAX_COMMON_CELLS = 1 << 16
 #: Members of a component that travel together in a candidate group.
 CHUNK = 256
+#: Rounds in which every node is checked against one first member before the rest.
+STAR_ROUNDS = 2
 
 
 def _ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -183,9 +185,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ``100 * |both| >= percent * |either|``; ``component_id`` is the smallest id reachable.
 
     * Equal sets are one node before any candidate is made, so copies cost one row each.
-    * Candidates share a prefix n-gram. First each is checked against the first member of
-      its group only; what that connects is one component, and then only pairs from
-      different components of a group are still checked. No link between components is
+    * Candidates share a prefix n-gram. First each is checked against one first member of
+      its groups, the one it meets most; what that connects is one component, and then only
+      pairs from different components of a group are still checked. No link between components is
       lost, and a group of near copies costs a number of checks linear in its size.
     * Common n-grams are last in the order, so they are in the prefix only of documents
       that consist of them.
@@ -222,10 +224,22 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         "shared",
     )
     star = shared.where((F.col("node") != F.col("first")) & _near(F.col("n"), F.col("first_n"), percent))
-    tested = stored(star.select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    likely = stored(_plausible(tested, prefixes, percent), "likely")
-    links = _verified(rows, likely, k, level, fragments, percent)
-    parts = components(links).withColumnRenamed("component", "part")
+    met = stored(star.groupBy(F.col("first").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("keys")), "met")
+    tested = links = parts = None
+    best = Window.partitionBy("b").orderBy(F.desc("keys"), "a")
+    for _ in range(STAR_ROUNDS):
+        open_pairs = met
+        if parts is not None:
+            ends = met.join(tested, ["a", "b"], "left_anti")
+            for side in ("a", "b"):
+                ends = ends.join(parts.toDF(side, f"part_{side}"), side, "left")
+            open_pairs = ends.where(F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+        chosen = stored(open_pairs.withColumn("place", F.row_number().over(best)).where("place = 1").select("a", "b"), "star")
+        likely = stored(_plausible(chosen, prefixes, percent), "likely")
+        found = _verified(rows, likely, k, level, fragments, percent)
+        tested = chosen if tested is None else tested.unionByName(chosen)
+        links = found if links is None else links.unionByName(found)
+        parts = components(links).withColumnRenamed("component", "part")
     rest = _between(shared, parts, percent).join(tested, ["a", "b"], "left_anti")
     likely = stored(_plausible(rest, prefixes, percent), "likely")
     more = _verified(rows, likely, k, level, fragments, percent)
