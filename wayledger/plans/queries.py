@@ -17,12 +17,26 @@ from ..streaming import jobs
 NOW = "2024-01-06 12:00:00"
 
 
+_ARCHIVES: dict[tuple[str, str], str] = {}
+
+
+def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The telemetry archive of an events table: written once a session, then read by column."""
+    raw = fleet.telemetry(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ARCHIVES:
+        path = jobs.folder(spark)
+        raw.repartition("vehicle_id").write.parquet(path)
+        _ARCHIVES[key] = path
+    return spark.read.schema(raw.schema).parquet(_ARCHIVES[key])
+
+
 class Fleet:
     """The derived tables, lazily built from one events table."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.events = spark.read.parquet(f"{sf_dir}/events.parquet")
-        self.raw = fleet.telemetry(self.events)
+        self.raw = archive(spark, sf_dir)
         self.clean = T.clean(self.raw)
         self.roster = fleet.roster(self.events)
         self.lines = fleet.expenses(self.events)

@@ -107,7 +107,7 @@ def replace_dates(df: DataFrame, root: str, dates: list[str]) -> None:
             files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/sim_date={d}"), True)
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -131,12 +131,12 @@ def _run(stream: DataFrame, root: str, mode: str) -> DataFrame:
 
 
 def run_dedup(raw: DataFrame) -> DataFrame:
-    root = _folder(raw.sparkSession)
+    root = folder(raw.sparkSession)
     return _run(prepared(_source(raw, root)).select("event_id", "event_time"), root, "append").drop("batch_id")
 
 
 def _windowed(raw: DataFrame, make: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    root = _folder(raw.sparkSession)
+    root = folder(raw.sparkSession)
     out = _run(make(prepared(_source(raw, root))), root, "update")
     values = [c for c in out.columns if c not in (*keys, "batch_id")]
     return out.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("s")).select(*keys, "s.*")
@@ -151,5 +151,5 @@ def run_vehicle_daily(raw: DataFrame) -> DataFrame:
 
 
 def run_vehicle_state(raw: DataFrame) -> DataFrame:
-    root = _folder(raw.sparkSession)
+    root = folder(raw.sparkSession)
     return _run(vehicle_state(prepared(_source(raw, root))), root, "update")
