@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ CELLS = 1 << 24
 MAX_COMMON_CELLS = 1 << 16
 #: Members of a component that travel together in a candidate group.
 CHUNK = 256
+#: Parity bits of a set: each n-gram flips one. Sets differ in at least as many n-grams as bits.
+BITS = 512
 #: Rounds in which every node is checked against one first member before the rest.
 STAR_ROUNDS = 2
 
@@ -76,7 +79,8 @@ def _ordered(h: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 def _keys(k: int, level: np.ndarray, cut, column: int):
-    """Rows (node, n, keys) with the ordered set keys of each document, shortened by ``cut``."""
+    """Rows (node, n, keys, bits): the ordered set keys of each document, shortened by
+    ``cut``, and the parity bits of the whole set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,10 +95,14 @@ def _keys(k: int, level: np.ndarray, cut, column: int):
                 rank = np.arange(len(d)) - at[d]
                 keep = rank < take[d]
                 offsets = np.concatenate([[0], np.cumsum(take)])
+                spot = tb.mix(key.view(np.uint64)) & np.uint64(BITS - 1)
+                bits = np.zeros((hi - lo) * (BITS // 64), np.uint64)
+                np.bitwise_xor.at(bits, d * (BITS // 64) + (spot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (spot & np.uint64(63)))
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(BITS // 8), hi - lo, [None, pa.py_buffer(bits)])
                 keys = pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(key[keep], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0)[lo:hi], pa.array(n, pa.int64()), keys.cast(pa.list_(pa.int64()))],
-                    names=["node", "n", "keys"],
+                    [batch.column(0)[lo:hi], pa.array(n, pa.int64()), keys.cast(pa.list_(pa.int64())), packed.cast(pa.binary())],
+                    names=["node", "n", "keys", "bits"],
                 )
 
     return run
@@ -127,7 +135,7 @@ def _segments(rows: DataFrame, nodes: DataFrame, k: int, level: np.ndarray, frag
     Within a level the order is the hash, so cutting by its low range is even.
     """
     text = rows.join(nodes, "node", "left_semi").select("node", "text").dropDuplicates(["node"])
-    keyed = text.mapInArrow(_keys(k, level, lambda n: n, 1), "node bigint, n bigint, keys array<bigint>")
+    keyed = text.mapInArrow(_keys(k, level, lambda n: n, 1), "node bigint, n bigint, keys array<bigint>, bits binary")
     cut = F.lit(fragments)
     by_fragment = F.transform(
         F.sequence(F.lit(0), cut - 1),
@@ -147,34 +155,70 @@ def _verified(rows: DataFrame, pairs: DataFrame, k: int, level: np.ndarray, frag
     return stored(total.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b"), "links")
 
 
-def _between(shared: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+def _between(shared: DataFrame, parts: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
     """Pairs of nodes that share a key, lie in different components and may be similar.
 
-    A pair meets under every prefix key that both have. Up to the last of those, ``rank``
-    (from 1) counts each side's keys, so the two ranks less twice the meetings are certain
-    differences, whose number similarity bounds.
-
-    The members of a component under a key travel in chunks of bounded length, so that a
-    group of near copies is skipped chunk by chunk and never held as one array.
+    The members under a key travel in chunks of bounded length with their parity bits, and
+    only pairs that the bits don't rule out become rows. A component of more than CHUNK
+    members has chunks of its own, which are never compared with each other.
     """
-    labelled = shared.select("key", "node", "n", "rank").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    labelled = shared.select("key", "node").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
     labelled = stored(labelled, "labelled")
     counts = labelled.groupBy("key", "part").agg(F.count("*").alias("c"))
-    open_keys = counts.groupBy("key").agg(F.count("*").alias("parts")).where("parts > 1").select("key")
-    sized = labelled.join(open_keys, "key", "left_semi").join(counts, ["key", "part"])
-    chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / CHUNK))
-    left = stored(sized.groupBy("key", "part", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "n", "rank")).alias("members")), "open")
-    right = left.select("key", F.col("part").alias("part_b"), F.col("members").alias("members_b"))
-    x, y = F.col("x"), F.col("y")
-    return (
-        left.join(right, "key").where("part < part_b")
-        .select(F.explode("members").alias("x"), "members_b").select("x", F.explode("members_b").alias("y"))
-        .where(_near(x["n"], y["n"], percent))
-        .select(F.least(x["node"], y["node"]).alias("a"), F.greatest(x["node"], y["node"]).alias("b"), (x["rank"] + y["rank"]).alias("ranks"), (x["n"] + y["n"]).alias("n"))
-        .groupBy("a", "b").agg(F.count("*").alias("both"), F.max("ranks").alias("ranks"), F.first("n").alias("n"))
-        .where((100 + percent) * (F.col("ranks") - 2 * F.col("both")) <= (100 - percent) * F.col("n"))
-        .select("a", "b")
-    )
+    small = F.sum(F.when(F.col("c") <= CHUNK, F.col("c")).otherwise(0)).alias("small")
+    totals = counts.groupBy("key").agg(F.count("*").alias("parts"), small, F.sum("c").alias("all")).where("parts > 1")
+    large = counts.where(F.col("c") > CHUNK)
+    sized = labelled.join(totals, "key").join(large, ["key", "part"], "left")
+    own = F.when(F.col("c").isNotNull(), F.col("part"))
+    number = F.when(own.isNotNull(), F.pmod(F.xxhash64("node"), F.ceil(F.col("c") / CHUNK))).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("small") / CHUNK)))
+    alone = (F.col("all") <= CHUNK).alias("alone")
+    placed = sized.select("key", "node", "part", own.alias("own"), number.alias("chunk"), alone).join(prefixes.select("node", "n", "bits"), "node")
+    chunks = stored(placed.groupBy("key", "own", "chunk", "alone").agg(F.collect_list(F.struct("node", "n", "part", "bits")).alias("members")), "open")
+    single = chunks.where("alone").select("members", F.lit(None).cast(chunks.schema["members"].dataType).alias("others"))
+    left = chunks.where("NOT alone")
+    right = left.select("key", F.col("own").alias("own_b"), F.col("chunk").alias("chunk_b"), F.col("members").alias("others"))
+    place, place_b = F.struct(F.col("own"), F.col("chunk")), F.struct(F.col("own_b"), F.col("chunk_b"))
+    crossed = left.join(right, "key").where((place <= place_b) & ~F.coalesce(F.col("own") == F.col("own_b"), F.lit(False)))
+    same = (place == place_b) & F.col("own").isNull()
+    paired = crossed.select("members", F.when(~same, F.col("others")).alias("others"))
+    return single.unionByName(paired).mapInArrow(_near_bits(percent), "a bigint, b bigint").distinct()
+
+
+def _near_bits(percent: int):
+    """Pairs (a, b) of members and others (of members among themselves where others is
+    null) that differ in component and whose sizes and parity bits allow the similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (x, x_at, _), (y, y_at, none) = _members(batch.column(0)), _members(batch.column(1))
+            found = [np.zeros((2, 0), np.int64)]
+            for i in range(batch.num_rows):
+                p = [v[x_at[i] : x_at[i + 1]] for v in x]
+                q = p if none[i] else [v[y_at[i] : y_at[i + 1]] for v in y]
+                n = p[1][:, None] + q[1][None, :]
+                low = np.minimum(p[1][:, None], q[1][None, :])
+                ok = (p[2][:, None] != q[2][None, :]) & (100 * low >= percent * (n - low))
+                r, c = np.nonzero(np.triu(ok) if none[i] else ok)
+                apart = np.bitwise_count(p[3][r] ^ q[3][c]).sum(axis=1, dtype=np.int64)
+                keep = (100 + percent) * apart <= (100 - percent) * n[r, c]
+                ends = np.stack([p[0][r[keep]], q[0][c[keep]]])
+                found.append(np.sort(ends, axis=0))
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _members(column: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """([node, n, part, bits], bounds of each row's members, rows that are null)."""
+    flat = column.flatten()
+    node, n, part, bits = (flat.field(i) for i in range(4))
+    fixed = bits.cast(pa.binary(BITS // 8))
+    raw = fixed.buffers()[1] if len(flat) else b""
+    length = pa.compute.fill_null(pa.compute.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    at = np.concatenate([[0], np.cumsum(length.astype(np.int64))])
+    wide = np.frombuffer(raw, np.uint64)[fixed.offset * (BITS // 64) :][: len(flat) * (BITS // 64)].reshape(len(flat), BITS // 64)
+    return [v.to_numpy(zero_copy_only=False) for v in (node, n, part)] + [wide], at, column.is_null().to_numpy(zero_copy_only=False)
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, k: int = 5, percent: int = 80, fragments: int = 8) -> DataFrame:
@@ -213,14 +257,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def prefix(n: np.ndarray) -> np.ndarray:
         return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
 
-    cut = rows.select("node", "text").mapInArrow(_keys(k, level, prefix, 1), "node bigint, n bigint, keys array<bigint>")
+    cut = rows.select("node", "text").mapInArrow(_keys(k, level, prefix, 1), "node bigint, n bigint, keys array<bigint>, bits binary")
     prefixes = stored(cut.where("n > 0").join(reps, "node", "left_semi").dropDuplicates(["node"]), "prefixes")
     group = Window.partitionBy("key")
     shared = stored(
-        prefixes.select("node", "n", F.posexplode("keys").alias("rank", "key")).withColumn("rank", F.col("rank") + 1)
+        prefixes.select("node", "n", F.explode("keys").alias("key"))
         .select("*", F.count("*").over(group).alias("c"), F.min(F.struct("node", "n")).over(group).alias("first"))
         .where("c > 1")
-        .select("key", "node", "n", "rank", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")),
+        .select("key", "node", "n", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")),
         "shared",
     )
     star = shared.where((F.col("node") != F.col("first")) & _near(F.col("n"), F.col("first_n"), percent))
@@ -240,7 +284,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         tested = chosen if tested is None else tested.unionByName(chosen)
         links = found if links is None else links.unionByName(found)
         parts = components(links).withColumnRenamed("component", "part")
-    rest = _between(shared, parts, percent).join(tested, ["a", "b"], "left_anti")
+    rest = _between(shared, parts, prefixes, percent).join(tested, ["a", "b"], "left_anti")
     likely = stored(_plausible(rest, prefixes, percent), "likely")
     more = _verified(rows, likely, k, level, fragments, percent)
     final = components(links.unionByName(more))
