@@ -56,6 +56,30 @@ def test_jaccard(spark, odd, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_in_chunks_is_exact(spark, monkeypatch):
+    """Groups of near copies around the threshold, in chunks of four, against all pairs."""
+    monkeypatch.setattr(jaccard_join, "CHUNK", 4)
+    rng = np.random.default_rng(5)
+    texts = []
+    for base in range(3):
+        words = [f"w{base}x{i}" for i in range(60)]
+        for _ in range(40):
+            copy = list(words)
+            for at in rng.choice(60, rng.integers(0, 4), replace=False):
+                copy[at] = f"e{rng.integers(1 << 40)}"
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    part = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                low, high = sorted((part[a], part[b]))
+                part = [low if x == high else x for x in part]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == dict(enumerate(part)) and len(set(part)) > 3
+
+
 def test_repeats(spark, odd, empty):
     got = [r for r in rlbwt.remove_repeats(odd).collect()]
     by = {r["doc_id"]: r for r in got}
