@@ -132,7 +132,64 @@ REC = SEQ + COST + _rec("rec", "ex")
 COLS = "sim_date, vehicle_id, trips, revenue, gps_km, total_cost, net_profit, margin, revenue_per_km, cost_per_km, mismatch_pct"
 AVAILABLE = ", av AS (SELECT DISTINCT sim_date, CASE WHEN sim_date IN ('2024-01-01', '2024-01-03') THEN 2 ELSE 1 END AS version FROM exj WHERE sim_date <> '2024-01-04'), pr AS (SELECT DISTINCT sim_date, 1 AS processed_version FROM ex WHERE sim_date <= '2024-01-03')"
 
+RAW = COST + COST2 + """, ln AS (SELECT sim_date, 1 AS version, line_no, vehicle_id, fuel_cost, maintenance_cost, distance_covered, service_flag FROM ex1
+  UNION ALL SELECT sim_date, 2, line_no, vehicle_id, fuel_cost, maintenance_cost, distance_covered, service_flag FROM ey1
+), landed AS (SELECT * FROM ln WHERE CASE WHEN version = 1 THEN sim_date <> '2024-01-04' ELSE sim_date IN ('2024-01-01', '2024-01-03') END
+), arr AS (SELECT sim_date, version, sim_date::TIMESTAMP + to_minutes(1440 + sum(coalesce(try_cast(fuel_cost AS BIGINT), 0))::BIGINT % 240) AS arrived_at FROM ln GROUP BY 1, 2
+)"""
+RUNS = COST + """, rn0 AS (SELECT sim_date, count(*) AS n, count(reason) AS bad FROM exj GROUP BY 1
+), rn AS (SELECT 'reconcile-' || sim_date AS run_id, sim_date, CASE WHEN sim_date = '2024-01-04' THEN 'failed' ELSE 'success' END AS status, sim_date = '2024-01-04' AS late, bad AS quarantined,
+    sim_date::TIMESTAMP + INTERVAL 88200 SECOND AS started_at, sim_date::TIMESTAMP + INTERVAL 88200 SECOND + to_seconds(n) AS finished_at, n / 10e0 AS validate_s, bad::DOUBLE AS merge_s FROM rn0
+)"""
+DRIFT = LATE + """, dft AS (SELECT sim_date, round(CASE WHEN b <> 0 THEN abs(b - s) / b ELSE 0e0 END, 6) AS drift_ratio FROM (
+  SELECT sim_date, round(coalesce(sum(CASE WHEN event_type = 'trip_end' THEN fare END), 0e0), 2) AS b,
+    round(coalesce(sum(CASE WHEN event_type = 'trip_end' AND event_id NOT IN (SELECT event_id FROM late) THEN fare END), 0e0), 2) AS s FROM cl GROUP BY 1)
+)"""
+NOTICE = """, nt AS (SELECT CASE WHEN idle_min < 120 THEN 'IdleVehicle' ELSE 'unknown' END AS alertname, 'warning' AS severity, CASE WHEN status = 'closed' THEN 'resolved' ELSE 'firing' END AS status,
+    vehicle_id || ' idle since ' || strftime(opened_at, '%Y-%m-%dT%H:%M:%SZ') AS summary, date_trunc('second', opened_at)::TIMESTAMP AS starts_at,
+    CASE WHEN status = 'closed' THEN date_trunc('second', last_idle_at)::TIMESTAMP END AS ends_at, vehicle_id FROM isl WHERE alert
+)"""
+STALLED = """, sp AS (SELECT min(arrival_time) AS started_at, max(arrival_time) AS now FROM raw
+), zq AS (SELECT 'Z' || lpad((i + 1)::VARCHAR, 2, '0') AS query FROM range(16) t(i)
+), zp AS (SELECT zone_id AS query, count(*) AS n, max(arrival_time) AS last_at FROM cl GROUP BY 1
+), stl AS (SELECT query, last_at, CASE WHEN coalesce(n, 0) % 7 = 0 THEN 'inactive' WHEN date_diff('microsecond', started_at, now) >= 120e6 THEN
+    CASE WHEN last_at IS NULL THEN 'no_progress' WHEN date_diff('microsecond', last_at, now) >= 121e6 THEN 'silent' END END AS reason FROM zq LEFT JOIN zp USING (query), sp
+)"""
+METRICS = """, bm AS (
+  SELECT 'batch_last_success' AS metric, '' AS label, epoch(max(finished_at))::BIGINT::DOUBLE AS value FROM rn WHERE status = 'success'
+  UNION ALL SELECT 'batch_quarantined_rows', '', max_by(quarantined, started_at)::DOUBLE FROM rn WHERE status = 'success'
+  UNION ALL SELECT 'batch_task_duration', 'validate', max_by(validate_s, started_at) FROM rn WHERE status = 'success'
+  UNION ALL SELECT 'batch_task_duration', 'merge', max_by(merge_s, started_at) FROM rn WHERE status = 'success'
+  UNION ALL SELECT 'expense_file_late', '', max_by(late, started_at)::INT::DOUBLE FROM rn UNION ALL SELECT 'batch_run_failed', '', (max_by(status, started_at) = 'failed')::INT::DOUBLE FROM rn
+  UNION ALL SELECT 'speed_batch_drift', '', max_by(drift_ratio, sim_date) FROM dft UNION ALL SELECT 'open_idle_alerts', '', count(*)::DOUBLE FROM isl WHERE alert AND status = 'open'
+)"""
+RULES = """, mx AS (
+  SELECT metric, max(value) AS value FROM bm GROUP BY 1 UNION ALL SELECT 'dlq_rate', avg((reason IS NOT NULL)::INT) FROM j
+  UNION ALL SELECT 'telemetry_events', count(*)::DOUBLE FROM cl, nw WHERE event_time > now - INTERVAL 5 MINUTE UNION ALL SELECT 'stream_stalled', count(reason)::DOUBLE FROM stl
+  UNION ALL SELECT 'offsets_behind', ((SELECT max(kafka_offset) FROM cl) - min(top))::DOUBLE FROM (SELECT max(kafka_offset) AS top FROM cl GROUP BY zone_id)
+  UNION ALL SELECT 'seconds_since_success', date_diff('second', max(finished_at), TIMESTAMP '2024-01-06 12:00:00')::DOUBLE FROM rn WHERE status = 'success'
+), ru(rule, metric, sign, threshold, severity) AS (VALUES ('TelemetryNotProduced', 'telemetry_events', '<', 1e0, 'critical'), ('DLQRateHigh', 'dlq_rate', '>', 0.02e0, 'warning'),
+  ('StreamStalled', 'stream_stalled', '>', 0e0, 'critical'), ('StreamLagHigh', 'offsets_behind', '>', 5000e0, 'warning'), ('ExpenseFileLate', 'expense_file_late', '>', 0e0, 'warning'),
+  ('BatchRunFailed', 'batch_run_failed', '>', 0e0, 'critical'), ('BatchNotRunRecently', 'seconds_since_success', '>', 2700e0, 'warning'), ('SpeedBatchDriftHigh', 'speed_batch_drift', '>', 0.05e0, 'warning'),
+  ('IdleVehiclesHigh', 'open_idle_alerts', '>', 8e0, 'warning'))"""
+SOME = "('2024-01-01', '2024-01-02', '2024-01-03', '2024-01-05')"
+MIXED = SEQ + COST + COST2 + ", mix AS (SELECT *, 1 AS version FROM ex WHERE sim_date IN ('2024-01-02', '2024-01-05') UNION ALL SELECT *, 2 FROM ey WHERE sim_date IN ('2024-01-01', '2024-01-03'))"
+MIXED += _rec("rec", "mix").replace("FROM vd FULL JOIN", f"FROM (SELECT * FROM vd WHERE sim_date IN {SOME}) vd FULL JOIN")
+
 PARTS: dict[str, tuple[str, str]] = {
+    "expense_raw": (RAW, "SELECT sim_date, version, sim_date AS date, vehicle_id, fuel_cost, maintenance_cost, distance_covered, service_flag::VARCHAR AS service_flag FROM landed"),
+    "landing_versions": (RAW, "SELECT sim_date, max(version) AS version FROM landed GROUP BY 1"),
+    "late_deliveries": (RAW, "SELECT sim_date, version, arrived_at FROM arr WHERE version <= 1 AND arrived_at > sim_date::TIMESTAMP + INTERVAL 1560 MINUTE"),
+    "report_csv": (REC, f"SELECT {COLS} FROM rec"),
+    "recompute": (MIXED, f"SELECT sim_date, vehicle_id, trips, revenue, gps_km, total_cost, net_profit, margin, mismatch_pct, {', '.join(FLAGS)}, CASE WHEN sim_date IN ('2024-01-01', '2024-01-03') THEN 2 ELSE 1 END AS source_version FROM rec"),
+    "run_log_latest": (RUNS, "SELECT * FROM rn"),
+    "alert_rows": (ZH + NOTICE, "SELECT * FROM nt"),
+    "recent_alerts": (ZH + NOTICE, "SELECT alertname, severity, status, summary, starts_at, ends_at FROM nt ORDER BY starts_at DESC, alertname, summary LIMIT 25"),
+    "pipeline_status": (ZH + RUNS + DRIFT, "SELECT (SELECT now FROM nw) AS latest_event, round(date_diff('second', (SELECT date_trunc('second', now + INTERVAL 999999 MICROSECOND) FROM nw), TIMESTAMP '2024-01-06 12:00:00') / 60e0, 2) AS lag_min, (SELECT max_by(run_id, started_at) FROM rn) AS last_run, (SELECT max_by(status, started_at) FROM rn) AS last_status, (SELECT max(sim_date) FROM rn WHERE status = 'success') AS last_good_date, (SELECT max_by(drift_ratio, sim_date) FROM dft) AS drift_ratio, (SELECT count(*) FROM isl WHERE alert AND status = 'open') AS open_alerts, (SELECT count(reason) FROM exj) AS dq_issues"),
+    "stalled_queries": (STALLED, "SELECT * FROM stl WHERE reason IS NOT NULL"),
+    "batch_metrics": (ZH + RUNS + DRIFT + METRICS, "SELECT * FROM bm"),
+    "health_rules": (ZH + RUNS + DRIFT + METRICS + STALLED + RULES, "SELECT rule, severity, coalesce(CASE WHEN sign = '>' THEN value > threshold ELSE value < threshold END, false) AS firing, round(value, 6) AS value FROM ru LEFT JOIN mx USING (metric)"),
+    "stream_source": ("", "SELECT event_id, vehicle_id, status, kafka_offset FROM raw"),
     "archive_partition_counts": ("", "SELECT coalesce(strftime(event_time, '%Y-%m-%d'), 'unknown') AS sim_date, count(*) AS rows FROM raw GROUP BY 1"),
     "archive_day": ("", "SELECT event_id, vehicle_id, kafka_offset, event_time FROM raw WHERE event_time::DATE = DATE '2024-01-02'"),
     "parse_events": ("", "SELECT event_id, event_type, trip_id, driver_id, vehicle_id, status, speed, fare, kafka_offset FROM raw"),

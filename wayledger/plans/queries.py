@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from ..functions import exprs as X
 from ..operators import expenses as E
+from ..operators import health as H
 from ..operators import serving as S
 from ..operators import telemetry as T
-from ..sources import fleet
-from ..streaming import jobs
+from ..schemas import EXPENSE_COLUMNS
+from ..sources import fleet, landing
+from ..streaming import jobs, monitor
+from .recompute import recompute, reconcile
 
 NOW = "2024-01-06 12:00:00"
 
@@ -35,6 +40,7 @@ class Fleet:
     """The derived tables, lazily built from one events table."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
         self.events = spark.read.parquet(f"{sf_dir}/events.parquet")
         self.raw = archive(spark, sf_dir)
         self.clean = T.clean(self.raw)
@@ -75,6 +81,103 @@ class Fleet:
         """Version per date of finished runs: dates that have expenses of the first vehicle."""
         return self.costs().where("sim_date <= '2024-01-03'").groupBy("sim_date").agg(F.max("version").alias("processed_version"))
 
+    @cached_property
+    def landing(self) -> str:
+        """A landing folder with the files of ``available``, as CSV."""
+        root = f"{jobs.folder(self.spark)}/landing"
+        first = self.lines.where("sim_date != '2024-01-04'")
+        landing.land(first.unionByName(fleet.expenses(self.events, version=2).where("sim_date IN ('2024-01-01', '2024-01-03')")), root)
+        return root
+
+    @property
+    def landed(self) -> DataFrame:
+        return landing.expense_files(self.spark, self.landing)
+
+    @property
+    def arrivals(self) -> DataFrame:
+        """Both versions of all files, come some minutes after their day's end."""
+        both = self.lines.unionByName(fleet.expenses(self.events, version=2)).groupBy("sim_date", "version").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("fuel_cost").try_cast("long")), F.lit(0)).alias("fuel"))
+        return both.select("sim_date", "version", F.expr("timestampadd(MINUTE, cast(1440 + fuel % 240 AS int), cast(sim_date AS timestamp_ntz))").alias("arrived_at"))
+
+    @property
+    def run_events(self) -> DataFrame:
+        """Entries of the run log, three a date: start, end with a duration, a later duration."""
+        per = E.judged(self.lines, self.roster).groupBy("sim_date").agg(F.count("*").cast("int").alias("n"), F.count_if(F.col("reason").isNotNull()).cast("int").alias("bad"))
+        failed = F.col("sim_date") == "2024-01-04"
+        at = lambda s: F.expr(f"timestampadd(SECOND, 88200 + {s}, cast(sim_date AS timestamp_ntz))")
+        task = lambda name, s: F.create_map(F.lit(name), s)
+        none = F.lit(None)
+        entry = lambda when, status, late, bad, tasks: F.struct(at(when).alias("at"), status.cast("string").alias("status"), late.cast("boolean").alias("late"), bad.cast("long").alias("quarantined"), tasks.cast("map<string,double>").alias("durations"))
+        three = F.array(
+            entry("0", F.lit("running"), none, none, task("validate", F.lit(0.0))), entry("n", F.when(failed, "failed").otherwise("success"), failed, F.col("bad"), task("validate", F.col("n") / 10)),
+            entry("n + 1", none, none, none, task("merge", F.col("bad").cast("double"))),
+        )
+        return per.select(F.concat(F.lit("reconcile-"), "sim_date").alias("run_id"), "sim_date", F.inline(three))
+
+    @property
+    def runs(self) -> DataFrame:
+        return H.run_log_latest(self.run_events)
+
+    @property
+    def drift(self) -> DataFrame:
+        return S.drift(self.clean, T.late_rows(T.valid(self.raw)))
+
+    @property
+    def open_alerts(self) -> DataFrame:
+        return self.islands.where("alert AND status = 'open'").agg(F.count("*").alias("open_alerts"))
+
+    @property
+    def notices(self) -> DataFrame:
+        """Webhook payloads of a vehicle's idle alerts of a day (at most 32), taken in again."""
+        iso = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+        shut = F.col("status") == "closed"
+        alert = F.struct(
+            F.when(shut, "resolved").otherwise("firing").alias("status"),
+            F.create_map(F.lit("alertname"), F.when(F.col("idle_min") < 120, "IdleVehicle"), F.lit("severity"), F.lit("warning"), F.lit("vehicle_id"), F.col("vehicle_id")).alias("labels"),
+            F.create_map(F.lit("summary"), F.concat("vehicle_id", F.lit(" idle since "), iso("opened_at"))).alias("annotations"),
+            iso("opened_at").alias("startsAt"), F.when(shut, iso("last_idle_at")).otherwise("0001-01-01T00:00:00Z").alias("endsAt"),
+        )
+        per = self.islands.where("alert").groupBy("vehicle_id", F.to_date("opened_at").alias("day")).agg(F.collect_list(alert).alias("alerts"))
+        return H.alert_rows(per.select(F.to_json(F.struct("alerts")).alias("payload")))
+
+    @property
+    def stalled(self) -> DataFrame:
+        """One query per zone, started with the first arrival; progress is what arrives."""
+        span = self.raw.agg(F.min("arrival_time").alias("started_at"), F.max("arrival_time").alias("now"))
+        launched = _zones(self).select(F.col("zone_id").alias("query"), (F.col("events") % 7 != 0).alias("active")).join(F.broadcast(span.select("started_at")))
+        return H.stalled(launched, self.clean.select(F.col("zone_id").alias("query"), F.col("arrival_time").alias("at")), span.select("now"))
+
+
+def _report(rec: DataFrame) -> DataFrame:
+    root = jobs.folder(rec.sparkSession)
+    landing.write_report(rec, root)
+    values = T_.StructType([f for f in rec.schema.fields if f.name != "sim_date"] + [T_.StructField("sim_date", T_.StringType())])
+    return landing.read_report(rec.sparkSession, root, values)
+
+
+def _recomputed(f: Fleet) -> DataFrame:
+    """The table after first runs of the processed dates, then a recompute of what is new."""
+    root = f"{jobs.folder(f.spark)}/table"
+    first = f.processed.select("sim_date", F.col("processed_version").alias("version"))
+    rec = reconcile(f.days, f.lines, f.roster, first)
+    rec.write.partitionBy("sim_date").parquet(root)
+    recompute(root, f.days, f.landed, f.roster, f.processed, F.expr(f"timestamp_ntz'{NOW}'"))
+    return f.spark.read.schema(rec.schema).parquet(root)
+
+
+def _metrics(f: Fleet) -> DataFrame:
+    """All metrics that the health rules read."""
+    base = H.batch_metrics(f.runs, f.drift, f.open_alerts)
+    judged = T.validated(f.raw).agg(F.avg(F.col("reason").isNotNull().cast("int")).alias("value"))
+    recent = f.clean.join(F.broadcast(f.now)).where("event_time > timestampadd(MINUTE, -5, now)").agg(F.count("*").alias("value"))
+    stuck = f.stalled.agg(F.count("*").alias("value"))
+    newest = f.clean.groupBy("zone_id").agg(F.max("kafka_offset").alias("at"))
+    behind = newest.join(F.broadcast(newest.agg(F.max("at").alias("top")))).select(F.col("zone_id").alias("label"), (F.col("top") - F.col("at")).alias("value"))
+    since = f.runs.where("status = 'success'").agg(F.expr(f"timestampdiff(SECOND, max(finished_at), timestamp_ntz'{NOW}')").alias("value"))
+    for name, df in (("dlq_rate", judged), ("telemetry_events", recent), ("stream_stalled", stuck), ("offsets_behind", behind), ("seconds_since_success", since)):
+        base = base.unionByName(df.select(F.lit(name).alias("metric"), F.col("label") if "label" in df.columns else F.lit("").alias("label"), F.col("value").cast("double").alias("value")))
+    return base
+
 
 def _round(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
@@ -151,6 +254,10 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "vehicle_history": lambda f: S.history(f.rec(), 3),
     "reconciled_dates": lambda f: f.rec().select("sim_date").distinct().orderBy(F.desc("sim_date")).limit(30),
     "latest_markers": lambda f: f.rec().agg(F.max("sim_date").alias("latest_date")).join(f.now),
+    "expense_raw": lambda f: f.landed.select("sim_date", "version", *[F.coalesce(c, F.lit("")).alias(c) for c in EXPENSE_COLUMNS]),
+    "landing_versions": lambda f: landing.newest(landing.listing(f.spark, f.landing)),
+    "report_csv": lambda f: _report(f.rec().select(*REC)),
+    "recompute": lambda f: _recomputed(f),
     "vehicle_merge": lambda f: S.vehicle_merge(f.state, T.vehicle_daily_running(f.clean), f.rec(), f.now),
     "known_vehicles": lambda f: f.state.select("vehicle_id").unionByName(f.costs().select("vehicle_id")).distinct(),
     "speed_batch_drift": lambda f: S.drift(f.clean, T.late_rows(T.valid(f.raw))),
@@ -159,7 +266,20 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "processed_versions": lambda f: f.processed,
     "pending_dates": lambda f: S.pending_dates(f.available, f.processed, F.expr(f"timestamp_ntz'{NOW}'")),
     "overdue_dates": lambda f: S.overdue_dates("2024-01-01", f.available, f.processed, NOW),
+    "late_deliveries": lambda f: landing.late(f.arrivals),
+    "run_log_latest": lambda f: f.runs.select("run_id", "sim_date", "status", "late", "quarantined", "started_at", "finished_at", F.col("durations")["validate"].alias("validate_s"), F.col("durations")["merge"].alias("merge_s")),
+    # health
+    "alert_rows": lambda f: f.notices.select("alertname", "severity", "status", "summary", "starts_at", "ends_at", F.col("labels")["vehicle_id"].alias("vehicle_id")),
+    "recent_alerts": lambda f: H.recent_alerts(f.notices).select("alertname", "severity", "status", "summary", "starts_at", "ends_at"),
+    "pipeline_status": lambda f: H.pipeline_status(f.now, F.expr(f"timestamp_ntz'{NOW}'"), f.runs, f.drift, f.open_alerts, E.judged(f.lines, f.roster).where("reason IS NOT NULL")),
+    "stalled_queries": lambda f: f.stalled,
+    "batch_metrics": lambda f: H.batch_metrics(f.runs, f.drift, f.open_alerts),
+    "health_rules": lambda f: H.health_rules(_metrics(f)),
     # streaming runs
+    "stream_source": lambda f: monitor.run_source(fleet.raw_stream_rows(f.events)),
+    "stream_all": lambda f: monitor.outputs(f.spark, *monitor.run_all(f.raw)),
+    "stream_progress": lambda f: monitor.progress_rows(f.spark, monitor.run_all(f.raw)[1]),
+    "stream_late_rows": lambda f: monitor.late_rows(monitor.progress_rows(f.spark, monitor.run_all(f.raw)[1])),
     "stream_dedup": lambda f: jobs.run_dedup(f.raw),
     "stream_zone_hourly": lambda f: jobs.run_zone_hourly(f.raw),
     "stream_vehicle_daily": lambda f: jobs.run_vehicle_daily(f.raw),

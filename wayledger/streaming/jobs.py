@@ -117,10 +117,28 @@ def folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
+def in_order(spark: SparkSession, root: str) -> None:
+    """Give the files of a folder times in the order of their names: a file source delivers by
+    time, and the tasks that wrote them end in any order."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((f.getPath().getName(), f.getModificationTime(), f.getPath()) for f in files.listStatus(path))
+    start = max((t for _, t, _ in found), default=0) - 1000 * len(found)
+    for i, (_, _, file) in enumerate(found):
+        files.setTimes(file, start + 1000 * i, -1)
+
+
+def deliver(raw: DataFrame, root: str, by: str = "event_time", files: int = 4) -> None:
+    """Write ``raw`` below ``root`` as files that a stream reads in the order of a time."""
+    time = F.coalesce(by, F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
+    raw.repartitionByRange(files, time).write.parquet(f"{root}/in")
+    in_order(raw.sparkSession, f"{root}/in")
+
+
 def _source(raw: DataFrame, root: str) -> DataFrame:
     """``raw`` as a stream of files in event-time order."""
-    raw.repartitionByRange(4, F.coalesce("event_time", F.expr("timestamp_ntz'2024-01-01 00:00:00'"))).write.parquet(f"{root}/in")
-    return raw.sparkSession.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{root}/in")
+    deliver(raw, root)
+    return raw.sparkSession.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
 
 
 def _run(stream: DataFrame, root: str, mode: str) -> DataFrame:
