@@ -123,6 +123,22 @@ def test_language_model(odd, empty):
     assert all(r["n_known"] == 0 for r in hmm_lm.score(odd, hmm_lm.train(empty, states=2)).collect())
 
 
+def test_first_states_come_from_all_documents(spark):
+    """A group of copies that any order by hash puts first leaves room for the other texts."""
+    rng = np.random.default_rng(11)
+    text = lambda kind: " ".join(f"{kind}{i}" for i in rng.integers(0, 12, 30))
+    first = spark.range(20_000).select(F.format_string("many copies of one text %d", "id").alias("text")).orderBy(F.xxhash64("text")).first()["text"]
+    docs = spark.createDataFrame([(first,)] * 1600 + [(text(kind),) for kind in "ab" for _ in range(100)], "text string")
+    _, vocabulary, model, _, _ = hmm_lm.train(docs, states=4, rounds=0)
+    best = []
+    for kind in "ab":
+        _, _, h, b, _ = next(hmm_lm._tokens(hmm_lm.pa.array([" ".join(f"{kind}{i}" for i in range(12))])))
+        share = model.emit[vocabulary.lookup(h[:-1], b[:-1])[0]].sum(0)
+        best.append(int(share.argmax()))
+        assert share.max() > 0.5
+    assert best[0] != best[1]
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(3)
     m = hmm_lm.Model.of_counts(rng.random(2), rng.random((2, 2)), rng.random((3, 2)), np.full(3, 1 / 3))

@@ -26,10 +26,10 @@ OWN = 4096
 BUCKETS = 4096
 HEAD = 1 << 17
 STATES = 8
-#: Documents of the sample that the first states come from; all documents train afterwards.
-SEED_DOCS = 600
-SEED_ROUNDS = 4
-ROUNDS = 2
+#: Rounds of clustering that the first states come from, and of Baum-Welch; each is a pass
+#: over all training documents.
+SEED_ROUNDS = 3
+ROUNDS = 3
 #: Words of a training window. Scores are over whole documents.
 WINDOW = 512
 #: Tokens that are stepped through together.
@@ -212,37 +212,44 @@ def _joined(ids: list, parts: list, vocabulary: Vocabulary) -> tuple:
     return ids, symbol, np.concatenate([[0], np.cumsum(n)]), h, b, count, head
 
 
-def _seed(sample: list[np.ndarray], vocabulary: Vocabulary, states: int) -> Model:
-    """States from documents clustered by their classes, then a few Baum-Welch rounds."""
+def _clusters(weights: np.ndarray, vocabulary: Vocabulary) -> Callable:
+    """Task function: this partition's class counts by state as (place, value) rows. A
+    document belongs to the state in which its tokens' weights have the highest sum."""
+    states = weights.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(weights.size, np.int64)
+        for ids, symbols, first, *_ in _grouped(batches, 0, vocabulary):
+            doc = np.repeat(np.arange(len(ids)), np.diff(first))
+            fit = [np.bincount(doc, weights=weights[symbols, j], minlength=len(ids)) for j in range(states)]
+            total += np.bincount(symbols * states + np.argmax(fit, axis=0)[doc], minlength=weights.size)
+        at = np.flatnonzero(total)
+        yield _rows(place=at, value=total[at].astype(float))
+
+    return run
+
+
+def _summed(texts: DataFrame, task: Callable, size: int) -> np.ndarray:
+    """The (place, value) rows of all partitions, summed by place."""
+    got = texts.mapInArrow(task, "place bigint, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
+    flat = np.zeros(size)
+    flat[got["place"].to_numpy()] = got["value"].to_numpy()
+    return flat
+
+
+def _seed(texts: DataFrame, vocabulary: Vocabulary, states: int, rounds: int) -> Model:
+    """States from clusters of all documents: first by random directions from the corpus'
+    class shares, then by the class shares of the clusters of the round before. No rounds
+    give a uniform model."""
     classes = OWN + BUCKETS
-    rng = np.random.default_rng(7)
-    x = np.zeros((len(sample), classes), np.float32)
-    for i, s in enumerate(sample):
-        np.add.at(x[i], s, 1)
-    x = np.sqrt(x)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    centre = [x[0]] if len(x) else []
-    while len(centre) < states and len(x):
-        near = np.max(x @ np.array(centre).T, axis=1)
-        centre.append(x[int(np.argmin(near))])
-    label = rng.integers(0, states, len(x))
-    for _ in range(8):
-        if len(x):
-            c = np.array(centre)
-            label = np.argmax(x @ c.T, axis=1)
-            for j in range(states):
-                if (label == j).any():
-                    v = x[label == j].sum(0)
-                    centre[j] = v / np.linalg.norm(v)
+    weights = np.random.default_rng(7).standard_normal((classes, states))
+    weights -= vocabulary.prior @ weights
     emit = np.zeros((classes, states))
-    for s, j in zip(sample, label, strict=True):
-        np.add.at(emit[:, j], s, 1)
-    model = Model.of_counts(np.ones(states), np.full((states, states), 2.0) + 100 * np.eye(states), emit, vocabulary.prior)
-    if sample:
-        symbols, first = np.concatenate(sample), np.concatenate([[0], np.cumsum([len(s) for s in sample])])
-        for _ in range(SEED_ROUNDS):
-            model = Model.of_counts(*model.expected(symbols, first), vocabulary.prior)
-    return model
+    for _ in range(rounds):
+        emit = _summed(texts, _clusters(weights, vocabulary), classes * states).reshape(classes, states)
+        shares = emit + SMOOTH * vocabulary.prior[:, None]
+        weights = np.log(shares / shares.sum(0))
+    return Model.of_counts(np.ones(states), np.full((states, states), 2.0) + 100 * np.eye(states), emit, vocabulary.prior)
 
 
 def _baum_welch(model: Model, vocabulary: Vocabulary) -> Callable:
@@ -263,9 +270,9 @@ def _baum_welch(model: Model, vocabulary: Vocabulary) -> Callable:
 def train(docs: DataFrame, text_col: str = "text", *, states: int = STATES, rounds: int = ROUNDS) -> tuple[DataFrame, Vocabulary, Model, int, int]:
     """(word counts, vocabulary, model, tokens, distinct tokens) of the training documents.
 
-    Counts are over every word of every document. Each round's Baum-Welch counts are summed
-    across partitions; what the driver receives has the size of the model. An empty table
-    gives a uniform model.
+    Word counts, first states and Baum-Welch rounds are over every word of every document.
+    Each round's counts are summed across partitions; what the driver receives has the size
+    of the model. An empty table gives a uniform model.
     """
     texts = docs.select(text_col)
     counts = stored(texts.mapInArrow(_count_words, "word bigint, bucket bigint, n bigint").groupBy("word").agg(F.first("bucket").alias("bucket"), F.sum("n").alias("n")), "counts")
@@ -281,18 +288,10 @@ def train(docs: DataFrame, text_col: str = "text", *, states: int = STATES, roun
     np.subtract.at(mass, inside[inside >= 0], (n[:OWN] + 1)[inside >= 0])
     vocabulary = Vocabulary(words, n, mass + 1, own)
 
-    sample = docs.select(text_col).orderBy(F.xxhash64(F.col(text_col))).limit(SEED_DOCS).toPandas() if distinct else None
-    sequences = []
-    if sample is not None:
-        for _, symbols, first, *_ in _grouped(iter([pa.RecordBatch.from_arrays([pa.array(sample[text_col], pa.string())], names=["t"])]), 0, vocabulary):
-            sequences += np.split(symbols, first[1:-1])
-    model = _seed(sequences, vocabulary, states)
+    model = _seed(texts, vocabulary, states, SEED_ROUNDS if distinct else 0)
     classes = OWN + BUCKETS
     for _ in range(rounds if distinct else 0):
-        per_task = texts.mapInArrow(_baum_welch(model, vocabulary), "place bigint, value double")
-        got = per_task.groupBy("place").agg(F.sum("value").alias("value")).toPandas()
-        flat = np.zeros(states + states * states + classes * states)
-        flat[got["place"].to_numpy()] = got["value"].to_numpy()
+        flat = _summed(texts, _baum_welch(model, vocabulary), states + states * states + classes * states)
         start, move, emit = np.split(flat, [states, states + states * states])
         model = Model.of_counts(start, move.reshape(states, states), emit.reshape(classes, states), vocabulary.prior)
     return counts, vocabulary, model, int(tokens), int(distinct)
