@@ -212,3 +212,12 @@ def test_bm25(spark, odd, empty):
     assert got == [(0, 1, 1), (0, 2, 2)]
     assert bm25.search(empty, ask).count() == 0
     assert bm25.search(odd, items(spark, [])).count() == 0
+
+
+@pytest.mark.parametrize("limit", [("MAX_QUERIES", 3), ("MAX_WORDS", 5)])
+def test_bm25_in_blocks_is_exact(spark, odd, monkeypatch, limit):
+    ask = items(spark, [*BASE.split(), BASE, None, "zzz", "Mail w7919 alpha"])
+    plain = sorted(tuple(r) for r in bm25.search(odd, ask, k=2).collect())
+    monkeypatch.setattr(bm25, *limit)
+    assert sorted(tuple(r) for r in bm25.search(odd, ask, k=2).collect()) == plain
+    assert len({r[0] for r in plain}) == len(BASE.split()) + 2

@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +25,13 @@ from .common import stored, table
 SHARD_BYTES, SHARD_DOCS = 8 << 20, 20_000
 BLOCK = 64
 K1, B = 1.2, 0.75
-#: Queries and their words that go to the tasks together.
+#: Queries and their words that go to the tasks together; more take further passes.
 MAX_QUERIES, MAX_WORDS = 4096, 1 << 20
 #: Scores are compared after rounding to so many digits; pruning keeps this margin.
 DIGITS, MARGIN = 6, 1e-5
 
 INDEX = "shard string, ids array<bigint>, sizes array<bigint>, terms binary, dfs binary, docs binary, tfs binary"
+HITS = "query bigint, id bigint, score double"
 
 
 def _shard(ids: list, sizes: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -117,26 +119,30 @@ def _top(lists: list[tuple[np.ndarray, np.ndarray, float]], sizes: np.ndarray, m
     return [x for x in found if x[0] >= floor - MARGIN]
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
-    """``(query_id, rank, id, score)``: the exact best ``k`` documents of every query.
+def _query_blocks(queries: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(query, distinct words) of all queries, at most MAX_QUERIES and MAX_WORDS at a time;
+    a query of more words is a block of its own."""
+    block, held = [], 0
+    for query, text in queries.toLocalIterator():
+        words = np.concatenate([tb.words(data, off, tb.WORD_CHARS).hash for _, _, data, off in tb.blocks(pa.array([text], pa.string()))])
+        words = np.unique(words)
+        if block and (len(block) >= MAX_QUERIES or held + len(words) > MAX_WORDS):
+            yield block
+            block, held = [], 0
+        block.append((query, words))
+        held += len(words)
+    if block:
+        yield block
 
-    A query is the set of its distinct words; idf is log(1 + (N - df + 0.5) / (df + 0.5)) over
-    all documents. Scores are rounded to ``DIGITS`` and ties go to the smaller id; documents
-    without any query word are never returned. Null or wordless queries find nothing. Rows
-    repeating an id are ranked on their own. Queries beyond MAX_QUERIES or MAX_WORDS raise:
-    search them in parts.
-    """
-    index = build_index(docs, id_col, text_col)
-    asked = []
-    rows = queries.select(F.col(query_id).cast("long"), F.col(query_text)).where(F.col(query_id).isNotNull()).limit(MAX_QUERIES + 1).toPandas()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; search them in parts")
-    for lo, _, data, off in tb.blocks(pa.array(rows.iloc[:, 1], pa.string())):
-        w = tb.words(data, off, tb.WORD_CHARS)
-        asked += [(int(rows.iloc[lo + i, 0]), np.unique(w.hash[a:b])) for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True))]
-    if sum(len(q) for _, q in asked) > MAX_WORDS:
-        raise ValueError(f"more than {MAX_WORDS} query words; search the queries in parts")
-    vocab = np.unique(np.concatenate([q for _, q in asked])) if asked else np.zeros(0, np.uint64)
+
+def _best(hits: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _search_block(index: DataFrame, asked: list[tuple[int, np.ndarray]], n_docs: int, mean: float, k: int) -> DataFrame:
+    """``(query, id, score)``: the best of all shards for a block of queries."""
+    vocab = np.unique(np.concatenate([q for _, q in asked]))
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,9 +151,6 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                 yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.frombuffer(n.as_py(), "<u4")[theirs].astype(np.int64))], names=["term", "n"])
 
     df = {r["term"]: r["n"] for r in index.select("terms", "dfs").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    n_docs, n_words = index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
-    mean = n_words / n_docs if n_words else 1.0
     idf = {int(vocab[i]): float(np.log(1 + (n_docs - n + 0.5) / (n + 0.5))) for i, n in df.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +168,26 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
                 out = [(q, ids[d], s) for q, words in asked for s, d in _top([lists[int(t)] for t in words if int(t) in lists], sizes, mean, k)]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query", "id", "score"])
 
-    hits = index.mapInArrow(run, "query bigint, id bigint, score double").withColumn("score", F.round("score", DIGITS))
-    best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select(F.col("query").alias(query_id), "rank", F.col("id").alias(id_col), "score")
+    return index.mapInArrow(run, HITS).withColumn("score", F.round("score", DIGITS))
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_id", text_col: str = "text", query_id: str = "item_id", query_text: str = "text") -> DataFrame:
+    """``(query_id, rank, id, score)``: the exact best ``k`` documents of every query.
+
+    A query is the set of its distinct words; idf is log(1 + (N - df + 0.5) / (df + 0.5)) over
+    all documents. Scores are rounded to ``DIGITS`` and ties go to the smaller id; documents
+    without any query word are never returned. Null or wordless queries find nothing. Rows
+    repeating an id are ranked on their own. Queries are searched in blocks of bounded size
+    against the one stored index, so more queries cost more passes, not more memory.
+    """
+    index = build_index(docs, id_col, text_col)
+    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+    n_docs, n_words = index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    mean = n_words / n_docs if n_words else 1.0
+    rows = queries.select(F.col(query_id).cast("long"), F.col(query_text)).where(F.col(query_id).isNotNull())
+    found = [stored(_best(_search_block(index, block, n_docs, mean, k), k).drop("rank"), "hits") for block in _query_blocks(rows)]
+    hits = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
+    return _best(hits, k).select(F.col("query").alias(query_id), "rank", F.col("id").alias(id_col), "score")
 
 
 def op5_bm25(spark, sf_dir: str) -> DataFrame:
