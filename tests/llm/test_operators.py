@@ -221,3 +221,19 @@ def test_bm25_in_blocks_is_exact(spark, odd, monkeypatch, limit):
     monkeypatch.setattr(bm25, *limit)
     assert sorted(tuple(r) for r in bm25.search(odd, ask, k=2).collect()) == plain
     assert len({r[0] for r in plain}) == len(BASE.split()) + 2
+
+
+def test_bm25_of_documents_matches_brute_force(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 30, rng.integers(1, 25))) for _ in range(70)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    words = [t.split() for t in texts]
+    mean = sum(map(len, words)) / len(words)
+    df = {w: sum(w in x for x in words) for x in words for w in x}
+    want = set()
+    for q in range(0, 70, 20):
+        score = {d: sum(np.log(1 + (70 - df[t] + 0.5) / (df[t] + 0.5)) * 2.2 * x.count(t) / (x.count(t) + 1.2 * (0.25 + 0.75 * len(x) / mean)) for t in set(words[q])) for d, x in enumerate(words)}
+        best = sorted((-round(s, 6), d) for d, s in score.items() if s > 0)[:10]
+        want |= {(q, rank, d, -s) for rank, (s, d) in enumerate(best, 1)}
+    got = {tuple(r) for r in bm25.op5_bm25_documents(spark, str(tmp_path)).collect()}
+    assert {r[:3] for r in got} == {r[:3] for r in want} and np.allclose(sorted(r[3] for r in got), sorted(r[3] for r in want))

@@ -195,6 +195,12 @@ def op5_bm25(spark, sf_dir: str) -> DataFrame:
     return search(table(spark, sf_dir, "documents"), queries)
 
 
+def op5_bm25_documents(spark, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 20, whole, against all documents."""
+    docs = table(spark, sf_dir, "documents")
+    return search(docs, docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "text"), query_id="query_id")
+
+
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP5_SQL = rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -208,3 +214,4 @@ s AS (
 )
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score FROM s QUALIFY rank <= 10
 """
+OP5_DOCUMENTS_SQL = OP5_SQL.replace("DISTINCT item_id", "DISTINCT doc_id AS query_id").replace("benchmark WHERE item_id", "documents WHERE doc_id").replace("item_id", "query_id")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from .bm25 import OP5_SQL, op5_bm25
+from .bm25 import OP5_DOCUMENTS_SQL, OP5_SQL, op5_bm25, op5_bm25_documents
 from .gam import op1_quality
 from .hmm_lm import op6_hmm
 from .jaccard_join import op9_jaccard
@@ -24,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_tokens": op3_tokens,
     "op4_repeats": op4_repeats,
     "op5_bm25": op5_bm25,
+    "op5_bm25_documents": op5_bm25_documents,
     "op6_hmm": op6_hmm,
     "op7_mixing": op7_mixing,
     "op8_warc": op8_warc,
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_bm25": OP5_SQL,
+    "op5_bm25_documents": OP5_DOCUMENTS_SQL,
     "op7_mixing": OP7_SQL,
     "op8_warc": OP8_SQL,
 }
