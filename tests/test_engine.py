@@ -93,7 +93,7 @@ def test_replace_with_no_rows_empties_the_date(spark, tmp_path):
 def test_stream_dedup_equals_batch(spark):
     f = queries.Fleet(spark, SF)
     batch = {r["event_id"] for r in T.clean(f.raw).select("event_id").collect()}
-    assert {r["event_id"] for r in jobs.run_dedup(f.raw).select("event_id").collect()} == batch
+    assert {r["event_id"] for r in jobs.run_dedup(f.wire).select("event_id").collect()} == batch
 
 
 @pytest.mark.parametrize("name", ["vehicle_day", "zone_hourly", "idle_islands", "expense_gate", "batch_vehicle_daily"])

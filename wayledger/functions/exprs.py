@@ -82,16 +82,45 @@ def flag_label() -> Column:
     )
 
 
-def reasons() -> Column:
+def zone_centre(zone: Column, p: Params = DEFAULT) -> tuple[Column, Column]:
+    """(lat, lon) of the middle of a zone."""
+    n = F.substring(zone, 2, 10).cast("long") - 1
+    lat = F.lit(p.lat_max) - (F.floor(n / p.cols) + 0.5) * F.lit((p.lat_max - p.lat_min) / p.rows)
+    lon = F.lit(p.lon_min) + (n % p.cols + 0.5) * F.lit((p.lon_max - p.lon_min) / p.cols)
+    return lat, lon
+
+
+def day_closed(day: Column, now: Column, p: Params = DEFAULT) -> Column:
+    """The day (text or date) has ended and its grace for late events is over."""
+    return now >= F.timestamp_add("MINUTE", F.lit(24 * 60 + p.late_grace_min), day.cast("timestamp_ntz"))
+
+
+def in_day(time: Column, day: Column) -> Column:
+    """The time lies in the day: from its start on, before the next one's."""
+    start = day.cast("timestamp_ntz")
+    return (time >= start) & (time < F.timestamp_add("DAY", F.lit(1), start))
+
+
+def thousands(x: Column) -> Column:
+    """Two decimals with separators; a dash for null."""
+    return F.coalesce(F.format_number(x.cast("double"), 2), F.lit("-"))
+
+
+def percent(x: Column) -> Column:
+    """One decimal and a percent sign; a dash for null."""
+    return F.coalesce(F.concat(F.format_string("%.1f", x.cast("double") * 100), F.lit("%")), F.lit("-"))
+
+
+def reasons(p: Params = DEFAULT) -> Column:
     """Texts of the flags that are set, in fixed order."""
-    money = lambda c: F.format_string("%.2f", F.col(c))
+    # The texts that the report shows.
     texts = [
-        ("unprofitable", F.concat(F.lit("net loss of "), money("net_profit"))),
-        ("becoming_unprofitable", F.lit("profit is falling")),
-        ("low_margin", F.concat(F.lit("margin "), F.format_string("%.1f%%", F.col("margin") * 100))),
-        ("distance_mismatch", F.concat(F.lit("distance differs by "), F.format_string("%.1f%%", F.col("mismatch_pct") * 100))),
-        ("in_service", F.lit("in service")),
-        ("missing_costs", F.lit("no cost record")),
-        ("missing_telemetry", F.lit("no telemetry")),
+        ("unprofitable", F.concat(F.lit("net profit "), F.format_string("%.2f", "net_profit"), F.lit(f" {p.currency} is negative"))),
+        ("becoming_unprofitable", F.lit("net profit trending down or loss-making on 2 of the last 3 days")),
+        ("low_margin", F.concat(F.lit("margin "), percent(F.col("margin")), F.lit(f" is below the {p.low_margin:.0%} threshold"))),
+        ("distance_mismatch", F.concat(F.lit("GPS distance differs from reported distance by "), percent(F.col("mismatch_pct")))),
+        ("in_service", F.lit("vehicle was serviced or in the garage")),
+        ("missing_costs", F.lit("telemetry present but no expense row")),
+        ("missing_telemetry", F.lit("expense row present but no telemetry")),
     ]
     return F.filter(F.array(*[F.when(F.col(flag), text) for flag, text in texts]), lambda x: x.isNotNull())

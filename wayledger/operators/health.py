@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ALERTS = "struct<alerts: array<struct<status: string, labels: map<string,string>, annotations: map<string,string>, startsAt: string, endsAt: string>>>"
@@ -17,11 +17,46 @@ RULES = [
     ("ExpenseFileLate", "expense_file_late", ">", 0.0, "warning"),
     ("BatchRunFailed", "batch_run_failed", ">", 0.0, "critical"),
     ("BatchNotRunRecently", "seconds_since_success", ">", 2700.0, "warning"),
-    ("SpeedBatchDriftHigh", "speed_batch_drift", ">", 0.05, "warning"),
+    ("SpeedBatchDriftHigh", "speed_batch_drift", "abs >", 0.05, "warning"),
     ("IdleVehiclesHigh", "open_idle_alerts", ">", 8.0, "warning"),
 ]
 
 
+RUN_ENTRY = "run_id string, sim_date string, version int, at timestamp_ntz, status string, late boolean, quarantined long, notes string, durations map<string,double>"
+
+
+def append_runs(entries: DataFrame, root: str) -> None:
+    """Add entries to the run log: an append, so nothing that was logged is rewritten."""
+    names = [c.split(" ")[0] for c in RUN_ENTRY.split(", ")]
+    kinds = dict(c.split(" ") for c in RUN_ENTRY.split(", "))
+    entries.select(*[(F.col(c) if c in entries.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in names]).coalesce(1).write.mode("append").parquet(root)
+
+
+def run_started(spark: SparkSession, run_id: str, sim_date: str, version: int, at: Column, late: bool = False) -> DataFrame:
+    """The log entry of a run that begins."""
+    return spark.range(1).select(F.lit(run_id).alias("run_id"), F.lit(sim_date).alias("sim_date"), F.lit(version).alias("version"), at.alias("at"), F.lit("running").alias("status"), F.lit(late).alias("late"))
+
+
+def run_finished(spark: SparkSession, run_id: str, status: str, at: Column, quarantined: int | None = None, notes: str | None = None, durations: dict[str, float] | None = None) -> DataFrame:
+    """The log entry of a run's end, "success" or "failed"."""
+    tasks = F.create_map(*[F.lit(x) for kv in (durations or {}).items() for x in kv]) if durations else F.lit(None)
+    return spark.range(1).select(F.lit(run_id).alias("run_id"), at.alias("at"), F.lit(status).alias("status"), F.lit(quarantined).alias("quarantined"), F.lit(notes).alias("notes"), tasks.alias("durations"))
+
+
+def task_took(spark: SparkSession, run_id: str, task: str, seconds: float, at: Column) -> DataFrame:
+    """The log entry of one task's time, merged with the others of the run when read."""
+    return spark.range(1).select(F.lit(run_id).alias("run_id"), at.alias("at"), F.create_map(F.lit(task), F.lit(round(seconds, 3))).alias("durations"))
+
+
+def run_log(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(RUN_ENTRY).parquet(root)
+
+
+def processed_versions(runs: DataFrame) -> DataFrame:
+    """The highest expense file version of each date that a run finished well with."""
+    return runs.where("status = 'success'").groupBy("sim_date").agg(F.max("version").alias("processed_version"))
+
+
 def run_log_latest(events: DataFrame) -> DataFrame:
     """One row per run of a log of (run_id, sim_date, at, status, late, quarantined, durations).
 
@@ -30,7 +65,7 @@ def run_log_latest(events: DataFrame) -> DataFrame:
     """
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
     done = F.max(F.when(F.col("status").isin(*FINISHED), F.col("at"))).alias("finished_at")
-    runs = events.groupBy("run_id").agg(last("sim_date"), last("status"), last("late"), last("quarantined"), F.min("at").alias("started_at"), done)
+    runs = events.groupBy("run_id").agg(last("sim_date"), last("version"), last("status"), last("late"), last("quarantined"), F.min("at").alias("started_at"), done)
     tasks = events.select("run_id", "at", F.explode("durations").alias("task", "seconds")).groupBy("run_id", "task").agg(F.max_by("seconds", "at").alias("seconds"))
     merged = tasks.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("task", "seconds")))).alias("durations"))
     return runs.join(merged, "run_id", "left")
@@ -113,5 +148,6 @@ def health_rules(metrics: DataFrame, rules: list[tuple] = RULES) -> DataFrame:
     value, and a rule without its metric doesn't fire."""
     table = metrics.sparkSession.createDataFrame(rules, "rule string, metric string, sign string, threshold double, severity string")
     worst = metrics.groupBy("metric").agg(F.max("value").alias("value"))
-    firing = F.when(F.col("sign") == ">", F.col("value") > F.col("threshold")).otherwise(F.col("value") < F.col("threshold"))
+    above = F.when(F.col("sign") == "abs >", F.abs("value")).otherwise(F.col("value")) > F.col("threshold")
+    firing = F.when(F.col("sign") == "<", F.col("value") < F.col("threshold")).otherwise(above)
     return F.broadcast(table).join(worst, "metric", "left").select("rule", "severity", F.coalesce(firing, F.lit(False)).alias("firing"), F.round("value", 6).alias("value"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -25,17 +25,19 @@ def active(state: DataFrame, now: DataFrame, minutes: int, p: Params = DEFAULT)
 
 
 def fleet_live(state: DataFrame, now: DataFrame, alerts: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    a = active(state, now, p.live_min, p).where("NOT offline")
-    per = a.agg(F.count("*").alias("active"), *[F.count_if(F.col("status") == s).alias(s) for s in ("idle", "on_trip", "enroute")])
-    open_alerts = alerts.where("alert AND status = 'open'").agg(F.count("*").alias("open_alerts"))
-    return per.withColumn("idle_ratio", F.round(X.safe_div(F.col("idle"), F.col("active")), 4)).join(F.broadcast(open_alerts))
+    """The active fleet as of the newest event, and the open alerts of active vehicles."""
+    opened = alerts.where("alert AND status = 'open'").select("vehicle_id", F.lit(True).alias("alert_open")).distinct()
+    a = active(state, now, p.live_min, p).where("NOT offline").join(opened, "vehicle_id", "left")
+    per = a.agg(F.count("*").alias("active"), *[F.count_if(F.col("status") == s).alias(s) for s in ("idle", "on_trip", "enroute")], F.count_if(F.coalesce("alert_open", F.lit(False))).alias("open_alerts"))
+    return per.withColumn("idle_ratio", F.round(X.safe_div(F.col("idle"), F.col("active")), 4)).join(F.broadcast(now.select(F.col("now").alias("as_of"))))
 
 
 def zone_live(state: DataFrame, now: DataFrame, hourly: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    a = active(state, now, p.live_min, p).where("NOT offline")
-    per = a.groupBy("zone_id").agg(F.count("*").alias("active"), F.count_if(F.col("status") == "idle").alias("idle"), F.count_if(F.col("status") == "on_trip").alias("on_trip"))
-    hour = hourly.join(F.broadcast(now)).where(F.col("window_start") == F.date_trunc("hour", "now").cast("timestamp_ntz")).select("zone_id", "trips_completed", "earnings")
-    return per.join(hour, "zone_id", "left").fillna(0)
+    """Active vehicles by zone with the zone's current hour."""
+    a = active(state, now, p.live_min, p).where("NOT offline AND zone_id IS NOT NULL")
+    per = a.groupBy("zone_id").agg(F.max("now").alias("as_of"), F.count("*").alias("active"), F.count_if(F.col("status") == "idle").alias("idle"), F.count_if(F.col("status") == "on_trip").alias("on_trip"))
+    hour = hour_of(hourly, now, 0).select("zone_id", "trips_started", "trips_completed", "earnings")
+    return per.withColumn("idle_ratio", F.round(X.safe_div(F.col("idle"), F.col("active")), 4)).join(hour, "zone_id", "left").fillna(0).orderBy("zone_id")
 
 
 def vehicle_map(state: DataFrame, now: DataFrame, p: Params = DEFAULT) -> DataFrame:
@@ -43,11 +45,28 @@ def vehicle_map(state: DataFrame, now: DataFrame, p: Params = DEFAULT) -> DataFr
     return a.select("vehicle_id", F.when(F.col("offline"), "offline").otherwise(F.col("status")).alias("status"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), "zone_id")
 
 
-def hour_back(hourly: DataFrame, now: DataFrame, hours: int) -> DataFrame:
-    """Trips and earnings of the hour that lies ``hours`` before the current one."""
+def hour_of(hourly: DataFrame, now: DataFrame, hours: int) -> DataFrame:
+    """The zones' hour that lies ``hours`` before the current one."""
     start = F.expr(f"timestampadd(HOUR, -{hours}, cast(date_trunc('HOUR', now) AS timestamp_ntz))")
-    got = hourly.join(F.broadcast(now)).where(F.col("window_start") == start)
-    return got.agg(F.coalesce(F.sum("trips_completed"), F.lit(0)).alias("trips"), F.round(F.coalesce(F.sum("earnings"), F.lit(0.0)), 2).alias("earnings"))
+    return hourly.join(F.broadcast(now)).where(F.col("window_start") == start)
+
+
+def hour_back(hourly: DataFrame, now: DataFrame, hours: int) -> DataFrame:
+    """Trips and earnings of that hour."""
+    return hour_of(hourly, now, hours).agg(F.coalesce(F.sum("trips_completed"), F.lit(0)).alias("trips"), F.round(F.coalesce(F.sum("earnings"), F.lit(0.0)), 2).alias("earnings"))
+
+
+def zone_earnings(hourly: DataFrame, now: DataFrame) -> DataFrame:
+    """Earnings and trips of the zones in the current hour, highest first."""
+    return hour_of(hourly, now, 0).select("zone_id", "earnings", F.col("trips_completed").alias("trips")).orderBy(F.desc("earnings"), "zone_id")
+
+
+def idle_alerts(islands: DataFrame, status: str | None = None, p: Params = DEFAULT) -> DataFrame:
+    """Idle alerts, all or of one status, newest first; as many as the list shows."""
+    found = islands.where("alert").select("vehicle_id", "opened_at", "closed_at", "idle_min", "status")
+    if status in ("open", "closed"):
+        found = found.where(F.col("status") == status)
+    return found.orderBy(F.desc("opened_at"), "vehicle_id").limit(p.alerts_shown)
 
 
 def zone_profile(hourly: DataFrame) -> DataFrame:
@@ -74,6 +93,13 @@ def flag_counts(rec: DataFrame) -> DataFrame:
     return rec.groupBy("sim_date").agg(*[F.count_if(F.col(f)).alias(f) for f in FLAGS])
 
 
+def zone_dimension(spark: SparkSession, p: Params = DEFAULT) -> DataFrame:
+    """Every zone with its centre."""
+    zones = spark.range(p.rows * p.cols).select(F.concat(F.lit("Z"), F.lpad((F.col("id") + 1).cast("string"), 2, "0")).alias("zone_id"))
+    lat, lon = X.zone_centre(F.col("zone_id"), p)
+    return zones.select("zone_id", F.round(lat, 4).alias("lat"), F.round(lon, 4).alias("lon"))
+
+
 def best_worst(rec: DataFrame, n: int = 5) -> DataFrame:
     top = Window.partitionBy("sim_date").orderBy(F.desc("net_profit"), "vehicle_id")
     low = Window.partitionBy("sim_date").orderBy("net_profit", "vehicle_id")
@@ -81,45 +107,76 @@ def best_worst(rec: DataFrame, n: int = 5) -> DataFrame:
     return r.where((F.col("best") <= n) | (F.col("worst") <= n))
 
 
-def needs_attention(rec: DataFrame) -> DataFrame:
-    """Rows with any flag but in_service, with their reasons and label."""
+def needs_attention(rec: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Rows with any flag but in_service, with their reasons and label, worst first by date."""
     any_flag = F.lit(False)
     for f in FLAGS:
         if f != "in_service":
             any_flag = any_flag | F.col(f)
-    return rec.where(any_flag).select("sim_date", "vehicle_id", "net_profit", F.array_join(X.reasons(), "; ").alias("reasons"), X.flag_label().alias("label"))
+    return rec.where(any_flag).withColumn("reasons", X.reasons(p)).withColumn("label", X.flag_label()).orderBy("sim_date", "net_profit", "vehicle_id")
+
+
+def mismatches(rec: DataFrame) -> DataFrame:
+    """Rows whose distances differ too much, widest first by date."""
+    return rec.where("distance_mismatch").orderBy("sim_date", F.desc("mismatch_pct"), "vehicle_id")
+
+
+def latest_markers(rec: DataFrame, drift: DataFrame, runs: DataFrame, now: DataFrame) -> DataFrame:
+    """One row: newest event and reconciled date, the newest drift, the last run and the last
+    successful one (the latter by its end)."""
+    last = runs.agg(F.max_by(F.struct("run_id", "status"), F.struct("started_at", "run_id")).alias("l"))
+    good = runs.where("status = 'success' AND finished_at IS NOT NULL").agg(F.max_by("run_id", F.struct("finished_at", "run_id")).alias("last_success"))
+    gap = drift.agg(F.max_by(F.struct("sim_date", "drift_abs", "drift_ratio"), "sim_date").alias("d"))
+    out = rec.agg(F.max("sim_date").alias("latest_date"))
+    for one in (now, gap, last, good):  # all of them one row
+        out = out.join(F.broadcast(one))
+    return out.select("latest_date", "now", F.col("d.sim_date").alias("drift_date"), F.col("d.drift_abs").alias("drift_abs"), F.col("d.drift_ratio").alias("drift_ratio"), F.col("l.run_id").alias("last_run"), F.col("l.status").alias("last_status"), "last_success")
 
 
 def history(rec: DataFrame, n: int = 7) -> DataFrame:
     """The newest ``n`` reconciled days of each vehicle."""
     w = Window.partitionBy("vehicle_id").orderBy(F.desc("sim_date"))
-    return rec.select("vehicle_id", "sim_date", "revenue", "net_profit", F.row_number().over(w).alias("nth")).where(F.col("nth") <= n)
+    return rec.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n)
+
 
+DAY = ("trips", "revenue", "gps_km", "distance_covered", "fuel_cost", "maintenance_cost", "total_cost", "net_profit", "margin", "revenue_per_km", "cost_per_km", "utilization", *FLAGS)
 
-def vehicle_merge(state: DataFrame, daily: DataFrame, rec: DataFrame, now: DataFrame, n: int = 7) -> DataFrame:
-    """Live, today and history side by side for every vehicle, never added together."""
-    live = state.select("vehicle_id", F.col("status").alias("live_status"), F.col("event_time").alias("live_as_of"))
-    today = daily.join(F.broadcast(now)).where(F.col("sim_day") == F.to_date("now")).select("vehicle_id", F.col("trips").alias("today_trips"), F.col("revenue").alias("today_revenue"))
-    past = history(rec, n).groupBy("vehicle_id").agg(F.sort_array(F.collect_list(F.struct("sim_date", "net_profit")), asc=False).alias("h"))
-    past = past.select("vehicle_id", F.size("h").alias("days"), F.array_join(F.transform("h", lambda x: x["sim_date"]), ",").alias("history"))
+
+def vehicle_merge(state: DataFrame, daily: DataFrame, rec: DataFrame, now: DataFrame, n: int = 7, p: Params = DEFAULT) -> DataFrame:
+    """Live, today and history of every vehicle side by side, never added together.
+
+    ``live`` and ``today`` are structs of the speed layer and ``history`` an array of structs of
+    the batch layer, newest day first; each block names its source, and live and history the
+    time they hold for. A block that a vehicle lacks is null.
+    """
+    live = state.select("vehicle_id", F.struct(F.lit("speed").alias("source"), F.col("event_time").alias("as_of"), "status", "zone_id", "lat", "lon", "speed", "trip_id").alias("live"))
+    today = daily.join(F.broadcast(now)).where(F.col("sim_day") == F.to_date("now")).select("vehicle_id", F.struct(F.lit("speed").alias("source"), F.date_format("sim_day", "yyyy-MM-dd").alias("sim_date"), "trips", "revenue").alias("today"))
+    block = F.struct("sim_date", F.lit("batch").alias("source"), F.timestamp_add("DAY", F.lit(1), F.col("sim_date").cast("timestamp_ntz")).alias("as_of"), *DAY, X.reasons(p).alias("reasons"))
+    past = history(rec, n).groupBy("vehicle_id").agg(F.sort_array(F.collect_list(block), asc=False).alias("history"))
     return live.join(today, "vehicle_id", "full").join(past, "vehicle_id", "full")
 
 
+def known_vehicles(state: DataFrame, rec: DataFrame) -> DataFrame:
+    """Vehicles that the live state or the reconciled table knows."""
+    return state.select("vehicle_id").unionByName(rec.select("vehicle_id")).distinct()
+
+
 def drift(events: DataFrame, late: DataFrame) -> DataFrame:
-    """Revenue and trips per date of the stream (without late rows) and of the batch."""
+    """Revenue and trips per date of the stream, which loses events that came late, and of the
+    batch. The ratio keeps its sign: below zero the stream has counted something twice. Of
+    an event that came twice the copy that was kept decides."""
     end = F.col("event_type") == "trip_end"
     per = lambda df, side: df.groupBy("sim_date").agg(F.round(F.sum(F.when(end, F.col("fare")).otherwise(0.0)), 2).alias(f"{side}_revenue"), F.count_if(end).alias(f"{side}_trips"))
-    speed = events.join(late.select("event_id").distinct(), "event_id", "left_anti")
+    speed = events.join(late.select("event_id", "kafka_offset"), ["event_id", "kafka_offset"], "left_anti")
     j = per(speed, "speed").join(per(events, "batch"), "sim_date", "full").fillna(0)
-    gap = F.col("batch_revenue") - F.col("speed_revenue")
-    return j.withColumn("drift_abs", F.round(gap, 2)).withColumn("drift_ratio", F.round(X.safe_div(F.abs(gap), F.col("batch_revenue")), 6))
+    j = j.withColumn("drift_abs", F.round(F.col("batch_revenue") - F.col("speed_revenue"), 2))
+    return j.withColumn("drift_ratio", F.round(X.safe_div(F.col("drift_abs"), F.col("batch_revenue")), 6))
 
 
 def pending_dates(available: DataFrame, processed: DataFrame, now: Column, p: Params = DEFAULT) -> DataFrame:
     """Closed dates whose newest file version is newer than the one processed, oldest first."""
     j = available.join(processed, "sim_date", "left")
-    closed = now >= F.expr(f"timestampadd(MINUTE, {24 * 60 + p.late_grace_min}, cast(sim_date AS timestamp_ntz))")
-    return j.where(closed & (F.col("version") > F.coalesce("processed_version", F.lit(0)))).select("sim_date", "version")
+    return j.where(X.day_closed(F.col("sim_date"), now, p) & (F.col("version") > F.coalesce("processed_version", F.lit(0)))).select("sim_date", "version")
 
 
 def overdue_dates(first: str, available: DataFrame, processed: DataFrame, now: str, p: Params = DEFAULT) -> DataFrame:

@@ -21,6 +21,24 @@ def with_event_time(events: DataFrame) -> DataFrame:
     return events.withColumn("event_time", F.expr("try_to_timestamp(timestamp)").cast("timestamp_ntz"))
 
 
+def archived(wire: DataFrame) -> DataFrame:
+    """What the archive keeps of source rows, a table or a stream: the parsed fields, the raw
+    text, where and when it came from, event time, and the event's date as partition."""
+    e = with_event_time(parse(wire, "value"))
+    return e.withColumn("ingested_at", F.current_timestamp()).withColumn("sim_date", X.sim_date(F.col("event_time")))
+
+
+def of_date(archive: DataFrame, date: str) -> DataFrame:
+    """One day of the archive: its partition alone is read, and rows whose event lies in
+    another day (written under a wrong date) are left out. An absent day has no rows."""
+    return archive.where((F.col("sim_date") == date) & X.in_day(F.col("event_time"), F.lit(date)))
+
+
+def guarded(archive: DataFrame) -> DataFrame:
+    """All days of the archive without rows whose event lies in another day."""
+    return archive.where(F.col("sim_date") == X.sim_date(F.col("event_time")))
+
+
 def validated(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return events.withColumn("reason", X.event_verdict(p))
 
@@ -41,7 +59,7 @@ def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
 
 def clean(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
     """Valid, deduplicated events with date and zone."""
-    own = deduplicated(valid(events, p))
+    own = deduplicated(valid(events.drop("sim_date"), p))
     return own.withColumn("sim_date", X.sim_date(F.col("event_time"))).withColumn("zone_id", X.zone_id(F.col("lat"), F.col("lon"), p))
 
 
@@ -65,12 +83,17 @@ def sequenced(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def vehicle_day(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """All figures of a vehicle-day in one grouped pass over one window sort.
+    """The figures of every vehicle-day of archived events."""
+    return day_figures(clean(events, p), p)
+
+
+def day_figures(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """All figures of a vehicle-day of clean events in one grouped pass over one window sort.
 
     Revenue counts ``trip_end`` fares; distance leaves out impossible jumps; time leaves out
     gaps beyond ``max_gap_min``.
     """
-    e = sequenced(clean(events, p), p)
+    e = sequenced(events, p)
     end = F.col("event_type") == "trip_end"
     hop = F.col("hop_kmh") <= p.max_speed_kmh
     kept = F.col("gap_min") <= p.max_gap_min
@@ -113,20 +136,27 @@ def latest_state(events: DataFrame) -> DataFrame:
 def idle_islands(events: DataFrame, p: Params = DEFAULT, silence_minutes: float | None = None) -> DataFrame:
     """Runs of consecutive idle events per vehicle; an alert when one lasts long enough.
 
-    Silence doesn't break a run unless ``silence_minutes`` is given.
+    An alert opens at the idle event that completes the time, and closes at the first event
+    that isn't idle; a closed run lasts until then, an open one until its last event. Silence
+    doesn't break a run unless ``silence_minutes`` is given; then the run ends at its last
+    event.
     """
     w = Window.partitionBy("vehicle_id").orderBy("event_time", "event_id")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     idle = F.col("status") == "idle"
     starts = F.coalesce(F.lag("status").over(w) != "idle", F.lit(True))
     if silence_minutes is not None:
         starts = starts | (X.minutes_between(F.lag("event_time").over(w), F.col("event_time")) > silence_minutes)
-    e = events.withColumn("start", (idle & starts).cast("int")).withColumn("next_time", F.lead("event_time").over(w))
-    e = e.withColumn("island", F.sum("start").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = e.where(idle).groupBy("vehicle_id", "island").agg(F.min("event_time").alias("opened_at"), F.max("event_time").alias("last_idle_at"), F.max("next_time").alias("next_time"), F.count("*").alias("events"))
-    minutes = X.minutes_between(F.col("opened_at"), F.col("last_idle_at"))
-    out = out.withColumn("idle_min", F.round(minutes, 2)).withColumn("alert", minutes >= p.idle_alert_min)
-    open_ = F.coalesce(F.col("next_time") <= F.col("last_idle_at"), F.lit(True))
-    return out.withColumn("status", F.when(open_, "open").otherwise("closed")).select("vehicle_id", "opened_at", "last_idle_at", "idle_min", "events", "alert", "status")
+    e = events.withColumn("start", (idle & starts).cast("int")).withColumn("next_time", F.lead("event_time").over(w)).withColumn("next_status", F.lead("status").over(w))
+    e = e.withColumn("island", F.sum("start").over(so_far)).withColumn("since", F.last(F.when(F.col("start") == 1, F.col("event_time")), ignorenulls=True).over(so_far)).where(idle)
+    reached = F.when(X.minutes_between(F.col("since"), F.col("event_time")) >= p.idle_alert_min, F.col("event_time"))
+    out = e.groupBy("vehicle_id", "island").agg(
+        F.min("since").alias("idle_since"), F.min(reached).alias("opened_at"), F.max("event_time").alias("last_idle_at"),
+        F.max(F.when(F.col("next_status") != "idle", F.col("next_time"))).alias("moved_at"), (F.count("next_time") == F.count("*")).alias("over"), F.count("*").alias("events"),
+    )
+    closed_at = F.when(F.col("over"), F.coalesce("moved_at", "last_idle_at"))
+    out = out.withColumn("closed_at", closed_at).withColumn("idle_min", F.round(X.minutes_between(F.col("idle_since"), F.coalesce("closed_at", "last_idle_at")), 2))
+    return out.select("vehicle_id", "idle_since", "opened_at", "last_idle_at", "closed_at", "idle_min", "events", F.col("opened_at").isNotNull().alias("alert"), F.when(F.col("over"), "closed").otherwise("open").alias("status"))
 
 
 def late_rows(events: DataFrame, p: Params = DEFAULT) -> DataFrame:

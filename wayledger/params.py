@@ -29,6 +29,8 @@ class Params:
     per_km: float = 12.0
     per_min: float = 1.5
     earth_km: float = 6371.0088
+    alerts_shown: int = 200
+    currency: str = "CU"
 
 
 DEFAULT = Params()

@@ -74,10 +74,14 @@ ZH = r""", zh AS (
 ), i0 AS (
   SELECT *, status = 'idle' AND coalesce(lag(status) OVER o <> 'idle', true) AS st0, lead(event_time) OVER o AS next_time FROM cl WINDOW o AS (PARTITION BY vehicle_id ORDER BY event_time, event_id)
 ), i1 AS (SELECT *, sum(st0::INT) OVER (PARTITION BY vehicle_id ORDER BY event_time, event_id ROWS UNBOUNDED PRECEDING) AS island FROM i0
+), i2 AS (SELECT *, min(event_time) OVER (PARTITION BY vehicle_id, island) AS since FROM i1 WHERE status = 'idle'
+), i3 AS (
+  SELECT vehicle_id, min(event_time) AS idle_since, min(event_time) FILTER (epoch_us(event_time) - epoch_us(since) >= 2700000000) AS opened_at, max(event_time) AS last_idle_at,
+    CASE WHEN count(next_time) = count(*) THEN max(next_time) END AS closed_at, count(*) AS events
+  FROM i2 GROUP BY vehicle_id, island
 ), isl AS (
-  SELECT vehicle_id, min(event_time) AS opened_at, max(event_time) AS last_idle_at, round((epoch_us(max(event_time)) - epoch_us(min(event_time))) / 60e6, 2) AS idle_min, count(*) AS events,
-    (epoch_us(max(event_time)) - epoch_us(min(event_time))) / 60e6 >= 45 AS alert, CASE WHEN coalesce(max(next_time) <= max(event_time), true) THEN 'open' ELSE 'closed' END AS status
-  FROM i1 WHERE status = 'idle' GROUP BY vehicle_id, island
+  SELECT vehicle_id, idle_since, opened_at, last_idle_at, closed_at, round((epoch_us(coalesce(closed_at, last_idle_at)) - epoch_us(idle_since)) / 60e6, 2) AS idle_min, events,
+    opened_at IS NOT NULL AS alert, CASE WHEN closed_at IS NULL THEN 'open' ELSE 'closed' END AS status FROM i3
 )"""
 
 
@@ -104,13 +108,15 @@ def _expenses(name: str, fault: str) -> str:
 def _rec(name: str, costs: str) -> str:
     return rf""", {name}0 AS (
   SELECT coalesce(vd.sim_date, c.sim_date) AS sim_date, coalesce(vd.vehicle_id, c.vehicle_id) AS vehicle_id, vd.sim_date IS NOT NULL AS ht, c.sim_date IS NOT NULL AS hc,
-    coalesce(trips, 0) AS trips, coalesce(revenue, 0e0) AS revenue, coalesce(gps_km, 0e0) AS gps_km, coalesce(online_min, 0e0) AS online_min, coalesce(on_trip_min, 0e0) AS on_trip_min,
-    coalesce(fuel_cost, 0e0) + coalesce(maintenance_cost, 0e0) AS cost, coalesce(distance_covered, 0e0) AS distance_covered, coalesce(service_flag, false) AS in_service
+    coalesce(trips, 0) AS trips, coalesce(revenue, 0e0) AS revenue, coalesce(gps_km, 0e0) AS gps_km, coalesce(online_min, 0e0) AS online_min, coalesce(on_trip_min, 0e0) AS on_trip_min, coalesce(idle_min, 0e0) AS idle_min,
+    coalesce(utilization, 0e0) AS utilization, coalesce(fuel_cost, 0e0) AS fuel_cost, coalesce(maintenance_cost, 0e0) AS maintenance_cost, coalesce(distance_covered, 0e0) AS distance_covered, coalesce(service_flag, false) AS in_service
   FROM vd FULL JOIN {costs} c ON vd.sim_date = c.sim_date AND vd.vehicle_id = c.vehicle_id
+), {name}c AS (SELECT *, round(fuel_cost + maintenance_cost, 2) AS total_cost FROM {name}0
+), {name}n AS (SELECT *, round(revenue - total_cost, 2) AS net_profit FROM {name}c
 ), {name}1 AS (
-  SELECT *, round(cost, 2) AS total_cost, round(revenue - cost, 2) AS net_profit, round(CASE WHEN revenue <> 0 THEN (revenue - cost) / revenue ELSE 0e0 END, 4) AS margin,
-    round(CASE WHEN gps_km <> 0 THEN revenue / gps_km ELSE 0e0 END, 2) AS revenue_per_km, round(CASE WHEN distance_covered <> 0 THEN cost / distance_covered ELSE 0e0 END, 2) AS cost_per_km,
-    round(CASE WHEN ht AND hc AND distance_covered > 0 THEN abs(gps_km - distance_covered) / distance_covered ELSE 0e0 END, 4) AS mismatch_pct, NOT hc AS missing_costs, NOT ht AS missing_telemetry FROM {name}0
+  SELECT *, round(CASE WHEN revenue <> 0 THEN net_profit / revenue ELSE 0e0 END, 4) AS margin,
+    round(CASE WHEN gps_km <> 0 THEN revenue / gps_km ELSE 0e0 END, 4) AS revenue_per_km, round(CASE WHEN gps_km <> 0 THEN total_cost / gps_km ELSE 0e0 END, 4) AS cost_per_km,
+    round(CASE WHEN distance_covered > 0 THEN abs(gps_km - distance_covered) / distance_covered ELSE 0e0 END, 4) AS mismatch_pct, ht AND NOT hc AS missing_costs, hc AND NOT ht AS missing_telemetry FROM {name}n
 ), {name} AS (
   SELECT *, net_profit < 0 AS unprofitable, revenue > 0 AND margin < 0.1e0 AS low_margin, mismatch_pct > 0.15e0 AS distance_mismatch,
     coalesce((lag(net_profit, 2) OVER o > lag(net_profit, 1) OVER o AND lag(net_profit, 1) OVER o > net_profit) OR (lag(net_profit, 2) OVER o < 0)::INT + (lag(net_profit, 1) OVER o < 0)::INT + (net_profit < 0)::INT >= 2, false) AS becoming_unprofitable
@@ -125,12 +131,19 @@ LATE = r""", b0 AS (SELECT date_trunc('minute', arrival_time) AS batch, max(even
 LABEL = """CASE WHEN unprofitable THEN 'unprofitable' WHEN becoming_unprofitable THEN 'declining' WHEN low_margin THEN 'low margin' WHEN distance_mismatch THEN 'distance mismatch'
   WHEN in_service THEN 'in service' WHEN missing_costs THEN 'no costs' WHEN missing_telemetry THEN 'no telemetry' ELSE 'ok' END"""
 FLAGS = ("unprofitable", "becoming_unprofitable", "low_margin", "distance_mismatch", "in_service", "missing_costs", "missing_telemetry")
+# The texts that the report shows.
+# Halves go away from zero, as in Spark's formats; a bare printf follows the binary digits.
+PERCENT = "printf('%.1f%%', round({0} * 100 + sign({0}) * 1e-9, 1))"
+REASONS = f"""concat_ws('; ', CASE WHEN unprofitable THEN 'net profit ' || printf('%.2f', net_profit) || ' CU is negative' END,
+  CASE WHEN becoming_unprofitable THEN 'net profit trending down or loss-making on 2 of the last 3 days' END, CASE WHEN low_margin THEN 'margin ' || {PERCENT.format('margin')} || ' is below the 10% threshold' END,
+  CASE WHEN distance_mismatch THEN 'GPS distance differs from reported distance by ' || {PERCENT.format('mismatch_pct')} END, CASE WHEN in_service THEN 'vehicle was serviced or in the garage' END,
+  CASE WHEN missing_costs THEN 'telemetry present but no expense row' END, CASE WHEN missing_telemetry THEN 'expense row present but no telemetry' END)"""
 ANY = " OR ".join(f for f in FLAGS if f != "in_service")
 COST = _expenses("ex", "(5 * v + d) % 41")
 COST2 = _expenses("ey", "-1")
 REC = SEQ + COST + _rec("rec", "ex")
 COLS = "sim_date, vehicle_id, trips, revenue, gps_km, total_cost, net_profit, margin, revenue_per_km, cost_per_km, mismatch_pct"
-AVAILABLE = ", av AS (SELECT DISTINCT sim_date, CASE WHEN sim_date IN ('2024-01-01', '2024-01-03') THEN 2 ELSE 1 END AS version FROM exj WHERE sim_date <> '2024-01-04'), pr AS (SELECT DISTINCT sim_date, 1 AS processed_version FROM ex WHERE sim_date <= '2024-01-03')"
+AVAILABLE = ", av AS (SELECT DISTINCT sim_date, CASE WHEN sim_date IN ('2024-01-01', '2024-01-03') THEN 2 ELSE 1 END AS version FROM exj WHERE sim_date <> '2024-01-04'), pr AS (SELECT sim_date, 1 AS processed_version FROM rn WHERE status = 'success')"
 
 RAW = COST + COST2 + """, ln AS (SELECT sim_date, 1 AS version, line_no, vehicle_id, fuel_cost, maintenance_cost, distance_covered, service_flag FROM ex1
   UNION ALL SELECT sim_date, 2, line_no, vehicle_id, fuel_cost, maintenance_cost, distance_covered, service_flag FROM ey1
@@ -141,13 +154,13 @@ RUNS = COST + """, rn0 AS (SELECT sim_date, count(*) AS n, count(reason) AS bad
 ), rn AS (SELECT 'reconcile-' || sim_date AS run_id, sim_date, CASE WHEN sim_date = '2024-01-04' THEN 'failed' ELSE 'success' END AS status, sim_date = '2024-01-04' AS late, bad AS quarantined,
     sim_date::TIMESTAMP + INTERVAL 88200 SECOND AS started_at, sim_date::TIMESTAMP + INTERVAL 88200 SECOND + to_seconds(n) AS finished_at, n / 10e0 AS validate_s, bad::DOUBLE AS merge_s FROM rn0
 )"""
-DRIFT = LATE + """, dft AS (SELECT sim_date, round(CASE WHEN b <> 0 THEN abs(b - s) / b ELSE 0e0 END, 6) AS drift_ratio FROM (
+DRIFT = LATE + """, dft AS (SELECT sim_date, round(b - s, 2) AS drift_abs, round(CASE WHEN b <> 0 THEN round(b - s, 2) / b ELSE 0e0 END, 6) AS drift_ratio FROM (
   SELECT sim_date, round(coalesce(sum(CASE WHEN event_type = 'trip_end' THEN fare END), 0e0), 2) AS b,
-    round(coalesce(sum(CASE WHEN event_type = 'trip_end' AND event_id NOT IN (SELECT event_id FROM late) THEN fare END), 0e0), 2) AS s FROM cl GROUP BY 1)
+    round(coalesce(sum(CASE WHEN event_type = 'trip_end' AND kafka_offset NOT IN (SELECT kafka_offset FROM late) THEN fare END), 0e0), 2) AS s FROM cl GROUP BY 1)
 )"""
 NOTICE = """, nt AS (SELECT CASE WHEN idle_min < 120 THEN 'IdleVehicle' ELSE 'unknown' END AS alertname, 'warning' AS severity, CASE WHEN status = 'closed' THEN 'resolved' ELSE 'firing' END AS status,
     vehicle_id || ' idle since ' || strftime(opened_at, '%Y-%m-%dT%H:%M:%SZ') AS summary, date_trunc('second', opened_at)::TIMESTAMP AS starts_at,
-    CASE WHEN status = 'closed' THEN date_trunc('second', last_idle_at)::TIMESTAMP END AS ends_at, vehicle_id FROM isl WHERE alert
+    CASE WHEN status = 'closed' THEN date_trunc('second', closed_at)::TIMESTAMP END AS ends_at, vehicle_id FROM isl WHERE alert
 )"""
 STALLED = """, sp AS (SELECT min(arrival_time) AS started_at, max(arrival_time) AS now FROM raw
 ), zq AS (SELECT 'Z' || lpad((i + 1)::VARCHAR, 2, '0') AS query FROM range(16) t(i)
@@ -170,7 +183,7 @@ RULES = """, mx AS (
   UNION ALL SELECT 'seconds_since_success', date_diff('second', max(finished_at), TIMESTAMP '2024-01-06 12:00:00')::DOUBLE FROM rn WHERE status = 'success'
 ), ru(rule, metric, sign, threshold, severity) AS (VALUES ('TelemetryNotProduced', 'telemetry_events', '<', 1e0, 'critical'), ('DLQRateHigh', 'dlq_rate', '>', 0.02e0, 'warning'),
   ('StreamStalled', 'stream_stalled', '>', 0e0, 'critical'), ('StreamLagHigh', 'offsets_behind', '>', 5000e0, 'warning'), ('ExpenseFileLate', 'expense_file_late', '>', 0e0, 'warning'),
-  ('BatchRunFailed', 'batch_run_failed', '>', 0e0, 'critical'), ('BatchNotRunRecently', 'seconds_since_success', '>', 2700e0, 'warning'), ('SpeedBatchDriftHigh', 'speed_batch_drift', '>', 0.05e0, 'warning'),
+  ('BatchRunFailed', 'batch_run_failed', '>', 0e0, 'critical'), ('BatchNotRunRecently', 'seconds_since_success', '>', 2700e0, 'warning'), ('SpeedBatchDriftHigh', 'speed_batch_drift', 'abs >', 0.05e0, 'warning'),
   ('IdleVehiclesHigh', 'open_idle_alerts', '>', 8e0, 'warning'))"""
 SOME = "('2024-01-01', '2024-01-02', '2024-01-03', '2024-01-05')"
 MIXED = SEQ + COST + COST2 + ", mix AS (SELECT *, 1 AS version FROM ex WHERE sim_date IN ('2024-01-02', '2024-01-05') UNION ALL SELECT *, 2 FROM ey WHERE sim_date IN ('2024-01-01', '2024-01-03'))"
@@ -188,8 +201,13 @@ PARTS: dict[str, tuple[str, str]] = {
     "pipeline_status": (ZH + RUNS + DRIFT, "SELECT (SELECT now FROM nw) AS latest_event, round(date_diff('second', (SELECT date_trunc('second', now + INTERVAL 999999 MICROSECOND) FROM nw), TIMESTAMP '2024-01-06 12:00:00') / 60e0, 2) AS lag_min, (SELECT max_by(run_id, started_at) FROM rn) AS last_run, (SELECT max_by(status, started_at) FROM rn) AS last_status, (SELECT max(sim_date) FROM rn WHERE status = 'success') AS last_good_date, (SELECT max_by(drift_ratio, sim_date) FROM dft) AS drift_ratio, (SELECT count(*) FROM isl WHERE alert AND status = 'open') AS open_alerts, (SELECT count(reason) FROM exj) AS dq_issues"),
     "stalled_queries": (STALLED, "SELECT * FROM stl WHERE reason IS NOT NULL"),
     "batch_metrics": (ZH + RUNS + DRIFT + METRICS, "SELECT * FROM bm"),
-    "health_rules": (ZH + RUNS + DRIFT + METRICS + STALLED + RULES, "SELECT rule, severity, coalesce(CASE WHEN sign = '>' THEN value > threshold ELSE value < threshold END, false) AS firing, round(value, 6) AS value FROM ru LEFT JOIN mx USING (metric)"),
+    "health_rules": (ZH + RUNS + DRIFT + METRICS + STALLED + RULES, "SELECT rule, severity, coalesce(CASE sign WHEN '<' THEN value < threshold WHEN '>' THEN value > threshold ELSE abs(value) > threshold END, false) AS firing, round(value, 6) AS value FROM ru LEFT JOIN mx USING (metric)"),
     "stream_source": ("", "SELECT event_id, vehicle_id, status, kafka_offset FROM raw"),
+    "stream_dedup": ("", "SELECT event_id, event_time FROM cl"),
+    "stream_zone_hourly": (ZH, "SELECT * REPLACE (sim_day::VARCHAR AS sim_day) FROM zh"),
+    "stream_vehicle_daily": (ZH, "SELECT * REPLACE (sim_day::VARCHAR AS sim_day) FROM dr"),
+    "stream_dlq": ("", "SELECT vehicle_id AS key, reason, event_id FROM j WHERE reason IS NOT NULL"),
+    "stream_vehicle_state": (ZH, "SELECT vehicle_id, driver_id, CASE WHEN gone THEN 'offline' ELSE status END AS status, zone_id, CASE WHEN gone THEN 0e0 ELSE speed END AS speed, CASE WHEN NOT gone THEN trip_id END AS trip_id, event_time FROM (SELECT *, event_time + INTERVAL 20 MINUTE <= now - INTERVAL 10 MINUTE AS gone FROM st, nw)"),
     "archive_partition_counts": ("", "SELECT coalesce(strftime(event_time, '%Y-%m-%d'), 'unknown') AS sim_date, count(*) AS rows FROM raw GROUP BY 1"),
     "archive_day": ("", "SELECT event_id, vehicle_id, kafka_offset, event_time FROM raw WHERE event_time::DATE = DATE '2024-01-02'"),
     "parse_events": ("", "SELECT event_id, event_type, trip_id, driver_id, vehicle_id, status, speed, fare, kafka_offset FROM raw"),
@@ -199,7 +217,7 @@ PARTS: dict[str, tuple[str, str]] = {
     "valid_events": ("", "SELECT event_id, event_type, trip_id, driver_id, vehicle_id, status, speed, fare, kafka_offset FROM ok"),
     "invalid_events": ("", "SELECT kafka_offset, vehicle_id, reason FROM j WHERE reason IS NOT NULL"),
     "dlq_by_reason": ("", "SELECT reason, count(*) AS rows FROM j WHERE reason IS NOT NULL GROUP BY 1"),
-    "dlq_payload": ("", "SELECT vehicle_id AS key, reason, kafka_offset, reason AS payload_reason, event_id AS payload_event_id FROM j WHERE reason IS NOT NULL"),
+    "dlq_payload": ("", "SELECT vehicle_id AS key, reason, kafka_offset, reason AS payload_reason, event_id AS payload_event_id, '2024-01-06T12:00:00.000' AS rejected_at, vehicle_id AS original_vehicle FROM j WHERE reason IS NOT NULL"),
     "dlq_rate": ("", "SELECT date_trunc('hour', arrival_time)::TIMESTAMP AS window_start, count(*) AS events, count_if(reason IS NOT NULL)::BIGINT AS rejected, round(count_if(reason IS NOT NULL) / count(*)::DOUBLE, 6) AS rate FROM j GROUP BY 1"),
     "dedup_events": ("", "SELECT event_id, kafka_offset FROM cl"),
     "dedup_effect": ("", "SELECT (SELECT count(*) FROM ok) AS naive_rows, (SELECT round(sum(CASE WHEN event_type = 'trip_end' THEN fare END), 2) FROM ok) AS naive_revenue, (SELECT count(*) FROM cl) AS dedup_rows, (SELECT round(sum(CASE WHEN event_type = 'trip_end' THEN fare END), 2) FROM cl) AS dedup_revenue"),
@@ -217,48 +235,51 @@ PARTS: dict[str, tuple[str, str]] = {
     "vehicle_daily_running": (ZH, "SELECT * REPLACE (sim_day::VARCHAR AS sim_day) FROM dr"),
     "vehicle_state_latest": (ZH, "SELECT vehicle_id, driver_id, status, zone_id, trip_id, speed, event_time FROM st"),
     "idle_islands": (ZH, "SELECT * FROM isl"),
-    "idle_alerts": (ZH, "SELECT vehicle_id, opened_at, idle_min, status FROM isl WHERE alert"),
+    "idle_alerts": (ZH, "SELECT vehicle_id, opened_at, closed_at, idle_min, status FROM isl WHERE alert ORDER BY opened_at DESC, vehicle_id LIMIT 200"),
+    "open_idle_alerts": (ZH, "SELECT vehicle_id, opened_at, closed_at, idle_min, status FROM isl WHERE alert AND status = 'open' ORDER BY opened_at DESC, vehicle_id LIMIT 200"),
     "open_alert_count": (ZH, "SELECT count(*) AS open_alerts FROM isl WHERE alert AND status = 'open'"),
     "late_rows": (LATE, "SELECT * FROM late"),
-    "fleet_live": (ZH, "SELECT count(*) AS active, count_if(status = 'idle')::BIGINT AS idle, count_if(status = 'on_trip')::BIGINT AS on_trip, count_if(status = 'enroute')::BIGINT AS enroute, round(coalesce(count_if(status = 'idle') / nullif(count(*), 0)::DOUBLE, 0e0), 4) AS idle_ratio, (SELECT count(*) FROM isl WHERE alert AND status = 'open') AS open_alerts FROM st, nw WHERE event_time >= now - INTERVAL 5 MINUTE"),
-    "zone_live": (ZH, "SELECT zone_id, active, idle, on_trip, coalesce(trips_completed, 0) AS trips_completed, coalesce(earnings, 0e0) AS earnings FROM (SELECT zone_id, count(*) AS active, count_if(status = 'idle')::BIGINT AS idle, count_if(status = 'on_trip')::BIGINT AS on_trip FROM st, nw WHERE event_time >= now - INTERVAL 5 MINUTE GROUP BY 1) LEFT JOIN (SELECT zone_id, trips_completed, earnings FROM zh, nw WHERE window_start = date_trunc('hour', now)) USING (zone_id)"),
+    "fleet_live": (ZH, "SELECT (SELECT now FROM nw) AS as_of, count(*) AS active, count_if(status = 'idle')::BIGINT AS idle, count_if(status = 'on_trip')::BIGINT AS on_trip, count_if(status = 'enroute')::BIGINT AS enroute, round(coalesce(count_if(status = 'idle') / nullif(count(*), 0)::DOUBLE, 0e0), 4) AS idle_ratio, count_if(vehicle_id IN (SELECT vehicle_id FROM isl WHERE alert AND status = 'open'))::BIGINT AS open_alerts FROM st, nw WHERE event_time >= now - INTERVAL 5 MINUTE"),
+    "zone_live": (ZH, "SELECT zone_id, as_of, active, idle, on_trip, round(idle / active::DOUBLE, 4) AS idle_ratio, coalesce(trips_started, 0) AS trips_started, coalesce(trips_completed, 0) AS trips_completed, coalesce(earnings, 0e0) AS earnings FROM (SELECT zone_id, max(now) AS as_of, count(*) AS active, count_if(status = 'idle')::BIGINT AS idle, count_if(status = 'on_trip')::BIGINT AS on_trip FROM st, nw WHERE event_time >= now - INTERVAL 5 MINUTE GROUP BY 1) LEFT JOIN (SELECT zone_id, trips_started, trips_completed, earnings FROM zh, nw WHERE window_start = date_trunc('hour', now)) USING (zone_id)"),
     "vehicle_map": (ZH, "SELECT vehicle_id, status, round(lat, 6) AS lat, round(lon, 6) AS lon, zone_id FROM st, nw WHERE event_time >= now - INTERVAL 10 MINUTE"),
     "trips_in_hour": (ZH, "SELECT coalesce(sum(trips_completed), 0)::BIGINT AS trips, round(coalesce(sum(earnings), 0e0), 2) AS earnings FROM zh, nw WHERE window_start = date_trunc('hour', now) - INTERVAL 1 HOUR"),
     "earnings_this_hour": (ZH, "SELECT coalesce(sum(trips_completed), 0)::BIGINT AS trips, round(coalesce(sum(earnings), 0e0), 2) AS earnings FROM zh, nw WHERE window_start = date_trunc('hour', now)"),
-    "zone_earnings_hour": (ZH, "SELECT zone_id, earnings FROM zh, nw WHERE window_start = date_trunc('hour', now)"),
+    "zone_earnings_hour": (ZH, "SELECT zone_id, earnings, trips_completed AS trips FROM zh, nw WHERE window_start = date_trunc('hour', now) ORDER BY earnings DESC, zone_id"),
     "zone_profile": (ZH, "SELECT zone_id, sim_day::VARCHAR AS sim_day, sim_hour, trips_started, trips_completed, earnings, round(on_trip_pings / pings::DOUBLE, 4) AS on_trip_share FROM zh JOIN (SELECT zone_id, max(sim_day) AS sim_day FROM zh GROUP BY 1) USING (zone_id, sim_day)"),
     "zone_hour_matrix": (ZH, "SELECT zone_id, sim_hour, round(sum(earnings), 2) AS earnings FROM zh GROUP BY 1, 2"),
     "expense_verdict": (COST, "SELECT sim_date, line_no, vehicle_id, reason FROM exj"),
     "expense_duplicates": (COST, "SELECT sim_date, line_no, vehicle_id FROM exj WHERE reason = 'duplicate'"),
     "expense_unknown_vehicle": (COST, "SELECT sim_date, line_no, vehicle_id FROM exj WHERE reason = 'unknown_vehicle'"),
     "expense_clean": (COST, "SELECT *, 1 AS version FROM ex"),
-    "expense_gate": (COST, "SELECT sim_date, 1 AS version, count(*) AS total, count(reason) AS invalid, round(count(reason) / count(*)::DOUBLE, 6) AS invalid_ratio, count(reason) / count(*)::DOUBLE <= 0.2e0 AS accepted FROM exj GROUP BY 1"),
-    "dq_issues": (COST, "SELECT sim_date, vehicle_id, reason, 'expenses' AS source FROM exj WHERE reason IS NOT NULL"),
+    "expense_gate": (COST, "SELECT sim_date, 1 AS version, count(*) AS total, count(reason) AS invalid, round(count(reason) / count(*)::DOUBLE, 6) AS invalid_ratio, count(reason) / count(*)::DOUBLE <= 0.2e0 AS accepted FROM exj GROUP BY 1 UNION ALL SELECT '2024-01-09', 1, 0, 0, NULL, false"),
+    "dq_issues": (COST, """SELECT 'reconcile-' || sim_date AS run_id, sim_date, 'expenses' AS source, vehicle_id, reason, '{"date":"' || sim_date || '","vehicle_id":"' || vehicle_id || '","fuel_cost":"' || fuel_cost || '","maintenance_cost":"' || maintenance_cost || '","distance_covered":"' || distance_covered || '","service_flag":"' || service_flag::VARCHAR || '"}' AS payload FROM exj WHERE reason IS NOT NULL"""),
+    "upsert_latest": (ZH, "SELECT * REPLACE (sim_day::VARCHAR AS sim_day) FROM zh"),
+    "replace_date": (SEQ, "SELECT sim_date, vehicle_id, trips, revenue, events FROM vd WHERE sim_date IN ('2024-01-01', '2024-01-04', '2024-01-05') OR (sim_date = '2024-01-02' AND trips > 2)"),
     "dq_by_reason": (COST, "SELECT sim_date, reason, count(*) AS rows FROM exj WHERE reason IS NOT NULL GROUP BY 1, 2"),
     "dq_run_totals": (COST, "SELECT sim_date, count_if(reason IS NULL)::BIGINT AS clean, count(reason) AS quarantined FROM exj GROUP BY 1"),
     "reconcile_join": (REC, "SELECT sim_date, vehicle_id, missing_costs, missing_telemetry FROM rec"),
     "vehicle_profit": (REC, f"SELECT {COLS} FROM rec"),
     "vehicle_flags": (REC, f"SELECT sim_date, vehicle_id, {', '.join(FLAGS)} FROM rec"),
-    "batch_vehicle_daily": (REC, f"SELECT {COLS}, {', '.join(FLAGS)}, 1 AS source_version FROM rec"),
+    "batch_vehicle_daily": (REC + RUNS.removeprefix(COST), f"SELECT {COLS}, online_min, on_trip_min, idle_min, utilization, fuel_cost, maintenance_cost, distance_covered, {', '.join(FLAGS)}, CASE WHEN run_id IS NOT NULL THEN 1 END AS expense_file_version, run_id FROM rec LEFT JOIN (SELECT run_id, sim_date FROM rn) USING (sim_date)"),
     "profit_trend": (REC, "SELECT sim_date, vehicle_id, net_profit, becoming_unprofitable FROM rec"),
     "profit_table": (REC, f"SELECT sim_date, vehicle_id, net_profit, {LABEL} AS label FROM rec"),
-    "vehicle_reasons": (REC, f"SELECT sim_date, vehicle_id, ({' + '.join(f'{f}::INT' for f in FLAGS)})::INT AS n_reasons FROM rec"),
+    "vehicle_reasons": (REC, f"SELECT sim_date, vehicle_id, {REASONS} AS reasons FROM rec"),
     "fleet_summary": (REC, "SELECT sim_date, count(*) AS vehicles, sum(trips)::BIGINT AS trips, round(sum(revenue), 2) AS revenue, round(sum(total_cost), 2) AS total_cost, round(sum(revenue) - sum(total_cost), 2) AS net_profit, round(CASE WHEN sum(revenue) <> 0 THEN (sum(revenue) - sum(total_cost)) / sum(revenue) ELSE 0e0 END, 4) AS margin, round(sum(gps_km), 2) AS gps_km, round(CASE WHEN sum(online_min) > 0 THEN least(1e0, sum(on_trip_min) / sum(online_min)) ELSE 0e0 END, 4) AS utilization FROM rec GROUP BY 1"),
     "flag_counts": (REC, f"SELECT sim_date, {', '.join(f'count_if({f})::BIGINT AS {f}' for f in FLAGS)} FROM rec GROUP BY 1"),
     "best_worst": (REC, "SELECT sim_date, vehicle_id, net_profit, row_number() OVER (PARTITION BY sim_date ORDER BY net_profit DESC, vehicle_id)::INT AS best, row_number() OVER (PARTITION BY sim_date ORDER BY net_profit, vehicle_id)::INT AS worst FROM rec QUALIFY best <= 5 OR worst <= 5"),
-    "needs_attention": (REC, f"SELECT sim_date, vehicle_id, net_profit, {LABEL} AS label FROM rec WHERE {ANY}"),
-    "report_flagged": (REC, f"SELECT sim_date, vehicle_id, format('{{:,.2f}}', net_profit) AS net_text, {LABEL} AS label FROM rec WHERE {ANY}"),
-    "distance_mismatches": (REC, "SELECT sim_date, vehicle_id, gps_km, distance_covered, mismatch_pct FROM rec WHERE distance_mismatch"),
+    "needs_attention": (REC, f"SELECT sim_date, vehicle_id, net_profit, {LABEL} AS label, {REASONS} AS reasons FROM rec WHERE {ANY} ORDER BY sim_date, net_profit, vehicle_id"),
+    "report_flagged": (REC + RUNS.removeprefix(COST), f"SELECT sim_date, vehicle_id, format('{{:,.2f}}', net_profit) AS net_text, {PERCENT.format('margin')} AS margin_text, CASE WHEN sim_date IN (SELECT sim_date FROM rn) THEN '1.00' ELSE '-' END AS version_text, {LABEL} AS label, {REASONS} AS reasons FROM rec WHERE {ANY}"),
+    "distance_mismatches": (REC, "SELECT sim_date, vehicle_id, gps_km, distance_covered, mismatch_pct FROM rec WHERE distance_mismatch ORDER BY sim_date, mismatch_pct DESC, vehicle_id"),
     "vehicle_history": (REC, "SELECT vehicle_id, sim_date, revenue, net_profit, row_number() OVER (PARTITION BY vehicle_id ORDER BY sim_date DESC)::INT AS nth FROM rec QUALIFY nth <= 3"),
     "reconciled_dates": (REC, "SELECT DISTINCT sim_date FROM rec ORDER BY sim_date DESC LIMIT 30"),
-    "latest_markers": (REC, "SELECT max(sim_date) AS latest_date, (SELECT max(event_time) FROM cl) AS now FROM rec"),
-    "vehicle_merge": (ZH + REC, "SELECT vehicle_id, live_status, live_as_of, today_trips, today_revenue, days, history FROM (SELECT vehicle_id, status AS live_status, event_time AS live_as_of FROM st) FULL JOIN (SELECT vehicle_id, trips AS today_trips, revenue AS today_revenue FROM dr, nw WHERE sim_day = now::DATE) USING (vehicle_id) FULL JOIN (SELECT vehicle_id, count(*)::INT AS days, string_agg(sim_date, ',' ORDER BY sim_date DESC) AS history FROM rec GROUP BY 1) USING (vehicle_id)"),
-    "known_vehicles": (COST, "SELECT vehicle_id FROM cl UNION SELECT vehicle_id FROM ex"),
-    "speed_batch_drift": (LATE, "SELECT sim_date, coalesce(speed_revenue, 0e0) AS speed_revenue, coalesce(speed_trips, 0) AS speed_trips, batch_revenue, batch_trips, round(batch_revenue - coalesce(speed_revenue, 0e0), 2) AS drift_abs, round(CASE WHEN batch_revenue <> 0 THEN abs(batch_revenue - coalesce(speed_revenue, 0e0)) / batch_revenue ELSE 0e0 END, 6) AS drift_ratio FROM (SELECT sim_date, round(sum(CASE WHEN event_type = 'trip_end' THEN fare ELSE 0e0 END), 2) AS batch_revenue, count_if(event_type = 'trip_end')::BIGINT AS batch_trips FROM cl GROUP BY 1) LEFT JOIN (SELECT sim_date, round(sum(CASE WHEN event_type = 'trip_end' THEN fare ELSE 0e0 END), 2) AS speed_revenue, count_if(event_type = 'trip_end')::BIGINT AS speed_trips FROM cl WHERE event_id NOT IN (SELECT event_id FROM late) GROUP BY 1) USING (sim_date)"),
+    "latest_markers": (ZH + REC + RUNS.removeprefix(COST) + DRIFT, "SELECT max(sim_date) AS latest_date, (SELECT now FROM nw) AS now, (SELECT max(sim_date) FROM dft) AS drift_date, (SELECT max_by(drift_abs, sim_date) FROM dft) AS drift_abs, (SELECT max_by(drift_ratio, sim_date) FROM dft) AS drift_ratio, (SELECT max_by(run_id, started_at) FROM rn) AS last_run, (SELECT max_by(status, started_at) FROM rn) AS last_status, (SELECT max_by(run_id, finished_at) FROM rn WHERE status = 'success') AS last_success FROM rec"),
+    "vehicle_merge": (ZH + REC, f"SELECT vehicle_id, live_source, live_as_of, live_status, live_zone, today_source, today_date, today_trips, today_revenue, history_as_of, history FROM (SELECT vehicle_id, 'speed' AS live_source, status AS live_status, event_time AS live_as_of, zone_id AS live_zone FROM st) FULL JOIN (SELECT vehicle_id, 'speed' AS today_source, strftime(sim_day, '%Y-%m-%d') AS today_date, trips AS today_trips, revenue AS today_revenue FROM dr, nw WHERE sim_day = now::DATE) USING (vehicle_id) FULL JOIN (SELECT vehicle_id, max(sim_date)::TIMESTAMP + INTERVAL 1 DAY AS history_as_of, string_agg(sim_date || '|batch|' || printf('%.2f', net_profit) || '|' || trips || '|' || ({' + '.join(f'{f}::INT' for f in FLAGS)}), ',' ORDER BY sim_date DESC) AS history FROM (SELECT * FROM rec QUALIFY row_number() OVER (PARTITION BY vehicle_id ORDER BY sim_date DESC) <= 7) GROUP BY 1) USING (vehicle_id)"),
+    "known_vehicles": (REC, "SELECT vehicle_id FROM cl UNION SELECT vehicle_id FROM rec"),
+    "speed_batch_drift": (LATE, "SELECT sim_date, coalesce(speed_revenue, 0e0) AS speed_revenue, coalesce(speed_trips, 0) AS speed_trips, batch_revenue, batch_trips, round(batch_revenue - coalesce(speed_revenue, 0e0), 2) AS drift_abs, round(CASE WHEN batch_revenue <> 0 THEN round(batch_revenue - coalesce(speed_revenue, 0e0), 2) / batch_revenue ELSE 0e0 END, 6) AS drift_ratio FROM (SELECT sim_date, round(sum(CASE WHEN event_type = 'trip_end' THEN fare ELSE 0e0 END), 2) AS batch_revenue, count_if(event_type = 'trip_end')::BIGINT AS batch_trips FROM cl GROUP BY 1) LEFT JOIN (SELECT sim_date, round(sum(CASE WHEN event_type = 'trip_end' THEN fare ELSE 0e0 END), 2) AS speed_revenue, count_if(event_type = 'trip_end')::BIGINT AS speed_trips FROM cl WHERE kafka_offset NOT IN (SELECT kafka_offset FROM late) GROUP BY 1) USING (sim_date)"),
     "restatement_diff": (REC + COST2 + _rec("rez", "ey"), "SELECT coalesce(a.sim_date, b.sim_date) AS sim_date, coalesce(a.vehicle_id, b.vehicle_id) AS vehicle_id, a.net_profit AS old_net_profit, a.total_cost AS old_total_cost, b.net_profit AS new_net_profit, b.total_cost AS new_total_cost FROM rec a FULL JOIN rez b ON a.sim_date = b.sim_date AND a.vehicle_id = b.vehicle_id WHERE a.net_profit IS DISTINCT FROM b.net_profit OR a.total_cost IS DISTINCT FROM b.total_cost"),
-    "processed_versions": (COST + AVAILABLE, "SELECT * FROM pr"),
-    "pending_dates": (COST + AVAILABLE, "SELECT sim_date, version FROM av LEFT JOIN pr USING (sim_date) WHERE version > coalesce(processed_version, 0) AND sim_date::TIMESTAMP + INTERVAL 1470 MINUTE <= TIMESTAMP '2024-01-06 12:00:00'"),
-    "overdue_dates": (COST + AVAILABLE, "SELECT strftime(d, '%Y-%m-%d') AS sim_date FROM (SELECT DATE '2024-01-01' + i::INT AS d FROM range(6) t(i)) WHERE d::TIMESTAMP + INTERVAL 1560 MINUTE <= TIMESTAMP '2024-01-06 12:00:00' AND strftime(d, '%Y-%m-%d') NOT IN (SELECT sim_date FROM av) AND strftime(d, '%Y-%m-%d') NOT IN (SELECT sim_date FROM pr)"),
+    "processed_versions": (RUNS + AVAILABLE, "SELECT * FROM pr"),
+    "pending_dates": (RUNS + AVAILABLE, "SELECT sim_date, version FROM av LEFT JOIN pr USING (sim_date) WHERE version > coalesce(processed_version, 0) AND sim_date::TIMESTAMP + INTERVAL 1470 MINUTE <= TIMESTAMP '2024-01-06 12:00:00'"),
+    "overdue_dates": (RUNS + AVAILABLE, "SELECT strftime(d, '%Y-%m-%d') AS sim_date FROM (SELECT DATE '2024-01-01' + i::INT AS d FROM range(6) t(i)) WHERE d::TIMESTAMP + INTERVAL 1560 MINUTE <= TIMESTAMP '2024-01-06 12:00:00' AND strftime(d, '%Y-%m-%d') NOT IN (SELECT sim_date FROM av) AND strftime(d, '%Y-%m-%d') NOT IN (SELECT sim_date FROM pr)"),
 }
 
 ORACLES: dict[str, str] = {name: f"WITH {EV}{more} {select}" for name, (more, select) in PARTS.items()}

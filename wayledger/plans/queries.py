@@ -22,45 +22,68 @@ from .recompute import recompute, reconcile
 NOW = "2024-01-06 12:00:00"
 
 
-_ARCHIVES: dict[tuple[str, str], str] = {}
+#: Tables of the batch layer that have been written: by session, events table and its time.
+_CURATED: dict[tuple, str] = {}
 
 
-def archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The telemetry archive of an events table: written once a session, then read by column."""
-    raw = fleet.telemetry(spark.read.parquet(f"{sf_dir}/events.parquet"))
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _ARCHIVES:
-        path = jobs.folder(spark)
-        raw.repartition("vehicle_id").write.parquet(path)
-        _ARCHIVES[key] = path
-    return spark.read.schema(raw.schema).parquet(_ARCHIVES[key])
+def _curated(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], partition: str | None = None) -> DataFrame:
+    """A table of the batch layer: written once for an events table, then read by column and
+    partition. A changed events table makes a new one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    changed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf_dir, changed, name)
+    df = build()
+    if key not in _CURATED:
+        root = jobs.folder(spark)
+        writer = (df.hint("rebalance", partition) if partition else df).write
+        (writer.partitionBy(partition) if partition else writer).parquet(root)
+        _CURATED[key] = root
+    return spark.read.schema(df.schema).parquet(_CURATED[key])
 
 
 class Fleet:
-    """The derived tables, lazily built from one events table."""
+    """The derived tables, lazily built from one events table.
+
+    Source rows go through parse, event time, verdict and deduplication: ``raw`` is the
+    archive by event date, ``clean`` the events that count, ``days`` and ``rec`` the figures
+    of the batch layer. Each is stored once and read by what comes after it.
+    """
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         self.events = spark.read.parquet(f"{sf_dir}/events.parquet")
-        self.raw = archive(spark, sf_dir)
-        self.clean = T.clean(self.raw)
+        self.wire = fleet.wire(self.events)
         self.roster = fleet.roster(self.events)
         self.lines = fleet.expenses(self.events)
-        self.now = S.data_now(self.clean)
+
+    def _table(self, name: str, build: Callable[[], DataFrame], partition: str | None = None) -> DataFrame:
+        return _curated(self.spark, self.sf_dir, name, build, partition)
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return self._table("archive", lambda: T.archived(self.wire), "sim_date")
+
+    @cached_property
+    def clean(self) -> DataFrame:
+        return self._table("clean", lambda: T.clean(T.guarded(self.raw)), "sim_date")
+
+    @cached_property
+    def now(self) -> DataFrame:
+        return S.data_now(self.clean)
 
     @property
     def hourly(self) -> DataFrame:
         return T.zone_hourly(self.clean)
 
-    @property
+    @cached_property
     def days(self) -> DataFrame:
-        return T.vehicle_day(self.raw)
+        return self._table("days", lambda: T.day_figures(self.clean))
 
     def costs(self, version: int = 1) -> DataFrame:
         return E.clean(self.lines if version == 1 else fleet.expenses(self.events, version=2), self.roster)
 
     def rec(self, version: int = 1) -> DataFrame:
-        return E.with_trend(E.reconciled(self.days, self.costs(version)))
+        return self._table(f"rec{version}", lambda: E.with_trend(E.reconciled(self.days, self.costs(version))))
 
     @property
     def islands(self) -> DataFrame:
@@ -78,8 +101,8 @@ class Fleet:
 
     @property
     def processed(self) -> DataFrame:
-        """Version per date of finished runs: dates that have expenses of the first vehicle."""
-        return self.costs().where("sim_date <= '2024-01-03'").groupBy("sim_date").agg(F.max("version").alias("processed_version"))
+        """Version per date of the runs that finished well."""
+        return H.processed_versions(self.runs)
 
     @cached_property
     def landing(self) -> str:
@@ -112,11 +135,15 @@ class Fleet:
             entry("0", F.lit("running"), none, none, task("validate", F.lit(0.0))), entry("n", F.when(failed, "failed").otherwise("success"), failed, F.col("bad"), task("validate", F.col("n") / 10)),
             entry("n + 1", none, none, none, task("merge", F.col("bad").cast("double"))),
         )
-        return per.select(F.concat(F.lit("reconcile-"), "sim_date").alias("run_id"), "sim_date", F.inline(three))
+        return per.select(F.concat(F.lit("reconcile-"), "sim_date").alias("run_id"), "sim_date", F.lit(1).alias("version"), F.inline(three))
 
-    @property
+    @cached_property
     def runs(self) -> DataFrame:
-        return H.run_log_latest(self.run_events)
+        """The runs as the log has them, after its entries were appended one kind at a time."""
+        root = f"{jobs.folder(self.spark)}/runs"
+        for status in ("status = 'running'", "status != 'running'", "status IS NULL"):
+            H.append_runs(self.run_events.where(status), root)
+        return H.run_log_latest(H.run_log(self.spark, root))
 
     @property
     def drift(self) -> DataFrame:
@@ -135,7 +162,7 @@ class Fleet:
             F.when(shut, "resolved").otherwise("firing").alias("status"),
             F.create_map(F.lit("alertname"), F.when(F.col("idle_min") < 120, "IdleVehicle"), F.lit("severity"), F.lit("warning"), F.lit("vehicle_id"), F.col("vehicle_id")).alias("labels"),
             F.create_map(F.lit("summary"), F.concat("vehicle_id", F.lit(" idle since "), iso("opened_at"))).alias("annotations"),
-            iso("opened_at").alias("startsAt"), F.when(shut, iso("last_idle_at")).otherwise("0001-01-01T00:00:00Z").alias("endsAt"),
+            iso("opened_at").alias("startsAt"), F.when(shut, iso("closed_at")).otherwise("0001-01-01T00:00:00Z").alias("endsAt"),
         )
         per = self.islands.where("alert").groupBy("vehicle_id", F.to_date("opened_at").alias("day")).agg(F.collect_list(alert).alias("alerts"))
         return H.alert_rows(per.select(F.to_json(F.struct("alerts")).alias("payload")))
@@ -179,6 +206,48 @@ def _metrics(f: Fleet) -> DataFrame:
     return base
 
 
+def _quarantined(f: Fleet) -> DataFrame:
+    """The quarantine table after the run of each date wrote to it, one date twice."""
+    root = f"{jobs.folder(f.spark)}/dq"
+    issues = E.quarantined(f.lines, f.roster, F.concat(F.lit("reconcile-"), "sim_date"))
+    jobs.quarantine(issues, root)
+    jobs.quarantine(issues.where("sim_date = '2024-01-02'"), root)
+    return f.spark.read.schema(issues.schema).parquet(root)
+
+
+def _upserted(f: Fleet) -> DataFrame:
+    """Zone hours after batches of unfinished and finished hours, one delivered twice."""
+    root, done = f"{jobs.folder(f.spark)}/hours", f.hourly
+    early = done.where("sim_hour >= 12").withColumn("earnings", F.lit(-1.0))
+    write = jobs.upsert(root)
+    write(early, 0), write(done, 1), write(done, 1)
+    return jobs.latest(f.spark, root, ["zone_id", "window_start"], ", ".join(f"{n} {k}" for n, k in done.dtypes))
+
+
+def _replaced(f: Fleet) -> DataFrame:
+    """Vehicle-days after one date was replaced by its busy vehicles and one by nothing."""
+    root = f"{jobs.folder(f.spark)}/days"
+    table = f.days.select("sim_date", "vehicle_id", "trips", "revenue", "events")
+    dates = [f"2024-01-0{i}" for i in range(1, 6)]
+    jobs.replace_dates(table, root, dates)
+    jobs.replace_dates(table.where("sim_date = '2024-01-02' AND trips > 2"), root, ["2024-01-02", "2024-01-03"])
+    return f.spark.read.schema(table.schema).parquet(root)
+
+
+def _current(f: Fleet) -> DataFrame:
+    """The stream's newest state of each vehicle, with times that have no zone."""
+    state, _ = jobs.run_vehicle_state(f.wire)
+    return state.select("vehicle_id", "driver_id", "status", "zone_id", "speed", "trip_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
+
+
+def _progress(f: Fleet) -> DataFrame:
+    return monitor.run_all(f.wire)[1]
+
+
+def _naive(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
+
+
 def _round(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
@@ -188,16 +257,16 @@ EVENT = ["event_id", "event_type", "trip_id", "driver_id", "vehicle_id", "status
 
 BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     # sources, parsing and validation
-    "archive_partition_counts": lambda f: f.raw.groupBy(X.sim_date(F.col("event_time")).alias("sim_date")).agg(F.count("*").alias("rows")),
-    "archive_day": lambda f: f.raw.where(X.sim_date(F.col("event_time")) == "2024-01-02").select("event_id", "vehicle_id", "kafka_offset", "event_time"),
-    "parse_events": lambda f: T.parse(f.raw.select("raw_value", "kafka_offset"), "raw_value").select(*EVENT, "kafka_offset"),
-    "parse_event_time": lambda f: T.with_event_time(T.parse(f.raw.select("raw_value", "kafka_offset"), "raw_value")).select("kafka_offset", "event_time"),
-    "closed_days": lambda f: f.raw.where("event_time IS NOT NULL").select(X.sim_date(F.col("event_time")).alias("sim_date")).distinct().where(F.expr(f"timestamp_ntz'2024-01-04 00:30:00' >= timestampadd(MINUTE, 1470, cast(sim_date AS timestamp_ntz))")),
+    "archive_partition_counts": lambda f: jobs.run_archive(f.wire).groupBy("sim_date").agg(F.count("*").alias("rows")),
+    "archive_day": lambda f: T.of_date(f.raw, "2024-01-02").select("event_id", "vehicle_id", "kafka_offset", "event_time"),
+    "parse_events": lambda f: T.parse(f.wire).select(*EVENT, "kafka_offset"),
+    "parse_event_time": lambda f: T.with_event_time(T.parse(f.wire)).select("kafka_offset", "event_time"),
+    "closed_days": lambda f: f.raw.where("event_time IS NOT NULL").select(X.sim_date(F.col("event_time")).alias("sim_date")).distinct().where(X.day_closed(F.col("sim_date"), F.expr("timestamp_ntz'2024-01-04 00:30:00'"))),
     "validate_events": lambda f: T.validated(f.raw).select("kafka_offset", "reason"),
     "valid_events": lambda f: T.valid(f.raw).select(*EVENT, "kafka_offset"),
     "invalid_events": lambda f: T.invalid(f.raw).select("kafka_offset", "vehicle_id", "reason"),
     "dlq_by_reason": lambda f: T.invalid(f.raw).groupBy("reason").agg(F.count("*").alias("rows")),
-    "dlq_payload": lambda f: T.dlq_payload(f.raw, F.expr(f"timestamp_ntz'{NOW}'")).select("key", "reason", "kafka_offset", F.get_json_object("value", "$.error_reason").alias("payload_reason"), F.get_json_object("value", "$.event_id").alias("payload_event_id")),
+    "dlq_payload": lambda f: T.dlq_payload(f.raw, F.expr(f"timestamp_ntz'{NOW}'")).select("key", "reason", "kafka_offset", F.get_json_object("value", "$.error_reason").alias("payload_reason"), F.get_json_object("value", "$.event_id").alias("payload_event_id"), F.get_json_object("value", "$.rejected_at").alias("rejected_at"), F.get_json_object(F.get_json_object("value", "$.original_payload"), "$.vehicle_id").alias("original_vehicle")),
     "dlq_rate": lambda f: S.dlq_rate(T.validated(f.raw)),
     "dedup_events": lambda f: T.deduplicated(T.valid(f.raw)).select("event_id", "kafka_offset"),
     "dedup_effect": lambda f: _effect(f),
@@ -217,7 +286,8 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "vehicle_daily_running": lambda f: T.vehicle_daily_running(f.clean),
     "vehicle_state_latest": lambda f: f.state.drop("lat", "lon"),
     "idle_islands": lambda f: f.islands,
-    "idle_alerts": lambda f: f.islands.where("alert").select("vehicle_id", "opened_at", "idle_min", "status"),
+    "idle_alerts": lambda f: S.idle_alerts(f.islands),
+    "open_idle_alerts": lambda f: S.idle_alerts(f.islands, "open").orderBy(F.desc("idle_min"), "vehicle_id"),
     "open_alert_count": lambda f: f.islands.where("alert AND status = 'open'").agg(F.count("*").alias("open_alerts")),
     "late_rows": lambda f: T.late_rows(T.valid(f.raw)).select("event_id", "kafka_offset"),
     # serving
@@ -226,7 +296,7 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "vehicle_map": lambda f: S.vehicle_map(f.state, f.now),
     "trips_in_hour": lambda f: S.hour_back(f.hourly, f.now, 1),
     "earnings_this_hour": lambda f: S.hour_back(f.hourly, f.now, 0),
-    "zone_earnings_hour": lambda f: f.hourly.join(F.broadcast(f.now)).where(F.col("window_start") == F.date_trunc("hour", "now").cast("timestamp_ntz")).select("zone_id", "earnings"),
+    "zone_earnings_hour": lambda f: S.zone_earnings(f.hourly, f.now),
     "zone_profile": lambda f: S.zone_profile(f.hourly),
     "zone_hour_matrix": lambda f: f.hourly.groupBy("zone_id", F.col("sim_hour").cast("int").alias("sim_hour")).agg(F.round(F.sum("earnings"), 2).alias("earnings")),
     # expenses and reconciliation
@@ -234,32 +304,34 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "expense_duplicates": lambda f: E.judged(f.lines, f.roster).where("reason = 'duplicate'").select("sim_date", "line_no", "vehicle_id"),
     "expense_unknown_vehicle": lambda f: E.judged(f.lines, f.roster).where("reason = 'unknown_vehicle'").select("sim_date", "line_no", "vehicle_id"),
     "expense_clean": lambda f: f.costs(),
-    "expense_gate": lambda f: E.gate(f.lines, f.roster),
-    "dq_issues": lambda f: E.judged(f.lines, f.roster).where("reason IS NOT NULL").select("sim_date", "vehicle_id", "reason", F.lit("expenses").alias("source")),
+    "expense_gate": lambda f: E.gate(f.lines, f.roster, files=f.lines.select("sim_date", "version").unionByName(f.lines.select(F.lit("2024-01-09").alias("sim_date"), "version"))),
+    "dq_issues": lambda f: _quarantined(f),
+    "upsert_latest": lambda f: _upserted(f),
+    "replace_date": lambda f: _replaced(f),
     "dq_by_reason": lambda f: E.judged(f.lines, f.roster).where("reason IS NOT NULL").groupBy("sim_date", "reason").agg(F.count("*").alias("rows")),
     "dq_run_totals": lambda f: E.judged(f.lines, f.roster).groupBy("sim_date").agg(F.count_if(F.col("reason").isNull()).alias("clean"), F.count_if(F.col("reason").isNotNull()).alias("quarantined")),
     "reconcile_join": lambda f: f.rec().select("sim_date", "vehicle_id", "missing_costs", "missing_telemetry"),
     "vehicle_profit": lambda f: f.rec().select(*REC),
     "vehicle_flags": lambda f: f.rec().select("sim_date", "vehicle_id", *S.FLAGS),
-    "batch_vehicle_daily": lambda f: f.rec().select(*REC, *S.FLAGS, F.lit(1).alias("source_version")),
+    "batch_vehicle_daily": lambda f: E.with_provenance(f.rec(), f.runs).select(*REC, "online_min", "on_trip_min", "idle_min", "utilization", *E.NUMBERS, *S.FLAGS, "expense_file_version", "run_id"),
     "profit_trend": lambda f: f.rec().select("sim_date", "vehicle_id", "net_profit", "becoming_unprofitable"),
     "profit_table": lambda f: f.rec().select("sim_date", "vehicle_id", "net_profit", X.flag_label().alias("label")),
-    "vehicle_reasons": lambda f: f.rec().select("sim_date", "vehicle_id", F.size(X.reasons()).alias("n_reasons")),
+    "vehicle_reasons": lambda f: f.rec().select("sim_date", "vehicle_id", F.array_join(X.reasons(), "; ").alias("reasons")),
     "fleet_summary": lambda f: S.fleet_summary(f.rec()),
     "flag_counts": lambda f: S.flag_counts(f.rec()),
     "best_worst": lambda f: S.best_worst(f.rec()),
-    "needs_attention": lambda f: S.needs_attention(f.rec()).select("sim_date", "vehicle_id", "net_profit", "label"),
-    "report_flagged": lambda f: S.needs_attention(f.rec()).select("sim_date", "vehicle_id", F.format_number("net_profit", 2).alias("net_text"), "label"),
-    "distance_mismatches": lambda f: f.rec().where("distance_mismatch").select("sim_date", "vehicle_id", "gps_km", "distance_covered", "mismatch_pct"),
-    "vehicle_history": lambda f: S.history(f.rec(), 3),
+    "needs_attention": lambda f: S.needs_attention(f.rec()).select("sim_date", "vehicle_id", "net_profit", "label", F.array_join("reasons", "; ").alias("reasons")),
+    "report_flagged": lambda f: S.needs_attention(E.with_provenance(f.rec(), f.runs)).select("sim_date", "vehicle_id", X.thousands(F.col("net_profit")).alias("net_text"), X.percent(F.col("margin")).alias("margin_text"), X.thousands(F.col("expense_file_version")).alias("version_text"), "label", F.array_join("reasons", "; ").alias("reasons")),
+    "distance_mismatches": lambda f: S.mismatches(f.rec()).select("sim_date", "vehicle_id", "gps_km", "distance_covered", "mismatch_pct"),
+    "vehicle_history": lambda f: S.history(f.rec(), 3).select("vehicle_id", "sim_date", "revenue", "net_profit", "nth"),
     "reconciled_dates": lambda f: f.rec().select("sim_date").distinct().orderBy(F.desc("sim_date")).limit(30),
-    "latest_markers": lambda f: f.rec().agg(F.max("sim_date").alias("latest_date")).join(f.now),
+    "latest_markers": lambda f: S.latest_markers(f.rec(), f.drift, f.runs, f.now),
     "expense_raw": lambda f: f.landed.select("sim_date", "version", *[F.coalesce(c, F.lit("")).alias(c) for c in EXPENSE_COLUMNS]),
     "landing_versions": lambda f: landing.newest(landing.listing(f.spark, f.landing)),
     "report_csv": lambda f: _report(f.rec().select(*REC)),
     "recompute": lambda f: _recomputed(f),
-    "vehicle_merge": lambda f: S.vehicle_merge(f.state, T.vehicle_daily_running(f.clean), f.rec(), f.now),
-    "known_vehicles": lambda f: f.state.select("vehicle_id").unionByName(f.costs().select("vehicle_id")).distinct(),
+    "vehicle_merge": lambda f: _merged(f),
+    "known_vehicles": lambda f: S.known_vehicles(f.state, f.rec()),
     "speed_batch_drift": lambda f: S.drift(f.clean, T.late_rows(T.valid(f.raw))),
     "restatement_diff": lambda f: S.restatement(f.rec(1).select("sim_date", "vehicle_id", "net_profit", "total_cost"), f.rec(2), ["sim_date", "vehicle_id"], ["net_profit", "total_cost"]),
     # bookkeeping
@@ -276,14 +348,17 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "batch_metrics": lambda f: H.batch_metrics(f.runs, f.drift, f.open_alerts),
     "health_rules": lambda f: H.health_rules(_metrics(f)),
     # streaming runs
-    "stream_source": lambda f: monitor.run_source(fleet.raw_stream_rows(f.events)),
-    "stream_all": lambda f: monitor.outputs(f.spark, *monitor.run_all(f.raw)),
-    "stream_progress": lambda f: monitor.progress_rows(f.spark, monitor.run_all(f.raw)[1]),
-    "stream_late_rows": lambda f: monitor.late_rows(monitor.progress_rows(f.spark, monitor.run_all(f.raw)[1])),
-    "stream_dedup": lambda f: jobs.run_dedup(f.raw),
-    "stream_zone_hourly": lambda f: jobs.run_zone_hourly(f.raw),
-    "stream_vehicle_daily": lambda f: jobs.run_vehicle_daily(f.raw),
-    "stream_vehicle_state": lambda f: jobs.run_vehicle_state(f.raw),
+    "stream_source": lambda f: monitor.run_source(f.wire),
+    "stream_all": lambda f: monitor.outputs(f.spark, monitor.run_all(f.wire)[0]),
+    "stream_progress": lambda f: _progress(f),
+    "stream_freshness": lambda f: monitor.freshness(_progress(f)),
+    "stream_late_rows": lambda f: monitor.late_rows(_progress(f)),
+    "stream_dlq": lambda f: jobs.run_dlq(f.wire).select("key", F.get_json_object("value", "$.error_reason").alias("reason"), F.get_json_object("value", "$.event_id").alias("event_id")),
+    "stream_dedup": lambda f: _naive(jobs.run_dedup(f.wire)),
+    "stream_zone_hourly": lambda f: _naive(jobs.run_zone_hourly(f.wire)).withColumn("sim_hour", F.col("sim_hour").cast("int")),
+    "stream_vehicle_daily": lambda f: jobs.run_vehicle_daily(f.wire),
+    "stream_vehicle_state": lambda f: _current(f),
+    "stream_idle_alerts": lambda f: _naive(jobs.run_vehicle_state(f.wire)[1]),
 }
 
 
@@ -296,8 +371,18 @@ def _effect(f: Fleet) -> DataFrame:
 
 def _zones(f: Fleet) -> DataFrame:
     """Every zone with its centre and the clean events in it."""
-    z = f.events.sparkSession.range(16).select(F.concat(F.lit("Z"), F.lpad((F.col("id") + 1).cast("string"), 2, "0")).alias("zone_id"), F.round(13.06 - (F.expr("id div 4") + 0.5) * 0.04, 4).alias("lat"), F.round(77.52 + (F.col("id") % 4 + 0.5) * 0.04, 4).alias("lon"))
-    return z.join(f.clean.groupBy("zone_id").agg(F.count("*").alias("events")), "zone_id", "left").fillna(0)
+    return S.zone_dimension(f.spark).join(f.clean.groupBy("zone_id").agg(F.count("*").alias("events")), "zone_id", "left").fillna(0)
+
+
+def _merged(f: Fleet) -> DataFrame:
+    """The merge with its blocks as columns and the history as text."""
+    m = S.vehicle_merge(f.state, T.vehicle_daily_running(f.clean), f.rec(), f.now)
+    day = lambda x: F.concat_ws("|", x["sim_date"], x["source"], F.format_string("%.2f", x["net_profit"]), F.format_string("%d", x["trips"]), F.size(x["reasons"]).cast("string"))
+    return m.select(
+        "vehicle_id", F.col("live.source").alias("live_source"), F.col("live.as_of").alias("live_as_of"), F.col("live.status").alias("live_status"), F.col("live.zone_id").alias("live_zone"),
+        F.col("today.source").alias("today_source"), F.col("today.sim_date").alias("today_date"), F.col("today.trips").alias("today_trips"), F.col("today.revenue").alias("today_revenue"),
+        F.col("history")[0]["as_of"].alias("history_as_of"), F.array_join(F.transform("history", day), ",").alias("history"),
+    )
 
 
 def _query(build: Callable[[Fleet], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:

@@ -15,70 +15,87 @@ from ..functions import exprs as X
 from ..operators import telemetry as T
 from ..params import DEFAULT, Params
 
-STATE = "driver_id string, status string, zone_id string, lat double, lon double, seen timestamp, idle_since timestamp, alerted boolean"
-STATE_OUT = "vehicle_id string, status string, zone_id string, lat double, lon double, event_time timestamp, opened_at timestamp, closed_at timestamp, idle_min double, change string"
+FIELDS = ["driver_id", "status", "zone_id", "lat", "lon", "speed", "trip_id", "seen", "idle_since", "opened_at"]
+STATE = "driver_id string, status string, zone_id string, lat double, lon double, speed double, trip_id string, seen timestamp, idle_since timestamp, opened_at timestamp"
+STATE_OUT = "vehicle_id string, driver_id string, status string, zone_id string, lat double, lon double, speed double, trip_id string, event_time timestamp, idle_since timestamp, opened_at timestamp, closed_at timestamp, idle_min double, change string"
 
 
-def prepared(stream: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Valid events with watermark, deduplicated on the id within it, with their zone."""
-    e = T.valid(stream, p).withColumn("event_time", F.col("event_time").cast("timestamp"))
+def prepared(wire: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Source rows parsed and judged: the valid events with watermark, deduplicated on the id
+    within it, with their zone."""
+    e = T.valid(T.archived(wire), p).withColumn("event_time", F.col("event_time").cast("timestamp"))
     e = e.withWatermark("event_time", f"{p.watermark_min} minutes").dropDuplicatesWithinWatermark(["event_id"])
     return e.withColumn("zone_id", X.zone_id(F.col("lat"), F.col("lon"), p))
 
 
-def vehicle_state(stream: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Current state of each vehicle and every idle-alert transition, one row each.
+def fold_vehicle(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, p: Params = DEFAULT) -> Iterator[pd.DataFrame]:
+    """One vehicle's new events folded into its state: a row for every alert that opens or
+    closes, and one (change "none") of the state that is left.
 
-    Events are folded in time order; an event older than the state is ignored. The idle
-    clock starts when the vehicle turns idle and an alert opens once it has run long enough.
-    Without events for ``offline_min`` a vehicle is offline, its alert closes and its state
-    is dropped. The timeout is set beyond the watermark, as an earlier one is an error.
+    Events are taken in time order, one older than the state is ignored. The idle clock starts
+    when the vehicle turns idle. The alert opens at the event that completes ``idle_alert_min``
+    and closes at the first event that isn't idle, with the minutes until then. A vehicle that
+    has timed out is offline; its alert closes at its last event and its state is dropped.
     """
-    alert, offline = pd.Timedelta(minutes=p.idle_alert_min), pd.Timedelta(minutes=p.offline_min)
+    held = dict(zip(FIELDS, state.get if state.exists else [None, "offline", *[None] * 8], strict=True))
+    held |= {k: None for k, v in held.items() if pd.isna(v)}
+    rows: list[tuple] = []
+
+    def emit(change: str, until: pd.Timestamp, closed_at: pd.Timestamp | None = None) -> None:
+        minutes = (until - held["idle_since"]).total_seconds() / 60 if held["idle_since"] is not None else 0.0
+        rows.append((key[0], *held.values(), closed_at, round(minutes, 2), change))
+
+    def out() -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in STATE_OUT.split(", ")])
+
+    if state.hasTimedOut:
+        if held["opened_at"] is not None:
+            emit("closed", held["seen"], held["seen"])
+        held |= {"status": "offline", "speed": 0.0, "trip_id": None, "idle_since": None, "opened_at": None}
+        emit("none", held["seen"])
+        state.remove()
+        yield out()
+        return
+    for e in pd.concat(list(frames)).sort_values(["event_time", "event_id"], kind="stable").itertuples(index=False):
+        if held["seen"] is not None and e.event_time < held["seen"]:
+            continue
+        idle = e.status == "idle"
+        if not idle and held["opened_at"] is not None:
+            emit("closed", e.event_time, e.event_time)
+            held["opened_at"] = None
+        if not idle:
+            held["idle_since"] = None
+        elif held["status"] != "idle" or held["idle_since"] is None:
+            held["idle_since"] = e.event_time
+        held |= {"driver_id": e.driver_id, "status": e.status, "zone_id": e.zone_id, "lat": float(e.lat), "lon": float(e.lon), "speed": float(e.speed), "trip_id": e.trip_id, "seen": e.event_time}
+        if idle and held["opened_at"] is None and e.event_time - held["idle_since"] >= pd.Timedelta(minutes=p.idle_alert_min):
+            held["opened_at"] = e.event_time
+            emit("opened", e.event_time)
+    if held["seen"] is None:
+        return
+    emit("none", held["seen"])
+    state.update(tuple(held.values()))
+    # The timeout is set beyond the watermark, as an earlier one is an error.
+    quiet = int((held["seen"] + pd.Timedelta(minutes=p.offline_min)).timestamp() * 1000)
+    state.setTimeoutTimestamp(max(quiet, state.getCurrentWatermarkMs() + 1))
+    yield out()
+
+
+def vehicle_state(stream: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Current state of each vehicle and every idle-alert transition, one row each."""
 
     def fold(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get) if state.exists else None
-        rows: list[tuple] = []
-
-        def row(change: str, opened=None, closed=None) -> tuple:
-            minutes = (closed or held[5]) - opened if opened is not None else None
-            return (key[0], held[1], held[2], held[3], held[4], held[5], opened, closed, minutes.total_seconds() / 60 if minutes is not None else None, change)
-
-        if state.hasTimedOut:
-            if held[7]:
-                rows.append(row("closed", held[6], held[5]))
-            held[1] = "offline"
-            rows.append(row("none"))
-            state.remove()
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATE_OUT.split(", ")])
-            return
-        events = pd.concat(list(frames)).sort_values(["event_time", "event_id"], kind="stable")
-        for e in events.itertuples(index=False):
-            if held is not None and e.event_time < held[5]:
-                continue
-            was = held[1] if held else None
-            since = held[6] if held else None
-            alerted = held[7] if held else False
-            if e.status != "idle":
-                if alerted:
-                    rows.append(row("closed", since, held[5]))
-                since, alerted = None, False
-            elif was != "idle":
-                since, alerted = e.event_time, False
-            held = [e.driver_id, e.status, e.zone_id, e.lat, e.lon, e.event_time, since, alerted]
-            if since is not None and not alerted and e.event_time - since >= alert:
-                held[7] = True
-                rows.append(row("opened", since))
-        if held is None:
-            return
-        rows.append(row("none"))
-        state.update(tuple(held))
-        state.setTimeoutTimestamp(max(int((held[5] + offline).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in STATE_OUT.split(", ")])
+        return fold_vehicle(key, frames, state, p)
 
     return stream.groupBy("vehicle_id").applyInPandasWithState(fold, STATE_OUT, STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
+def alerts(transitions: DataFrame) -> DataFrame:
+    """Alert rows by (vehicle_id, opened_at): open, or closed once a closing came."""
+    best = F.max_by(F.struct("closed_at", "zone_id", "idle_min", F.when(F.col("change") == "closed", "closed").otherwise("open").alias("status")), F.col("change") == "closed")
+    return transitions.where("change != 'none'").groupBy("vehicle_id", "opened_at").agg(best.alias("a")).select("vehicle_id", "opened_at", "a.*")
+
+
 def upsert(root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: a batch owns one partition, so a replay rewrites itself."""
 
@@ -90,9 +107,16 @@ def upsert(root: str) -> Callable[[DataFrame, int], None]:
 
 def latest(spark: SparkSession, root: str, keys: list[str], schema: str) -> DataFrame:
     """The rows that the upserts leave: per key the one of the newest batch."""
+    return _newest(spark.read.schema(f"{schema}, batch_id long").parquet(root), keys)
+
+
+def compact(spark: SparkSession, root: str, keys: list[str], schema: str, into: str) -> int:
+    """Fold the batches written so far into one, written to ``into`` under the newest batch's
+    number; readers and the sink then go on there. Returns that number."""
     df = spark.read.schema(f"{schema}, batch_id long").parquet(root)
-    values = [c for c in df.columns if c not in (*keys, "batch_id")]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("s")).select(*keys, "s.*")
+    newest = df.agg(F.max("batch_id")).first()[0]
+    upsert(into)(latest(spark, root, keys, schema), newest)
+    return newest
 
 
 def replace_dates(df: DataFrame, root: str, dates: list[str]) -> None:
@@ -100,13 +124,20 @@ def replace_dates(df: DataFrame, root: str, dates: list[str]) -> None:
     spark = df.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    df.where(F.col("sim_date").isin(dates)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sim_date").parquet(root)
-    filled = {r["sim_date"] for r in df.select("sim_date").where(F.col("sim_date").isin(dates)).distinct().collect()}
+    new = df.where(F.col("sim_date").isin(dates)).persist()
+    new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sim_date").parquet(root)
+    filled = {r["sim_date"] for r in new.select("sim_date").distinct().collect()}
+    new.unpersist()
     for d in dates:
         if d not in filled:
             files.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/sim_date={d}"), True)
 
 
+def quarantine(issues: DataFrame, root: str) -> None:
+    """Append the quarantined lines of a run; a run that is repeated replaces its own."""
+    issues.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sim_date", "run_id").parquet(root)
+
+
 def folder(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share."""
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -128,17 +159,39 @@ def in_order(spark: SparkSession, root: str) -> None:
         files.setTimes(file, start + 1000 * i, -1)
 
 
-def deliver(raw: DataFrame, root: str, by: str = "event_time", files: int = 4) -> None:
-    """Write ``raw`` below ``root`` as files that a stream reads in the order of a time."""
-    time = F.coalesce(by, F.expr("timestamp_ntz'2024-01-01 00:00:00'"))
-    raw.repartitionByRange(files, time).write.parquet(f"{root}/in")
-    in_order(raw.sparkSession, f"{root}/in")
+def deliver(wire: DataFrame, root: str, by: str, files: int = 4) -> None:
+    """Write ``wire`` below ``root`` as files that a stream reads in the order of a time."""
+    wire.repartitionByRange(files, by).write.parquet(f"{root}/in")
+    in_order(wire.sparkSession, f"{root}/in")
+
+
+def _source(wire: DataFrame, root: str) -> DataFrame:
+    """``wire`` as a stream of files in event-time order."""
+    deliver(wire, root, "sent_at")
+    return wire.sparkSession.readStream.schema(wire.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
 
+def archive_sink(wire: DataFrame, root: str):
+    """Start-ready writer of the archive: parsed rows appended by event date."""
+    return T.archived(wire).writeStream.format("parquet").partitionBy("sim_date").outputMode("append").option("path", f"{root}/archive").option("checkpointLocation", f"{root}/archive-checkpoint")
 
-def _source(raw: DataFrame, root: str) -> DataFrame:
-    """``raw`` as a stream of files in event-time order."""
-    deliver(raw, root)
-    return raw.sparkSession.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+def dlq_sink(wire: DataFrame, root: str, p: Params = DEFAULT):
+    """Start-ready writer of rejected events as key and JSON value."""
+    rows = T.dlq_payload(T.archived(wire), F.current_timestamp(), p).select("key", "value")
+    return rows.writeStream.format("json").outputMode("append").option("path", f"{root}/dlq").option("checkpointLocation", f"{root}/dlq-checkpoint")
+
+
+def state_sink(root: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink of the vehicle fold: states and alerts go to tables of their own."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.persist()
+        upsert(f"{root}/out")(df.where("change = 'none'").drop("change"), batch)
+        upsert(f"{root}/alerts")(alerts(df), batch)
+        df.unpersist()
+
+    return write
 
 
 def _run(stream: DataFrame, root: str, mode: str) -> DataFrame:
@@ -148,26 +201,46 @@ def _run(stream: DataFrame, root: str, mode: str) -> DataFrame:
     return spark.read.schema(f"{schema}, batch_id long").parquet(f"{root}/out")
 
 
-def run_dedup(raw: DataFrame) -> DataFrame:
-    root = folder(raw.sparkSession)
-    return _run(prepared(_source(raw, root)).select("event_id", "event_time"), root, "append").drop("batch_id")
+def run_archive(wire: DataFrame) -> DataFrame:
+    root = folder(wire.sparkSession)
+    archive_sink(_source(wire, root), root).trigger(availableNow=True).start().awaitTermination()
+    return wire.sparkSession.read.schema(T.archived(wire).schema).parquet(f"{root}/archive")
 
 
-def _windowed(raw: DataFrame, make: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
-    root = folder(raw.sparkSession)
-    out = _run(make(prepared(_source(raw, root))), root, "update")
+def run_dlq(wire: DataFrame) -> DataFrame:
+    root = folder(wire.sparkSession)
+    dlq_sink(_source(wire, root), root).trigger(availableNow=True).start().awaitTermination()
+    return wire.sparkSession.read.schema("key string, value string").json(f"{root}/dlq")
+
+
+def run_dedup(wire: DataFrame) -> DataFrame:
+    root = folder(wire.sparkSession)
+    return _run(prepared(_source(wire, root)).select("event_id", "event_time"), root, "append").drop("batch_id")
+
+
+def _newest(out: DataFrame, keys: list[str]) -> DataFrame:
     values = [c for c in out.columns if c not in (*keys, "batch_id")]
     return out.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("s")).select(*keys, "s.*")
 
 
-def run_zone_hourly(raw: DataFrame) -> DataFrame:
-    return _windowed(raw, T.zone_hourly, ["zone_id", "window_start"])
+def _windowed(wire: DataFrame, make: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    root = folder(wire.sparkSession)
+    return _newest(_run(make(prepared(_source(wire, root))), root, "update"), keys)
+
+
+def run_zone_hourly(wire: DataFrame) -> DataFrame:
+    return _windowed(wire, T.zone_hourly, ["zone_id", "window_start"])
 
 
-def run_vehicle_daily(raw: DataFrame) -> DataFrame:
-    return _windowed(raw, T.vehicle_daily_running, ["vehicle_id", "sim_day"])
+def run_vehicle_daily(wire: DataFrame) -> DataFrame:
+    return _windowed(wire, T.vehicle_daily_running, ["vehicle_id", "sim_day"])
 
 
-def run_vehicle_state(raw: DataFrame) -> DataFrame:
-    root = folder(raw.sparkSession)
-    return _run(vehicle_state(prepared(_source(raw, root))), root, "update")
+def run_vehicle_state(wire: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(newest state of each vehicle, its idle alerts) after the whole stream."""
+    spark, root = wire.sparkSession, folder(wire.sparkSession)
+    rows = vehicle_state(prepared(_source(wire, root)))
+    rows.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(state_sink(root)).start().awaitTermination()
+    states = spark.read.schema(f"{STATE_OUT.removesuffix(', change string')}, batch_id long").parquet(f"{root}/out")
+    shown = spark.read.schema("vehicle_id string, opened_at timestamp, closed_at timestamp, zone_id string, idle_min double, status string, batch_id long").parquet(f"{root}/alerts")
+    return _newest(states, ["vehicle_id"]), _newest(shown, ["vehicle_id", "opened_at"])

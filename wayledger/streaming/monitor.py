@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import json
+import time
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..operators import telemetry as T
 from ..params import DEFAULT, Params
 from . import jobs
 
-#: Options of the broker source; the archive starts at the earliest offset.
+#: Options of the broker source, for the live jobs and for the archive.
 BROKER = {"startingOffsets": "latest", "maxOffsetsPerTrigger": "20000", "failOnDataLoss": "false"}
-PROGRESS = "query string, batch_id long, at string, input_rows long, input_rate double, processed_rate double, duration_ms long, newest_event string, late_rows long"
+BROKER_ARCHIVE = BROKER | {"startingOffsets": "earliest"}
+PROGRESS = "query string, batch_id long, at string, input_rows long, input_rate double, processed_rate double, duration_ms long, newest_event string, late_rows long, offsets_behind double"
 KEYS = {"zone_hourly": ["zone_id", "window_start"], "vehicle_daily": ["vehicle_id", "sim_day"]}
 
 
@@ -30,31 +35,60 @@ def read_events(spark: SparkSession, source: str, options: dict[str, str], schem
 
 def start_all(open_stream, root: str, p: Params = DEFAULT, trigger: dict | None = None) -> dict[str, StreamingQuery]:
     """Start every job on a stream of its own from ``open_stream()``, each with its checkpoint
-    and output folder below ``root``."""
+    and output folder below ``root``: the archive, the rejected events and their numbers, and
+    the live tables."""
+    when = trigger or {"processingTime": "5 seconds"}
     make = {
-        "dedup": ("append", lambda s: s.select("event_id", "event_time")), "zone_hourly": ("update", T.zone_hourly),
-        "vehicle_daily": ("update", T.vehicle_daily_running), "vehicle_state": ("update", lambda s: jobs.vehicle_state(s, p)),
+        "dedup": ("append", lambda s: s.select("event_id", "event_time"), jobs.upsert), "zone_hourly": ("update", T.zone_hourly, jobs.upsert),
+        "vehicle_daily": ("update", T.vehicle_daily_running, jobs.upsert), "vehicle_state": ("update", lambda s: jobs.vehicle_state(s, p), None),
     }
-    running = {}
-    for name, (mode, build) in make.items():
-        writer = build(jobs.prepared(open_stream(), p)).writeStream.outputMode(mode).option("checkpointLocation", f"{root}/{name}/checkpoint")
-        running[name] = writer.trigger(**(trigger or {"processingTime": "5 seconds"})).foreachBatch(jobs.upsert(f"{root}/{name}/out")).start()
+    running = {
+        "archive": jobs.archive_sink(open_stream(), f"{root}/archive").queryName("archive").trigger(**(trigger or {"processingTime": "30 seconds"})).start(),
+        "dlq": jobs.dlq_sink(open_stream(), f"{root}/dlq", p).queryName("dlq").trigger(**when).start(),
+    }
+    reasons = T.invalid(T.archived(open_stream()), p).groupBy("reason").agg(F.count("*").alias("rows"))
+    running["dlq_reasons"] = reasons.writeStream.queryName("dlq_reasons").outputMode("update").option("checkpointLocation", f"{root}/dlq_reasons/checkpoint").trigger(**when).foreachBatch(jobs.upsert(f"{root}/dlq_reasons/out")).start()
+    for name, (mode, build, sink) in make.items():
+        writer = build(jobs.prepared(open_stream(), p)).writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/{name}/checkpoint")
+        running[name] = writer.trigger(**when).foreachBatch(sink(f"{root}/{name}/out") if sink else jobs.state_sink(f"{root}/{name}")).start()
     return running
 
 
-def progress_rows(spark: SparkSession, running: dict[str, StreamingQuery]) -> DataFrame:
-    """One row per micro-batch that the queries still remember (100 each by default)."""
-    rows = []
-    for name, query in running.items():
-        for p in query.recentProgress:
-            dropped = sum(s["numRowsDroppedByWatermark"] for s in p["stateOperators"])
-            newest = (p["eventTime"] or {}).get("max")
-            rows.append((name, p["batchId"], p["timestamp"], p["numInputRows"], _number(p["inputRowsPerSecond"]), _number(p["processedRowsPerSecond"]), p["durationMs"].get("triggerExecution"), newest, dropped))
-    return spark.createDataFrame(rows, PROGRESS)
+class ProgressLog(StreamingQueryListener):
+    """Keeps a row for every micro-batch of every query; ``flush`` appends them to a table.
+
+    Register it with ``spark.streams.addListener``. What hasn't been flushed is held in the
+    driver: a few hundred bytes a batch.
+    """
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = json.loads(event.progress.json)
+        dropped = sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"])
+        behind = [_number((s.get("metrics") or {}).get("maxOffsetsBehindLatest", (s.get("metrics") or {}).get("offsetsBehindLatest"))) for s in p["sources"]]
+        known = [x for x in behind if x is not None]
+        self.rows.append((p.get("name") or "unnamed", p["batchId"], p["timestamp"], p["numInputRows"], _number(p.get("inputRowsPerSecond")), _number(p.get("processedRowsPerSecond")), p.get("durationMs", {}).get("triggerExecution"), (p.get("eventTime") or {}).get("max"), dropped, sum(known) if known else None))
+
+    def flush(self, spark: SparkSession, root: str) -> DataFrame:
+        """Append what came since the last flush; the whole table."""
+        rows, self.rows = self.rows, []
+        spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(root)
+        return spark.read.schema(PROGRESS).parquet(root)
 
 
 def _number(x) -> float | None:
-    return None if x is None or x != x else float(x)
+    return None if x is None or float(x) != float(x) else float(x)
 
 
 def late_rows(progress: DataFrame) -> DataFrame:
@@ -62,33 +96,48 @@ def late_rows(progress: DataFrame) -> DataFrame:
     return progress.groupBy("query").agg(F.sum("late_rows").alias("late_rows"), F.sum("input_rows").alias("input_rows"))
 
 
-def run_all(raw: DataFrame) -> tuple[str, dict[str, StreamingQuery]]:
-    """All jobs over the archive ``raw`` until nothing is left; (their folder, the queries)."""
-    root = jobs.folder(raw.sparkSession)
-    jobs.deliver(raw, root, "arrival_time")
-    again = lambda: raw.sparkSession.readStream.schema(raw.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    running = start_all(again, root, trigger={"availableNow": True})
-    for query in running.values():
-        query.awaitTermination()
-    return root, running
+def freshness(progress: DataFrame) -> DataFrame:
+    """When each query last made progress, its newest event, and how far it is behind."""
+    at = F.expr("try_to_timestamp(at)").cast("timestamp_ntz")
+    return progress.withColumn("at", at).groupBy("query").agg(F.max("at").alias("last_at"), F.max(F.expr("try_to_timestamp(newest_event)").cast("timestamp_ntz")).alias("newest_event"), F.max_by("offsets_behind", "at").alias("offsets_behind"))
+
+
+def run_all(wire: DataFrame) -> tuple[str, DataFrame]:
+    """All jobs over ``wire``, delivered as it arrived, until nothing is left; (their folder,
+    the progress of every batch)."""
+    spark, root = wire.sparkSession, jobs.folder(wire.sparkSession)
+    jobs.deliver(wire, root, "arrival_time")
+    again = lambda: spark.readStream.schema(wire.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    log = ProgressLog()
+    spark.streams.addListener(log)
+    try:
+        running = start_all(again, root, trigger={"availableNow": True})
+        for query in running.values():
+            query.awaitTermination()
+        newest = {name: q.lastProgress["batchId"] for name, q in running.items() if q.lastProgress}
+        for _ in range(100):  # the listener hears of a batch a moment after it ended
+            if all(any(r[0] == name and r[1] >= batch for r in log.rows) for name, batch in newest.items()):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    return root, log.flush(spark, f"{root}/progress")
+
+
+def outputs(spark: SparkSession, root: str) -> DataFrame:
+    """(query, rows): what each query left, an updated row once."""
+    tables = {
+        "archive": spark.read.parquet(f"{root}/archive/archive"), "dlq": spark.read.schema("key string, value string").json(f"{root}/dlq/dlq"),
+        "dlq_reasons": spark.read.parquet(f"{root}/dlq_reasons/out").select("reason").distinct(), "dedup": spark.read.parquet(f"{root}/dedup/out"),
+        "vehicle_state": spark.read.parquet(f"{root}/vehicle_state/out").select("vehicle_id").distinct(),
+    }
+    tables |= {name: spark.read.parquet(f"{root}/{name}/out").select(*keys).distinct() for name, keys in KEYS.items()}
+    return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("query"), F.count("*").alias("rows")) for name, df in tables.items()])
 
 
-def outputs(spark: SparkSession, root: str, running: dict[str, StreamingQuery]) -> DataFrame:
-    """(query, rows): what each query left, an updated row once."""
-    parts = []
-    for name in running:
-        df = spark.read.parquet(f"{root}/{name}/out")
-        df = df.select(*KEYS[name]).distinct() if name in KEYS else df
-        parts.append(df.agg(F.lit(name).alias("query"), F.count("*").alias("rows")))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
-
-
-def run_source(raw_rows: DataFrame) -> DataFrame:
+def run_source(wire: DataFrame) -> DataFrame:
     """Everything that the source delivers, parsed, with its offsets."""
-    spark, root = raw_rows.sparkSession, jobs.folder(raw_rows.sparkSession)
-    jobs.deliver(raw_rows, root, "arrival_time")
-    stream = read_events(spark, "parquet", {"path": f"{root}/in", "maxFilesPerTrigger": "1"}, raw_rows.schema)
+    spark, root = wire.sparkSession, jobs.folder(wire.sparkSession)
+    jobs.deliver(wire, root, "arrival_time")
+    stream = read_events(spark, "parquet", {"path": f"{root}/in", "maxFilesPerTrigger": "1"}, wire.schema)
     return jobs._run(T.parse(stream, "value").select("event_id", "vehicle_id", "status", "kafka_offset"), root, "append").drop("batch_id")
