@@ -1,14 +1,18 @@
-"""Shared plumbing of the training-data operators: scratch tables, splits, id checks."""
+"""Shared plumbing of the training-data operators: scratch tables, splits, sized joins."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of 64-bit ids up to which a side of a join may go to every task (32 MB of ids).
+BROADCAST_IDS = 4_000_000
+#: Makes Spark delete the shuffle files of a finished write at once.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder that driver and executors share.
@@ -25,16 +29,71 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage so
     that a lost executor costs a re-read, not a recomputation."""
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    # The finished job's shuffle files go when the driver's JVM drops their handles.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    return _written(df, scratch(df.sparkSession, label))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared file system, whichever kind it is."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Scratch:
+    """The tables an operator works with, deleted as soon as nothing reads them any more.
+
+    Used as a context: ``stored`` writes a table, ``drop`` deletes tables whose readers have
+    finished, ``result`` writes the table that the operator returns, which is the only one
+    that is left at the end.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.tables = spark, []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop(*[df for df, _ in self.tables])
+
+    def path(self, label: str) -> str:
+        """A folder of its own for files that are no table; it goes with the rest."""
+        path = scratch(self.spark, label)
+        self.tables.append((None, path))
+        return path
+
+    def stored(self, df: DataFrame, label: str) -> DataFrame:
+        path = scratch(self.spark, label)
+        out = _written(df, path)
+        self.tables.append((out, path))
+        return out
+
+    def drop(self, *old: DataFrame | None) -> None:
+        for df, path in [t for t in self.tables if any(t[0] is o for o in old)]:
+            remove(self.spark, path)
+            self.tables = [t for t in self.tables if t[1] != path]
+
+    def result(self, df: DataFrame, label: str) -> DataFrame:
+        return stored(df, label)
+
+
+def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """``ids`` (a stored table of ids) with a broadcast hint if it has at most ``most`` rows,
+    counted first. A larger one is left to a shuffled join."""
+    return F.broadcast(ids) if ids.count() <= most else ids
 
 
 def crc_mod(id_col: str, modulus: int) -> Column:
