@@ -12,15 +12,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import crc_mod, stored, table
+from .common import crc_mod, table
 
-#: Most labelled rows the model is fitted on, chosen by a hash of the id.
+#: Most labelled rows the model is fitted on, those with the least hashes of the id.
 MAX_TRAIN = 20_000
 BINS, PAIR_BINS, PAIRS = 48, 8, 6
 ROUNDS, PAIR_ROUNDS, RATE, LEAST_ROWS = 120, 60, 0.1, 20
@@ -197,36 +196,49 @@ def fit(x: np.ndarray, y: np.ndarray) -> Additive:
     return model
 
 
-def fit_labels(rows: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> Additive:
-    """Fit on at most MAX_TRAIN labelled rows of ``rows`` (id, x). Repeated labels of an id
-    count as their mean, rounded; null labels and ids are left out."""
-    y = labels.where(F.col(label_col).isNotNull()).groupBy(id_col).agg(F.round(F.avg(label_col)).cast("double").alias("y"))
-    sample = rows.select(id_col, "x").join(y, id_col).orderBy(F.xxhash64(id_col), id_col).limit(MAX_TRAIN).toPandas()
+def training_ids(labels: DataFrame, id_col: str, label_col: str) -> DataFrame:
+    """(id, y) of at most MAX_TRAIN ids outside the held-out third, those with the least
+    hashes. Repeated labels of an id count as their mean, rounded; null labels and ids are
+    left out. The hash bound is four deviations below MAX_TRAIN, so nothing is sorted."""
+    y = labels.where(F.col(label_col).isNotNull() & (crc_mod(id_col, 3) != 1)).groupBy(id_col).agg(F.round(F.avg(label_col)).cast("double").alias("y"))
+    n = y.count()
+    if n <= MAX_TRAIN:
+        return y
+    bound = int((MAX_TRAIN - 4 * MAX_TRAIN**0.5) / n * 2**63)
+    return y.where(F.shiftrightunsigned(F.xxhash64(id_col), 1) < bound).limit(MAX_TRAIN)
+
+
+def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Additive:
+    """Fit on the labelled rows that ``training_ids`` chooses: their features alone come to
+    the driver, MAX_TRAIN rows at most."""
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(training_ids(labels, id_col, label_col).withColumnRenamed(id_col, "id")), "id")
+    sample = featurise(chosen, ["id", "y"]).limit(MAX_TRAIN).toPandas().sort_values("id", kind="stable")
     x = np.stack(sample["x"].to_numpy()) if len(sample) else np.zeros((0, len(FEATURES)))
     return fit(x, sample["y"].to_numpy(float))
 
 
-def scorer(model: Additive) -> Column:
-    """Column function of ``x``: the probability of label 1."""
+def scorer(model: Additive, text_col: str = "text") -> Column:
+    """Column of the probability of label 1 of each whole text."""
 
-    @F.pandas_udf("double")
-    def score(x: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.stack(x.to_numpy())) if len(x) else np.zeros(0))
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(np.concatenate([np.zeros(0), *(model.score(features(data, off)) for _, _, data, off in tb.blocks(texts))]))
 
-    return score("x")
+    return score(text_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``keep`` columns with ``held_out``, ``score`` and ``predicted`` for every row.
 
     Labels are learnt only from rows whose crc32(id) mod 3 is not 1. Empty and null texts
-    are scored like any other; rows repeating an id are scored on their own.
+    are scored like any other; rows repeating an id are scored on their own. Without labels
+    every score is 0.5. Kept columns with the names of the new ones are left out.
     """
-    rows = stored(featurise(docs.select(*keep, text_col), keep, text_col), "features")
-    held = F.coalesce(crc_mod(id_col, 3) == 1, F.lit(False))
-    model = fit_labels(rows.where(~held), labels, id_col)
-    scored = rows.withColumn("held_out", held).withColumn("score", scorer(model)).drop("x")
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    model = fit_labels(docs, labels, id_col, text_col)
+    new = ["held_out", "score", "predicted"]
+    keep = [c for c in keep if c not in new]
+    scored = docs.select(*dict.fromkeys([*keep, id_col, text_col])).withColumn("held_out", F.coalesce(crc_mod(id_col, 3) == 1, F.lit(False))).withColumn("score", scorer(model, text_col))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int")).select(*keep, *new)
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
