@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import stored, table
+from .common import Scratch, stored, table
 
 #: Text bytes and documents of one shard; they bound a row of the index.
 SHARD_BYTES = 8 << 20
@@ -61,7 +61,7 @@ def _shard(ids: list, counts: list[np.ndarray], hashes: list[np.ndarray]) -> pa.
     )
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", store=stored) -> DataFrame:
     """The positional index of every document, written to the shared folder.
 
     Words are runs of digits, ASCII letters and non-ASCII characters, A-Z lower-cased; a
@@ -87,7 +87,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if ids:
             yield _shard(ids, counts, hashes)
 
-    return stored(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, INDEX), "positions")
+    return store(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, INDEX), "positions")
 
 
 def _item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,38 +104,38 @@ def _item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.where("size(terms) > 0 AND item IS NOT NULL").dropDuplicates(["item", "terms"])
 
 
-def _phrases(terms: np.ndarray, window: int) -> list[np.ndarray]:
-    return [terms[i : i + window] for i in range(max(1, len(terms) - window + 1))]
+def _phrases(terms: np.ndarray, window: int, here: np.ndarray) -> Iterator[np.ndarray]:
+    """The windows of an item all of whose words occur in the shard (``here`` by word)."""
+    size = min(window, len(terms))
+    missing = np.concatenate([[0], np.cumsum(~here)])
+    for i in np.flatnonzero(missing[size:] == missing[: len(missing) - size]):
+        yield terms[i : i + size]
 
 
-def _starts(phrase: np.ndarray, lists: dict[int, np.ndarray], total: dict[int, int], slop: int) -> np.ndarray:
-    """Where the phrase begins: intersect offset-adjusted lists from the rarest term on. With
-    ``slop`` every other term may be that many words off its place."""
-    if any(int(t) not in lists for t in phrase):
-        return np.zeros(0, np.int64)
+def _starts(phrase: np.ndarray, lists: dict[int, np.ndarray], total: dict[int, int], bounds: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place, document) where the phrase begins: intersect offset-adjusted lists from the
+    rarest term on. With ``slop`` every other term may be that many words off its place.
+    All terms must be in the document of the rarest one."""
     order = sorted(range(len(phrase)), key=lambda j: (total[int(phrase[j])], j))
-    at = lists[int(phrase[order[0]])] - order[0]
+    rarest = lists[int(phrase[order[0]])]
+    at, doc = rarest - order[0], np.searchsorted(bounds, rarest, side="right") - 1
     for j in order[1:]:
         other = lists[int(phrase[j])]
-        i = np.searchsorted(other, at + j - slop)
+        least, most = np.maximum(at + j - slop, bounds[doc]), np.minimum(at + j + slop, bounds[doc + 1] - 1)
+        i = np.searchsorted(other, least)
         ok = i < len(other)
-        ok[ok] = other[i[ok]] <= at[ok] + j + slop
-        at = at[ok]
+        ok[ok] = other[i[ok]] <= most[ok]
+        at, doc = at[ok], doc[ok]
         if not len(at):
             break
-    return at
+    return at, doc
 
 
-def _spans(hits: list[tuple[np.ndarray, int]], bounds: np.ndarray, slop: int) -> list[tuple[int, list[dict]]]:
+def _spans(hits: list[tuple[np.ndarray, np.ndarray, int]], bounds: np.ndarray, slop: int) -> list[tuple[int, list[dict]]]:
     """(document, merged word ranges) of the phrase starts; none crosses documents."""
-    at = np.concatenate([a for a, _ in hits])
-    end = np.concatenate([a + n for a, n in hits])
-    doc = np.searchsorted(bounds, at, side="right") - 1
-    ok = (at >= 0) & (doc < len(bounds) - 1)
-    ok[ok] = end[ok] <= bounds[doc[ok] + 1]
-    at, end, doc = at[ok], end[ok], doc[ok]
-    if slop:
-        at, end = np.maximum(at - slop, bounds[doc]), np.minimum(end + slop, bounds[doc + 1])
+    at, doc = (np.concatenate([h[i] for h in hits]) for i in (0, 1))
+    end = np.concatenate([h[0] + h[2] for h in hits])
+    at, end = np.maximum(at - slop, bounds[doc]), np.minimum(end + slop, bounds[doc + 1])
     order = np.lexsort((end, at, doc))
     found: list[tuple[int, list[dict]]] = []
     for d, a, b in zip(doc[order], at[order], end[order], strict=True):
@@ -150,8 +150,23 @@ def _spans(hits: list[tuple[np.ndarray, int]], bounds: np.ndarray, slop: int) ->
     return found
 
 
-def _search_block(index: DataFrame, asked: list, window: int, slop: int) -> DataFrame:
-    items = [(r["item"], np.asarray(r["terms"], np.int64).view(np.uint64)) for r in asked]
+def _blocks(asked: DataFrame) -> Iterator[list[tuple[str, np.ndarray]]]:
+    """The items in blocks of at most BLOCK_ITEMS and BLOCK_WORDS, one at a time; an item of
+    more words is a block of its own."""
+    block: list[tuple[str, np.ndarray]] = []
+    held = 0
+    for item, terms in asked.select("item", "terms").toLocalIterator():
+        words = np.asarray(terms, np.int64).view(np.uint64)
+        if block and (len(block) >= BLOCK_ITEMS or held + len(words) > BLOCK_WORDS):
+            yield block
+            block, held = [], 0
+        block.append((item, words))
+        held += len(words)
+    if block:
+        yield block
+
+
+def _search_block(index: DataFrame, items: list[tuple[str, np.ndarray]], window: int, slop: int) -> DataFrame:
     vocab = np.unique(np.concatenate([t for _, t in items]))
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,16 +193,16 @@ def _search_block(index: DataFrame, asked: list, window: int, slop: int) -> Data
                 lists = {int(term[j]): np.cumsum(steps[ends[j - 1] if j else 0 : ends[j]], dtype=np.int64) for j in have}
                 bounds = np.concatenate([[0], np.cumsum(row["words"], dtype=np.int64)])
                 ids = batch.column("ids")[i].as_py()
-                seen: dict[bytes, np.ndarray] = {}
+                seen: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
                 out = []
                 for item, terms in items:
                     hits = []
-                    for phrase in _phrases(terms, window):
+                    for phrase in _phrases(terms, window, np.isin(terms, term[have])):
                         name = phrase.tobytes()
                         if name not in seen:
-                            seen[name] = _starts(phrase, lists, total, slop)
-                        if len(seen[name]):
-                            hits.append((seen[name], len(phrase)))
+                            seen[name] = _starts(phrase, lists, total, bounds, slop)
+                        if len(seen[name][0]):
+                            hits.append((*seen[name], len(phrase)))
                     if hits:
                         out += [{"shard": row["shard"], "doc_row": d, "id": ids[d], "item": item, "spans": s} for d, s in _spans(hits, bounds, slop)]
                 yield pa.RecordBatch.from_pylist(out, schema=_MATCH)
@@ -198,7 +213,7 @@ def _search_block(index: DataFrame, asked: list, window: int, slop: int) -> Data
 _MATCH = pa.schema([("shard", pa.string()), ("doc_row", pa.int32()), ("id", pa.int64()), ("item", pa.string()), ("spans", pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())])))])
 
 
-def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", *, window: int = 10, slop: int = 0) -> DataFrame:
+def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col: str = "text", *, window: int = 10, slop: int = 0, store=stored) -> DataFrame:
     """Matches of the items' windows: ``(shard, doc_row, id, item, spans)``.
 
     A window is ``window`` consecutive item words; an item of fewer is one window. ``spans``
@@ -207,11 +222,9 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     off its place relative to the rarest one, in one document. Items go to the shards in
     blocks of bounded size, so a larger item set costs more passes, not more memory.
     """
-    asked = stored(_item_words(items, id_col, text_col), "items")
-    n, words = asked.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
-    count = max(1, -(-n // BLOCK_ITEMS), -(-words // BLOCK_WORDS))
-    parts = [asked.where(F.pmod(F.xxhash64("item"), F.lit(count)) == b).collect() for b in range(count)]
-    found = [_search_block(index, p, window, slop) for p in parts if p]
+    with Scratch(index.sparkSession) as scratch:
+        asked = scratch.stored(_item_words(items, id_col, text_col), "items")
+        found = [store(_search_block(index, block, window, slop), "matches") for block in _blocks(asked)]
     return reduce(DataFrame.unionByName, found) if found else index.sparkSession.createDataFrame([], MATCH)
 
 
@@ -223,8 +236,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     empty table on either side gives documents without hits. Rows repeating an id are
     searched and returned on their own.
     """
-    index = build_index(docs, id_col, text_col)
-    matches = search(index, benchmark, item_col, item_text, window=window)
+    with Scratch(docs.sparkSession) as scratch:
+        index = build_index(docs, id_col, text_col, scratch.stored)
+        matches = search(index, benchmark, item_col, item_text, window=window, store=scratch.stored)
+        return scratch.result(_hits(index, matches, id_col), "hits")
+
+
+def _hits(index: DataFrame, matches: DataFrame, id_col: str) -> DataFrame:
     spans = F.array_sort(F.flatten(F.collect_list("spans")))
     found = matches.groupBy("shard", "doc_row").agg(F.array_sort(F.collect_set("item")).alias("items"), spans.alias("hits"))
     rows = index.select("shard", F.posexplode(F.arrays_zip("ids", "words")).alias("doc_row", "d")).select("shard", "doc_row", F.col("d.ids").alias(id_col), F.col("d.words").alias("n_words"))
