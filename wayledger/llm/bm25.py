@@ -1,10 +1,11 @@
 """Exact BM25 top-k with block-max WAND pruning, per shard, merged exactly.
 
 A shard is a bounded run of documents with its inverted index: per term the documents and
-frequencies, and per block of ``BLOCK`` documents the largest frequency and the smallest
-length, from which a bound on the term's contribution follows once the global statistics
-are known. Shards are searched with global statistics, so their scores compare, and the
-best k of all shards are the answer.
+frequencies, and per block of ``BLOCK`` documents that hold it where its postings end, the
+largest frequency and the smallest length. From these a bound on the term's contribution to
+the block follows once the global statistics are known, without touching a posting. Shards
+are searched with global statistics, so their scores compare, and the best k of all shards
+are the answer.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import stored, table
+from .common import Scratch, stored, table
 
 SHARD_BYTES, SHARD_DOCS = 8 << 20, 20_000
 BLOCK = 64
@@ -30,7 +31,7 @@ MAX_QUERIES, MAX_WORDS = 4096, 1 << 20
 #: Scores are compared after rounding to so many digits; pruning keeps this margin.
 DIGITS, MARGIN = 6, 1e-5
 
-INDEX = "shard string, ids array<bigint>, sizes array<bigint>, terms binary, dfs binary, docs binary, tfs binary"
+INDEX = "shard string, ids array<bigint>, sizes array<bigint>, terms binary, dfs binary, docs binary, tfs binary, n_blocks binary, blocks binary, block_ends binary, block_tfs binary, block_sizes binary"
 HITS = "query bigint, id bigint, score double"
 
 
@@ -46,11 +47,19 @@ def _shard(ids: list, sizes: list[np.ndarray], parts: list[np.ndarray]) -> pa.Re
     tf = np.diff(np.append(at, len(h)))
     term, first = np.unique(h[at], return_index=True)
     raw = lambda a, t: pa.array([a.astype(t).tobytes()], pa.binary())
-    arrays = [pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), raw(term, "<u8"), raw(np.diff(np.append(first, len(at))), "<u4"), raw(doc[at], "<u4"), raw(tf, "<u4")]
-    return pa.RecordBatch.from_arrays(arrays, names=["shard", "ids", "sizes", "terms", "dfs", "docs", "tfs"])
-
-
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    d, which = doc[at], np.repeat(np.arange(len(term)), np.diff(np.append(first, len(at))))
+    begin = np.ones(len(d), bool)
+    begin[1:] = (which[1:] != which[:-1]) | (d[1:] // BLOCK != d[:-1] // BLOCK)
+    b = np.flatnonzero(begin)
+    most, least = (np.maximum.reduceat(tf, b), np.minimum.reduceat(n[d], b)) if len(b) else (b, b)
+    arrays = [
+        pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), raw(term, "<u8"), raw(np.diff(np.append(first, len(at))), "<u4"), raw(d, "<u4"), raw(tf, "<u4"),
+        raw(np.bincount(which[b], minlength=len(term)), "<u4"), raw(d[b] // BLOCK, "<u4"), raw(np.append(b[1:], len(d))[: len(b)], "<u4"), raw(most, "<u4"), raw(least, "<u4"),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, names=[c.split(" ")[0] for c in INDEX.split(", ")])
+
+
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", store=stored) -> DataFrame:
     """The shards of every document, written to the shared folder. Null text: no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,55 +77,85 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if ids:
             yield _shard(ids, sizes, parts)
 
-    return stored(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, INDEX), "bm25")
+    return store(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, INDEX), "bm25")
 
 
 def _gain(tf: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
     return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
 
 
-def _top(lists: list[tuple[np.ndarray, np.ndarray, float]], sizes: np.ndarray, mean: float, k: int) -> list[tuple[float, int]]:
-    """The best k (score, document) of a shard, and all that tie with the k-th.
-
-    ``lists`` holds documents, gains and weight of each query term. Blocks are document
-    ranges; the sum of a block's bounds over the terms is its upper bound. Blocks are taken
-    from the highest bound on, and within one, terms from the highest bound on: documents
-    that the remaining bounds can't lift over the threshold are dropped (the pivot test).
-    """
-    blocks = -(-len(sizes) // BLOCK)
-    bounds = np.zeros((len(lists), blocks))
-    for i, (docs, gain, weight) in enumerate(lists):
-        np.maximum.at(bounds[i], docs // BLOCK, gain)
-        bounds[i] *= weight
-    total = bounds.sum(0)
-    heap: list[float] = []
-    found: list[tuple[float, int]] = []
-    for block in np.argsort(-total, kind="stable"):
-        floor = heap[0] if len(heap) == k else -1.0
-        if total[block] <= 0 or total[block] < floor - MARGIN:
-            break
-        score = np.zeros(BLOCK)
-        alive = np.ones(BLOCK, bool)
-        order = np.argsort(-bounds[:, block], kind="stable")
-        rest = total[block]
-        for i in order:
-            if bounds[i, block] <= 0:
-                break
-            docs, gain, weight = lists[i]
-            lo, hi = np.searchsorted(docs, [block * BLOCK, (block + 1) * BLOCK])
-            score[docs[lo:hi] - block * BLOCK] += weight * gain[lo:hi]
-            rest -= bounds[i, block]
-            alive = score + rest >= floor - MARGIN
-            if not alive.any():
+class Shard:
+    """One row of the index; the lists of ``vocab`` words with their global weights."""
+
+    def __init__(self, row: dict, vocab: np.ndarray, weight: np.ndarray, mean: float):
+        ints = {c: np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("dfs", "docs", "tfs", "n_blocks", "blocks", "block_ends", "block_tfs", "block_sizes")}
+        term = np.frombuffer(row["terms"], "<u8")
+        _, mine, have = np.intersect1d(vocab, term, assume_unique=True, return_indices=True)
+        last = np.cumsum(ints["n_blocks"])
+        self.ids, self.sizes, self.mean = row["ids"], np.asarray(row["sizes"], np.int64), mean
+        self.docs, self.tfs = ints["docs"], ints["tfs"]
+        self.count = -(-len(self.sizes) // BLOCK)
+        begins = np.concatenate([[0], ints["block_ends"]])
+        self.lists = {}
+        for i, j in zip(mine, have, strict=True):
+            own = slice(last[j] - ints["n_blocks"][j], last[j])
+            bound = weight[i] * _gain(ints["block_tfs"][own], ints["block_sizes"][own], mean)
+            self.lists[int(vocab[i])] = (weight[i], ints["blocks"][own], bound, begins[own], ints["block_ends"][own])
+
+    def top(self, words: np.ndarray, k: int) -> tuple[list[tuple[float, int]], int, int]:
+        """The best k (score, document), and all that tie with the k-th; postings scored, and
+        postings of the words in all.
+
+        The block with the highest bound gives a first threshold. Then the document pointer
+        moves to the next block whose bounds can reach the threshold (the pivot), past all
+        others. In a block the words go from the highest bound down, and it is left as soon as
+        the bounds that remain lift none of its documents over the threshold.
+        """
+        lists = [self.lists[int(t)] for t in words if int(t) in self.lists]
+        if not lists:
+            return [], 0, 0
+        which = np.repeat(np.arange(len(lists)), [len(x[1]) for x in lists])
+        block, bound, begin, end = (np.concatenate([x[c] for x in lists]) for c in (1, 2, 3, 4))
+        total = np.bincount(block, weights=bound, minlength=self.count)
+        order = np.lexsort((-bound, block))
+        at = np.searchsorted(block[order], np.arange(self.count + 1))
+        heap: list[float] = []
+        found: list[tuple[float, int]] = []
+        scored = 0
+
+        def visit(b: int, floor: float) -> None:
+            nonlocal scored
+            score, alive, rest = np.zeros(BLOCK), np.ones(BLOCK, bool), total[b]
+            for e in order[at[b] : at[b + 1]]:
+                p = slice(begin[e], end[e])
+                docs = self.docs[p]
+                score[docs - b * BLOCK] += lists[which[e]][0] * _gain(self.tfs[p], self.sizes[docs], self.mean)
+                scored += len(docs)
+                rest -= bound[e]
+                alive = score + rest >= floor - MARGIN
+                if not alive.any():
+                    return
+            for d in np.flatnonzero(alive & (score > 0)):
+                found.append((float(score[d]), int(b * BLOCK + d)))
+                if len(heap) < k:
+                    heapq.heappush(heap, float(score[d]))
+                elif score[d] > heap[0]:
+                    heapq.heapreplace(heap, float(score[d]))
+
+        first = int(np.argmax(total))
+        visit(first, -1.0)
+        pointer = 0
+        while True:
+            floor = heap[0] if len(heap) == k else -1.0
+            pivot = np.flatnonzero(total[pointer:] >= max(floor - MARGIN, 1e-12))
+            if not len(pivot):
                 break
-        for d in np.flatnonzero(alive & (score > 0)):
-            found.append((float(score[d]), int(block * BLOCK + d)))
-            if len(heap) < k:
-                heapq.heappush(heap, float(score[d]))
-            elif score[d] > heap[0]:
-                heapq.heapreplace(heap, float(score[d]))
-    floor = heap[0] if len(heap) == k else 0.0
-    return [x for x in found if x[0] >= floor - MARGIN]
+            pointer += int(pivot[0])
+            if pointer != first:
+                visit(pointer, floor)
+            pointer += 1
+        floor = heap[0] if len(heap) == k else 0.0
+        return [x for x in found if x[0] >= floor - MARGIN], scored, int((end - begin).sum())
 
 
 def _query_blocks(queries: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
@@ -151,21 +190,14 @@ def _search_block(index: DataFrame, asked: list[tuple[int, np.ndarray]], n_docs:
                 yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.frombuffer(n.as_py(), "<u4")[theirs].astype(np.int64))], names=["term", "n"])
 
     df = {r["term"]: r["n"] for r in index.select("terms", "dfs").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    idf = {int(vocab[i]): float(np.log(1 + (n_docs - n + 0.5) / (n + 0.5))) for i, n in df.items()}
+    n = np.array([df.get(i, 0) for i in range(len(vocab))])
+    weight = np.log(1 + (n_docs - n + 0.5) / (n + 0.5))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                ids, sizes = batch.column("ids")[r].as_py(), np.asarray(batch.column("sizes")[r].as_py(), np.int64)
-                term = np.frombuffer(batch.column("terms")[r].as_py(), "<u8")
-                ends = np.cumsum(np.frombuffer(batch.column("dfs")[r].as_py(), "<u4"), dtype=np.int64)
-                doc, tf = (np.frombuffer(batch.column(c)[r].as_py(), "<u4").astype(np.int64) for c in ("docs", "tfs"))
-                _, _, have = np.intersect1d(vocab, term, assume_unique=True, return_indices=True)
-                lists = {}
-                for j in have:
-                    a, b = ends[j - 1] if j else 0, ends[j]
-                    lists[int(term[j])] = (doc[a:b], _gain(tf[a:b], sizes[doc[a:b]], mean), idf[int(term[j])])
-                out = [(q, ids[d], s) for q, words in asked for s, d in _top([lists[int(t)] for t in words if int(t) in lists], sizes, mean, k)]
+                shard = Shard({c: batch.column(c)[r].as_py() for c in batch.schema.names}, vocab, weight, mean)
+                out = [(q, shard.ids[d], s) for q, words in asked for s, d in shard.top(words, k)[0]]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query", "id", "score"])
 
     return index.mapInArrow(run, HITS).withColumn("score", F.round("score", DIGITS))
@@ -180,14 +212,15 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     repeating an id are ranked on their own. Queries are searched in blocks of bounded size
     against the one stored index, so more queries cost more passes, not more memory.
     """
-    index = build_index(docs, id_col, text_col)
-    size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
-    n_docs, n_words = index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
-    mean = n_words / n_docs if n_words else 1.0
-    rows = queries.select(F.col(query_id).cast("long"), F.col(query_text)).where(F.col(query_id).isNotNull())
-    found = [stored(_best(_search_block(index, block, n_docs, mean, k), k).drop("rank"), "hits") for block in _query_blocks(rows)]
-    hits = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
-    return _best(hits, k).select(F.col("query").alias(query_id), "rank", F.col("id").alias(id_col), "score")
+    with Scratch(docs.sparkSession) as scratch:
+        index = build_index(docs, id_col, text_col, scratch.stored)
+        size = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
+        n_docs, n_words = index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+        mean = n_words / n_docs if n_words else 1.0
+        rows = queries.select(F.col(query_id).cast("long"), F.col(query_text)).where(F.col(query_id).isNotNull())
+        found = [scratch.stored(_best(_search_block(index, block, n_docs, mean, k), k).drop("rank"), "hits") for block in _query_blocks(rows)]
+        hits = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
+        return scratch.result(_best(hits, k).select(F.col("query").alias(query_id), "rank", F.col("id").alias(id_col), "score"), "best")
 
 
 def op5_bm25(spark, sf_dir: str) -> DataFrame:
