@@ -8,21 +8,26 @@ byte ranges of the chosen records are sorted by place and read in coalesced span
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, table
+from .common import Scratch, scratch, sized, table
 
 #: Bytes after which a writing task begins another file.
 ROLL_BYTES = 256 << 20
 #: A read spans at most so many bytes, and skips at most so many that nobody asked for.
-SPAN_BYTES = 4 << 20
+SPAN_BYTES = 1 << 20
+#: Bytes of records that a reading task gets.
+TASK_BYTES = 128 << 20
+#: Groups of equal payloads up to which their first pages may go to every task.
+BROADCAST_FIRSTS = 200_000
 GAP_BYTES = 64 << 10
 #: Payloads below this are never deduplicated.
 LEAST_PAYLOAD = 100
@@ -39,23 +44,33 @@ def _clean(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
-def _record(page_id: int | None, url: str | None, payload: bytes, digest: str, revisit: bool, refers_to: int | None) -> bytes:
-    """One WARC record as its own gzip member."""
+def _record_id(page_id: int | None, url: str | None, digest: str, nth: int) -> str:
+    """The record's id: the same on a rerun, another for every row of the table."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}:{digest}:{nth}')}>"
+
+
+def _record(page_id: int | None, url: str | None, payload: bytes, size: int, digest: str, record_id: str, refers_to: tuple[int, str | None, str] | None) -> bytes:
+    """One WARC record as its own gzip member; a revisit refers to another page's record."""
+    revisit = refers_to is not None
     head = [
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{url}')}>",
+        f"WARC-Record-ID: {record_id}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha256:{digest}",
-        f"WARC-Payload-Length: {len(payload)}",
+        f"WARC-Payload-Length: {size}",
         "Content-Type: application/http;msgtype=response",
     ]
     if url is not None:
         head.append(f"WARC-Target-URI: {_clean(url)}")
+        if _clean(url) != url:  # the standard header can't hold it as it is
+            head.append(f"WARC-Page-URL: {json.dumps(url)}")
     if page_id is not None:
         head.append(f"WARC-Page-ID: {page_id}")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if revisit:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Page: {refers_to}"]
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {refers_to[2]}", f"WARC-Refers-To-Date: {DATE}", f"WARC-Refers-To-Page: {refers_to[0]}"]
+        if refers_to[1] is not None:
+            head.append(f"WARC-Refers-To-Target-URI: {_clean(refers_to[1])}")
         block = http + b"\r\n"
     else:
         block = http + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
@@ -79,7 +94,7 @@ def _parsed(raw: bytes) -> dict:
     if kind == "response" and (len(payload) != size or hashlib.sha256(payload).hexdigest() != digest):
         raise ValueError("a payload differs from its digest")
     number = lambda k: int(fields[k]) if k in fields else None
-    return {"page_id": number("WARC-Page-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number("WARC-Refers-To-Page"), "payload": payload if kind == "response" else None}
+    return {"page_id": number("WARC-Page-ID"), "url": json.loads(fields["WARC-Page-URL"]) if "WARC-Page-URL" in fields else fields.get("WARC-Target-URI"), "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": number("WARC-Refers-To-Page"), "payload": payload if kind == "response" else None}
 
 
 def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
@@ -98,14 +113,16 @@ def _writer(folder: str):
         try:
             for batch in batches:
                 rows = []
-                for page_id, url, html, digest, revisit, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for page_id, url, html, size, digest, nth, first, first_url in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    revisit = first is not None
                     if out is None or out.tell() >= ROLL_BYTES:
                         if out is not None:
                             out.close()
                         store.create_dir(base, recursive=True)
                         name = f"{uuid.uuid4().hex}.warc.gz"
                         out = store.open_output_stream(f"{base}/{name}", compression=None)
-                    data = _record(page_id, url, html.encode(), digest, revisit, refers_to)
+                    refers_to = (first, first_url, _record_id(first, first_url, digest, 0)) if revisit else None
+                    data = _record(page_id, url, (html or "").encode(), size, digest, _record_id(page_id, url, digest, nth), refers_to)
                     rows.append({"file": f"{folder}/{name}", "offset": out.tell(), "length": len(data), "url": url, "payload_digest": digest, "record_type": "revisit" if revisit else "response", "page_id": page_id})
                     out.write(data)
                 yield _batch(rows, _schema(INDEX))
@@ -122,17 +139,27 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     Of rows with equal payloads of at least ``LEAST_PAYLOAD`` bytes the one with the smallest
     id is a response and the others revisit it; rows that share the smallest id are all
     responses. A null id counts as larger than any other; if all ids of a group are null,
-    all are responses. A null payload is empty. A rerun task writes files of its own names,
-    and only the index of the successful attempt counts.
+    all are responses. A null payload is empty; an empty table writes an empty index; other
+    columns are ignored. A rerun task writes files of its own names, and only the index of
+    the successful attempt counts. Digests are compared on narrow rows; the payloads of
+    revisits go no further than their length.
     """
+    spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    digest = F.sha2(F.col("html").cast("binary"), 256)
-    big = F.octet_length("html") >= LEAST_PAYLOAD
-    firsts = rows.where(big).groupBy(digest.alias("digest")).agg(F.min("page_id").alias("first"), F.count("*").alias("c")).where("c > 1 AND first IS NOT NULL").select("digest", "first")
-    joined = rows.withColumn("digest", digest).join(firsts, "digest", "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    records = joined.select("page_id", "url", "html", "digest", revisit.alias("revisit"), F.when(revisit, F.col("first")).alias("refers_to"))
-    return stored(records.mapInArrow(_writer(scratch(pages.sparkSession, "warc")), INDEX), "warc-index")
+    rows = rows.withColumn("digest", F.sha2(F.col("html").cast("binary"), 256)).withColumn("size", F.octet_length("html"))
+    with Scratch(spark) as scratch_:
+        least = F.min(F.struct("page_id", "url"))
+        groups = rows.where((F.col("size") >= LEAST_PAYLOAD) & F.col("page_id").isNotNull()).groupBy("digest").agg(least.alias("first"), F.count("*").alias("c"))
+        nameless = rows.where((F.col("size") >= LEAST_PAYLOAD) & F.col("page_id").isNull()).select("digest", F.lit(True).alias("nameless")).distinct()
+        several = groups.join(nameless, "digest", "left").where("c > 1 OR nameless")
+        firsts = scratch_.stored(several.select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "firsts")
+        odd = rows.groupBy("page_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+        nth = F.row_number().over(Window.partitionBy("page_id", "url", "digest").orderBy("size")) - 1 if odd else F.lit(0)
+        joined = rows.withColumn("nth", nth).join(sized(firsts, BROADCAST_FIRSTS), "digest", "left")
+        revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+        keep = lambda c: F.when(revisit, F.col(c)).alias(c)
+        records = joined.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "digest", "nth", keep("first"), keep("first_url"))
+        return scratch_.result(records.mapInArrow(_writer(scratch(spark, "warc")), INDEX), "warc-index")
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +190,14 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(index: DataFrame) -> DataFrame:
     """The records that ``index`` rows (any selection of them) point to, digests checked.
 
-    Rows are dealt out by file and stretch of file, so one large file is read by many tasks.
+    Rows are dealt out by file and stretch of file to as many tasks as the bytes that they
+    point to need, so one large file is read by many tasks. An empty index gives no records.
     """
+    spark = index.sparkSession
+    total = index.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    tasks = max(spark.sparkContext.defaultParallelism, -(-total // TASK_BYTES))
     near = F.floor(F.col("offset") / SPAN_BYTES)
-    ranges = index.select("file", "offset", "length").repartition("file", near).sortWithinPartitions("file", "offset")
+    ranges = index.select("file", "offset", "length").repartition(int(tasks), "file", near).sortWithinPartitions("file", "offset")
     return ranges.mapInArrow(_reader, RECORD)
 
 
