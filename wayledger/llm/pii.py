@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Scratch, stored, table
 
-KINDS = ("email", "ip", "card", "phone")
+#: The kinds that have exact patterns, then those that are only ever proposed.
+KINDS = ("email", "ip", "card", "phone", "secret")
+EXACT = 4
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,6 +35,8 @@ NOT_DIGIT = re.compile(r"[^0-9]")
 WIDE_EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:[\[(]dot[\])]|\.) ?[A-Za-z0-9-]{2,63}){1,4}", re.I)
 WIDE_IP = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
 WIDE_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")
+WIDE_SECRET = re.compile(r"(?:token|secret|password|passwd|api[ _-]?key|access[ _-]?key|private[ _-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_.~-]{12,128}={0,2})", re.I)
+HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 
 # Fixed word lists of the gazetteer and context labelers.
 DOMAINS = ("com", "net", "org", "edu", "gov", "io", "de", "fr", "es", "uk", "eu", "info", "biz", "co")
@@ -41,8 +45,9 @@ CUES = {
     "ip": ("ip", "host", "server", "address", "login"),
     "card": ("card", "visa", "pay", "credit", "karte", "carte", "tarjeta"),
     "phone": ("call", "phone", "tel", "fax", "mobile", "contact"),
+    "secret": ("token", "secret", "password", "passwd", "key", "auth", "credential"),
 }
-COUNTER_CUES = ("version", "isbn", "order", "invoice", "serial", "sku", "build", "part no", "section")
+COUNTER_CUES = ("version", "isbn", "order", "invoice", "serial", "sku", "build", "part no", "section", "example", "placeholder", "checksum", "commit", "sha1", "md5")
 
 LABELERS = 6
 #: Probability from which a proposed span is added.
@@ -95,6 +100,8 @@ def _wide_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int,
         if ":" in text:
             found += [(1, m.start(), m.end()) for m in WIDE_IP.finditer(text)]
         found += [(3, m.start(), m.end()) for m in WIDE_PHONE.finditer(text)]
+    if "=" in text or ":" in text:
+        found += [(4, m.start(1), m.end(1)) for m in WIDE_SECRET.finditer(text)]
     found.sort(key=lambda x: (x[1], x[0]))
     taken = sorted((s, e) for _, s, e in base)
     out, end, i = [], 0, 0
@@ -121,9 +128,12 @@ def _votes(text: str, kind: int, s: int, e: int, exact: bool) -> tuple[int, ...]
     elif kind == 2:
         shape = 2 if len(set(digits)) <= 2 else 1
         known = 1 if digits[0] in "3456" else 0
-    else:
+    elif kind == 3:
         shape = 2 if len(set(digits)) <= 2 else 1
         known = 2 if digits[:3] in ("000", "123") else 1
+    else:
+        shape = 1 if digits and len(set(span)) >= 8 and not span.isdigit() else 2
+        known = 1 if len(span) in (32, 40, 64) and HEX.fullmatch(span) else 2 if span.isalpha() else 0
     cue = 1 if any(c in before for c in CUES[KINDS[kind]]) else 0
     counter = 2 if any(c in before for c in COUNTER_CUES) else 0
     return (1 if exact else 0, shape, known, cue, counter, 1 if edge else 2)
@@ -168,30 +178,33 @@ def find(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     return rows.mapInArrow(run, f"{schema}spans {SPAN}")
 
 
-def reliabilities(kinds: np.ndarray, votes: np.ndarray, n: np.ndarray, rounds: int = 40) -> np.ndarray:
-    """Posterior that a candidate of each vote pattern is personal data: a two-class
-    latent model with, per labeler, a chance of each vote in either class."""
-    # Starting point: the share of votes for among votes cast.
-    cast = (votes > 0).sum(1)
-    post = np.where(cast > 0, ((votes == 1).sum(1) + 0.5) / (cast + 1.0), 0.5)
+def reliabilities(kinds: np.ndarray, votes: np.ndarray, n: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """(posterior, accuracies): the chance that a candidate of each vote pattern is personal
+    data, and each labeler's chance to be right where it votes.
+
+    Expectation-maximisation of a model in which labelers are right independently of each
+    other and where they don't vote tell nothing; a kind has a share of true candidates of
+    its own. Labelers are taken to be better than chance, or for and against could change
+    places.
+    """
+    right = np.full(votes.shape[1], 0.7)
+    share = np.full(kinds.max(initial=0) + 1, 0.5)
+    post = np.zeros(len(n))
     for _ in range(rounds):
-        weight = np.stack([n * (1 - post), n * post])
-        like = np.zeros((2, len(n)))
-        for c in range(2):
-            for k in np.unique(kinds):
-                mine = kinds == k
-                like[c, mine] += np.log((weight[c, mine].sum() + 1) / (n[mine].sum() + 2))
-            for j in range(votes.shape[1]):
-                chance = np.array([weight[c, votes[:, j] == v].sum() + 0.5 for v in range(3)])
-                like[c] += np.log(chance / chance.sum())[votes[:, j]]
-        post = 1 / (1 + np.exp(np.clip(like[0] - like[1], -40, 40)))
-    return post
+        odds = np.log(right / (1 - right))
+        score = np.log(share / (1 - share))[kinds] + ((votes == 1) * odds).sum(1) - ((votes == 2) * odds).sum(1)
+        post = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
+        agree = np.where(votes == 1, post[:, None], np.where(votes == 2, 1 - post[:, None], 0.0))
+        cast = (votes > 0) * n[:, None]
+        right = np.clip(((agree * n[:, None]).sum(0) + 7) / (cast.sum(0) + 10), 0.55, 0.99)
+        share = np.clip((np.bincount(kinds, weights=n * post, minlength=len(share)) + 1) / (np.bincount(kinds, weights=n, minlength=len(share)) + 2), 0.01, 0.99)
+    return post, right
 
 
 def span_classifier(kinds: np.ndarray, votes: np.ndarray, length: np.ndarray, n: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Probabilities of a logistic regression on kind, votes and length, fitted to the
     estimated labels weighted by how often each pattern occurs."""
-    x = np.concatenate([np.eye(4)[kinds], *(np.eye(3)[votes[:, j]] for j in range(1, votes.shape[1])), np.eye(4)[length]], axis=1)
+    x = np.concatenate([np.eye(len(KINDS))[kinds], *(np.eye(3)[votes[:, j]] for j in range(1, votes.shape[1])), np.eye(4)[length]], axis=1)
     w, weight = np.zeros(x.shape[1]), n / max(n.sum(), 1)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -210,7 +223,7 @@ def learn(found: DataFrame) -> list[int]:
     parts = [_unpacked(int(p)) for p in counts["pattern"]]
     kinds, votes, length = np.array([p[0] for p in parts]), np.array([p[1] for p in parts]), np.array([p[2] for p in parts])
     n = counts["n"].to_numpy(float)
-    label = reliabilities(kinds, votes, n)
+    label, _ = reliabilities(kinds, votes, n)
     sure = span_classifier(kinds, votes, length, n, label)
     return [int(p) for p, q in zip(counts["pattern"], sure, strict=True) if q >= ACCEPT]
 
@@ -223,7 +236,8 @@ def _text(spans: Column) -> Column:
 
 
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: counts and digest of the base spans, and all spans with the added ones.
+    """Per row: counts and digest of the base spans, and all spans with the added ones, which
+    may be of kinds without an exact pattern (secrets).
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans. Rows
     repeating an id are searched on their own. Without any candidate nothing is learnt.
@@ -233,13 +247,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     base = F.filter("spans", lambda c: c["base"])
     every = F.filter("spans", lambda c: c["base"] | c["pattern"].isin(accepted)) if accepted else base
     count = lambda k: F.size(F.filter("spans", lambda c: c["base"] & (c["kind"] == k))).cast("long").alias(f"n_{KINDS[k]}")
-    return found.select(id_col, *map(count, range(4)), F.sha2(_text(base).cast("binary"), 256).alias("base_sha256"), _text(every).alias("spans"))
+    return found.select(id_col, *map(count, range(EXACT)), F.sha2(_text(base).cast("binary"), 256).alias("base_sha256"), _text(every).alias("spans"))
 
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with every base and accepted span of the text replaced by its kind in angle
-    brackets; the longest of overlapping spans wins. Null texts stay null."""
-    accepted = frozenset(learn(stored(find(docs.select(text_col), [], text_col), "spans")))
+    brackets. Of overlapping spans the earliest wins, then the longest; what the others cover
+    beyond it goes too. Null texts stay null. The texts are searched twice, once to learn from
+    all candidates and once to replace, so that no text is shuffled or stored."""
+    with Scratch(docs.sparkSession) as scratch:
+        accepted = frozenset(learn(scratch.stored(find(docs.select(text_col), [], text_col), "spans")))
 
     def clean(text: str) -> str:
         out, at = [], 0
