@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import Scratch, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Random offsets tried for each source; the one that meets the target best is used.
@@ -43,17 +43,17 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float
     return per.select(_source_key(F.col("source")).alias("key"), "source_size", F.least(most * F.col("source_size"), F.coalesce(level, F.lit(0.0)) * F.col("w")).alias("target"))
 
 
-def _ranked(sizes: DataFrame) -> DataFrame:
+def _ranked(scratch: Scratch, sizes: DataFrame) -> DataFrame:
     """``rank`` of each row within its source, by size, then a hash of the id.
 
     Rows are range partitioned by source and order, so a large source spans many tasks;
     each task ranks its part, and the counts of the parts before it are added.
     """
-    spread = sizes.repartitionByRange("key", "size", "hash", "doc").withColumn("part", F.spark_partition_id())
-    spread = stored(spread, "ranges")
+    spread = sizes.repartitionByRange("key", "size", "hash", "doc", "row").withColumn("part", F.spark_partition_id())
+    spread = scratch.stored(spread, "ranges")
     counts = spread.groupBy("key", "part").agg(F.count("*").alias("c"))
     before = counts.select("key", "part", F.coalesce(F.sum("c").over(Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("key", "part").orderBy("size", "hash", "doc"))
+    own = F.row_number().over(Window.partitionBy("key", "part").orderBy("size", "hash", "doc", "row"))
     return spread.withColumn("own", own).join(before, ["key", "part"]).withColumn("rank", F.col("own") + F.col("before"))
 
 
@@ -67,24 +67,28 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Documents stand in order of size, so that neighbours in the prefix sum are alike and a
     source's words come near its target; of ``OFFSETS`` equally spaced offsets, turned by a
     hash of the source, the nearest is used. Reruns give the same mix. Null or wordless
-    texts have size 0; rows repeating an id are documents of their own; null sources are one
-    source. A source of size 0 has target 0.
+    texts have size 0; rows repeating an id are documents of their own (those equal in id,
+    source and text share a ``row``, and which of them is taken makes no difference); null
+    sources are one source. A source of size 0 has target 0; an empty table gives no rows.
+    Other columns are ignored.
     """
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    own_id = F.xxhash64(*[F.col(c) for c in (id_col, source_col, text_col)])
-    sizes = docs.select(F.col(id_col).alias("doc"), own_id.alias("row"), F.col(source_col).alias("source"), size.alias("size"))
-    sizes = stored(sizes.withColumn("key", _source_key(F.col("source"))).withColumn("hash", F.md5(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary"))), "sizes")
-    goal = stored(targets(sizes.select("source", "size"), weights, share, most), "targets")
-    each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    ranked = _ranked(sizes).join(goal, "key").withColumn("each", each)
-    ranked = stored(ranked.select("key", "doc", "row", "size", "rank", "each", "source_size", "target"), "ranked")
-    turn = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    offset = (turn + F.col("j") / F.lit(float(OFFSETS))) % F.lit(1.0)
-    tried = ranked.select("key", "size", "rank", "each", "target", F.explode(F.sequence(F.lit(0), F.lit(OFFSETS - 1))).alias("j")).withColumn("offset", offset)
-    sums = tried.groupBy("key", "j").agg(F.first("offset").alias("offset"), F.first("target").alias("target"), F.sum(F.col("size") * _copies(F.col("rank"), F.col("each"), F.col("offset"))).alias("words"))
-    best = sums.groupBy("key").agg(F.min(F.struct(F.abs(F.col("words") - F.col("target")).alias("miss"), "j", "offset")).alias("best"))
-    chosen = ranked.join(best.select("key", F.col("best.offset").alias("offset")), "key")
-    return chosen.select(F.col("doc").alias(id_col), "row", "size", "source_size", "target", _copies(F.col("rank"), F.col("each"), F.col("offset")).alias("copies"))
+    with Scratch(docs.sparkSession) as scratch:
+        size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+        own_id = F.xxhash64(*[F.col(c) for c in (id_col, source_col, text_col)])
+        sizes = docs.select(F.col(id_col).alias("doc"), own_id.alias("row"), F.col(source_col).alias("source"), size.alias("size"))
+        sizes = scratch.stored(sizes.withColumn("key", _source_key(F.col("source"))).withColumn("hash", F.md5(F.coalesce(F.col("doc").cast("string"), F.lit("")).cast("binary"))), "sizes")
+        goal = scratch.stored(targets(sizes.select("source", "size"), weights, share, most), "targets")
+        each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        ranked = _ranked(scratch, sizes).join(goal, "key").withColumn("each", each)
+        ranked = scratch.stored(ranked.select("key", "doc", "row", "size", "rank", "each", "source_size", "target"), "ranked")
+        turn = F.conv(F.substring(F.md5(F.col("key").cast("binary")), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+        offsets = [(turn + F.lit(float(j)) / F.lit(float(OFFSETS))) % F.lit(1.0) for j in range(OFFSETS)]
+        words = [F.sum(F.col("size") * _copies(F.col("rank"), F.col("each"), x)).alias(f"w{j}") for j, x in enumerate(offsets)]
+        sums = ranked.groupBy("key").agg(F.first("target").alias("target"), *words)
+        best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"w{j}") - F.col("target")).alias("miss"), F.lit(j).alias("j"), x.alias("offset")) for j, x in enumerate(offsets)]))
+        chosen = ranked.join(sums.select("key", best["offset"].alias("offset")), "key")
+        copies = _copies(F.col("rank"), F.col("each"), F.col("offset")).alias("copies")
+        return scratch.result(chosen.select(F.col("doc").alias(id_col), "row", "size", "source_size", "target", copies), "mix")
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
