@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wayledger.operators import health as H
+from wayledger.operators import telemetry as T
 from wayledger.plans import queries
 from wayledger.plans.recompute import recompute
 from wayledger.sources import landing
@@ -88,7 +89,10 @@ def test_recompute_rewrites_new_dates_and_what_looks_back_at_them(spark, tmp_pat
 
 def test_progress_of_all_streams(spark):
     f = queries.Fleet(spark, SF)
-    _, running = monitor.run_all(f.raw)
-    got = {r["query"]: r for r in monitor.late_rows(monitor.progress_rows(spark, running)).collect()}
-    assert set(got) == {"dedup", "zone_hourly", "vehicle_daily", "vehicle_state"}
-    assert {r["input_rows"] for r in got.values()} == {f.raw.count()}
+    root, progress = monitor.run_all(f.wire)
+    got = {r["query"]: r for r in monitor.late_rows(progress).collect()}
+    assert set(got) == {"archive", "dlq", "dlq_reasons", "dedup", "zone_hourly", "vehicle_daily", "vehicle_state"}
+    assert {r["input_rows"] for r in got.values()} == {f.wire.count()}
+    left = {r["query"]: r["rows"] for r in monitor.outputs(spark, root).collect()}
+    assert left["archive"] == f.wire.count() and left["dlq"] + T.valid(f.raw).count() == left["archive"]
+    assert all(r["last_at"] for r in monitor.freshness(progress).collect())

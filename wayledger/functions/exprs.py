@@ -108,7 +108,7 @@ def thousands(x: Column) -> Column:
 
 def percent(x: Column) -> Column:
     """One decimal and a percent sign; a dash for null."""
-    return F.coalesce(F.concat(F.format_string("%.1f", x.cast("double") * 100), F.lit("%")), F.lit("-"))
+    return F.when(x.isNotNull(), F.format_string("%.1f%%", x.cast("double") * 100)).otherwise("-")
 
 
 def reasons(p: Params = DEFAULT) -> Column:

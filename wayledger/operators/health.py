@@ -65,7 +65,8 @@ def run_log_latest(events: DataFrame) -> DataFrame:
     """
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("at"))).alias(c)
     done = F.max(F.when(F.col("status").isin(*FINISHED), F.col("at"))).alias("finished_at")
-    runs = events.groupBy("run_id").agg(last("sim_date"), last("version"), last("status"), last("late"), last("quarantined"), F.min("at").alias("started_at"), done)
+    known = [last(c) for c in ("sim_date", "version", "status", "late", "quarantined") if c in events.columns]
+    runs = events.groupBy("run_id").agg(*known, F.min("at").alias("started_at"), done)
     tasks = events.select("run_id", "at", F.explode("durations").alias("task", "seconds")).groupBy("run_id", "task").agg(F.max_by("seconds", "at").alias("seconds"))
     merged = tasks.groupBy("run_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("task", "seconds")))).alias("durations"))
     return runs.join(merged, "run_id", "left")
