@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -21,22 +21,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of ``links``: component is the smallest node reachable.
 
     Every round is two grouped minima (partial aggregation takes a hub's many links) and
-    is written to the shared folder; the number of rounds is logarithmic in the longest
-    chain. Self links are ignored. An empty link table gives an empty result.
+    is written to the shared folder in place of the round before; the number of rounds is
+    logarithmic in the longest chain. Self links are ignored. An empty link table gives an
+    empty result.
     """
-    edges = stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
+    edges = scratch.stored(links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v").distinct(), "edges")
     mark = None
-    for _ in range(max_rounds):
-        edges = stored(_small_star(_large_star(edges)), "edges")
+    while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or now[0] == 0:
             break
-        mark = now
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+        mark, old = now, edges
+        edges = scratch.stored(_small_star(_large_star(old)), "edges")
+        scratch.drop(old)
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
