@@ -11,6 +11,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -24,6 +25,13 @@ from .common import table
 REMEMBERED = 1 << 19
 NONE = np.iinfo(np.int64).max
 
+# Where the tokenizer library and this interpreter's tables differ. Lower case of
+# letters that are newer than the tables, and unassigned characters that the tables take for
+# letters.
+NEWER_LOWER = (("\uA7CB", "\u0264"), ("\uA7DC", "\u019B"))
+NO_LETTERS = "\U00032808\U0003285C\U00032988\U0003D808\U0003D85C\U0003D988\U0003E808\U0003E85C\U0003E988\U0003F808\U0003F85C\U0003F988"
+HAS_NO_LETTER = regex.compile(f"[{NO_LETTERS}]")
+
 
 def byte_symbols() -> dict[int, str]:
     """The printable stand-in of each byte: itself where printable, else from 256 on."""
@@ -35,9 +43,7 @@ def byte_symbols() -> dict[int, str]:
 class Merger:
     """A tokenizer file's rules as arrays."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, spec: dict):
         model, vocab = spec["model"], spec["model"]["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
@@ -51,7 +57,9 @@ class Merger:
         self.inner = np.array([vocab[sym[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[sym[b] + self.suffix] for b in range(256)], np.int64)
         splits = [p for p in spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]]) if p["type"] == "Split"]
-        self.split = regex.compile(splits[0]["pattern"]["Regex"])
+        pattern = splits[0]["pattern"]["Regex"]
+        self.split = regex.compile(pattern)
+        self.split_odd = regex.compile(pattern.replace(r"\p{L}", rf"[\p{{L}}--[{NO_LETTERS}]]"), regex.V1)
         self.special = [t["content"] for t in spec["added_tokens"] if t["special"] and not t["normalized"]]
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.known: dict[str, int] = {}
@@ -100,8 +108,13 @@ class Merger:
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens: NFC, white space runs to one space, lower case by character, split."""
         text = unicodedata.normalize("NFC", text)
+        if text.isascii():
+            return self.split.findall(text.lower())
+        for upper, lower in NEWER_LOWER:
+            text = text.replace(upper, lower)
         # str.lower() writes a word-final sigma differently; the file's rule is by character.
-        return self.split.findall(text.replace("Σ", "σ").lower())
+        text = text.replace("Σ", "σ").lower()
+        return (self.split_odd if HAS_NO_LETTER.search(text) else self.split).findall(text)
 
     def __call__(self, texts: list[str]) -> list[int]:
         base, split = [], []
@@ -120,20 +133,28 @@ class Merger:
 
 
 @lru_cache(maxsize=2)
+def _of_file(raw: bytes) -> Merger:
+    return Merger(json.loads(raw))
+
+
 def merger(path: str) -> Merger:
-    return Merger(path)
+    return _of_file(Path(path).read_bytes())
 
 
 def count_tokens(docs: DataFrame, path: str, text_col: str = "text", *, limit: int = 2048) -> DataFrame:
     """``docs`` with ``n_bytes``, ``n_tokens`` and ``over_limit`` (more than ``limit``).
 
     A null text counts as empty. The special strings of the file are one token each where
-    they stand in a text; no begin or end token is added. Nothing is shuffled.
+    they stand in a text; no begin or end token is added. Every row is counted on its own, so
+    repeated rows and ids make no difference; an empty table gives no rows; columns with the
+    names of the new ones are replaced. The file is read once, by the driver, and its contents
+    (which don't grow with the data) go with the tasks. Nothing is shuffled.
     """
+    raw = Path(path).read_bytes()
 
     @F.pandas_udf("long")
     def tokens(texts: pd.Series) -> pd.Series:
-        rules = merger(path)
+        rules = _of_file(raw)
         out: list[int] = []
         held: list[str] = []
         size = 0
