@@ -22,7 +22,7 @@ from .common import Scratch, sized
 from .components import components
 
 #: Cells of the frequency sketch that decides which n-grams come last in the order.
-CELLS = 1 << 24
+CELLS = 1 << 22
 #: Most cells that may be marked as common; the table of them is sent to every task.
 MAX_COMMON_CELLS = 1 << 16
 #: Members of a component that travel together in a candidate group.
@@ -31,7 +31,7 @@ CHUNK = 256
 #: power of two. Each n-gram flips one, so sets differ in at least as many n-grams as bits.
 BITS = 512
 #: Words of parity bits that are compared at a time.
-COMPARED = 1 << 22
+COMPARED = 1 << 20
 
 
 def _ids(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
@@ -351,8 +351,8 @@ def _components(scratch: Scratch, docs: DataFrame, id_col: str, text_col: str, k
     alone = merged.join(parts.select("node"), "node", "left_anti").select("node", "component")
     final = scratch.stored(final.unionByName(alone), "parts")
     found = sets.join(classes.drop("last"), ["n", "s1", "s2"]).join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    part = found.select("node", "id", "n", F.coalesce("component", "rep").alias("part"))
-    lowest = part.groupBy("part").agg(F.min("id").alias("component_id"))
+    part = scratch.stored(found.select("id", "n", F.coalesce("component", "rep").alias("part")), "members")
+    lowest = scratch.stored(part.groupBy("part").agg(F.min("id").alias("component_id")), "lowest")
     out = part.join(lowest, "part").select("id", F.col("n").alias("n_shingles"), "component_id")
     empty = seen.where("node IS NOT NULL AND n = 0").select("id", F.col("n").alias("n_shingles"), F.col("id").alias("component_id"))
     return scratch.result(out.unionByName(empty).withColumnRenamed("id", id_col), "components")
