@@ -13,6 +13,9 @@ BROADCAST_IDS = 4_000_000
 #: Makes Spark delete the shuffle files of a finished write at once.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Rows of an Arrow batch. Texts are long: the default of 10,000 rows makes batches of tens of MB.
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def scratch(spark: SparkSession, label: str) -> str:
     """A fresh path below the folder that driver and executors share.
@@ -62,6 +65,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.tables = spark, []
+        small_batches(spark)
 
     def __enter__(self) -> Scratch:
         return self
@@ -96,6 +100,13 @@ def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def small_batches(spark: SparkSession) -> None:
+    """At most ROWS rows of texts travel between Spark and Python at a time from now on in this
+    session; a batch is held several times over on both sides."""
+    if int(spark.conf.get(BATCH, "10000")) > ROWS:
+        spark.conf.set(BATCH, str(ROWS))
+
+
 def crc_mod(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; the split rule of the learners."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import crc_mod, table
+from .common import crc_mod, small_batches, table
 
 #: Most labelled rows the model is fitted on, those with the least hashes of the id.
 MAX_TRAIN = 20_000
@@ -234,6 +234,7 @@ def classify(docs: DataFrame, labels: DataFrame, keep: list[str], id_col: str =
     are scored like any other; rows repeating an id are scored on their own. Without labels
     every score is 0.5. Kept columns with the names of the new ones are left out.
     """
+    small_batches(docs.sparkSession)
     model = fit_labels(docs, labels, id_col, text_col)
     new = ["held_out", "score", "predicted"]
     keep = [c for c in keep if c not in new]

@@ -23,7 +23,7 @@ from . import textbytes as tb
 from .common import Scratch, stored, table
 
 #: Text bytes and documents of one shard; they bound a row of the index.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 SHARD_DOCS = 20_000
 #: Items and words of one block of queries; a block is what every task receives.
 BLOCK_ITEMS = 4096
