@@ -1 +1 @@
-"""Training-data operators: ten Spark jobs over document and page tables."""
+"""Training-data operators: thirteen Spark jobs over document, page and embedding tables."""

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from .bm25 import OP5_DOCUMENTS_SQL, OP5_SQL, op5_bm25, op5_bm25_documents
 from .gam import op1_quality
+from .geometric import OP11_SQL, op11_ranked
 from .hmm_lm import op6_hmm
 from .jaccard_join import op9_jaccard
 from .mixing import OP7_SQL, op7_mixing
@@ -30,7 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_jaccard": op9_jaccard,
     "op10_pii": op10_pii,
-    "pipeline": corpus_pipeline.run,
+    "op11_ranked": op11_ranked,
 }
 
 ORACLES: dict[str, str] = {
@@ -38,4 +38,5 @@ ORACLES: dict[str, str] = {
     "op5_bm25_documents": OP5_DOCUMENTS_SQL,
     "op7_mixing": OP7_SQL,
     "op8_warc": OP8_SQL,
+    "op11_ranked": OP11_SQL,
 }
