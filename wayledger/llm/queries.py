@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bm25 import OP5_DOCUMENTS_SQL, OP5_SQL, op5_bm25, op5_bm25_documents
+from .byte_bpe import op13_byte_bpe
 from .gam import op1_quality
 from .geometric import OP11_SQL, op11_ranked
 from .hmm_lm import op6_hmm
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_pii": op10_pii,
     "op11_ranked": op11_ranked,
+    "op13_byte_bpe": op13_byte_bpe,
 }
 
 ORACLES: dict[str, str] = {
