@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bm25 import OP5_DOCUMENTS_SQL, OP5_SQL, op5_bm25, op5_bm25_documents
 from .byte_bpe import op13_byte_bpe
+from .dual_tree import OP12_SQL, op12_codes
 from .gam import op1_quality
 from .geometric import OP11_SQL, op11_ranked
 from .hmm_lm import op6_hmm
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_jaccard": op9_jaccard,
     "op10_pii": op10_pii,
     "op11_ranked": op11_ranked,
+    "op12_codes": op12_codes,
     "op13_byte_bpe": op13_byte_bpe,
 }
 
@@ -41,4 +43,5 @@ ORACLES: dict[str, str] = {
     "op7_mixing": OP7_SQL,
     "op8_warc": OP8_SQL,
     "op11_ranked": OP11_SQL,
+    "op12_codes": OP12_SQL,
 }
