@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +108,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(ROWS))
 
 
+@contextmanager
+def single_rows(spark: SparkSession):
+    """Rows of an index travel to Python one at a time: each is some MB."""
+    before = spark.conf.get(BATCH, "10000")
+    spark.conf.set(BATCH, "1")
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def crc_mod(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; the split rule of the learners."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % F.lit(modulus)

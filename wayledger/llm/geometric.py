@@ -24,19 +24,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import Scratch, stored, table
+from .common import Scratch, single_rows, stored, table
 from .phrase_index import _planes, _unplanes
 
 #: Text bytes and documents of one shard; they bound a row of the index.
-SHARD_BYTES, SHARD_DOCS = 8 << 20, 20_000
+SHARD_BYTES, SHARD_DOCS = 4 << 20, 20_000
 #: Postings of one block at most, and of a list that is read without a look at summaries.
-BLOCK, SHORT = 128, 64
+BLOCK, SHORT = 256, 64
 #: Documents of a leaf of the similarity tree, its depth, and the dimensions it looks at.
 LEAF, DEPTH, DIMENSIONS = 16, 20, 16
 #: Queries and their words that are searched together; more take further passes.
 MAX_QUERIES, MAX_WORDS = 4096, 1 << 18
 #: Cells of the dense table in which summaries are gathered.
-CELLS = 1 << 21
+CELLS = 1 << 20
 NO_ID = np.iinfo(np.int64).max
 
 FORWARD = "shard string, ids array<bigint>, sizes array<bigint>, terms binary, counts binary, places binary, tfs binary"
@@ -388,11 +388,12 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_
         found = []
         for block in _query_blocks(asked):
             vocab = np.unique(np.concatenate([t for _, t in block]))
-            df = _frequencies(forward, vocab)
-            weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for n in df.tolist()], np.int64)
             local = [(q, np.searchsorted(vocab, t)) for q, t in block]
-            blocks = block_index(forward, vocab, weight, n_docs, n_words, scratch.stored)
-            found.append(scratch.stored(_best(_search_block(blocks, local, weight, k), k).drop("rank"), "hits"))
+            with single_rows(docs.sparkSession):
+                df = _frequencies(forward, vocab)
+                weight = np.array([math.floor(1000 * math.log((2 * n_docs + 2) / (2 * n + 1))) for n in df.tolist()], np.int64)
+                blocks = block_index(forward, vocab, weight, n_docs, n_words, scratch.stored)
+                found.append(scratch.stored(_best(_search_block(blocks, local, weight, k), k).drop("rank"), "hits"))
             scratch.drop(blocks)
         hits = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
         named = _best(hits, k).join(asked.select("query", "item"), "query")
