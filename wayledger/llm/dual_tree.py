@@ -264,7 +264,7 @@ def _codes(blocks: DataFrame, books: np.ndarray, ids: str, labels: str) -> DataF
     digits = np.array([f"{i:02x}" for i in range(books.shape[1])] or ["00"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = [Codebook(b) for b in books]
+        trees = [Codebook(b) for b in books] if books.shape[1] else []
         for batch in batches:
             for r in range(batch.num_rows):
                 row = batch.slice(r, 1)
