@@ -338,7 +338,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
         coder = _transducer(raw, pattern)
         return pd.Series([coder.encode(t) if t else b"" for t in texts], dtype=object)
 
-    return docs.withColumn(ids_col, ids(F.col(text_col))).withColumn("n_tokens", (F.octet_length(ids_col) / 4).cast("long"))
+    # Not to be computed again for each use of the column.
+    return docs.withColumn(ids_col, ids.asNondeterministic()(F.col(text_col))).withColumn("n_tokens", (F.octet_length(ids_col) / 4).cast("long"))
 
 
 def _decoded(vocab: Vocabulary, ids: bytes | None) -> tuple[bytes, bool]:
