@@ -51,18 +51,48 @@ def invalid(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return validated(events, p).where("reason IS NOT NULL")
 
 
-def deduplicated(events: DataFrame, key: str = "event_id") -> DataFrame:
-    """The first copy of each event by event time, then offset."""
-    first = Window.partitionBy(key).orderBy("event_time", "kafka_offset")
+#: What the figures of a day need of an event: no raw text, and of its source the offset only.
+NARROW = ("event_id", "event_type", "trip_id", "driver_id", "vehicle_id", "lat", "lon", "speed", "status", "fare", "event_time", "kafka_offset", "arrival_time")
+
+
+def deduplicated(events: DataFrame, *key: str) -> DataFrame:
+    """The first copy of each event of a day by event time, then offset.
+
+    Equal ids on different dates are different events, so a day's figures depend on that day
+    alone, whichever other days a job reads.
+    """
+    first = Window.partitionBy(*(key or ("sim_date", "event_id"))).orderBy("event_time", "kafka_offset")
     return events.withColumn("nth", F.row_number().over(first)).where("nth = 1").drop("nth")
 
 
-def clean(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Valid, deduplicated events with date and zone."""
-    own = deduplicated(valid(events.drop("sim_date"), p))
+def narrowed(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Valid events with date and zone, and without the columns that only the archive needs."""
+    own = valid(events.drop("sim_date"), p)
+    own = own.select(*[c for c in NARROW if c in own.columns])
     return own.withColumn("sim_date", X.sim_date(F.col("event_time"))).withColumn("zone_id", X.zone_id(F.col("lat"), F.col("lon"), p))
 
 
+def clean(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """Valid events, deduplicated in their day, with date and zone."""
+    return deduplicated(narrowed(events, p))
+
+
+def clustered(events: DataFrame, buckets: int, p: Params = DEFAULT) -> DataFrame:
+    """The same but for ids that several vehicles share in a day, distributed by vehicle.
+
+    One exchange of narrow rows: copies of an event lie beside each other in their vehicle's
+    partition. ``shared`` finds the rows that are left over.
+    """
+    return deduplicated(narrowed(events, p).repartition(buckets, "vehicle_id"), "sim_date", "vehicle_id", "event_id")
+
+
+def shared(events: DataFrame) -> DataFrame:
+    """Rows of ``clustered`` to leave out: events whose id another vehicle used earlier that day."""
+    place = F.struct("event_time", "kafka_offset", "vehicle_id")
+    first = events.groupBy("sim_date", "event_id").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1")
+    return events.select("sim_date", "event_id", "vehicle_id").join(first, ["sim_date", "event_id"]).where(F.col("vehicle_id") != F.col("first.vehicle_id")).select("sim_date", "event_id", "vehicle_id")
+
+
 def _by_vehicle_day() -> Window:
     return Window.partitionBy("sim_date", "vehicle_id").orderBy("event_time", "event_id")
 

@@ -40,7 +40,7 @@ e0 AS (
   FROM raw WHERE lat IS NOT NULL
 ), cl AS (
   SELECT ok.*, strftime(event_time, '%Y-%m-%d') AS sim_date, z.zone_id FROM ok JOIN z USING (kafka_offset)
-  QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY event_time, kafka_offset) = 1
+  QUALIFY row_number() OVER (PARTITION BY event_time::DATE, event_id ORDER BY event_time, kafka_offset) = 1
 )"""
 
 SEQ = r""", w AS (

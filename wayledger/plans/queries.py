@@ -15,7 +15,7 @@ from ..operators import health as H
 from ..operators import serving as S
 from ..operators import telemetry as T
 from ..schemas import EXPENSE_COLUMNS
-from ..sources import fleet, landing
+from ..sources import clustered, fleet, landing
 from ..streaming import jobs, monitor
 from .recompute import recompute, reconcile
 
@@ -23,19 +23,38 @@ NOW = "2024-01-06 12:00:00"
 
 
 #: Tables of the batch layer that have been written: by session, events table and its time.
-_CURATED: dict[tuple, str] = {}
+_CURATED: dict = {}
+
+
+def _key(spark: SparkSession, sf_dir: str, name: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    changed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
+    return spark.sparkContext.applicationId, sf_dir, changed, name
+
+
+def _clustered(spark: SparkSession, sf_dir: str, build: Callable[[int], DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """The clustered events, and those to leave out if there are any; written once."""
+    key = _key(spark, sf_dir, "clean")
+    if key not in _CURATED:
+        buckets = clustered.default_buckets(spark)
+        name = clustered.write(build(buckets), jobs.folder(spark), buckets)
+        left_over = T.shared(spark.table(name))
+        root = None if left_over.isEmpty() else jobs.folder(spark)
+        if root:
+            left_over.write.parquet(root)
+        _CURATED[key] = (name, root)
+    name, root = _CURATED[key]
+    return spark.table(name), None if root is None else spark.read.parquet(root)
 
 
 def _curated(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], partition: str | None = None) -> DataFrame:
     """A table of the batch layer: written once for an events table, then read by column and
     partition. A changed events table makes a new one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
-    changed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).getModificationTime()
-    key = (spark.sparkContext.applicationId, sf_dir, changed, name)
+    key = _key(spark, sf_dir, name)
     df = build()
     if key not in _CURATED:
         root = jobs.folder(spark)
-        writer = (df.hint("rebalance", partition) if partition else df).write
+        writer = df.write
         (writer.partitionBy(partition) if partition else writer).parquet(root)
         _CURATED[key] = root
     return spark.read.schema(df.schema).parquet(_CURATED[key])
@@ -65,7 +84,10 @@ class Fleet:
 
     @cached_property
     def clean(self) -> DataFrame:
-        return self._table("clean", lambda: T.clean(T.guarded(self.raw)), "sim_date")
+        """The clean events, by vehicle and date. Ids that vehicles share are looked for once,
+        when the table is written; mostly there are none and reading it is a plain scan."""
+        events, left_over = _clustered(self.spark, self.sf_dir, lambda buckets: T.clustered(T.guarded(self.raw), buckets))
+        return events if left_over is None else events.join(left_over, ["sim_date", "event_id", "vehicle_id"], "left_anti")
 
     @cached_property
     def now(self) -> DataFrame:
