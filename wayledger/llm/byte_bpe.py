@@ -31,7 +31,7 @@ from .common import small_batches, table
 #: States, token pairs and encoded pieces a worker remembers; it forgets all of them beyond.
 STATES, PAIRS, REMEMBERED = 1 << 17, 1 << 18, 1 << 18
 #: Longer tokens of a path that are tried one by one; a path with more is kept.
-LOOK = 32
+LOOK = 8
 #: Characters of a piece that is remembered, and ids that are decoded at a time.
 SHORT, BLOCK = 64, 1 << 16
 START, NONE = -1, 1 << 62
@@ -179,24 +179,40 @@ class Transducer:
         return state
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        """A transition that has not been met: (next state, tokens emitted)."""
-        reached = []
+        """A transition that has not been met: (next state, tokens emitted). Paths stay in the
+        order of their open bytes, the longest first; one at most has none and comes last."""
+        paths, held_back, whole = [], [], None
+        child, at, pairs, leads = self.child, self.at, self.pairs, self.leads
         for (last, node), held in self.paths[state]:
-            to = self.child.get(node << 8 | byte)
+            to = child.get(node << 8 | byte)
             if to is None:
                 continue
-            if self._goes_on(last, to):
-                reached.append(((last, to), held))
-            token = self.at[to]
-            if token >= 0 and self._fits(last, token):
-                reached.append(((token, 0), (*held, token)))
-        shared = 0
-        shortest = min(len(held) for _, held in reached)
-        one = reached[0][1]
-        while shared < shortest and all(held[shared] == one[shared] for _, held in reached):
-            shared += 1
-        paths = tuple(sorted((path, held[shared:]) for path, held in reached))
-        return self._state(paths), one[:shared]
+            key = last << 32 | to
+            goes_on = leads.get(key)
+            if goes_on if goes_on is not None else self._goes_on(last, to):
+                paths.append((last, to))
+                held_back.append(held)
+            token = at[to]
+            if token >= 0 and whole is None:
+                key = last << 32 | token
+                fits = pairs.get(key)
+                if fits if fits is not None else self._fits(last, token):
+                    whole = (token, 0), (*held, token)
+        if whole is not None:
+            paths.append(whole[0])
+            held_back.append(whole[1])
+        one = held_back[0]
+        shared = len(one)
+        for held in held_back:
+            n = 0
+            while n < shared and n < len(held) and held[n] == one[n]:
+                n += 1
+            shared = n
+            if not n:
+                break
+        if shared:
+            held_back = [held[shared:] for held in held_back]
+        return self._state(tuple(zip(paths, held_back, strict=True))), one[:shared]
 
     def encode_piece(self, raw: bytes) -> list[int]:
         if len(self.paths) > STATES:
