@@ -16,6 +16,10 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: Rows of an Arrow batch. Texts are long: the default of 10,000 rows makes batches of tens of MB.
 BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Rows that are decoded from a Parquet file at a time.
+READ = "spark.sql.parquet.columnarReaderBatchSize"
+#: Writing rows of some MB: row groups are cut by size from the first row on.
+LARGE_ROWS = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "4", "parquet.block.size": str(16 << 20)}
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -33,12 +37,12 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def _written(df: DataFrame, path: str) -> DataFrame:
+def _written(df: DataFrame, path: str, **options: str) -> DataFrame:
     spark = df.sparkSession
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -80,9 +84,9 @@ class Scratch:
         self.tables.append((None, path))
         return path
 
-    def stored(self, df: DataFrame, label: str) -> DataFrame:
+    def stored(self, df: DataFrame, label: str, large_rows: bool = False) -> DataFrame:
         path = scratch(self.spark, label)
-        out = _written(df, path)
+        out = _written(df, path, **(LARGE_ROWS if large_rows else {}))
         self.tables.append((out, path))
         return out
 
@@ -110,13 +114,15 @@ def small_batches(spark: SparkSession) -> None:
 
 @contextmanager
 def single_rows(spark: SparkSession):
-    """Rows of an index travel to Python one at a time: each is some MB."""
-    before = spark.conf.get(BATCH, "10000")
-    spark.conf.set(BATCH, "1")
+    """Rows of an index are read from files and travel to Python one at a time: each is some MB."""
+    held = {BATCH: spark.conf.get(BATCH, "10000"), READ: spark.conf.get(READ, "4096")}
+    for name in held:
+        spark.conf.set(name, "1")
     try:
         yield
     finally:
-        spark.conf.set(BATCH, before)
+        for name, value in held.items():
+            spark.conf.set(name, value)
 
 
 def crc_mod(id_col: str, modulus: int) -> Column:

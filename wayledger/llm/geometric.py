@@ -24,11 +24,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import Scratch, single_rows, stored, table
+from .common import Scratch, single_rows, table
 from .phrase_index import _planes, _unplanes
 
 #: Text bytes and documents of one shard; they bound a row of the index.
-SHARD_BYTES, SHARD_DOCS = 4 << 20, 20_000
+SHARD_BYTES, SHARD_DOCS = 2 << 20, 20_000
 #: Postings of one block at most, and of a list that is read without a look at summaries.
 BLOCK, SHORT = 256, 64
 #: Documents of a leaf of the similarity tree, its depth, and the dimensions it looks at.
@@ -55,7 +55,7 @@ def _forward(ids: list, sizes: list[np.ndarray], parts: list[np.ndarray]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), *raw], names=[c.split(" ")[0] for c in FORWARD.split(", ")])
 
 
-def forward_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", store=stored) -> DataFrame:
+def forward_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, store) -> DataFrame:
     """Shards of whole documents: their lengths and, by document, terms with frequencies.
     A null text has no terms; a null id is kept as such."""
 
@@ -74,7 +74,7 @@ def forward_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if ids:
             yield _forward(ids, sizes, parts)
 
-    return store(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, FORWARD), "forward")
+    return store(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, FORWARD), "forward", True)
 
 
 def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -183,7 +183,7 @@ def _blocked(row: dict, vocab: np.ndarray, weight: np.ndarray, n_docs: int, n_wo
     return pa.RecordBatch.from_arrays([pa.array([row["shard"]]), pa.array([row["ids"]], pa.list_(pa.int64())), *[pa.array([_planes(ints[c])], pa.binary()) for c in _INTS]], names=["shard", "ids", *_INTS])
 
 
-def block_index(forward: DataFrame, vocab: np.ndarray, weight: np.ndarray, n_docs: int, n_words: int, store=stored) -> DataFrame:
+def block_index(forward: DataFrame, vocab: np.ndarray, weight: np.ndarray, n_docs: int, n_words: int, store) -> DataFrame:
     """The blocked posting lists of every shard for a sorted vocabulary with its weights."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +191,7 @@ def block_index(forward: DataFrame, vocab: np.ndarray, weight: np.ndarray, n_doc
             for r in range(batch.num_rows):
                 yield _blocked({c: batch.column(c)[r].as_py() for c in batch.schema.names}, vocab, weight, n_docs, n_words)
 
-    return store(forward.mapInArrow(run, BLOCKS), "blocks")
+    return store(forward.mapInArrow(run, BLOCKS), "blocks", True)
 
 
 class Best:
@@ -382,7 +382,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 50, id_col: str = "doc_
     """
     with Scratch(docs.sparkSession) as scratch:
         asked = scratch.stored(_asked(queries, query_id, query_text), "asked")
-        forward = forward_index(docs, id_col, text_col, scratch.stored)
+        forward = forward_index(docs, id_col, text_col, store=scratch.stored)
         words = F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x)
         n_docs, n_words = forward.agg(F.coalesce(F.sum(F.size(F.filter("sizes", lambda x: x > 0))), F.lit(0)), F.coalesce(F.sum(words), F.lit(0))).first()
         found = []
