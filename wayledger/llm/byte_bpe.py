@@ -15,8 +15,10 @@ tabulated by token, says after every block of ids where the last whole character
 from __future__ import annotations
 
 import base64
+import gc
 import struct
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 from pathlib import Path
 
@@ -238,19 +240,32 @@ class Transducer:
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        known, out = self.known, []
-        for piece in self.split.findall(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self._bytes(self.encode_piece(piece.encode()))
-                if len(piece) <= SHORT:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    known[piece] = ids
-            out.append(ids)
+        known, pieces = self.known, self.split.findall(text)
+        out = list(map(known.get, pieces))
+        if None in out:
+            if len(known) > REMEMBERED:
+                known.clear()
+            for i, piece in enumerate(pieces):
+                if out[i] is None:
+                    ids = known.get(piece)
+                    if ids is None:
+                        ids = self._bytes(self.encode_piece(piece.encode()))
+                        if len(piece) <= SHORT:
+                            known[piece] = ids
+                    out[i] = ids
         return b"".join(out)
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """States and pieces hold no cycles, so looking through all of them for some is left out."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def utf8_steps() -> np.ndarray:
     """next state by state and byte: 0 between characters, 1 to 3 that many bytes to come, 4 to 7
     after a first byte that narrows the second (E0, ED, F0, F4), 8 ill-formed."""
@@ -351,8 +366,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
 
     @F.pandas_udf("binary")
     def ids(texts: pd.Series) -> pd.Series:
-        coder = _transducer(raw, pattern)
-        return pd.Series([coder.encode(t) if t else b"" for t in texts], dtype=object)
+        with _uncollected():
+            coder = _transducer(raw, pattern)
+            return pd.Series([coder.encode(t) if t else b"" for t in texts], dtype=object)
 
     # Not to be computed again for each use of the column.
     return docs.withColumn(ids_col, ids.asNondeterministic()(F.col(text_col))).withColumn("n_tokens", (F.octet_length(ids_col) / 4).cast("long"))
