@@ -58,6 +58,11 @@ def strict(gated: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return gated.withColumn("accepted", F.when(F.col("accepted"), F.lit(True)).otherwise(F.raise_error(F.concat("sim_date", F.lit(": "), why)).cast("boolean")))
 
 
+def refusal(total: int, ratio: float | None, p: Params = DEFAULT) -> str:
+    """Why a file is refused, for the run log."""
+    return "the expense file has no rows" if not total else f"{ratio:.1%} of the expense rows are invalid, more than {p.invalid_ratio:.0%}"
+
+
 def quarantined(lines: DataFrame, roster: DataFrame, run_id: Column) -> DataFrame:
     """The invalid lines of a run with the reason and the line as JSON."""
     bad = judged(lines, roster).where("reason IS NOT NULL")

@@ -25,6 +25,17 @@ def land(lines: DataFrame, root: str) -> None:
     lines.select(*EXPENSE_COLUMNS, name.alias("file")).write.partitionBy("file").option("header", True).csv(root)
 
 
+def expense_file(spark: SparkSession, root: str, sim_date: str, version: int) -> DataFrame | None:
+    """The lines of one file as ``expense_files`` has them, without a look at any other; None if
+    it isn't there."""
+    try:
+        return expense_files(spark, f"{root}/*expenses_{sim_date}_v{version}.csv")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def expense_files(spark: SparkSession, root: str) -> DataFrame:
     """Lines of all expense files: (sim_date, version, line_no, six text columns).
 
@@ -64,8 +75,8 @@ def late(files: DataFrame, p: Params = DEFAULT) -> DataFrame:
 
 
 def write_report(rec: DataFrame, root: str) -> None:
-    """Reconciled rows as CSV with a header, one folder per date."""
-    rec.write.mode("overwrite").partitionBy("sim_date").option("header", True).csv(root)
+    """Reconciled rows as CSV with a header, one folder per date; other dates stay."""
+    rec.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("sim_date").option("header", True).csv(root)
 
 
 def read_report(spark: SparkSession, root: str, schema) -> DataFrame:
