@@ -189,7 +189,21 @@ SOME = "('2024-01-01', '2024-01-02', '2024-01-03', '2024-01-05')"
 MIXED = SEQ + COST + COST2 + ", mix AS (SELECT *, 1 AS version FROM ex WHERE sim_date IN ('2024-01-02', '2024-01-05') UNION ALL SELECT *, 2 FROM ey WHERE sim_date IN ('2024-01-01', '2024-01-03'))"
 MIXED += _rec("rec", "mix").replace("FROM vd FULL JOIN", f"FROM (SELECT * FROM vd WHERE sim_date IN {SOME}) vd FULL JOIN")
 
+# The daily job: first files of four dates, then corrected ones of two and a broken one of the last.
+DAILY = SEQ + COST + COST2 + """, gt AS (SELECT sim_date, count(reason) / count(*)::DOUBLE <= 0.2e0 AS ok, count(reason) AS bad FROM exj WHERE sim_date <> '2024-01-04' GROUP BY 1
+), d1 AS (SELECT sim_date, 1 AS version FROM gt WHERE ok
+), d2 AS (SELECT * FROM d1 WHERE sim_date NOT IN ('2024-01-01', '2024-01-03') UNION ALL VALUES ('2024-01-01', 2), ('2024-01-03', 2)
+), m1 AS (SELECT * FROM ex WHERE sim_date IN (SELECT sim_date FROM d1)
+), m2 AS (SELECT * FROM ex WHERE sim_date IN (SELECT sim_date FROM d2 WHERE version = 1) UNION ALL SELECT * FROM ey WHERE sim_date IN (SELECT sim_date FROM d2 WHERE version = 2))"""
+for _n in ("1", "2"):
+    DAILY += _rec(f"r{_n}", f"m{_n}").replace("FROM vd FULL JOIN", f"FROM (SELECT * FROM vd WHERE sim_date IN (SELECT sim_date FROM d{_n})) vd FULL JOIN")
+
 PARTS: dict[str, tuple[str, str]] = {
+    "daily_table": (DAILY, f"SELECT {COLS}, online_min, on_trip_min, idle_min, utilization, fuel_cost, maintenance_cost, distance_covered, {', '.join(FLAGS)}, version AS expense_file_version, sim_date || '_v' || version AS run_id FROM r2 JOIN d2 USING (sim_date)"),
+    "daily_runs": (DAILY, "SELECT sim_date || '_v' || version AS run_id, sim_date, version, CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, bad::BIGINT AS quarantined, true AS timed FROM (SELECT sim_date, 1 AS version, ok, bad FROM gt UNION ALL SELECT sim_date, 2, true, 0 FROM d2 WHERE version = 2 UNION ALL SELECT '2024-01-05', 3, false, count_if(line_no % 2 = 1) FROM ey1 WHERE sim_date = '2024-01-05')"),
+    "daily_quarantine": (DAILY, "SELECT sim_date || '_v1' AS run_id, sim_date, reason, count(*) AS rows FROM exj WHERE reason IS NOT NULL AND sim_date <> '2024-01-04' GROUP BY sim_date, reason UNION ALL SELECT '2024-01-05_v3', '2024-01-05', 'missing_value', count(*) FROM ey1 WHERE sim_date = '2024-01-05' AND line_no % 2 = 1"),
+    "daily_summary": (DAILY, "SELECT vehicle_id, min(sim_date) AS first_date, max(sim_date) AS last_date, max_by(net_profit, sim_date) AS last_net, max_by(before_net, sim_date) AS before_net FROM (SELECT *, coalesce(lag(net_profit) OVER (PARTITION BY vehicle_id ORDER BY sim_date)) AS before_net FROM r2) GROUP BY 1"),
+    "restated_versions": (DAILY, "SELECT coalesce(a.sim_date, b.sim_date) AS sim_date, coalesce(a.vehicle_id, b.vehicle_id) AS vehicle_id, a.net_profit AS old_net_profit, a.total_cost AS old_total_cost, b.net_profit AS new_net_profit, b.total_cost AS new_total_cost FROM r1 a FULL JOIN r2 b ON a.sim_date = b.sim_date AND a.vehicle_id = b.vehicle_id WHERE a.net_profit IS DISTINCT FROM b.net_profit OR a.total_cost IS DISTINCT FROM b.total_cost"),
     "expense_raw": (RAW, "SELECT sim_date, version, sim_date AS date, vehicle_id, fuel_cost, maintenance_cost, distance_covered, service_flag::VARCHAR AS service_flag FROM landed"),
     "landing_versions": (RAW, "SELECT sim_date, max(version) AS version FROM landed GROUP BY 1"),
     "late_deliveries": (RAW, "SELECT sim_date, version, arrived_at FROM arr WHERE version <= 1 AND arrived_at > sim_date::TIMESTAMP + INTERVAL 1560 MINUTE"),

@@ -16,7 +16,9 @@ from ..operators import serving as S
 from ..operators import telemetry as T
 from ..schemas import EXPENSE_COLUMNS
 from ..sources import clustered, fleet, landing
+from ..sources.snapshots import Snapshots
 from ..streaming import jobs, monitor
+from . import daily
 from .recompute import recompute, reconcile
 
 NOW = "2024-01-06 12:00:00"
@@ -138,6 +140,29 @@ class Fleet:
     def landed(self) -> DataFrame:
         return landing.expense_files(self.spark, self.landing)
 
+    def daily(self) -> tuple[daily.Stores, int]:
+        """The stores after the daily job ran over the first files of all dates, and again when
+        new ones had come: corrected ones of days 1 and 3, and one of day 5 in which every other
+        line lacks a cost; and the table's version in between. Run once for an events table."""
+        key = _key(self.spark, self.sf_dir, "daily")
+        root, first = _CURATED.get(key, (jobs.folder(self.spark), 0))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in self.raw.schema.fields)
+        archive = _CURATED[_key(self.spark, self.sf_dir, "archive")]
+        stores = daily.Stores(self.spark, archive, schema, f"{root}/landing", Snapshots(self.spark, f"{root}/table", daily.CURATED), f"{root}/dq", f"{root}/runs", f"{root}/reports", self.roster)
+        if key not in _CURATED:
+            steps = iter(range(1_000_000))
+            clock = lambda: F.expr(f"timestampadd(SECOND, {next(steps)}, timestamp_ntz'{NOW}')")
+            now = F.expr(f"timestamp_ntz'{NOW}'")
+            better = fleet.expenses(self.events, version=2)
+            broken = better.where("sim_date = '2024-01-05'").withColumn("version", F.lit(3)).withColumn("fuel_cost", F.when(F.col("line_no") % 2 == 1, "").otherwise(F.col("fuel_cost")))
+            landing.land(self.lines.where("sim_date != '2024-01-04'"), stores.landing)
+            daily.run_pending(stores, now, clock)
+            first = max(stores.table.versions(), default=0)
+            landing.land(better.where("sim_date IN ('2024-01-01', '2024-01-03')").unionByName(broken), stores.landing)
+            daily.run_pending(stores, now, clock)
+            _CURATED[key] = (root, first)
+        return stores, first
+
     @property
     def arrivals(self) -> DataFrame:
         """Both versions of all files, come some minutes after their day's end."""
@@ -262,6 +287,18 @@ def _current(f: Fleet) -> DataFrame:
     return state.select("vehicle_id", "driver_id", "status", "zone_id", "speed", "trip_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
 
 
+def _restated(f: Fleet) -> DataFrame:
+    """Rows that differ between two stored versions: after the first files and the newest."""
+    stores, first = f.daily()
+    read = lambda version: stores.table.read(version).select("sim_date", "vehicle_id", "net_profit", "total_cost")
+    return S.restatement(read(first), read(None), ["sim_date", "vehicle_id"], ["net_profit", "total_cost"])
+
+
+def _daily_runs(f: Fleet) -> DataFrame:
+    runs = H.run_log_latest(daily.run_log(f.daily()[0]))
+    return runs.select("run_id", "sim_date", "version", "status", "quarantined", (F.size(F.map_keys("durations")) >= 1).alias("timed"))
+
+
 def _progress(f: Fleet) -> DataFrame:
     return monitor.run_all(f.wire)[1]
 
@@ -352,6 +389,11 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "landing_versions": lambda f: landing.newest(landing.listing(f.spark, f.landing)),
     "report_csv": lambda f: _report(f.rec().select(*REC)),
     "recompute": lambda f: _recomputed(f),
+    "daily_table": lambda f: f.daily()[0].table.read(),
+    "daily_runs": lambda f: _daily_runs(f),
+    "daily_quarantine": lambda f: f.spark.read.schema("source string, vehicle_id string, reason string, payload string, sim_date string, run_id string").parquet(f.daily()[0].quarantine).groupBy("run_id", "sim_date", "reason").agg(F.count("*").alias("rows")),
+    "daily_summary": lambda f: f.daily()[0].table.side("summary", daily.SUMMARY),
+    "restated_versions": lambda f: _restated(f),
     "vehicle_merge": lambda f: _merged(f),
     "known_vehicles": lambda f: S.known_vehicles(f.state, f.rec()),
     "speed_batch_drift": lambda f: S.drift(f.clean, T.late_rows(T.valid(f.raw))),

@@ -20,9 +20,9 @@ def _named(path) -> list:
 
 
 def land(lines: DataFrame, root: str) -> None:
-    """Write expense lines, one folder per date and version."""
+    """Write expense lines, one folder per date and version, beside those that are there."""
     name = F.concat(F.lit("expenses_"), "sim_date", F.lit("_v"), F.col("version").cast("string"), F.lit(".csv"))
-    lines.select(*EXPENSE_COLUMNS, name.alias("file")).write.partitionBy("file").option("header", True).csv(root)
+    lines.select(*EXPENSE_COLUMNS, name.alias("file")).write.mode("append").partitionBy("file").option("header", True).csv(root)
 
 
 def expense_file(spark: SparkSession, root: str, sim_date: str, version: int) -> DataFrame | None:
