@@ -176,15 +176,32 @@ METRICS = """, bm AS (
   UNION ALL SELECT 'expense_file_late', '', max_by(late, started_at)::INT::DOUBLE FROM rn UNION ALL SELECT 'batch_run_failed', '', (max_by(status, started_at) = 'failed')::INT::DOUBLE FROM rn
   UNION ALL SELECT 'speed_batch_drift', '', max_by(drift_ratio, sim_date) FROM dft UNION ALL SELECT 'open_idle_alerts', '', count(*)::DOUBLE FROM isl WHERE alert AND status = 'open'
 )"""
-RULES = """, mx AS (
-  SELECT metric, max(value) AS value FROM bm GROUP BY 1 UNION ALL SELECT 'dlq_rate', avg((reason IS NOT NULL)::INT) FROM j
-  UNION ALL SELECT 'telemetry_events', count(*)::DOUBLE FROM cl, nw WHERE event_time > now - INTERVAL 5 MINUTE UNION ALL SELECT 'stream_stalled', count(reason)::DOUBLE FROM stl
-  UNION ALL SELECT 'offsets_behind', ((SELECT max(kafka_offset) FROM cl) - min(top))::DOUBLE FROM (SELECT max(kafka_offset) AS top FROM cl GROUP BY zone_id)
-  UNION ALL SELECT 'seconds_since_success', date_diff('second', max(finished_at), TIMESTAMP '2024-01-06 12:00:00')::DOUBLE FROM rn WHERE status = 'success'
-), ru(rule, metric, sign, threshold, severity) AS (VALUES ('TelemetryNotProduced', 'telemetry_events', '<', 1e0, 'critical'), ('DLQRateHigh', 'dlq_rate', '>', 0.02e0, 'warning'),
-  ('StreamStalled', 'stream_stalled', '>', 0e0, 'critical'), ('StreamLagHigh', 'offsets_behind', '>', 5000e0, 'warning'), ('ExpenseFileLate', 'expense_file_late', '>', 0e0, 'warning'),
-  ('BatchRunFailed', 'batch_run_failed', '>', 0e0, 'critical'), ('BatchNotRunRecently', 'seconds_since_success', '>', 2700e0, 'warning'), ('SpeedBatchDriftHigh', 'speed_batch_drift', 'abs >', 0.05e0, 'warning'),
-  ('IdleVehiclesHigh', 'open_idle_alerts', '>', 8e0, 'warning'))"""
+# A quarter of an hour is a step; a minute of a rule is an hour, so four steps.
+GRID = """, gr AS (SELECT unnest(range(0, 529)) AS n), src AS (
+  SELECT greatest(ceil(date_diff('microsecond', TIMESTAMP '2024-01-01', arrival_time) / 900e6), 0)::BIGINT AS n, 'p' || coalesce(vehicle_id[2:]::INT % 6, 0) AS label, reason FROM j
+)"""
+RULES = """, mk AS (SELECT n, coalesce(c, 0) AS made, coalesce(d, 0) AS bad FROM gr LEFT JOIN (SELECT n, count(*) AS c, count(reason) AS d FROM src GROUP BY 1) USING (n)
+), mw AS (SELECT n, sum(made) OVER (ORDER BY n ROWS 3 PRECEDING) AS m1, sum(made) OVER (ORDER BY n ROWS 7 PRECEDING) AS m2, sum(made) OVER (ORDER BY n ROWS 19 PRECEDING) AS m5, sum(bad) OVER (ORDER BY n ROWS 19 PRECEDING) AS b5 FROM mk
+), ga(kind, t, value) AS (SELECT 'late', started_at, late::INT::DOUBLE FROM rn UNION ALL SELECT 'failed', finished_at, (status = 'failed')::INT::DOUBLE FROM rn UNION ALL SELECT 'good', finished_at, 0e0 FROM rn WHERE status = 'success'
+  UNION ALL SELECT 'drift', finished_at, drift_ratio FROM dft JOIN rn USING (sim_date)
+), gn AS (SELECT kind, greatest(ceil(date_diff('microsecond', TIMESTAMP '2024-01-01', t) / 900e6), 0)::BIGINT AS k, t, value FROM ga
+), gv AS (SELECT kind, gr.n, max_by(value, t) AS value, max_by(k, t) AS k FROM gr JOIN gn ON k <= gr.n GROUP BY ALL
+), op AS (SELECT n, (SELECT count(*) FROM isl WHERE alert AND opened_at <= TIMESTAMP '2024-01-01' + to_minutes(15 * n)) - (SELECT count(*) FROM isl WHERE alert AND closed_at <= TIMESTAMP '2024-01-01' + to_minutes(15 * n)) AS value FROM gr
+), pc AS (SELECT label, n, coalesce(c, 0) AS c FROM (SELECT DISTINCT label FROM src) CROSS JOIN gr LEFT JOIN (SELECT label, n, count(*) AS c FROM src GROUP BY ALL) USING (label, n)
+), ps AS (SELECT label, n, c, n - coalesce(last_value(CASE WHEN c > 0 THEN n END IGNORE NULLS) OVER o, 0) AS gap, sum(c) OVER (PARTITION BY label ORDER BY n ROWS 7 PRECEDING) AS work FROM pc WINDOW o AS (PARTITION BY label ORDER BY n ROWS UNBOUNDED PRECEDING)
+), co(rule, label, n, value, holds) AS (
+  SELECT 'TelemetryNotProduced', '', n, m1::DOUBLE, m1 = 0 FROM mw UNION ALL SELECT 'DLQRateHigh', '', n, (b5 / 300) / greatest(m5 / 300, 0.001e0), (b5 / 300) / greatest(m5 / 300, 0.001e0) > 0.02e0 FROM mw
+  UNION ALL SELECT 'StreamStalled', label, n, gap::DOUBLE, gap > 8 OR (work = 0 AND m2 > 0) FROM ps JOIN mw USING (n) UNION ALL SELECT 'StreamLagHigh', label, n, 0e0, false FROM ps
+  UNION ALL SELECT 'ExpenseFileLate', '', gr.n, value, coalesce(value > 0, false) FROM gr LEFT JOIN gv ON gr.n = gv.n AND kind = 'late' UNION ALL SELECT 'BatchRunFailed', '', gr.n, value, coalesce(value > 0, false) FROM gr LEFT JOIN gv ON gr.n = gv.n AND kind = 'failed'
+  UNION ALL SELECT 'BatchNotRunRecently', '', gr.n, (gr.n - k)::DOUBLE, coalesce(gr.n - k > 180, true) FROM gr LEFT JOIN gv ON gr.n = gv.n AND kind = 'good'
+  UNION ALL SELECT 'SpeedBatchDriftHigh', '', gr.n, value, coalesce(abs(value) > 0.05e0, false) FROM gr LEFT JOIN gv ON gr.n = gv.n AND kind = 'drift' UNION ALL SELECT 'IdleVehiclesHigh', '', n, value::DOUBLE, value > 8 FROM op
+), ru(rule, severity, hold) AS (VALUES ('TelemetryNotProduced', 'critical', 4), ('DLQRateHigh', 'warning', 8), ('StreamStalled', 'critical', 8), ('StreamLagHigh', 'warning', 8), ('ExpenseFileLate', 'warning', 4),
+  ('BatchRunFailed', 'critical', 4), ('BatchNotRunRecently', 'warning', 8), ('SpeedBatchDriftHigh', 'warning', 8), ('IdleVehiclesHigh', 'warning', 8)
+), s0 AS (SELECT *, n - row_number() OVER (PARTITION BY rule, label, holds ORDER BY n) AS run FROM co
+), s1 AS (SELECT *, n - min(n) OVER (PARTITION BY rule, label, holds, run) AS age FROM s0
+), sx AS (SELECT rule, severity, label, n, TIMESTAMP '2024-01-01' + to_minutes(15 * n) AS moment, value, CASE WHEN NOT holds THEN 'inactive' WHEN age >= hold THEN 'firing' ELSE 'pending' END AS state FROM s1 JOIN ru USING (rule)
+), sy AS (SELECT *, coalesce(lag(state) OVER (PARTITION BY rule, label ORDER BY n), 'inactive') AS before FROM sx
+)"""
 SOME = "('2024-01-01', '2024-01-02', '2024-01-03', '2024-01-05')"
 MIXED = SEQ + COST + COST2 + ", mix AS (SELECT *, 1 AS version FROM ex WHERE sim_date IN ('2024-01-02', '2024-01-05') UNION ALL SELECT *, 2 FROM ey WHERE sim_date IN ('2024-01-01', '2024-01-03'))"
 MIXED += _rec("rec", "mix").replace("FROM vd FULL JOIN", f"FROM (SELECT * FROM vd WHERE sim_date IN {SOME}) vd FULL JOIN")
@@ -215,7 +232,13 @@ PARTS: dict[str, tuple[str, str]] = {
     "pipeline_status": (ZH + RUNS + DRIFT, "SELECT (SELECT now FROM nw) AS latest_event, round(date_diff('second', (SELECT date_trunc('second', now + INTERVAL 999999 MICROSECOND) FROM nw), TIMESTAMP '2024-01-06 12:00:00') / 60e0, 2) AS lag_min, (SELECT max_by(run_id, started_at) FROM rn) AS last_run, (SELECT max_by(status, started_at) FROM rn) AS last_status, (SELECT max(sim_date) FROM rn WHERE status = 'success') AS last_good_date, (SELECT max_by(drift_ratio, sim_date) FROM dft) AS drift_ratio, (SELECT count(*) FROM isl WHERE alert AND status = 'open') AS open_alerts, (SELECT count(reason) FROM exj) AS dq_issues"),
     "stalled_queries": (STALLED, "SELECT * FROM stl WHERE reason IS NOT NULL"),
     "batch_metrics": (ZH + RUNS + DRIFT + METRICS, "SELECT * FROM bm"),
-    "health_rules": (ZH + RUNS + DRIFT + METRICS + STALLED + RULES, "SELECT rule, severity, coalesce(CASE sign WHEN '<' THEN value < threshold WHEN '>' THEN value > threshold ELSE abs(value) > threshold END, false) AS firing, round(value, 6) AS value FROM ru LEFT JOIN mx USING (metric)"),
+    "health_rules": (ZH + RUNS + DRIFT + GRID + RULES, "SELECT rule, severity, max(state = 'firing') AS firing, round(max(value), 6) AS value FROM sx WHERE n = 528 GROUP BY 1, 2"),
+    "stream_backlog": (GRID + """, pc AS (SELECT label, n, coalesce(c, 0) AS c FROM (SELECT DISTINCT label FROM src) CROSS JOIN gr LEFT JOIN (SELECT label, n, count(*) AS c FROM src GROUP BY ALL) USING (label, n)
+), pa AS (SELECT *, sum(c) OVER o - (n + 1) AS over FROM pc WINDOW o AS (PARTITION BY label ORDER BY n ROWS UNBOUNDED PRECEDING)
+), pb AS (SELECT *, over - least(min(over) OVER (PARTITION BY label ORDER BY n ROWS UNBOUNDED PRECEDING), 0) AS behind FROM pa)""", "SELECT label AS partition, TIMESTAMP '2024-01-01' + to_minutes(15 * n) AS at, c AS came, (c + lag(behind, 1, 0) OVER (PARTITION BY label ORDER BY n) - behind)::BIGINT AS read, behind::BIGINT AS behind FROM pb"),
+    "source_coordinates": ("", "SELECT kafka_offset, coalesce(vehicle_id[2:]::INT % 6, 0) AS kafka_partition, vehicle_id AS kafka_key, arrival_time AS kafka_timestamp, true AS ingested FROM raw"),
+    "rule_transitions": (ZH + RUNS + DRIFT + GRID + RULES, "SELECT rule, severity, label, moment AS at, CASE WHEN state <> 'inactive' THEN state WHEN before = 'firing' THEN 'resolved' ELSE 'dropped' END AS change, round(value, 6) AS value FROM sy WHERE state <> before"),
+    "rule_values": (ZH + RUNS + DRIFT + GRID + RULES, "SELECT rule, count(*) AS evaluations, count_if(state <> 'inactive')::BIGINT AS holding, count_if(state = 'firing')::BIGINT AS firing, round(max(value), 6) AS largest FROM sx GROUP BY 1"),
     "stream_source": ("", "SELECT event_id, vehicle_id, status, kafka_offset FROM raw"),
     "stream_dedup": ("", "SELECT event_id, event_time FROM cl"),
     "stream_zone_hourly": (ZH, "SELECT * REPLACE (sim_day::VARCHAR AS sim_day) FROM zh"),

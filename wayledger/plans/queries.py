@@ -12,6 +12,7 @@ from pyspark.sql import types as T_
 from ..functions import exprs as X
 from ..operators import expenses as E
 from ..operators import health as H
+from ..operators import rules as R
 from ..operators import serving as S
 from ..operators import telemetry as T
 from ..schemas import EXPENSE_COLUMNS
@@ -239,18 +240,31 @@ def _recomputed(f: Fleet) -> DataFrame:
     return f.spark.read.schema(rec.schema).parquet(root)
 
 
-def _metrics(f: Fleet) -> DataFrame:
-    """All metrics that the health rules read."""
-    base = H.batch_metrics(f.runs, f.drift, f.open_alerts)
-    judged = T.validated(f.raw).agg(F.avg(F.col("reason").isNotNull().cast("int")).alias("value"))
-    recent = f.clean.join(F.broadcast(f.now)).where("event_time > timestampadd(MINUTE, -5, now)").agg(F.count("*").alias("value"))
-    stuck = f.stalled.agg(F.count("*").alias("value"))
-    newest = f.clean.groupBy("zone_id").agg(F.max("kafka_offset").alias("at"))
-    behind = newest.join(F.broadcast(newest.agg(F.max("at").alias("top")))).select(F.col("zone_id").alias("label"), (F.col("top") - F.col("at")).alias("value"))
-    since = f.runs.where("status = 'success'").agg(F.expr(f"timestampdiff(SECOND, max(finished_at), timestamp_ntz'{NOW}')").alias("value"))
-    for name, df in (("dlq_rate", judged), ("telemetry_events", recent), ("stream_stalled", stuck), ("offsets_behind", behind), ("seconds_since_success", since)):
-        base = base.unionByName(df.select(F.lit(name).alias("metric"), F.col("label") if "label" in df.columns else F.lit("").alias("label"), F.col("value").cast("double").alias("value")))
-    return base
+def _rule_states(f: Fleet) -> DataFrame:
+    """The nine rules every quarter of an hour of the events' time; a minute of a rule is an hour.
+
+    Arrivals of the source's partitions stand for the stream, entries of the run log for the
+    runs, and the drift of a date is known when its run has finished.
+    """
+    grid = R.Grid(f.spark, "2024-01-01 00:00:00", NOW)
+    raw = T.validated(f.raw).select(F.col("arrival_time").alias("at"), F.concat(F.lit("p"), F.col("kafka_partition").cast("string")).alias("label"), "reason")
+    gauge = lambda df, at, value: df.select(F.lit("").alias("label"), at.alias("at"), value.cast("double").alias("value"))
+    ended = f.runs.where("finished_at IS NOT NULL")
+    drift = f.drift.join(ended.select("sim_date", "finished_at"), "sim_date")
+    spells = f.islands.where("alert")
+    idle = gauge(spells, F.col("opened_at"), F.lit(1)).unionByName(gauge(spells.where("closed_at IS NOT NULL"), F.col("closed_at"), F.lit(-1)))
+    found = R.conditions(
+        grid, raw.select("at"), raw.where("reason IS NOT NULL").select("at"), raw.select("at", "label"), gauge(f.runs, F.col("started_at"), F.col("late")), gauge(ended, F.col("finished_at"), F.col("status") == "failed"),
+        gauge(ended.where("status = 'success'"), F.col("finished_at"), F.lit(0)), gauge(drift, F.col("finished_at"), F.col("drift_ratio")), idle,
+    )
+    return R.states(grid, found)
+
+
+def _backlog(f: Fleet) -> DataFrame:
+    """What a stream that takes one row a quarter of an hour of a partition leaves unread."""
+    grid = R.Grid(f.spark, "2024-01-01 00:00:00", NOW)
+    came = R.counted(grid, f.raw, "arrival_time", F.concat(F.lit("p"), F.col("kafka_partition").cast("string")))
+    return R.backlog(came, 1).select(F.col("label").alias("partition"), grid.at(F.col("n")).alias("at"), F.col("value").alias("came"), "read", "behind")
 
 
 def _quarantined(f: Fleet) -> DataFrame:
@@ -318,6 +332,7 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     # sources, parsing and validation
     "archive_partition_counts": lambda f: jobs.run_archive(f.wire).groupBy("sim_date").agg(F.count("*").alias("rows")),
     "archive_day": lambda f: T.of_date(f.raw, "2024-01-02").select("event_id", "vehicle_id", "kafka_offset", "event_time"),
+    "source_coordinates": lambda f: f.raw.select("kafka_offset", "kafka_partition", F.col("key").alias("kafka_key"), "kafka_timestamp", F.col("ingested_at").isNotNull().alias("ingested")),
     "parse_events": lambda f: T.parse(f.wire).select(*EVENT, "kafka_offset"),
     "parse_event_time": lambda f: T.with_event_time(T.parse(f.wire)).select("kafka_offset", "event_time"),
     "closed_days": lambda f: f.raw.where("event_time IS NOT NULL").select(X.sim_date(F.col("event_time")).alias("sim_date")).distinct().where(X.day_closed(F.col("sim_date"), F.expr("timestamp_ntz'2024-01-04 00:30:00'"))),
@@ -410,7 +425,10 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "pipeline_status": lambda f: H.pipeline_status(f.now, F.expr(f"timestamp_ntz'{NOW}'"), f.runs, f.drift, f.open_alerts, E.judged(f.lines, f.roster).where("reason IS NOT NULL")),
     "stalled_queries": lambda f: f.stalled,
     "batch_metrics": lambda f: H.batch_metrics(f.runs, f.drift, f.open_alerts),
-    "health_rules": lambda f: H.health_rules(_metrics(f)),
+    "health_rules": lambda f: R.now(_rule_states(f)),
+    "rule_transitions": lambda f: R.transitions(_rule_states(f)).withColumn("value", F.round("value", 6)),
+    "rule_values": lambda f: _rule_states(f).groupBy("rule").agg(F.count("*").alias("evaluations"), F.count_if(F.col("state") != "inactive").alias("holding"), F.count_if(F.col("state") == "firing").alias("firing"), F.round(F.max("value"), 6).alias("largest")),
+    "stream_backlog": lambda f: _backlog(f),
     # streaming runs
     "stream_source": lambda f: monitor.run_source(f.wire),
     "stream_all": lambda f: monitor.outputs(f.spark, monitor.run_all(f.wire)[0]),
