@@ -30,13 +30,14 @@ from pyspark.sql import functions as F
 
 from .common import small_batches, table
 
-#: States, token pairs and encoded pieces a worker remembers; it forgets all of them beyond.
-STATES, PAIRS, REMEMBERED = 1 << 17, 1 << 18, 1 << 18
+#: States, token pairs and encoded pieces a worker remembers. Beyond it forgets all states and
+#: pairs, and of the pieces those that it hasn't met since the last time.
+STATES, PAIRS, REMEMBERED = 1 << 18, 1 << 18, 1 << 17
 #: Longer tokens of a path that are tried one by one; a path with more is kept.
 LOOK = 8
 #: Characters of a piece that is remembered, and ids that are decoded at a time.
 SHORT, BLOCK = 64, 1 << 16
-START, NONE = -1, 1 << 62
+START, NONE, LOW = -1, 1 << 62, (1 << 32) - 1
 
 
 def _contents(path: str) -> bytes:
@@ -78,16 +79,22 @@ class Transducer:
         self.pairs: dict[int, bool] = {}
         self.leads: dict[int, bool] = {}
         self.edges: dict = {}
+        # Pieces with their ids: those met lately, and those met before them.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self._forget()
 
     def _forget(self) -> None:
-        """Begin with the starting state alone."""
+        """Begin with the starting state alone. A state is a flat tuple of its paths, each as
+        last token and node in one number, with the tokens that the path holds back."""
         self.names: dict[tuple, int] = {}
         self.paths: list[tuple] = []
-        self.steps: list[dict[int, tuple[int, tuple]]] = []
-        self.ends: list[tuple] = []
-        self.start = self._state((((START, 0), ()),))
+        self.steps: dict[int, int | tuple[int, tuple]] = {}
+        self.start = self._state((self._path(START, 0), ()))
+
+    @staticmethod
+    def _path(last: int, node: int) -> int:
+        return (last + 1) << 32 | node
 
     def merged(self, raw: bytes, until: int = 1) -> list[bytes]:
         """The rule itself, for the few bytes of a token: merge the pair of the lowest rank,
@@ -121,13 +128,10 @@ class Transducer:
 
     def _fits(self, before: int, token: int) -> bool:
         """The token may follow: both encode to themselves, alone and side by side."""
-        key = before << 32 | token
-        good = self.pairs.get(key)
-        if good is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-                self.edges.clear()
-            good = self.pairs[key] = self._side_by_side(before, token)
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+            self.edges.clear()
+        good = self.pairs[self._path(before, token)] = self._side_by_side(before, token)
         return good
 
     def _goes_on(self, before: int, node: int) -> bool:
@@ -137,12 +141,15 @@ class Transducer:
         own = self.at[node] >= 0
         if self.last[node] - self.first[node] > LOOK:  # surely one of so many
             return True
-        key = before << 32 | node
-        good = self.leads.get(key)
-        if good is None:
-            if len(self.leads) > PAIRS:
-                self.leads.clear()
-            good = self.leads[key] = any(self._fits(before, self.order[k]) for k in range(self.first[node] + own, self.last[node] + 1))
+        if len(self.leads) > PAIRS:
+            self.leads.clear()
+        pairs, high, good = self.pairs, (before + 1) << 32, False
+        for token in self.order[self.first[node] + own : self.last[node] + 1]:
+            fits = pairs.get(high | token)
+            if fits if fits is not None else self._fits(before, token):
+                good = True
+                break
+        self.leads[high | node] = good
         return good
 
     def _side_by_side(self, before: int, token: int) -> bool:
@@ -173,66 +180,70 @@ class Transducer:
         if state is None:
             state = self.names[paths] = len(self.paths)
             self.paths.append(paths)
-            self.steps.append({})
-            whole = [held for (last, node), held in paths if node == 0]
-            # A piece that is a token as a whole is that token, whatever the merges give.
-            first = [self.at[node] for (last, node), _ in paths if last == START and node and self.at[node] >= 0]
-            self.ends.append((first[0],) if first else whole[0] if whole else ())
         return state
 
-    def _step(self, state: int, byte: int) -> tuple[int, tuple]:
-        """A transition that has not been met: (next state, tokens emitted). Paths stay in the
-        order of their open bytes, the longest first; one at most has none and comes last."""
-        paths, held_back, whole = [], [], None
+    def _end(self, state: int) -> tuple:
+        """What is left to emit where a piece ends: the tokens of the path without open bytes. A
+        piece that is a token as a whole is that token, whatever the merges give."""
+        paths = self.paths[state]
+        first = paths[0]
+        if first >> 32 == START + 1 and first and self.at[first] >= 0:
+            return (self.at[first],)
+        return paths[-1] if not paths[-2] & LOW else ()
+
+    def _step(self, state: int, byte: int) -> int | tuple[int, tuple]:
+        """A transition that has not been met: the next state, with tokens if it emits any. Paths
+        stay in the order of their open bytes, the longest first; the one without comes last."""
+        reached, whole = [], None
         child, at, pairs, leads = self.child, self.at, self.pairs, self.leads
-        for (last, node), held in self.paths[state]:
+        paths = iter(self.paths[state])
+        for path, held in zip(paths, paths, strict=True):
+            node = path & LOW
             to = child.get(node << 8 | byte)
             if to is None:
                 continue
-            key = last << 32 | to
-            goes_on = leads.get(key)
-            if goes_on if goes_on is not None else self._goes_on(last, to):
-                paths.append((last, to))
-                held_back.append(held)
+            high = path - node
+            goes_on = leads.get(high | to)
+            if goes_on if goes_on is not None else self._goes_on((high >> 32) - 1, to):
+                reached += high | to, held
             token = at[to]
             if token >= 0 and whole is None:
-                key = last << 32 | token
-                fits = pairs.get(key)
-                if fits if fits is not None else self._fits(last, token):
-                    whole = (token, 0), (*held, token)
+                fits = pairs.get(high | token)
+                if fits if fits is not None else self._fits((high >> 32) - 1, token):
+                    whole = (token + 1) << 32, (*held, token)
         if whole is not None:
-            paths.append(whole[0])
-            held_back.append(whole[1])
-        one = held_back[0]
-        shared = len(one)
-        for held in held_back:
+            reached += whole
+        one, shared = reached[1], len(reached[1])
+        for held in reached[3::2]:
+            if not shared:
+                break
             n = 0
             while n < shared and n < len(held) and held[n] == one[n]:
                 n += 1
             shared = n
-            if not n:
-                break
-        if shared:
-            held_back = [held[shared:] for held in held_back]
-        return self._state(tuple(zip(paths, held_back, strict=True))), one[:shared]
+        if not shared:
+            return self._state(tuple(reached))
+        reached[1::2] = [held[shared:] for held in reached[1::2]]
+        return self._state(tuple(reached)), one[:shared]
 
     def encode_piece(self, raw: bytes) -> list[int]:
         if len(self.paths) > STATES:
             self._forget()
         state, out, steps = self.start, [], self.steps
         for byte in raw:
-            known = steps[state].get(byte)
+            known = steps.get(state << 8 | byte)
             if known is None:
                 if len(self.paths) > 2 * STATES:  # within one long piece
-                    held = self.paths[state]
+                    open_paths = self.paths[state]
                     self._forget()
-                    state, steps = self._state(held), self.steps
-                known = self._step(state, byte)
-                steps[state][byte] = known
-            state, emitted = known
-            if emitted:
+                    state, steps = self._state(open_paths), self.steps
+                known = steps[state << 8 | byte] = self._step(state, byte)
+            if known.__class__ is int:
+                state = known
+            else:
+                state, emitted = known
                 out += emitted
-        return out + list(self.ends[state])
+        return out + list(self._end(state))
 
     @staticmethod
     def _bytes(ids: list[int]) -> bytes:
@@ -244,14 +255,16 @@ class Transducer:
         out = list(map(known.get, pieces))
         if None in out:
             if len(known) > REMEMBERED:
-                known.clear()
+                self.known, self.older = {}, known
+                known = self.known
+            older = self.older
             for i, piece in enumerate(pieces):
                 if out[i] is None:
-                    ids = known.get(piece)
+                    ids = known.get(piece) or older.get(piece)
                     if ids is None:
                         ids = self._bytes(self.encode_piece(piece.encode()))
-                        if len(piece) <= SHORT:
-                            known[piece] = ids
+                    if len(piece) <= SHORT:
+                        known[piece] = ids
                     out[i] = ids
         return b"".join(out)
 
@@ -352,9 +365,20 @@ def _vocabulary(raw: bytes) -> Vocabulary:
     return Vocabulary(vocabulary(raw))
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
+def _decoded(vocab: Vocabulary, ids: bytes | None) -> tuple[bytes, bool]:
+    """(bytes, whether they are well-formed) of one row, block by block."""
+    decoder, out = Decoder(vocab), []
+    numbers = np.frombuffer((ids or b"")[: len(ids or b"") // 4 * 4], "<u4")
+    for lo in range(0, len(numbers), BLOCK):
+        out.append(decoder.push(numbers[lo : lo + BLOCK])[0])
+    decoder.finish()
+    return b"".join(out), decoder.valid
+
+
+def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None) -> DataFrame:
     """``docs`` with the ids of every whole text, little-endian unsigned 32-bit integers end to
-    end, and their number ``n_tokens``.
+    end, and their number ``n_tokens``. With ``decoded_col`` the ids are decoded again in the
+    same pass, into that column and ``valid``, as ``decode`` has them.
 
     ``path`` is a file of ranks, ``pattern`` cuts a text into pieces that are encoded on their
     own. A null text is empty and has no ids. Rows are encoded one by one, so repeated rows
@@ -363,25 +387,22 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids
     """
     small_batches(docs.sparkSession)
     raw = _contents(path)
+    back = decoded_col is not None
 
-    @F.pandas_udf("binary")
-    def ids(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("struct<ids: binary, data: binary, valid: boolean>")
+    def coded(texts: pd.Series) -> pd.DataFrame:
         with _uncollected():
             coder = _transducer(raw, pattern)
-            return pd.Series([coder.encode(t) if t else b"" for t in texts], dtype=object)
+            ids = [coder.encode(t) if t else b"" for t in texts]
+            data = [_decoded(_vocabulary(raw), x) for x in ids] if back else [(None, None)] * len(ids)
+        return pd.DataFrame({"ids": ids, "data": [x for x, _ in data], "valid": [v for _, v in data]}, dtype=object)
 
     # Not to be computed again for each use of the column.
-    return docs.withColumn(ids_col, ids.asNondeterministic()(F.col(text_col))).withColumn("n_tokens", (F.octet_length(ids_col) / 4).cast("long"))
-
-
-def _decoded(vocab: Vocabulary, ids: bytes | None) -> tuple[bytes, bool]:
-    """(bytes, whether they are well-formed) of one row, block by block."""
-    decoder, out = Decoder(vocab), []
-    numbers = np.frombuffer((ids or b"")[: len(ids or b"") // 4 * 4], "<u4")
-    for lo in range(0, len(numbers), BLOCK):
-        out.append(decoder.push(numbers[lo : lo + BLOCK])[0])
-    decoder.finish()
-    return b"".join(out), decoder.valid
+    out = docs.withColumn("_coded", coded.asNondeterministic()(F.col(text_col))).withColumn(ids_col, F.col("_coded.ids"))
+    out = out.withColumn("n_tokens", (F.octet_length(ids_col) / 4).cast("long"))
+    if back:
+        out = out.withColumn(decoded_col, F.col("_coded.data")).withColumn("valid", F.col("_coded.valid"))
+    return out.drop("_coded")
 
 
 def decode(rows: DataFrame, path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -411,5 +432,5 @@ def op13_byte_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    coded = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN).drop("text"), path)
+    coded = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN, decoded_col="decoded")
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
