@@ -215,7 +215,8 @@ def test_encode_and_decode_as_columns(spark, library):
     texts = [None, "", "Hello  wörld 123", "x" * 70_000, "Hello  wörld 123"]
     docs = spark.createDataFrame([(i, t, "a", 0) for i, t in enumerate(texts)], "doc_id long, text string, ids string, n_tokens int")
     coded = byte_bpe.decode(byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN), RANKS)
-    for r in coded.collect():
+    once = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, decoded_col="decoded")
+    for r in coded.collect() + once.collect():
         plain = library.encode_ordinary(texts[r["doc_id"]] or "")
         assert (r["n_tokens"], np.frombuffer(r["ids"], "<u4").tolist(), bytes(r["decoded"]).decode(), r["valid"]) == (len(plain), plain, texts[r["doc_id"]] or "", True)
     assert byte_bpe.encode(docs.limit(0), RANKS, public_tokenizers.PATTERN).collect() == []
