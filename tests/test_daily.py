@@ -92,7 +92,7 @@ def test_day_by_day_and_restated_dates_equal_all_at_once(spark, tmp_path):
     add, drop and change rows."""
     rng = random.Random(1)
     dates = [f"2024-01-{i:02d}" for i in range(1, 11)]
-    fresh = lambda d, share: [(d, f"V{v}", float(rng.randint(-3, 3))) for v in range(6) if rng.random() < share]
+    fresh = lambda d, share: [(d, f"V{v}", float(rng.randint(-3, 3))) for v in range(6) if rng.random() < share] + [(d, "V7", -1.0)]
     held, t = {}, Snapshots(spark, f"file://{tmp_path}/t", daily.CURATED)
     first = dates[:5] + [dates[6], dates[5]] + dates[7:]
     for n, d in enumerate([*first, dates[2], dates[8], dates[0]]):

@@ -10,6 +10,7 @@ from wayledger.operators import expenses as E
 from wayledger.operators import telemetry as T
 from wayledger.plans import oracles, queries
 from wayledger.streaming import jobs
+from wayledger.streaming.upserts import UpsertStore
 
 SF = "/root/testdata/sf0.001"
 T0 = dt.datetime(2024, 1, 1, 8)
@@ -74,12 +75,10 @@ def test_trend(spark, nets, expect):
 
 
 def test_upsert_replay_keeps_one_row(spark, tmp_path):
-    root = f"file://{tmp_path}/t"
+    store = UpsertStore(spark, f"file://{tmp_path}/t", ["vehicle_id"], "vehicle_id string, x int")
     df = spark.createDataFrame([("V001", 1)], "vehicle_id string, x int")
-    write = jobs.upsert(root)
-    write(df, 0), write(df, 0), write(spark.createDataFrame([("V001", 2)], "vehicle_id string, x int"), 1)
-    assert spark.read.parquet(root).count() == 2
-    assert [r["x"] for r in jobs.latest(spark, root, ["vehicle_id"], "vehicle_id string, x int").collect()] == [2]
+    store.write(df, 0), store.write(df, 0), store.write(spark.createDataFrame([("V001", 2)], "vehicle_id string, x int"), 1)
+    assert [r["x"] for r in store.read().collect()] == [2]
 
 
 def test_replace_with_no_rows_empties_the_date(spark, tmp_path):

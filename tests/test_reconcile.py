@@ -130,12 +130,3 @@ def test_archive_day_reads_one_partition_and_guards_the_date(spark, tmp_path):
     assert {r["event_id"] for r in T.guarded(archive).collect()} == {"a", "c", "d"}
     plan = T.of_date(archive, D)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(sim_date" in plan
-
-
-def test_compacted_upserts_read_the_same(spark, tmp_path):
-    root, into = f"file://{tmp_path}/t", f"file://{tmp_path}/u"
-    write = jobs.upsert(root)
-    for batch, rows in enumerate([[("V001", 1), ("V002", 1)], [("V001", 2)], [("V003", 5)]]):
-        write(spark.createDataFrame(rows, "vehicle_id string, x int"), batch)
-    assert jobs.compact(spark, root, ["vehicle_id"], "vehicle_id string, x int", into) == 2
-    assert {tuple(r) for r in jobs.latest(spark, into, ["vehicle_id"], "vehicle_id string, x int").collect()} == {("V001", 2), ("V002", 1), ("V003", 5)}

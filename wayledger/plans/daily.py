@@ -104,8 +104,9 @@ def folded(summary: DataFrame, rows: DataFrame, sim_date: str) -> DataFrame:
     """Rows of a date after all stored ones, with their trend from the summary alone."""
     s = summary.select("vehicle_id", "last_net", "before_net")
     a, b, c = F.col("before_net"), F.col("last_net"), F.col("net_profit")
-    losses = sum((F.coalesce((x < 0).cast("int"), F.lit(0)) for x in (a, b)), (c < 0).cast("int"))
-    trend = F.coalesce((a > b) & (b > c), F.lit(False)) | (losses >= 2)
+    # A vehicle's first two rows have no trend: two points are none.
+    losses = sum(((x < 0).cast("int") for x in (a, b)), (c < 0).cast("int"))
+    trend = F.coalesce(((a > b) & (b > c)) | (losses >= 2), F.lit(False))
     return rows.join(s, "vehicle_id", "left").withColumn("becoming_unprofitable", trend).drop("last_net", "before_net")
 
 

@@ -19,6 +19,7 @@ from ..schemas import EXPENSE_COLUMNS
 from ..sources import clustered, fleet, landing
 from ..sources.snapshots import Snapshots
 from ..streaming import jobs, monitor
+from ..streaming.upserts import UpsertStore
 from . import daily
 from .recompute import recompute, reconcile
 
@@ -276,13 +277,16 @@ def _quarantined(f: Fleet) -> DataFrame:
     return f.spark.read.schema(issues.schema).parquet(root)
 
 
-def _upserted(f: Fleet) -> DataFrame:
-    """Zone hours after batches of unfinished and finished hours, one delivered twice."""
-    root, done = f"{jobs.folder(f.spark)}/hours", f.hourly
-    early = done.where("sim_hour >= 12").withColumn("earnings", F.lit(-1.0))
-    write = jobs.upsert(root)
-    write(early, 0), write(done, 1), write(done, 1)
-    return jobs.latest(f.spark, root, ["zone_id", "window_start"], ", ".join(f"{n} {k}" for n, k in done.dtypes))
+def _upserted(f: Fleet) -> UpsertStore:
+    """Zone hours after batches of unfinished hours, of a quarter of the day each, and finished
+    ones; some are delivered twice."""
+    done = f.hourly
+    store = UpsertStore(f.spark, f"{jobs.folder(f.spark)}/hours", ["zone_id", "window_start"], jobs.ddl(done))
+    quarter = lambda i: F.col("sim_hour").between(6 * i, 6 * i + 5)
+    store.write(done.where("sim_hour >= 12").withColumn("earnings", F.lit(-1.0)), 0)
+    for batch, i in ((1, 3), (2, 0), (3, 1), (3, 0), (4, 2), (5, 3), (5, 3)):
+        store.write(done.where(quarter(i)), batch)
+    return store
 
 
 def _replaced(f: Fleet) -> DataFrame:
@@ -380,7 +384,7 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "expense_clean": lambda f: f.costs(),
     "expense_gate": lambda f: E.gate(f.lines, f.roster, files=f.lines.select("sim_date", "version").unionByName(f.lines.select(F.lit("2024-01-09").alias("sim_date"), "version"))),
     "dq_issues": lambda f: _quarantined(f),
-    "upsert_latest": lambda f: _upserted(f),
+    "upsert_latest": lambda f: _upserted(f).read(),
     "replace_date": lambda f: _replaced(f),
     "dq_by_reason": lambda f: E.judged(f.lines, f.roster).where("reason IS NOT NULL").groupBy("sim_date", "reason").agg(F.count("*").alias("rows")),
     "dq_run_totals": lambda f: E.judged(f.lines, f.roster).groupBy("sim_date").agg(F.count_if(F.col("reason").isNull()).alias("clean"), F.count_if(F.col("reason").isNotNull()).alias("quarantined")),

@@ -14,6 +14,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import exprs as X
 from ..operators import telemetry as T
 from ..params import DEFAULT, Params
+from .upserts import UpsertStore
 
 FIELDS = ["driver_id", "status", "zone_id", "lat", "lon", "speed", "trip_id", "seen", "idle_since", "opened_at"]
 STATE = "driver_id string, status string, zone_id string, lat double, lon double, speed double, trip_id string, seen timestamp, idle_since timestamp, opened_at timestamp"
@@ -96,8 +97,8 @@ def alerts(transitions: DataFrame) -> DataFrame:
     return transitions.where("change != 'none'").groupBy("vehicle_id", "opened_at").agg(best.alias("a")).select("vehicle_id", "opened_at", "a.*")
 
 
-def upsert(root: str) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: a batch owns one partition, so a replay rewrites itself."""
+def append(root: str) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink of rows without key: a batch owns one partition, so a replay rewrites itself."""
 
     def write(df: DataFrame, batch: int) -> None:
         df.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(root)
@@ -105,20 +106,6 @@ def upsert(root: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def latest(spark: SparkSession, root: str, keys: list[str], schema: str) -> DataFrame:
-    """The rows that the upserts leave: per key the one of the newest batch."""
-    return _newest(spark.read.schema(f"{schema}, batch_id long").parquet(root), keys)
-
-
-def compact(spark: SparkSession, root: str, keys: list[str], schema: str, into: str) -> int:
-    """Fold the batches written so far into one, written to ``into`` under the newest batch's
-    number; readers and the sink then go on there. Returns that number."""
-    df = spark.read.schema(f"{schema}, batch_id long").parquet(root)
-    newest = df.agg(F.max("batch_id")).first()[0]
-    upsert(into)(latest(spark, root, keys, schema), newest)
-    return newest
-
-
 def replace_dates(df: DataFrame, root: str, dates: list[str]) -> None:
     """Replace whole dates of a partitioned table; a date without rows ends up empty."""
     spark = df.sparkSession
@@ -182,21 +169,35 @@ def dlq_sink(wire: DataFrame, root: str, p: Params = DEFAULT):
     return rows.writeStream.format("json").outputMode("append").option("path", f"{root}/dlq").option("checkpointLocation", f"{root}/dlq-checkpoint")
 
 
-def state_sink(root: str) -> Callable[[DataFrame, int], None]:
+def ddl(df: DataFrame) -> str:
+    """The schema of a table or stream as text."""
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+ALERTS_OUT = "vehicle_id string, opened_at timestamp, closed_at timestamp, zone_id string, idle_min double, status string"
+
+
+def state_stores(spark: SparkSession, root: str) -> tuple[UpsertStore, UpsertStore]:
+    """The newest state of each vehicle, and the alerts by vehicle and opening."""
+    return UpsertStore(spark, f"{root}/out", ["vehicle_id"], STATE_OUT.removesuffix(", change string")), UpsertStore(spark, f"{root}/alerts", ["vehicle_id", "opened_at"], ALERTS_OUT)
+
+
+def state_sink(spark: SparkSession, root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink of the vehicle fold: states and alerts go to tables of their own."""
+    states, shown = state_stores(spark, root)
 
     def write(df: DataFrame, batch: int) -> None:
         df.persist()
-        upsert(f"{root}/out")(df.where("change = 'none'").drop("change"), batch)
-        upsert(f"{root}/alerts")(alerts(df), batch)
+        states.write(df.where("change = 'none'").drop("change"), batch)
+        shown.write(alerts(df), batch)
         df.unpersist()
 
     return write
 
 
 def _run(stream: DataFrame, root: str, mode: str) -> DataFrame:
-    spark, schema = stream.sparkSession, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(upsert(f"{root}/out")).start()
+    spark, schema = stream.sparkSession, ddl(stream)
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(append(f"{root}/out")).start()
     query.awaitTermination()
     return spark.read.schema(f"{schema}, batch_id long").parquet(f"{root}/out")
 
@@ -218,14 +219,12 @@ def run_dedup(wire: DataFrame) -> DataFrame:
     return _run(prepared(_source(wire, root)).select("event_id", "event_time"), root, "append").drop("batch_id")
 
 
-def _newest(out: DataFrame, keys: list[str]) -> DataFrame:
-    values = [c for c in out.columns if c not in (*keys, "batch_id")]
-    return out.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch_id").alias("s")).select(*keys, "s.*")
-
-
 def _windowed(wire: DataFrame, make: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
     root = folder(wire.sparkSession)
-    return _newest(_run(make(prepared(_source(wire, root))), root, "update"), keys)
+    stream = make(prepared(_source(wire, root)))
+    store = UpsertStore(wire.sparkSession, f"{root}/out", keys, ddl(stream))
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(store.write).start().awaitTermination()
+    return store.read()
 
 
 def run_zone_hourly(wire: DataFrame) -> DataFrame:
@@ -240,7 +239,6 @@ def run_vehicle_state(wire: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(newest state of each vehicle, its idle alerts) after the whole stream."""
     spark, root = wire.sparkSession, folder(wire.sparkSession)
     rows = vehicle_state(prepared(_source(wire, root)))
-    rows.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(state_sink(root)).start().awaitTermination()
-    states = spark.read.schema(f"{STATE_OUT.removesuffix(', change string')}, batch_id long").parquet(f"{root}/out")
-    shown = spark.read.schema("vehicle_id string, opened_at timestamp, closed_at timestamp, zone_id string, idle_min double, status string, batch_id long").parquet(f"{root}/alerts")
-    return _newest(states, ["vehicle_id"]), _newest(shown, ["vehicle_id", "opened_at"])
+    rows.writeStream.outputMode("update").option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(state_sink(spark, root)).start().awaitTermination()
+    states, shown = state_stores(spark, root)
+    return states.read(), shown.read()

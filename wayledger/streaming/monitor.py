@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +14,13 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from ..operators import telemetry as T
 from ..params import DEFAULT, Params
 from . import jobs
+from .upserts import UpsertStore
 
 #: Options of the broker source, for the live jobs and for the archive.
 BROKER = {"startingOffsets": "latest", "maxOffsetsPerTrigger": "20000", "failOnDataLoss": "false"}
 BROKER_ARCHIVE = BROKER | {"startingOffsets": "earliest"}
 PROGRESS = "query string, batch_id long, at string, input_rows long, input_rate double, processed_rate double, duration_ms long, newest_event string, late_rows long, offsets_behind double"
-KEYS = {"zone_hourly": ["zone_id", "window_start"], "vehicle_daily": ["vehicle_id", "sim_day"]}
+KEYS = {"dlq_reasons": ["reason"], "zone_hourly": ["zone_id", "window_start"], "vehicle_daily": ["vehicle_id", "sim_day"]}
 
 
 def read_events(spark: SparkSession, source: str, options: dict[str, str], schema=None) -> DataFrame:
@@ -38,22 +40,30 @@ def start_all(open_stream, root: str, p: Params = DEFAULT, trigger: dict | None
     and output folder below ``root``: the archive, the rejected events and their numbers, and
     the live tables."""
     when = trigger or {"processingTime": "5 seconds"}
-    make = {
-        "dedup": ("append", lambda s: s.select("event_id", "event_time"), jobs.upsert), "zone_hourly": ("update", T.zone_hourly, jobs.upsert),
-        "vehicle_daily": ("update", T.vehicle_daily_running, jobs.upsert), "vehicle_state": ("update", lambda s: jobs.vehicle_state(s, p), None),
-    }
     running = {
         "archive": jobs.archive_sink(open_stream(), f"{root}/archive").queryName("archive").trigger(**(trigger or {"processingTime": "30 seconds"})).start(),
         "dlq": jobs.dlq_sink(open_stream(), f"{root}/dlq", p).queryName("dlq").trigger(**when).start(),
     }
+
+    def start(name: str, mode: str, stream: DataFrame, sink: Callable[[DataFrame, int], None]) -> None:
+        writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/{name}/checkpoint")
+        running[name] = writer.trigger(**when).foreachBatch(sink).start()
+
     reasons = T.invalid(T.archived(open_stream()), p).groupBy("reason").agg(F.count("*").alias("rows"))
-    running["dlq_reasons"] = reasons.writeStream.queryName("dlq_reasons").outputMode("update").option("checkpointLocation", f"{root}/dlq_reasons/checkpoint").trigger(**when).foreachBatch(jobs.upsert(f"{root}/dlq_reasons/out")).start()
-    for name, (mode, build, sink) in make.items():
-        writer = build(jobs.prepared(open_stream(), p)).writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/{name}/checkpoint")
-        running[name] = writer.trigger(**when).foreachBatch(sink(f"{root}/{name}/out") if sink else jobs.state_sink(f"{root}/{name}")).start()
+    hours, days = T.zone_hourly(jobs.prepared(open_stream(), p)), T.vehicle_daily_running(jobs.prepared(open_stream(), p))
+    for name, stream in (("dlq_reasons", reasons), ("zone_hourly", hours), ("vehicle_daily", days)):
+        start(name, "update", stream, store(stream.sparkSession, root, name, jobs.ddl(stream)).write)
+    start("dedup", "append", jobs.prepared(open_stream(), p).select("event_id", "event_time"), jobs.append(f"{root}/dedup/out"))
+    states = jobs.vehicle_state(jobs.prepared(open_stream(), p), p)
+    start("vehicle_state", "update", states, jobs.state_sink(states.sparkSession, f"{root}/vehicle_state"))
     return running
 
 
+def store(spark: SparkSession, root: str, name: str, schema: str) -> UpsertStore:
+    """The table of one of the jobs that upsert."""
+    return UpsertStore(spark, f"{root}/{name}/out", KEYS[name], schema)
+
+
 class ProgressLog(StreamingQueryListener):
     """Keeps a row for every micro-batch of every query; ``flush`` appends them to a table.
 
@@ -126,12 +136,15 @@ def run_all(wire: DataFrame) -> tuple[str, DataFrame]:
 
 def outputs(spark: SparkSession, root: str) -> DataFrame:
     """(query, rows): what each query left, an updated row once."""
+    key = lambda name: f"{KEYS[name][0]} string"
+    live = {name: store(spark, root, name, key(name)).manifest()["runs"] for name in KEYS}
     tables = {
         "archive": spark.read.parquet(f"{root}/archive/archive"), "dlq": spark.read.schema("key string, value string").json(f"{root}/dlq/dlq"),
-        "dlq_reasons": spark.read.parquet(f"{root}/dlq_reasons/out").select("reason").distinct(), "dedup": spark.read.parquet(f"{root}/dedup/out"),
-        "vehicle_state": spark.read.parquet(f"{root}/vehicle_state/out").select("vehicle_id").distinct(),
+        "dedup": spark.read.parquet(f"{root}/dedup/out"), "vehicle_state": jobs.state_stores(spark, f"{root}/vehicle_state")[0].read(),
     }
-    tables |= {name: spark.read.parquet(f"{root}/{name}/out").select(*keys).distinct() for name, keys in KEYS.items()}
+    for name, runs in live.items():
+        paths = [f"{root}/{name}/out/runs/{r['name']}" for r in runs]
+        tables[name] = spark.read.parquet(*paths).select(*KEYS[name]).distinct() if paths else spark.createDataFrame([], key(name))
     return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("query"), F.count("*").alias("rows")) for name, df in tables.items()])
 
 
