@@ -2,11 +2,13 @@
 
 Texts are normalised and cut into pre-tokens as the file says. Pre-tokens that a worker
 has not met are merged together: all of them lie end to end in one symbol array, and in
-each step every sequence applies its own lowest-ranked pair. What survives is counted.
+each step every sequence applies its own lowest-ranked pair. What survives is counted. Pre-tokens
+of more than LONG bytes, which would take a round for each of their ranks, are merged alone.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -24,6 +26,8 @@ from .common import table
 #: Pre-tokens a worker remembers; it forgets all of them beyond this, so memory is bounded.
 REMEMBERED = 1 << 19
 NONE = np.iinfo(np.int64).max
+#: Bytes of a pre-token up to which it is merged together with others, a rank a round.
+LONG = 256
 
 # Where the tokenizer library and this interpreter's tables differ. Lower case of
 # letters that are newer than the tables, and unassigned characters that the tables take for
@@ -56,6 +60,17 @@ class Merger:
         sym = byte_symbols()
         self.inner = np.array([vocab[sym[b]] for b in range(256)], np.int64)
         self.last = np.array([vocab[sym[b] + self.suffix] for b in range(256)], np.int64)
+        self.rank_of = dict(zip(self.keys.tolist(), self.rank.tolist(), strict=True))
+        # Which symbols of one byte a rule brings together: the last of its left part, the first
+        # of its right part. With a word's end such a symbol is another one.
+        units = {v: k for k, v in enumerate([*self.inner.tolist(), *self.last.tolist()])}
+        self.number = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.number[list(units)] = list(units.values())
+        self.joins = np.zeros((len(units), len(units)), bool)
+        end = lambda x: units[vocab[x[-1 - len(self.suffix) :] if self.suffix and x.endswith(self.suffix) else x[-1]]]
+        begin = lambda x: units[vocab[x if self.suffix and len(x) == 1 + len(self.suffix) and x.endswith(self.suffix) else x[0]]]
+        for x, y in pairs:
+            self.joins[end(x), begin(y)] = True
         splits = [p for p in spec["pre_tokenizer"].get("pretokenizers", [spec["pre_tokenizer"]]) if p["type"] == "Split"]
         pattern = splits[0]["pattern"]["Regex"]
         self.split = regex.compile(pattern)
@@ -69,14 +84,67 @@ class Merger:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.rank[at], NONE)
 
+    def cuts(self, sym: np.ndarray) -> np.ndarray:
+        """Whether a symbol can never be joined with the next one: no rule's left part ends in
+        the one's character while its right part begins with the other's. What stands on
+        either side of such a place is merged on its own."""
+        return ~self.joins[self.number[sym[:-1]], self.number[sym[1:]]]
+
     def count(self, tokens: list[str]) -> np.ndarray:
-        """Surviving symbols of each pre-token."""
-        raw = [t.encode() for t in tokens]
-        n = np.array([len(b) for b in raw], np.int64)
-        data = np.frombuffer(b"".join(raw), np.uint8)
+        """Surviving symbols of each pre-token.
+
+        Pre-tokens of up to LONG bytes are merged together, a rank a round. A longer one is cut
+        where no rule joins, and what is still long is merged one pair at a time, by a heap of
+        the pairs: the time grows with its length, not with the square of it.
+        """
+        size = [len(t.encode()) for t in tokens]
+        out = np.zeros(len(tokens), np.int64)
+        short = [i for i, n in enumerate(size) if n <= LONG]
+        if short:
+            out[short] = self._together([self._symbols(tokens[i]) for i in short])
+        for i in (i for i, n in enumerate(size) if n > LONG):
+            sym = self._symbols(tokens[i])
+            parts = np.split(sym, np.flatnonzero(self.cuts(sym)) + 1)
+            low = [p for p in parts if len(p) <= LONG]
+            out[i] = (int(self._together(low).sum()) if low else 0) + sum(self._one(p) for p in parts if len(p) > LONG)
+        return out
+
+    def _symbols(self, token: str) -> np.ndarray:
+        data = np.frombuffer(token.encode(), np.uint8)
         sym = self.inner[data]
-        end = np.cumsum(n)
-        sym[end[n > 0] - 1] = self.last[data[end[n > 0] - 1]]
+        if len(sym):
+            sym[-1] = self.last[data[-1]]
+        return sym
+
+    def _one(self, sym: np.ndarray) -> int:
+        """Surviving symbols of one sequence: of the pairs that wait the one with the lowest rank,
+        the leftmost of equals, is joined and makes two new pairs."""
+        s, n = sym.tolist(), len(sym)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        rank = np.append(self.ranks(sym[:-1], sym[1:]), NONE)
+        heap = [(r, i) for i, r in enumerate(rank.tolist()) if r < NONE]
+        heapq.heapify(heap)
+        now, left = rank.tolist(), n
+        while heap:
+            r, i = heapq.heappop(heap)
+            if now[i] != r:
+                continue
+            j = after[i]
+            s[i], after[i] = int(self.made[r]), after[j]
+            now[j] = NONE
+            left -= 1
+            if after[j] >= 0:
+                before[after[j]] = i
+            for k in (before[i], i):
+                if k >= 0:
+                    now[k] = self.rank_of.get(s[k] << 32 | s[after[k]], NONE) if after[k] >= 0 else NONE
+                    if now[k] < NONE:
+                        heapq.heappush(heap, (now[k], k))
+        return left
+
+    def _together(self, symbols: list[np.ndarray]) -> np.ndarray:
+        n = np.array([len(x) for x in symbols], np.int64)
+        sym = np.concatenate(symbols) if len(n) else np.zeros(0, np.int64)
         seq = np.repeat(np.arange(len(n)), n)
         out = n.copy()
         while len(sym) > 1:
