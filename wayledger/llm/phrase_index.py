@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import Scratch, stored, table
+from .common import Scratch, single_rows, stored, table
 
 #: Text bytes and documents of one shard; they bound a row of the index.
 SHARD_BYTES = 4 << 20
@@ -87,7 +87,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield _shard(ids, counts, hashes)
 
-    return store(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, INDEX), "positions")
+    return store(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, INDEX), "positions", True)
 
 
 def _item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -104,12 +104,25 @@ def _item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return found.where("size(terms) > 0 AND item IS NOT NULL").dropDuplicates(["item", "terms"])
 
 
-def _phrases(terms: np.ndarray, window: int, here: np.ndarray) -> Iterator[np.ndarray]:
-    """The windows of an item all of whose words occur in the shard (``here`` by word)."""
-    size = min(window, len(terms))
-    missing = np.concatenate([[0], np.cumsum(~here)])
-    for i in np.flatnonzero(missing[size:] == missing[: len(missing) - size]):
-        yield terms[i : i + size]
+class Windows:
+    """The windows of a block of items, over their words end to end."""
+
+    def __init__(self, items: list[tuple[str, np.ndarray]], window: int):
+        self.words = np.concatenate([t for _, t in items])
+        size = np.array([len(t) for _, t in items], np.int64)
+        width = np.minimum(size, window)
+        count = size - width + 1
+        self.item = np.repeat(np.arange(len(items)), count)
+        first = np.cumsum(size) - size
+        self.start = np.arange(len(self.item)) + np.repeat(first - (np.cumsum(count) - count), count)
+        self.end = self.start + width[self.item]
+
+    def present(self, term: np.ndarray) -> np.ndarray:
+        """Windows all of whose words are among the sorted ``term``: one look-up of all words."""
+        at = np.minimum(np.searchsorted(term, self.words), max(len(term) - 1, 0))
+        here = term[at] == self.words if len(term) else np.zeros(len(self.words), bool)
+        missing = np.concatenate([[0], np.cumsum(~here)])
+        return np.flatnonzero(missing[self.end] == missing[self.start])
 
 
 def _starts(phrase: np.ndarray, lists: dict[int, np.ndarray], total: dict[int, int], bounds: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray]:
@@ -183,6 +196,7 @@ def _search_block(index: DataFrame, items: list[tuple[str, np.ndarray]], window:
     total = {int(vocab[r["term"]]): int(r["n"]) for r in per_task.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(items, window)
         for batch in batches:
             for i in range(batch.num_rows):
                 row = {f: batch.column(f)[i].as_py() for f in ("shard", "terms", "lengths", "steps", "words")}
@@ -194,17 +208,15 @@ def _search_block(index: DataFrame, items: list[tuple[str, np.ndarray]], window:
                 bounds = np.concatenate([[0], np.cumsum(row["words"], dtype=np.int64)])
                 ids = batch.column("ids")[i].as_py()
                 seen: dict[bytes, tuple[np.ndarray, np.ndarray]] = {}
-                out = []
-                for item, terms in items:
-                    hits = []
-                    for phrase in _phrases(terms, window, np.isin(terms, term[have])):
-                        name = phrase.tobytes()
-                        if name not in seen:
-                            seen[name] = _starts(phrase, lists, total, bounds, slop)
-                        if len(seen[name][0]):
-                            hits.append((*seen[name], len(phrase)))
-                    if hits:
-                        out += [{"shard": row["shard"], "doc_row": d, "id": ids[d], "item": item, "spans": s} for d, s in _spans(hits, bounds, slop)]
+                hits: dict[int, list] = {}
+                for k in windows.present(term).tolist():
+                    phrase = windows.words[windows.start[k] : windows.end[k]]
+                    name = phrase.tobytes()
+                    if name not in seen:
+                        seen[name] = _starts(phrase, lists, total, bounds, slop)
+                    if len(seen[name][0]):
+                        hits.setdefault(int(windows.item[k]), []).append((*seen[name], len(phrase)))
+                out = [{"shard": row["shard"], "doc_row": d, "id": ids[d], "item": items[i][0], "spans": s} for i, found in hits.items() for d, s in _spans(found, bounds, slop)]
                 yield pa.RecordBatch.from_pylist(out, schema=_MATCH)
 
     return index.mapInArrow(run, MATCH)
@@ -224,7 +236,8 @@ def search(index: DataFrame, items: DataFrame, id_col: str = "item_id", text_col
     """
     with Scratch(index.sparkSession) as scratch:
         asked = scratch.stored(_item_words(items, id_col, text_col), "items")
-        found = [store(_search_block(index, block, window, slop), "matches") for block in _blocks(asked)]
+        with single_rows(index.sparkSession):
+            found = [store(_search_block(index, block, window, slop), "matches") for block in _blocks(asked)]
     return reduce(DataFrame.unionByName, found) if found else index.sparkSession.createDataFrame([], MATCH)
 
 
