@@ -158,13 +158,25 @@ class Shard:
         return [x for x in found if x[0] >= floor - MARGIN], scored, int((end - begin).sum())
 
 
-def _query_blocks(queries: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _asked(queries: DataFrame) -> DataFrame:
+    """(query, terms): the distinct words of every query that has any, hashed in tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, off in tb.blocks(batch.column(1)):
+                w = tb.words(data, off, tb.WORD_CHARS)
+                terms = [np.unique(w.hash[a:b]).view(np.int64) for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.array(terms, pa.list_(pa.int64()))], names=["query", "terms"])
+
+    return queries.mapInArrow(run, "query bigint, terms array<bigint>").where("size(terms) > 0")
+
+
+def _query_blocks(asked: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
     """(query, distinct words) of all queries, at most MAX_QUERIES and MAX_WORDS at a time;
-    a query of more words is a block of its own."""
+    a query of more words is a block of its own. No text comes to the driver."""
     block, held = [], 0
-    for query, text in queries.toLocalIterator():
-        words = np.concatenate([tb.words(data, off, tb.WORD_CHARS).hash for _, _, data, off in tb.blocks(pa.array([text], pa.string()))])
-        words = np.unique(words)
+    for query, terms in asked.toLocalIterator():
+        words = np.asarray(terms, np.int64).view(np.uint64)
         if block and (len(block) >= MAX_QUERIES or held + len(words) > MAX_WORDS):
             yield block
             block, held = [], 0
@@ -218,7 +230,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         n_docs, n_words = index.agg(F.coalesce(F.sum(F.size("ids")), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
         mean = n_words / n_docs if n_words else 1.0
         rows = queries.select(F.col(query_id).cast("long"), F.col(query_text)).where(F.col(query_id).isNotNull())
-        found = [scratch.stored(_best(_search_block(index, block, n_docs, mean, k), k).drop("rank"), "hits") for block in _query_blocks(rows)]
+        asked = scratch.stored(_asked(rows), "asked")
+        found = [scratch.stored(_best(_search_block(index, block, n_docs, mean, k), k).drop("rank"), "hits") for block in _query_blocks(asked)]
         hits = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
         return scratch.result(_best(hits, k).select(F.col("query").alias(query_id), "rank", F.col("id").alias(id_col), "score"), "best")
 
