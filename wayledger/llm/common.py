@@ -9,8 +9,9 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of 64-bit ids up to which a side of a join may go to every task (32 MB of ids).
-BROADCAST_IDS = 4_000_000
+#: Bytes of a table, as it is held in memory, up to which it may go to every task as a side of a
+#: join: rows times ROW bytes. A row of three numbers takes about 90 there.
+BROADCAST_BYTES, ROW = 64 << 20, 90
 #: Makes Spark delete the shuffle files of a finished write at once.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -48,10 +49,10 @@ def _written(df: DataFrame, path: str, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, large_rows: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage so
     that a lost executor costs a re-read, not a recomputation."""
-    return _written(df, scratch(df.sparkSession, label))
+    return _written(df, scratch(df.sparkSession, label), **(LARGE_ROWS if large_rows else {}))
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -99,10 +100,10 @@ class Scratch:
         return stored(df, label)
 
 
-def sized(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
-    """``ids`` (a stored table of ids) with a broadcast hint if it has at most ``most`` rows,
-    counted first. A larger one is left to a shuffled join."""
-    return F.broadcast(ids) if ids.count() <= most else ids
+def sized(ids: DataFrame, most: int = BROADCAST_BYTES, row: int = ROW) -> DataFrame:
+    """``ids`` (a stored table of narrow rows) with a broadcast hint if it takes at most ``most``
+    bytes, its rows (of ``row`` bytes) counted first. A larger one is left to a shuffled join."""
+    return F.broadcast(ids) if ids.count() * row <= most else ids
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -26,8 +26,8 @@ ROLL_BYTES = 256 << 20
 SPAN_BYTES = 1 << 20
 #: Bytes of records that a reading task gets.
 TASK_BYTES = 128 << 20
-#: Groups of equal payloads up to which their first pages may go to every task.
-BROADCAST_FIRSTS = 200_000
+#: Bytes in memory of a row of the first pages: digest, id and address.
+FIRST_ROW = 400
 GAP_BYTES = 64 << 10
 #: Payloads below this are never deduplicated.
 LEAST_PAYLOAD = 100
@@ -155,7 +155,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
         firsts = scratch_.stored(several.select("digest", F.col("first.page_id").alias("first"), F.col("first.url").alias("first_url")), "firsts")
         odd = rows.groupBy("page_id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
         nth = F.row_number().over(Window.partitionBy("page_id", "url", "digest").orderBy("size")) - 1 if odd else F.lit(0)
-        joined = rows.withColumn("nth", nth).join(sized(firsts, BROADCAST_FIRSTS), "digest", "left")
+        joined = rows.withColumn("nth", nth).join(sized(firsts, row=FIRST_ROW), "digest", "left")
         revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
         keep = lambda c: F.when(revisit, F.col(c)).alias(c)
         records = joined.select("page_id", "url", F.when(~revisit, F.col("html")).alias("html"), "size", "digest", "nth", keep("first"), keep("first_url"))
