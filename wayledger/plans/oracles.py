@@ -272,6 +272,7 @@ PARTS: dict[str, tuple[str, str]] = {
     "vehicle_daily_running": (ZH, "SELECT * REPLACE (sim_day::VARCHAR AS sim_day) FROM dr"),
     "vehicle_state_latest": (ZH, "SELECT vehicle_id, driver_id, status, zone_id, trip_id, speed, event_time FROM st"),
     "idle_islands": (ZH, "SELECT * FROM isl"),
+    "idle_spells_by_day": (ZH, "SELECT * FROM isl"),
     "idle_alerts": (ZH, "SELECT vehicle_id, opened_at, closed_at, idle_min, status FROM isl WHERE alert ORDER BY opened_at DESC, vehicle_id LIMIT 200"),
     "open_idle_alerts": (ZH, "SELECT vehicle_id, opened_at, closed_at, idle_min, status FROM isl WHERE alert AND status = 'open' ORDER BY opened_at DESC, vehicle_id LIMIT 200"),
     "open_alert_count": (ZH, "SELECT count(*) AS open_alerts FROM isl WHERE alert AND status = 'open'"),

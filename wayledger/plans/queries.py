@@ -14,6 +14,7 @@ from ..operators import expenses as E
 from ..operators import health as H
 from ..operators import rules as R
 from ..operators import serving as S
+from ..operators import spells as K
 from ..operators import telemetry as T
 from ..schemas import EXPENSE_COLUMNS
 from ..sources import clustered, fleet, landing
@@ -289,6 +290,18 @@ def _upserted(f: Fleet) -> UpsertStore:
     return store
 
 
+def _spells_by_day(f: Fleet) -> DataFrame:
+    """The idle spells of all days, each day folded onto what was open before it. The spells are
+    stored in versions by the date they were closed on; the open ones go beside them."""
+    table = Snapshots(f.spark, f"{jobs.folder(f.spark)}/spells", f"{K.SPELL}, sim_date string")
+    for day in (f"2024-01-0{i}" for i in range(1, 6)):
+        folded = K.fold_day(table.side("open", K.CARRIED), f.clean.where(F.col("sim_date") == day)).withColumn("sim_date", F.lit(day))
+        table.replace(folded.where("status = 'closed'"), [day], f"spells-{day}", {"open": K.open_spells(folded)})
+    still = table.side("open", K.CARRIED)
+    rest = K.fold_day(still, f.clean.where("false"))
+    return table.read().drop("sim_date").unionByName(rest)
+
+
 def _replaced(f: Fleet) -> DataFrame:
     """Vehicle-days after one date was replaced by its busy vehicles and one by nothing."""
     root = f"{jobs.folder(f.spark)}/days"
@@ -364,6 +377,7 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "vehicle_daily_running": lambda f: T.vehicle_daily_running(f.clean),
     "vehicle_state_latest": lambda f: f.state.drop("lat", "lon"),
     "idle_islands": lambda f: f.islands,
+    "idle_spells_by_day": lambda f: _spells_by_day(f),
     "idle_alerts": lambda f: S.idle_alerts(f.islands),
     "open_idle_alerts": lambda f: S.idle_alerts(f.islands, "open").orderBy(F.desc("idle_min"), "vehicle_id"),
     "open_alert_count": lambda f: f.islands.where("alert AND status = 'open'").agg(F.count("*").alias("open_alerts")),
