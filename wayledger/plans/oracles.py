@@ -215,6 +215,9 @@ DAILY = SEQ + COST + COST2 + """, gt AS (SELECT sim_date, count(reason) / count(
 for _n in ("1", "2"):
     DAILY += _rec(f"r{_n}", f"m{_n}").replace("FROM vd FULL JOIN", f"FROM (SELECT * FROM vd WHERE sim_date IN (SELECT sim_date FROM d{_n})) vd FULL JOIN")
 
+# A vehicle is offline when the watermark has passed its last event by the minutes of silence.
+STATES = "SELECT vehicle_id, driver_id, CASE WHEN gone THEN 'offline' ELSE status END AS status, zone_id, CASE WHEN gone THEN 0e0 ELSE speed END AS speed, CASE WHEN NOT gone THEN trip_id END AS trip_id, event_time FROM (SELECT *, event_time + INTERVAL 20 MINUTE <= now - INTERVAL 10 MINUTE AS gone FROM st, nw)"
+
 PARTS: dict[str, tuple[str, str]] = {
     "daily_table": (DAILY, f"SELECT {COLS}, online_min, on_trip_min, idle_min, utilization, fuel_cost, maintenance_cost, distance_covered, {', '.join(FLAGS)}, version AS expense_file_version, sim_date || '_v' || version AS run_id FROM r2 JOIN d2 USING (sim_date)"),
     "daily_runs": (DAILY, "SELECT sim_date || '_v' || version AS run_id, sim_date, version, CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, bad::BIGINT AS quarantined, true AS timed FROM (SELECT sim_date, 1 AS version, ok, bad FROM gt UNION ALL SELECT sim_date, 2, true, 0 FROM d2 WHERE version = 2 UNION ALL SELECT '2024-01-05', 3, false, count_if(line_no % 2 = 1) FROM ey1 WHERE sim_date = '2024-01-05')"),
@@ -244,7 +247,10 @@ PARTS: dict[str, tuple[str, str]] = {
     "stream_zone_hourly": (ZH, "SELECT * REPLACE (sim_day::VARCHAR AS sim_day) FROM zh"),
     "stream_vehicle_daily": (ZH, "SELECT * REPLACE (sim_day::VARCHAR AS sim_day) FROM dr"),
     "stream_dlq": ("", "SELECT vehicle_id AS key, reason, event_id FROM j WHERE reason IS NOT NULL"),
-    "stream_vehicle_state": (ZH, "SELECT vehicle_id, driver_id, CASE WHEN gone THEN 'offline' ELSE status END AS status, zone_id, CASE WHEN gone THEN 0e0 ELSE speed END AS speed, CASE WHEN NOT gone THEN trip_id END AS trip_id, event_time FROM (SELECT *, event_time + INTERVAL 20 MINUTE <= now - INTERVAL 10 MINUTE AS gone FROM st, nw)"),
+    "stream_vehicle_state": (ZH, STATES),
+    "stream_typed_state": (ZH, STATES),
+    "stream_restarted_state": (ZH, f"SELECT * FROM ({STATES}) WHERE event_time >= TIMESTAMP '2024-01-04'"),
+    "stream_stored_state": (ZH, f"SELECT * FROM ({STATES}) WHERE status <> 'offline'"),
     "archive_partition_counts": ("", "SELECT coalesce(strftime(event_time, '%Y-%m-%d'), 'unknown') AS sim_date, count(*) AS rows FROM raw GROUP BY 1"),
     "archive_day": ("", "SELECT event_id, vehicle_id, kafka_offset, event_time FROM raw WHERE event_time::DATE = DATE '2024-01-02'"),
     "parse_events": ("", "SELECT event_id, event_type, trip_id, driver_id, vehicle_id, status, speed, fare, kafka_offset FROM raw"),

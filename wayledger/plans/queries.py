@@ -19,7 +19,7 @@ from ..operators import telemetry as T
 from ..schemas import EXPENSE_COLUMNS
 from ..sources import clustered, fleet, landing
 from ..sources.snapshots import Snapshots
-from ..streaming import jobs, monitor
+from ..streaming import jobs, monitor, vehicles
 from ..streaming.upserts import UpsertStore
 from . import daily
 from .recompute import recompute, reconcile
@@ -238,7 +238,7 @@ def _recomputed(f: Fleet) -> DataFrame:
     first = f.processed.select("sim_date", F.col("processed_version").alias("version"))
     rec = reconcile(f.days, f.lines, f.roster, first)
     rec.write.partitionBy("sim_date").parquet(root)
-    recompute(root, f.days, f.landed, f.roster, f.processed, F.expr(f"timestamp_ntz'{NOW}'"))
+    recompute(root, f.days, f.landed, f.roster, f.processed, F.expr(f"timestamp_ntz'{NOW}'"), files=landing.listing(f.spark, f.landing))
     return f.spark.read.schema(rec.schema).parquet(root)
 
 
@@ -312,9 +312,24 @@ def _replaced(f: Fleet) -> DataFrame:
     return f.spark.read.schema(table.schema).parquet(root)
 
 
-def _current(f: Fleet) -> DataFrame:
-    """The stream's newest state of each vehicle, with times that have no zone."""
-    state, _ = jobs.run_vehicle_state(f.wire)
+RESTART = "2024-01-04"
+
+
+def _restarted(f: Fleet) -> DataFrame:
+    """States after a stream of the last days that began with the batch layer's states of the
+    days before; of vehicles that had events in it."""
+    initial = vehicles.batch_states(f.clean.where(F.col("sim_date") < RESTART))
+    state, _, _ = vehicles.run(f.wire.where(F.col("sent_at") >= RESTART), initial)
+    return _current(state).where(F.col("event_time") >= RESTART)
+
+
+def _stored_states(f: Fleet) -> DataFrame:
+    """What the state store of the typed query holds at the end: vehicles that aren't offline."""
+    return vehicles.run(f.wire)[2].select("vehicle_id", "driver_id", "status", "zone_id", "speed", "trip_id", F.col("seen").alias("event_time"))
+
+
+def _current(state: DataFrame) -> DataFrame:
+    """A stream's newest state of each vehicle, with times that have no zone."""
     return state.select("vehicle_id", "driver_id", "status", "zone_id", "speed", "trip_id", F.col("event_time").cast("timestamp_ntz").alias("event_time"))
 
 
@@ -457,7 +472,10 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "stream_dedup": lambda f: _naive(jobs.run_dedup(f.wire)),
     "stream_zone_hourly": lambda f: _naive(jobs.run_zone_hourly(f.wire)).withColumn("sim_hour", F.col("sim_hour").cast("int")),
     "stream_vehicle_daily": lambda f: jobs.run_vehicle_daily(f.wire),
-    "stream_vehicle_state": lambda f: _current(f),
+    "stream_vehicle_state": lambda f: _current(jobs.run_vehicle_state(f.wire)[0]),
+    "stream_typed_state": lambda f: _current(vehicles.run(f.wire)[0]),
+    "stream_restarted_state": lambda f: _restarted(f),
+    "stream_stored_state": lambda f: _stored_states(f),
     "stream_idle_alerts": lambda f: _naive(jobs.run_vehicle_state(f.wire)[1]),
 }
 

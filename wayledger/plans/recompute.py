@@ -22,16 +22,17 @@ def reconcile(days: DataFrame, lines: DataFrame, roster: DataFrame, versions: Da
     return rec.join(versions, "sim_date").select("sim_date", "vehicle_id", *KEPT, F.col("version").alias("source_version"))
 
 
-def recompute(root: str, days: DataFrame, lines: DataFrame, roster: DataFrame, processed: DataFrame, now: Column, forced: list[str] | None = None, p: Params = DEFAULT) -> list[str]:
+def recompute(root: str, days: DataFrame, lines: DataFrame, roster: DataFrame, processed: DataFrame, now: Column, forced: list[str] | None = None, p: Params = DEFAULT, files: DataFrame | None = None) -> list[str]:
     """Bring the table at ``root`` (by sim_date) up to date; returns the dates that it rewrote.
 
     Dates to do are closed ones with a newer file than ``processed`` (sim_date,
     processed_version), or exactly ``forced``; a file with too many invalid lines is left out.
     All are done in one plan. The trend looks back two rows of a vehicle, so every date with
-    such a row after a date to do is rewritten too. Only dates travel to the driver.
+    such a row after a date to do is rewritten too. Only dates travel to the driver. ``files``
+    (sim_date, version) lists the files where they can be told without reading them. For one date
+    at a time, with verdict, versions and a cost that doesn't grow with history, see ``daily``.
     """
-    files = lines.select("sim_date", "version").distinct()
-    newest = landing.newest(files)
+    newest = landing.newest(lines.select("sim_date", "version") if files is None else files)
     if forced is None:
         todo = S.pending_dates(newest, processed, now, p)
     else:
