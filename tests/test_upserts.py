@@ -72,3 +72,29 @@ def test_a_stream_writes_through_it(spark, tmp_path):
         stream.writeStream.option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).foreachBatch(store.write).start().awaitTermination()
     assert {(r["vehicle_id"], r["day"]) for r in store.read().collect()} == {("a", 1), ("v0", 2), ("v1", 2), ("v2", 2)}
     assert store.manifest()["batches"] == {"": 2}
+
+
+def test_an_intake_that_fails_between_its_tables_leaves_no_double_rows(spark, tmp_path, monkeypatch):
+    from wayledger.operators import telemetry as T
+    from wayledger.streaming import jobs
+
+    ok = '{"event_id":"%d","event_type":"ping","trip_id":null,"driver_id":"D","vehicle_id":"V1","lat":13.0,"lon":77.6,"speed":1.0,"status":"idle","fare":0.0,"timestamp":"2024-01-01T0%d:00:00Z","schema_version":1}'
+    for i in range(3):
+        spark.createDataFrame([("k", ok % (i, i)), ("k", "{broken")], "key string, value string").coalesce(1).write.parquet(f"file://{tmp_path}/in/{i}")
+    stream = T.archived(spark.readStream.schema("key string, value string").option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*").selectExpr("*", "0 AS kafka_offset"))
+    root, write, calls = f"file://{tmp_path}/out", jobs.own, []
+
+    def failing(df, path, batch, *by):
+        calls.append(path)
+        if len(calls) == 5:
+            raise OSError("gone")
+        write(df, path, batch, *by)
+
+    monkeypatch.setattr(jobs, "own", failing)
+    run = lambda: stream.writeStream.option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).foreachBatch(jobs.intake(root)).start().awaitTermination()
+    with pytest.raises(Exception, match="gone"):
+        run()
+    run()
+    rows = lambda name: spark.read.parquet(f"{root}/{name}")
+    assert (rows("archive").count(), rows("dlq").count(), rows("dlq_reasons").agg({"rows": "sum"}).first()[0]) == (6, 3, 3)
+    assert {str(r[0]) for r in rows("archive").select("sim_date").distinct().collect()} == {"2024-01-01", "unknown"}

@@ -243,6 +243,7 @@ PARTS: dict[str, tuple[str, str]] = {
     "rule_transitions": (ZH + RUNS + DRIFT + GRID + RULES, "SELECT rule, severity, label, moment AS at, CASE WHEN state <> 'inactive' THEN state WHEN before = 'firing' THEN 'resolved' ELSE 'dropped' END AS change, round(value, 6) AS value FROM sy WHERE state <> before"),
     "rule_values": (ZH + RUNS + DRIFT + GRID + RULES, "SELECT rule, count(*) AS evaluations, count_if(state <> 'inactive')::BIGINT AS holding, count_if(state = 'firing')::BIGINT AS firing, round(max(value), 6) AS largest FROM sx GROUP BY 1"),
     "stream_source": ("", "SELECT event_id, vehicle_id, status, kafka_offset FROM raw"),
+    "stream_intake": ("", "SELECT 'archive' AS sink, coalesce(strftime(event_time, '%Y-%m-%d'), 'unknown') AS part, count(*) AS rows FROM raw GROUP BY 2 UNION ALL SELECT s.sink, reason, count(*) FROM j, (VALUES ('dlq'), ('dlq_reasons')) s(sink) WHERE reason IS NOT NULL GROUP BY 1, 2"),
     "stream_dedup": ("", "SELECT event_id, event_time FROM cl"),
     "stream_zone_hourly": (ZH, "SELECT * REPLACE (sim_day::VARCHAR AS sim_day) FROM zh"),
     "stream_vehicle_daily": (ZH, "SELECT * REPLACE (sim_day::VARCHAR AS sim_day) FROM dr"),

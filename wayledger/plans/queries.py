@@ -345,6 +345,18 @@ def _daily_runs(f: Fleet) -> DataFrame:
     return runs.select("run_id", "sim_date", "version", "status", "quarantined", (F.size(F.map_keys("durations")) >= 1).alias("timed"))
 
 
+def _intake(f: Fleet) -> DataFrame:
+    """Rows of the three tables of the intake by date or reason, its last batch taken in twice."""
+    root = jobs.folder(f.spark)
+    stream, write = jobs._source(f.wire, root), jobs.intake(f"{root}/intake")
+    again = lambda df, batch: [write(df, batch) for _ in range(1 + batch % 2)]
+    T.archived(stream).writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(lambda df, batch: again(df, batch) and None).start().awaitTermination()
+    read = lambda name: f.spark.read.parquet(f"{root}/intake/{name}")
+    count = lambda df, name, by: df.groupBy(by.cast("string").alias("part")).agg(F.count("*").alias("rows")).withColumn("sink", F.lit(name))
+    reasons = read("dlq_reasons").groupBy(F.col("reason").alias("part")).agg(F.sum("rows").alias("rows")).withColumn("sink", F.lit("dlq_reasons"))
+    return count(read("archive"), "archive", F.coalesce(F.col("sim_date").cast("string"), F.lit("unknown"))).unionByName(count(read("dlq"), "dlq", F.get_json_object("value", "$.error_reason"))).unionByName(reasons)
+
+
 def _progress(f: Fleet) -> DataFrame:
     return monitor.run_all(f.wire)[1]
 
@@ -464,6 +476,7 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "stream_backlog": lambda f: _backlog(f),
     # streaming runs
     "stream_source": lambda f: monitor.run_source(f.wire),
+    "stream_intake": lambda f: _intake(f),
     "stream_all": lambda f: monitor.outputs(f.spark, monitor.run_all(f.wire)[0]),
     "stream_progress": lambda f: _progress(f),
     "stream_freshness": lambda f: monitor.freshness(_progress(f)),

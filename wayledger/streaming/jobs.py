@@ -101,7 +101,7 @@ def append(root: str) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink of rows without key: a batch owns one partition, so a replay rewrites itself."""
 
     def write(df: DataFrame, batch: int) -> None:
-        df.withColumn("batch_id", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(root)
+        own(df, root, batch)
 
     return write
 
@@ -169,6 +169,30 @@ def dlq_sink(wire: DataFrame, root: str, p: Params = DEFAULT):
     return rows.writeStream.format("json").outputMode("append").option("path", f"{root}/dlq").option("checkpointLocation", f"{root}/dlq-checkpoint")
 
 
+def intake(root: str, p: Params = DEFAULT) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink of archived rows, parsed once for three tables: the archive by event
+    date, the rejected events and their numbers by reason.
+
+    In each of them a batch owns its partitions, so a batch that is repeated, wholly or after
+    some of the three were written, leaves no double rows.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        judged = T.validated(df, p).persist()
+        bad = judged.where("reason IS NOT NULL")
+        own(judged.drop("reason"), f"{root}/archive", batch, "sim_date")
+        own(T.dlq_payload(bad.drop("reason"), F.current_timestamp(), p).select("key", "value"), f"{root}/dlq", batch)
+        own(bad.groupBy("reason").agg(F.count("*").alias("rows")), f"{root}/dlq_reasons", batch)
+        judged.unpersist()
+
+    return write
+
+
+def own(df: DataFrame, root: str, batch: int, *by: str) -> None:
+    """Write a batch's rows to partitions that are the batch's own."""
+    df.withColumn("batch_id", F.lit(batch).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch_id").parquet(root)
+
+
 def ddl(df: DataFrame) -> str:
     """The schema of a table or stream as text."""
     return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)

@@ -20,7 +20,7 @@ from .upserts import UpsertStore
 BROKER = {"startingOffsets": "latest", "maxOffsetsPerTrigger": "20000", "failOnDataLoss": "false"}
 BROKER_ARCHIVE = BROKER | {"startingOffsets": "earliest"}
 PROGRESS = "query string, batch_id long, at string, input_rows long, input_rate double, processed_rate double, duration_ms long, newest_event string, late_rows long, offsets_behind double"
-KEYS = {"dlq_reasons": ["reason"], "zone_hourly": ["zone_id", "window_start"], "vehicle_daily": ["vehicle_id", "sim_day"]}
+KEYS = {"zone_hourly": ["zone_id", "window_start"], "vehicle_daily": ["vehicle_id", "sim_day"]}
 
 
 def read_events(spark: SparkSession, source: str, options: dict[str, str], schema=None) -> DataFrame:
@@ -37,21 +37,18 @@ def read_events(spark: SparkSession, source: str, options: dict[str, str], schem
 
 def start_all(open_stream, root: str, p: Params = DEFAULT, trigger: dict | None = None) -> dict[str, StreamingQuery]:
     """Start every job on a stream of its own from ``open_stream()``, each with its checkpoint
-    and output folder below ``root``: the archive, the rejected events and their numbers, and
-    the live tables."""
+    and output folder below ``root``: the intake, which reads and parses once for the archive,
+    the rejected events and their numbers, and the live tables, whose states are their own."""
     when = trigger or {"processingTime": "5 seconds"}
-    running = {
-        "archive": jobs.archive_sink(open_stream(), f"{root}/archive").queryName("archive").trigger(**(trigger or {"processingTime": "30 seconds"})).start(),
-        "dlq": jobs.dlq_sink(open_stream(), f"{root}/dlq", p).queryName("dlq").trigger(**when).start(),
-    }
+    running: dict[str, StreamingQuery] = {}
 
     def start(name: str, mode: str, stream: DataFrame, sink: Callable[[DataFrame, int], None]) -> None:
         writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/{name}/checkpoint")
         running[name] = writer.trigger(**when).foreachBatch(sink).start()
 
-    reasons = T.invalid(T.archived(open_stream()), p).groupBy("reason").agg(F.count("*").alias("rows"))
+    start("intake", "append", T.archived(open_stream()), jobs.intake(f"{root}/intake", p))
     hours, days = T.zone_hourly(jobs.prepared(open_stream(), p)), T.vehicle_daily_running(jobs.prepared(open_stream(), p))
-    for name, stream in (("dlq_reasons", reasons), ("zone_hourly", hours), ("vehicle_daily", days)):
+    for name, stream in (("zone_hourly", hours), ("vehicle_daily", days)):
         start(name, "update", stream, store(stream.sparkSession, root, name, jobs.ddl(stream)).write)
     start("dedup", "append", jobs.prepared(open_stream(), p).select("event_id", "event_time"), jobs.append(f"{root}/dedup/out"))
     states = jobs.vehicle_state(jobs.prepared(open_stream(), p), p)
@@ -139,7 +136,7 @@ def outputs(spark: SparkSession, root: str) -> DataFrame:
     key = lambda name: f"{KEYS[name][0]} string"
     live = {name: store(spark, root, name, key(name)).manifest()["runs"] for name in KEYS}
     tables = {
-        "archive": spark.read.parquet(f"{root}/archive/archive"), "dlq": spark.read.schema("key string, value string").json(f"{root}/dlq/dlq"),
+        "archive": spark.read.parquet(f"{root}/intake/archive"), "dlq": spark.read.parquet(f"{root}/intake/dlq"), "dlq_reasons": spark.read.parquet(f"{root}/intake/dlq_reasons").groupBy("reason").agg(F.sum("rows")),
         "dedup": spark.read.parquet(f"{root}/dedup/out"), "vehicle_state": jobs.state_stores(spark, f"{root}/vehicle_state")[0].read(),
     }
     for name, runs in live.items():
