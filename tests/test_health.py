@@ -91,7 +91,7 @@ def test_progress_of_all_streams(spark):
     f = queries.Fleet(spark, SF)
     root, progress = monitor.run_all(f.wire)
     got = {r["query"]: r for r in monitor.late_rows(progress).collect()}
-    assert set(got) == {"archive", "dlq", "dlq_reasons", "dedup", "zone_hourly", "vehicle_daily", "vehicle_state"}
+    assert set(got) == {"intake", "dedup", "zone_hourly", "vehicle_daily", "vehicle_state"}
     assert {r["input_rows"] for r in got.values()} == {f.wire.count()}
     left = {r["query"]: r["rows"] for r in monitor.outputs(spark, root).collect()}
     assert left["archive"] == f.wire.count() and left["dlq"] + T.valid(f.raw).count() == left["archive"]
