@@ -89,7 +89,7 @@ def test_recompute_rewrites_new_dates_and_what_looks_back_at_them(spark, tmp_pat
 
 def test_progress_of_all_streams(spark):
     f = queries.Fleet(spark, SF)
-    root, progress = monitor.run_all(f.wire)
+    root, progress, life = monitor.run_all(f.wire)
     got = {r["query"]: r for r in monitor.late_rows(progress).collect()}
     assert set(got) == {"intake", "dedup", "zone_hourly", "vehicle_daily", "vehicle_state"}
     assert {r["input_rows"] for r in got.values()} == {f.wire.count()}

@@ -203,6 +203,25 @@ def late_rows(events: DataFrame, p: Params = DEFAULT) -> DataFrame:
     return joined.where(F.col("event_time") <= F.expr(f"timestampadd(MINUTE, -{p.watermark_min}, seen)")).drop("batch", "seen")
 
 
+def late_in_triggers(log: DataFrame, most: int, start: Column | None = None, p: Params = DEFAULT, block: int = 4096) -> DataFrame:
+    """Rows of an archived log (with ``log_partition`` and ``log_offset``) that a stream drops as
+    late when it reads from the beginning, ``most`` offsets of each partition a trigger.
+
+    A row's trigger follows from its offset alone; ``start`` is the offset its partition begins
+    at (default 0). Only valid events move the watermark. The running maximum is taken within
+    blocks of triggers and over the blocks, so no task sees all triggers.
+    """
+    e = validated(log, p).withColumn("batch", F.floor((F.col("log_offset") - (F.lit(0) if start is None else start)) / most))
+    ok = F.col("reason").isNull()
+    # The longest partition has rows in every trigger, so none is missing here.
+    per = e.groupBy("batch").agg(F.max(F.when(ok, F.col("event_time"))).alias("top")).withColumn("block", F.floor(F.col("batch") / block))
+    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = per.groupBy("block").agg(F.max("top").alias("t")).select("block", F.max("t").over(before).alias("earlier"))
+    within = F.max("top").over(Window.partitionBy("block").orderBy("batch"))
+    mark = per.join(blocks, "block").select((F.col("batch") + 2).alias("batch"), F.greatest(within, "earlier").alias("seen"))
+    return e.where(ok).join(mark, "batch").where(F.col("event_time") <= F.expr(f"timestampadd(MINUTE, -{p.watermark_min}, seen)")).drop("batch", "seen", "reason")
+
+
 def dlq_payload(events: DataFrame, now: Column, p: Params = DEFAULT) -> DataFrame:
     """Rejected events as key and JSON value of the dead-letter sink."""
     bad = invalid(events, p)

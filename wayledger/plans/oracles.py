@@ -127,6 +127,10 @@ def _rec(name: str, costs: str) -> str:
 LATE = r""", b0 AS (SELECT date_trunc('minute', arrival_time) AS batch, max(event_time) AS top FROM ok GROUP BY 1
 ), b1 AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS seen FROM b0
 ), late AS (SELECT ok.event_id, ok.kafka_offset FROM ok JOIN b1 ON date_trunc('minute', arrival_time) = batch WHERE event_time <= seen - INTERVAL 10 MINUTE)"""
+BOUNDED = r""", lg AS (SELECT *, coalesce(vehicle_id[2:]::INT % 6, 0) AS log_partition, row_number() OVER (PARTITION BY coalesce(vehicle_id[2:]::INT % 6, 0) ORDER BY arrival_time, kafka_offset) - 1 AS log_offset FROM j
+), lb AS (SELECT log_offset // 400 AS batch, max(event_time) FILTER (reason IS NULL) AS top FROM lg GROUP BY 1
+), lm AS (SELECT batch, max(top) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS seen FROM lb
+), lt AS (SELECT event_id, kafka_offset, log_partition::INT AS log_partition, log_offset, coalesce(event_time <= seen - INTERVAL 10 MINUTE, false) AS late FROM lg JOIN lm ON log_offset // 400 = batch WHERE reason IS NULL)"""
 
 LABEL = """CASE WHEN unprofitable THEN 'unprofitable' WHEN becoming_unprofitable THEN 'declining' WHEN low_margin THEN 'low margin' WHEN distance_mismatch THEN 'distance mismatch'
   WHEN in_service THEN 'in service' WHEN missing_costs THEN 'no costs' WHEN missing_telemetry THEN 'no telemetry' ELSE 'ok' END"""
@@ -283,6 +287,10 @@ PARTS: dict[str, tuple[str, str]] = {
     "idle_alerts": (ZH, "SELECT vehicle_id, opened_at, closed_at, idle_min, status FROM isl WHERE alert ORDER BY opened_at DESC, vehicle_id LIMIT 200"),
     "open_idle_alerts": (ZH, "SELECT vehicle_id, opened_at, closed_at, idle_min, status FROM isl WHERE alert AND status = 'open' ORDER BY opened_at DESC, vehicle_id LIMIT 200"),
     "open_alert_count": (ZH, "SELECT count(*) AS open_alerts FROM isl WHERE alert AND status = 'open'"),
+    "late_rows_bounded": (BOUNDED, "SELECT * EXCLUDE (late) FROM lt WHERE late"),
+    "stream_bounded": (BOUNDED, "SELECT * EXCLUDE (late) FROM lt WHERE NOT late"),
+    "stream_behind": (BOUNDED, """SELECT batch AS batch_id, log_partition::INT AS partition, least(rows, (batch + 1) * 400) AS reached, rows - least(rows, (batch + 1) * 400) AS behind
+  FROM lb, (SELECT log_partition, count(*) AS rows FROM lg GROUP BY 1)"""),
     "late_rows": (LATE, "SELECT * FROM late"),
     "fleet_live": (ZH, "SELECT (SELECT now FROM nw) AS as_of, count(*) AS active, count_if(status = 'idle')::BIGINT AS idle, count_if(status = 'on_trip')::BIGINT AS on_trip, count_if(status = 'enroute')::BIGINT AS enroute, round(coalesce(count_if(status = 'idle') / nullif(count(*), 0)::DOUBLE, 0e0), 4) AS idle_ratio, count_if(vehicle_id IN (SELECT vehicle_id FROM isl WHERE alert AND status = 'open'))::BIGINT AS open_alerts FROM st, nw WHERE event_time >= now - INTERVAL 5 MINUTE"),
     "zone_live": (ZH, "SELECT zone_id, as_of, active, idle, on_trip, round(idle / active::DOUBLE, 4) AS idle_ratio, coalesce(trips_started, 0) AS trips_started, coalesce(trips_completed, 0) AS trips_completed, coalesce(earnings, 0e0) AS earnings FROM (SELECT zone_id, max(now) AS as_of, count(*) AS active, count_if(status = 'idle')::BIGINT AS idle, count_if(status = 'on_trip')::BIGINT AS on_trip FROM st, nw WHERE event_time >= now - INTERVAL 5 MINUTE GROUP BY 1) LEFT JOIN (SELECT zone_id, trips_started, trips_completed, earnings FROM zh, nw WHERE window_start = date_trunc('hour', now)) USING (zone_id)"),

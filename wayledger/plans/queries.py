@@ -361,6 +361,29 @@ def _progress(f: Fleet) -> DataFrame:
     return monitor.run_all(f.wire)[1]
 
 
+#: Offsets that a trigger takes of each partition in the queries of a bounded stream.
+TRIGGER = 400
+
+
+def _late_bounded(f: Fleet) -> DataFrame:
+    """What a stream drops that reads the log from its beginning in bounded triggers."""
+    log = monitor.logged(f.wire, jobs.folder(f.spark))
+    return T.late_in_triggers(T.archived(log.read()), TRIGGER).select("event_id", "kafka_offset", "log_partition", "log_offset")
+
+
+def _behind(f: Fleet) -> DataFrame:
+    """How far every trigger of a bounded stream left each partition behind the log."""
+    _, progress, log = monitor.run_bounded(f.wire, TRIGGER, monitor.not_late)
+    return monitor.behind(progress.where("input_rows > 0"), log).select("batch_id", "partition", "reached", "behind")
+
+
+def _stalled_streams(f: Fleet) -> DataFrame:
+    """All jobs after they ended, as a report at the time of the newest batch sees them."""
+    _, progress, life = monitor.run_all(f.wire)
+    now = progress.agg(F.max(F.expr("try_to_timestamp(at)").cast("timestamp_ntz")).alias("now"))
+    return monitor.stalled(life, progress, now).select("query", "reason")
+
+
 def _naive(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c, kind in df.dtypes if kind == "timestamp"})
 
@@ -409,6 +432,7 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "open_idle_alerts": lambda f: S.idle_alerts(f.islands, "open").orderBy(F.desc("idle_min"), "vehicle_id"),
     "open_alert_count": lambda f: f.islands.where("alert AND status = 'open'").agg(F.count("*").alias("open_alerts")),
     "late_rows": lambda f: T.late_rows(T.valid(f.raw)).select("event_id", "kafka_offset"),
+    "late_rows_bounded": lambda f: _late_bounded(f),
     # serving
     "fleet_live": lambda f: S.fleet_live(f.state, f.now, f.islands),
     "zone_live": lambda f: S.zone_live(f.state, f.now, f.hourly),
@@ -475,7 +499,10 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "rule_values": lambda f: _rule_states(f).groupBy("rule").agg(F.count("*").alias("evaluations"), F.count_if(F.col("state") != "inactive").alias("holding"), F.count_if(F.col("state") == "firing").alias("firing"), F.round(F.max("value"), 6).alias("largest")),
     "stream_backlog": lambda f: _backlog(f),
     # streaming runs
-    "stream_source": lambda f: monitor.run_source(f.wire),
+    "stream_source": lambda f: monitor.run_source(f.wire, TRIGGER),
+    "stream_bounded": lambda f: monitor.run_bounded(f.wire, TRIGGER, monitor.not_late)[0].drop("batch_id"),
+    "stream_behind": lambda f: _behind(f),
+    "stream_stalled": lambda f: _stalled_streams(f),
     "stream_intake": lambda f: _intake(f),
     "stream_all": lambda f: monitor.outputs(f.spark, monitor.run_all(f.wire)[0]),
     "stream_progress": lambda f: _progress(f),

@@ -5,21 +5,26 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from datetime import UTC, datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
+from ..operators import health as H
 from ..operators import telemetry as T
 from ..params import DEFAULT, Params
+from ..sources import offset_log
+from ..sources.offset_log import OffsetLog
 from . import jobs
 from .upserts import UpsertStore
 
 #: Options of the broker source, for the live jobs and for the archive.
 BROKER = {"startingOffsets": "latest", "maxOffsetsPerTrigger": "20000", "failOnDataLoss": "false"}
 BROKER_ARCHIVE = BROKER | {"startingOffsets": "earliest"}
-PROGRESS = "query string, batch_id long, at string, input_rows long, input_rate double, processed_rate double, duration_ms long, newest_event string, late_rows long, offsets_behind double"
+PROGRESS = "query string, batch_id long, at string, input_rows long, input_rate double, processed_rate double, duration_ms long, newest_event string, late_rows long, offsets_behind double, end_offsets string"
+LIFE = "query string, change string, at string"
 KEYS = {"zone_hourly": ["zone_id", "window_start"], "vehicle_daily": ["vehicle_id", "sim_day"]}
 
 
@@ -36,7 +41,7 @@ def read_events(spark: SparkSession, source: str, options: dict[str, str], schem
 
 
 def start_all(open_stream, root: str, p: Params = DEFAULT, trigger: dict | None = None) -> dict[str, StreamingQuery]:
-    """Start every job on a stream of its own from ``open_stream()``, each with its checkpoint
+    """Start every job on a stream of its own from ``open_stream(name)``, each with its checkpoint
     and output folder below ``root``: the intake, which reads and parses once for the archive,
     the rejected events and their numbers, and the live tables, whose states are their own."""
     when = trigger or {"processingTime": "5 seconds"}
@@ -46,12 +51,12 @@ def start_all(open_stream, root: str, p: Params = DEFAULT, trigger: dict | None
         writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", f"{root}/{name}/checkpoint")
         running[name] = writer.trigger(**when).foreachBatch(sink).start()
 
-    start("intake", "append", T.archived(open_stream()), jobs.intake(f"{root}/intake", p))
-    hours, days = T.zone_hourly(jobs.prepared(open_stream(), p)), T.vehicle_daily_running(jobs.prepared(open_stream(), p))
+    start("intake", "append", T.archived(open_stream("intake")), jobs.intake(f"{root}/intake", p))
+    hours, days = T.zone_hourly(jobs.prepared(open_stream("zone_hourly"), p)), T.vehicle_daily_running(jobs.prepared(open_stream("vehicle_daily"), p))
     for name, stream in (("zone_hourly", hours), ("vehicle_daily", days)):
         start(name, "update", stream, store(stream.sparkSession, root, name, jobs.ddl(stream)).write)
-    start("dedup", "append", jobs.prepared(open_stream(), p).select("event_id", "event_time"), jobs.append(f"{root}/dedup/out"))
-    states = jobs.vehicle_state(jobs.prepared(open_stream(), p), p)
+    start("dedup", "append", jobs.prepared(open_stream("dedup"), p).select("event_id", "event_time"), jobs.append(f"{root}/dedup/out"))
+    states = jobs.vehicle_state(jobs.prepared(open_stream("vehicle_state"), p), p)
     start("vehicle_state", "update", states, jobs.state_sink(states.sparkSession, f"{root}/vehicle_state"))
     return running
 
@@ -62,7 +67,8 @@ def store(spark: SparkSession, root: str, name: str, schema: str) -> UpsertStore
 
 
 class ProgressLog(StreamingQueryListener):
-    """Keeps a row for every micro-batch of every query; ``flush`` appends them to a table.
+    """Keeps a row for every micro-batch of every query, and one for its start and its end;
+    ``flush`` and ``flush_life`` append them to tables.
 
     Register it with ``spark.streams.addListener``. What hasn't been flushed is held in the
     driver: a few hundred bytes a batch.
@@ -70,28 +76,47 @@ class ProgressLog(StreamingQueryListener):
 
     def __init__(self) -> None:
         self.rows: list[tuple] = []
+        self.life: list[tuple] = []
+        self.names: dict[str, str] = {}
 
     def onQueryStarted(self, event) -> None:
-        pass
+        self.names[str(event.runId)] = event.name or "unnamed"
+        self.life.append((event.name or "unnamed", "started", event.timestamp))
 
     def onQueryIdle(self, event) -> None:
         pass
 
     def onQueryTerminated(self, event) -> None:
-        pass
+        at = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%f")[:-3] + "Z"
+        self.life.append((self.names.pop(str(event.runId), "unnamed"), "ended", at))
 
     def onQueryProgress(self, event) -> None:
         p = json.loads(event.progress.json)
         dropped = sum(s.get("numRowsDroppedByWatermark", 0) for s in p["stateOperators"])
         behind = [_number((s.get("metrics") or {}).get("maxOffsetsBehindLatest", (s.get("metrics") or {}).get("offsetsBehindLatest"))) for s in p["sources"]]
         known = [x for x in behind if x is not None]
-        self.rows.append((p.get("name") or "unnamed", p["batchId"], p["timestamp"], p["numInputRows"], _number(p.get("inputRowsPerSecond")), _number(p.get("processedRowsPerSecond")), p.get("durationMs", {}).get("triggerExecution"), (p.get("eventTime") or {}).get("max"), dropped, sum(known) if known else None))
+        self.rows.append((p.get("name") or "unnamed", p["batchId"], p["timestamp"], p["numInputRows"], _number(p.get("inputRowsPerSecond")), _number(p.get("processedRowsPerSecond")), p.get("durationMs", {}).get("triggerExecution"), (p.get("eventTime") or {}).get("max"), dropped, sum(known) if known else None, _offsets(p["sources"])))
 
     def flush(self, spark: SparkSession, root: str) -> DataFrame:
         """Append what came since the last flush; the whole table."""
         rows, self.rows = self.rows, []
-        spark.createDataFrame(rows, PROGRESS).coalesce(1).write.mode("append").parquet(root)
-        return spark.read.schema(PROGRESS).parquet(root)
+        return _appended(spark, rows, PROGRESS, root)
+
+    def flush_life(self, spark: SparkSession, root: str) -> DataFrame:
+        """Append the starts and ends since the last time; the whole table."""
+        life, self.life = self.life, []
+        return _appended(spark, life, LIFE, root)
+
+
+def _appended(spark: SparkSession, rows: list[tuple], schema: str, root: str) -> DataFrame:
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(root)
+    return spark.read.schema(schema).parquet(root)
+
+
+def _offsets(sources: list[dict]) -> str | None:
+    """Where a batch ended, as JSON of offsets by partition, if its one source has such."""
+    ends = sources[0].get("endOffset") if len(sources) == 1 else None
+    return json.dumps(ends) if isinstance(ends, dict) and all(isinstance(x, int) for x in ends.values()) else None
 
 
 def _number(x) -> float | None:
@@ -109,26 +134,77 @@ def freshness(progress: DataFrame) -> DataFrame:
     return progress.withColumn("at", at).groupBy("query").agg(F.max("at").alias("last_at"), F.max(F.expr("try_to_timestamp(newest_event)").cast("timestamp_ntz")).alias("newest_event"), F.max_by("offsets_behind", "at").alias("offsets_behind"))
 
 
-def run_all(wire: DataFrame) -> tuple[str, DataFrame]:
-    """All jobs over ``wire``, delivered as it arrived, until nothing is left; (their folder,
-    the progress of every batch)."""
-    spark, root = wire.sparkSession, jobs.folder(wire.sparkSession)
-    jobs.deliver(wire, root, "arrival_time")
-    again = lambda: spark.readStream.schema(wire.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+def behind(progress: DataFrame, log: OffsetLog) -> DataFrame:
+    """(query, batch_id, partition, reached, behind) of every batch that read from ``log``: the
+    offset that comes next in each partition, and the rows that the log has beyond it now."""
+    now = log.newest()
+    ends = F.from_json(F.lit(json.dumps(now["ends"])), "map<string,bigint>")
+    begin = F.from_json(F.lit(json.dumps(now["starts"])), "map<string,bigint>")
+    b = progress.where("end_offsets IS NOT NULL").withColumn("at_end", F.from_json("end_offsets", "map<string,bigint>"))
+    b = b.select("query", "batch_id", "input_rows", "at_end", F.explode(ends).alias("p", "end"))
+    reached = F.coalesce(F.element_at("at_end", F.col("p")), F.element_at(begin, F.col("p")))
+    return b.select("query", "batch_id", "input_rows", F.col("p").cast("int").alias("partition"), reached.alias("reached"), (F.col("end") - reached).alias("behind"))
+
+
+def with_backlog(progress: DataFrame, log: OffsetLog) -> DataFrame:
+    """Progress with ``offsets_behind`` over all partitions of ``log`` where its source has none."""
+    per = behind(progress, log).groupBy("query", "batch_id").agg(F.sum("behind").cast("double").alias("behind"))
+    return progress.join(per, ["query", "batch_id"], "left").withColumn("offsets_behind", F.coalesce("offsets_behind", "behind")).drop("behind")
+
+
+def stalled(life: DataFrame, progress: DataFrame, now: DataFrame, silent_s: int = 120, grace_s: int = 120) -> DataFrame:
+    """Queries that need a restart by their own starts, ends and batches; ``now`` is one row.
+    Batches before a query's newest start don't count."""
+    at = F.expr("try_to_timestamp(at)").cast("timestamp_ntz")
+    e = life.withColumn("at", at)
+    launched = e.groupBy("query").agg(F.max(F.when(F.col("change") == "started", F.col("at"))).alias("started_at"), (F.max_by("change", F.struct("at", F.col("change") == "ended")) == "started").alias("active"))
+    since = progress.select("query", at.alias("at")).join(launched.select("query", "started_at"), "query").where("at >= started_at")
+    return H.stalled(launched, since.select("query", "at"), now, silent_s, grace_s)
+
+
+def logged(wire: DataFrame, root: str) -> OffsetLog:
+    """``wire`` as a log below ``root``, by source partition in the order of arrival."""
+    log = OffsetLog(wire.sparkSession, f"{root}/log")
+    log.append(wire, "kafka_partition", ["arrival_time", "kafka_offset"])
+    return log
+
+
+def bounded(log: OffsetLog, root: str, most: int) -> DataFrame:
+    """A stream of the log of which a trigger takes ``most`` offsets a partition, for the query
+    that has its folders below ``root``."""
+    return offset_log.open_stream(log.spark, log.root, maxOffsetsPerPartition=str(most), positionLocation=f"{root}/position")
+
+
+def run_until_read(start: Callable[[], dict[str, StreamingQuery]], root: str, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Run queries until nothing is left to read, and end them; (progress, starts and ends)."""
     log = ProgressLog()
     spark.streams.addListener(log)
     try:
-        running = start_all(again, root, trigger={"availableNow": True})
+        running = start()
         for query in running.values():
-            query.awaitTermination()
+            query.processAllAvailable()
         newest = {name: q.lastProgress["batchId"] for name, q in running.items() if q.lastProgress}
-        for _ in range(100):  # the listener hears of a batch a moment after it ended
-            if all(any(r[0] == name and r[1] >= batch for r in log.rows) for name, batch in newest.items()):
+        for query in running.values():
+            query.stop()
+        for _ in range(100):  # the listener hears of a batch or an end a moment later
+            ended = {name for name, change, _ in log.life if change == "ended"}
+            if running.keys() <= ended and all(any(r[0] == name and r[1] >= batch for r in log.rows) for name, batch in newest.items()):
                 break
             time.sleep(0.1)
     finally:
         spark.streams.removeListener(log)
-    return root, log.flush(spark, f"{root}/progress")
+    return log.flush(spark, f"{root}/progress"), log.flush_life(spark, f"{root}/life")
+
+
+def run_all(wire: DataFrame, triggers: int = 4) -> tuple[str, DataFrame, DataFrame]:
+    """All jobs over ``wire``, delivered as it arrived in ``triggers`` parts, until nothing is
+    left; (their folder, the progress of every batch, starts and ends)."""
+    spark, root = wire.sparkSession, jobs.folder(wire.sparkSession)
+    log = logged(wire, root)
+    most = max(1, -(-max(log.newest()["ends"].values(), default=0) // triggers))
+    again = lambda name: bounded(log, f"{root}/{name}", most)
+    progress, life = run_until_read(lambda: start_all(again, root, trigger={"processingTime": "0 seconds"}), root, spark)
+    return root, with_backlog(progress, log), life
 
 
 def outputs(spark: SparkSession, root: str) -> DataFrame:
@@ -145,9 +221,26 @@ def outputs(spark: SparkSession, root: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("query"), F.count("*").alias("rows")) for name, df in tables.items()])
 
 
-def run_source(wire: DataFrame) -> DataFrame:
-    """Everything that the source delivers, parsed, with its offsets."""
+def run_bounded(wire: DataFrame, most: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, OffsetLog]:
+    """``keep`` over a stream of ``wire``'s log in triggers of ``most`` offsets a partition; (its
+    rows, the progress of every batch, the log)."""
     spark, root = wire.sparkSession, jobs.folder(wire.sparkSession)
-    jobs.deliver(wire, root, "arrival_time")
-    stream = read_events(spark, "parquet", {"path": f"{root}/in", "maxFilesPerTrigger": "1"}, wire.schema)
-    return jobs._run(T.parse(stream, "value").select("event_id", "vehicle_id", "status", "kafka_offset"), root, "append").drop("batch_id")
+    log = logged(wire, root)
+    stream = keep(bounded(log, root, most))
+    sink = jobs.append(f"{root}/out")
+    start = lambda: {"bounded": stream.writeStream.queryName("bounded").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(sink).start()}
+    progress, _ = run_until_read(start, root, spark)
+    return spark.read.schema(f"{jobs.ddl(stream)}, batch_id long").parquet(f"{root}/out"), progress, log
+
+
+def run_source(wire: DataFrame, most: int) -> DataFrame:
+    """Everything that the source delivers, parsed, with the broker's offsets."""
+    return run_bounded(wire, most, lambda s: T.parse(s, "value").select("event_id", "vehicle_id", "status", "kafka_offset"))[0].drop("batch_id")
+
+
+def not_late(stream: DataFrame, p: Params = DEFAULT) -> DataFrame:
+    """The valid events that the watermark lets through: told apart by their place in the log,
+    so that nothing else is left out."""
+    e = T.valid(T.archived(stream), p).withColumn("event_time", F.col("event_time").cast("timestamp"))
+    e = e.withWatermark("event_time", f"{p.watermark_min} minutes").dropDuplicatesWithinWatermark(["log_partition", "log_offset"])
+    return e.select("event_id", "kafka_offset", "log_partition", "log_offset")
