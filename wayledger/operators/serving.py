@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -200,3 +202,44 @@ def restatement(old: DataFrame, new: DataFrame, keys: list[str], values: list[st
     for v in values:
         changed = changed | ~F.col(f"old_{v}").eqNullSafe(F.col(f"new_{v}"))
     return a.join(b, keys, "full").where(changed)
+
+
+def report_bundle(rec: DataFrame, runs: DataFrame, drift: DataFrame, issues: DataFrame, n: int = 5, p: Params = DEFAULT) -> DataFrame:
+    """Everything that the day's report shows, of all dates in ``rec``, in long form: (sim_date,
+    section, place, vehicle_id, label, value, note).
+
+    Sections: ``summary`` (a row a figure), ``run`` and ``drift`` likewise, ``quarantine`` (rows by
+    reason, most first), ``flagged`` (worst first, with label and reasons), ``best``, ``worst`` (``n``
+    each) and ``mismatch`` (widest first). ``issues`` are the quarantined rows of the runs that
+    count; of a date's runs the newest does. A date without runs, drift or issues has no such
+    rows; null figures stay null. Lists stay rows, so no date has to fit in one value.
+    """
+    text = lambda c: c.cast("string")
+    none = F.lit(None).cast("string")
+
+    def rows(df: DataFrame, section: str, place: Column, vehicle: Column, label: Column, value: Column, note: Column = none) -> DataFrame:
+        return df.select("sim_date", F.lit(section).alias("section"), place.cast("int").alias("place"), text(vehicle).alias("vehicle_id"), text(label).alias("label"), value.cast("double").alias("value"), text(note).alias("note"))
+
+    def figures(df: DataFrame, section: str, names: list[str], note: Column = none) -> DataFrame:
+        each = F.posexplode(F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).cast("double").alias("value")) for c in names])).alias("i", "x")
+        return rows(df.select("sim_date", note.alias("said"), each), section, F.col("i") + 1, none, F.col("x.label"), F.col("x.value"), F.col("said"))
+
+    nth = lambda *order: F.row_number().over(Window.partitionBy("sim_date").orderBy(*order, "vehicle_id"))
+    newest = runs.groupBy("sim_date").agg(F.max_by(F.struct("run_id", "version", "quarantined", F.col("late").cast("int").alias("late")), F.struct("started_at", "run_id")).alias("r")).select("sim_date", "r.*")
+    dates = rec.select("sim_date").distinct()
+    why = issues.groupBy("sim_date", "reason").agg(F.count("*").alias("c"))
+    ranked = F.row_number().over(Window.partitionBy("sim_date").orderBy(F.desc("c"), "reason"))
+    top = best_worst(rec, n)
+    wide = mismatches(rec).withColumn("nth", nth(F.desc("mismatch_pct")))
+    flagged = needs_attention(rec, p).withColumn("nth", nth("net_profit"))
+    parts = [
+        figures(fleet_summary(rec), "summary", ["vehicles", "trips", "revenue", "total_cost", "net_profit", "margin", "gps_km", "utilization"]),
+        figures(newest.join(dates, "sim_date", "left_semi"), "run", ["version", "late", "quarantined"], F.col("run_id")),
+        figures(drift.join(dates, "sim_date", "left_semi"), "drift", ["speed_revenue", "batch_revenue", "drift_ratio"]),
+        rows(why.join(dates, "sim_date", "left_semi").withColumn("nth", ranked), "quarantine", F.col("nth"), none, F.col("reason"), F.col("c")),
+        rows(flagged, "flagged", F.col("nth"), F.col("vehicle_id"), F.col("label"), F.col("net_profit"), F.array_join("reasons", "; ")),
+        rows(top.where(F.col("best") <= n), "best", F.col("best"), F.col("vehicle_id"), none, F.col("net_profit")),
+        rows(top.where(F.col("worst") <= n), "worst", F.col("worst"), F.col("vehicle_id"), none, F.col("net_profit")),
+        rows(wide, "mismatch", F.col("nth"), F.col("vehicle_id"), none, F.col("mismatch_pct")),
+    ]
+    return reduce(DataFrame.unionByName, parts)

@@ -335,4 +335,29 @@ PARTS: dict[str, tuple[str, str]] = {
     "overdue_dates": (RUNS + AVAILABLE, "SELECT strftime(d, '%Y-%m-%d') AS sim_date FROM (SELECT DATE '2024-01-01' + i::INT AS d FROM range(6) t(i)) WHERE d::TIMESTAMP + INTERVAL 1560 MINUTE <= TIMESTAMP '2024-01-06 12:00:00' AND strftime(d, '%Y-%m-%d') NOT IN (SELECT sim_date FROM av) AND strftime(d, '%Y-%m-%d') NOT IN (SELECT sim_date FROM pr)"),
 }
 
+
+
+def _shown(section: str, source: str, place: str, value: str, vehicle: str = "NULL", label: str = "NULL", note: str = "NULL") -> str:
+    return f"SELECT sim_date, '{section}' AS section, ({place})::INT AS place, ({vehicle})::VARCHAR AS vehicle_id, ({label})::VARCHAR AS label, ({value})::DOUBLE AS value, ({note})::VARCHAR AS note FROM {source} WHERE sim_date IN (SELECT sim_date FROM rec)"
+
+
+def _figures(section: str, source: str, names: list[str], note: str = "NULL") -> list[str]:
+    return [_shown(section, source, str(i), c, label=f"'{c}'", note=note) for i, c in enumerate(names, 1)]
+
+
+_WORST = "row_number() OVER (PARTITION BY sim_date ORDER BY net_profit, vehicle_id)"
+_BUNDLE = [
+    *_figures("summary", "fs", ["vehicles", "trips", "revenue", "total_cost", "net_profit", "margin", "gps_km", "utilization"]),
+    *_figures("run", "(SELECT *, 1 AS version FROM rn)", ["version", "late::INT", "quarantined"], "run_id"), *_figures("drift", "sbd", ["speed_revenue", "batch_revenue", "drift_ratio"]),
+    _shown("quarantine", "(SELECT sim_date, reason, count(*) AS c FROM exj WHERE reason IS NOT NULL GROUP BY 1, 2)", "row_number() OVER (PARTITION BY sim_date ORDER BY c DESC, reason)", "c", label="reason"),
+    _shown("flagged", f"(SELECT *, {LABEL} AS said, {REASONS} AS why FROM rec WHERE {ANY})", _WORST, "net_profit", "vehicle_id", "said", "why"),
+    _shown("best", "rec", "row_number() OVER (PARTITION BY sim_date ORDER BY net_profit DESC, vehicle_id)", "net_profit", "vehicle_id") + " QUALIFY place <= 5",
+    _shown("worst", "rec", _WORST, "net_profit", "vehicle_id") + " QUALIFY place <= 5",
+    _shown("mismatch", "(SELECT * FROM rec WHERE distance_mismatch)", "row_number() OVER (PARTITION BY sim_date ORDER BY mismatch_pct DESC, vehicle_id)", "mismatch_pct", "vehicle_id"),
+]
+PARTS["report_bundle"] = (
+    f"{REC}{RUNS.removeprefix(COST)}{LATE}, fs AS ({PARTS['fleet_summary'][1]}), sbd AS ({PARTS['speed_batch_drift'][1]})",
+    " UNION ALL ".join(_BUNDLE).replace("'late::INT'", "'late'"),
+)
+
 ORACLES: dict[str, str] = {name: f"WITH {EV}{more} {select}" for name, (more, select) in PARTS.items()}

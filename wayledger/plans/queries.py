@@ -471,6 +471,7 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "latest_markers": lambda f: S.latest_markers(f.rec(), f.drift, f.runs, f.now),
     "expense_raw": lambda f: f.landed.select("sim_date", "version", *[F.coalesce(c, F.lit("")).alias(c) for c in EXPENSE_COLUMNS]),
     "landing_versions": lambda f: landing.newest(landing.listing(f.spark, f.landing)),
+    "report_bundle": lambda f: S.report_bundle(f.rec(), f.runs, f.drift, E.judged(f.lines, f.roster).where("reason IS NOT NULL")),
     "report_csv": lambda f: _report(f.rec().select(*REC)),
     "recompute": lambda f: _recomputed(f),
     "daily_table": lambda f: f.daily()[0].table.read(),
@@ -480,7 +481,7 @@ BUILD: dict[str, Callable[[Fleet], DataFrame]] = {
     "restated_versions": lambda f: _restated(f),
     "vehicle_merge": lambda f: _merged(f),
     "known_vehicles": lambda f: S.known_vehicles(f.state, f.rec()),
-    "speed_batch_drift": lambda f: S.drift(f.clean, T.late_rows(T.valid(f.raw))),
+    "speed_batch_drift": lambda f: f.drift,
     "restatement_diff": lambda f: S.restatement(f.rec(1).select("sim_date", "vehicle_id", "net_profit", "total_cost"), f.rec(2), ["sim_date", "vehicle_id"], ["net_profit", "total_cost"]),
     # bookkeeping
     "processed_versions": lambda f: f.processed,
