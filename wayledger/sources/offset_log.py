@@ -53,9 +53,9 @@ class OffsetLog:
         staged = f"{self.root}/staged/{name}"
         rows.repartitionByRange("log_partition", *order).sortWithinPartitions("log_partition", *order).write.parquet(staged)
         placed = spark.read.schema(rows.schema).parquet(staged).select("*", F.col("_metadata.file_path").alias("log_file"), F.col("_metadata.row_index").alias("log_at"))
-        # Ranges don't overlap and equal rows lie in one, so a file's least row places it.
-        per = placed.groupBy("log_partition", "log_file").agg(F.min("log_at").alias("first"), F.count("*").alias("n"), F.min(F.struct(*order)).alias("least"))
-        before = Window.partitionBy("log_partition").orderBy("least").rowsBetween(Window.unboundedPreceding, -1)
+        # A file's name has the number of its task, and tasks have the sorted ranges in order.
+        per = placed.groupBy("log_partition", "log_file").agg(F.min("log_at").alias("first"), F.count("*").alias("n")).withColumn("task", F.regexp_extract("log_file", r"part-(\d+)[^/]*$", 1).cast("int"))
+        before = Window.partitionBy("log_partition").orderBy("task", "log_file").rowsBetween(Window.unboundedPreceding, -1)
         old = F.lit(0).cast("long") if not now["ends"] else F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(now["ends"])), "map<string,bigint>"), F.col("log_partition").cast("string")), F.lit(0))
         base = per.withColumn("log_base", old + F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first"))
         size = segment or SEGMENT if now["schema"] is None else now["segment"]
