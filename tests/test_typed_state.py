@@ -1,6 +1,9 @@
 """The vehicle fold on typed state: the same as the grouped state, and from the batch layer on."""
 
+import inspect
+
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from wayledger.plans import queries
 from wayledger.streaming import jobs, vehicles
@@ -32,3 +35,8 @@ def test_batch_states_leave_out_the_silent_and_keep_the_open_spell(spark):
     events = spark.createDataFrame([row("V1", 0, "on_trip"), *[row("V2", m, "idle") for m in range(0, 61, 10)], row("V3", 58, "enroute")], schema)
     got = {r["vehicle_id"]: (r["status"], r["idle_since"], r["opened_at"]) for r in vehicles.batch_states(events).select("vehicle_id", "status", F.col("idle_since").cast("timestamp_ntz"), F.col("opened_at").cast("timestamp_ntz")).collect()}
     assert got == {"V2": ("idle", at(0), at(50)), "V3": ("enroute", None, None)}
+
+
+def test_the_processor_names_its_parameters_as_spark_passes_them():
+    for name in ("handleInputRows", "handleExpiredTimer", "handleInitialState"):
+        assert [*inspect.signature(getattr(vehicles.VehicleProcessor, name)).parameters] == [*inspect.signature(getattr(StatefulProcessor, name)).parameters]
