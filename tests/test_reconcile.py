@@ -130,3 +130,8 @@ def test_archive_day_reads_one_partition_and_guards_the_date(spark, tmp_path):
     assert {r["event_id"] for r in T.guarded(archive).collect()} == {"a", "c", "d"}
     plan = T.of_date(archive, D)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(sim_date" in plan
+
+
+def test_percent_takes_halves_by_decimal_digits(spark):
+    df = spark.createDataFrame([(0, 0.0045), (1, -0.0045), (2, 0.0185), (3, 0.0044), (4, -0.0003)], "i int, b double")
+    assert [r[0] for r in df.orderBy("i").select(X.percent(F.col("b"))).collect()] == ["0.5%", "-0.5%", "1.9%", "0.4%", "-0.0%"]
