@@ -8,7 +8,7 @@ from collections.abc import Callable
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -221,26 +221,82 @@ def outputs(spark: SparkSession, root: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [df.agg(F.lit(name).alias("query"), F.count("*").alias("rows")) for name, df in tables.items()])
 
 
-def run_bounded(wire: DataFrame, most: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, OffsetLog]:
-    """``keep`` over a stream of ``wire``'s log in triggers of ``most`` offsets a partition; (its
-    rows, the progress of every batch, the log)."""
+#: Triggers that a run over a whole log aims at, and offsets of a partition that one takes at most.
+TRIGGERS, MOST = 16, 320_000
+
+
+def trigger_offsets(log: OffsetLog, step: int) -> int:
+    """What a trigger takes of each partition: whole steps, as many as make ``TRIGGERS`` triggers of
+    the log, so that their number doesn't grow with it until a trigger is as large as it may be."""
+    longest = max(log.newest()["ends"].values(), default=0)
+    return step * max(1, min(-(-longest // (step * TRIGGERS)), MOST // step))
+
+
+def run_bounded(wire: DataFrame, step: int, keep: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, OffsetLog]:
+    """``keep`` over a stream of ``wire``'s log in triggers of whole steps of ``step`` offsets a
+    partition; (its rows, the progress of every batch, the log)."""
     spark, root = wire.sparkSession, jobs.folder(wire.sparkSession)
     log = logged(wire, root)
-    stream = keep(bounded(log, root, most))
-    sink = jobs.append(f"{root}/out")
-    start = lambda: {"bounded": stream.writeStream.queryName("bounded").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(sink).start()}
-    progress, _ = run_until_read(start, root, spark)
+    stream = keep(bounded(log, root, trigger_offsets(log, step)))
+    progress = _run_bounded(stream, root, jobs.append(f"{root}/out"))
     return spark.read.schema(f"{jobs.ddl(stream)}, batch_id long").parquet(f"{root}/out"), progress, log
 
 
-def run_source(wire: DataFrame, most: int) -> DataFrame:
+def _run_bounded(stream: DataFrame, root: str, sink: Callable[[DataFrame, int], None]) -> DataFrame:
+    start = lambda: {"bounded": stream.writeStream.queryName("bounded").option("checkpointLocation", f"{root}/checkpoint").foreachBatch(sink).start()}
+    return run_until_read(start, root, stream.sparkSession)[0]
+
+
+def run_source(wire: DataFrame, step: int) -> DataFrame:
     """Everything that the source delivers, parsed, with the broker's offsets."""
-    return run_bounded(wire, most, lambda s: T.parse(s, "value").select("event_id", "vehicle_id", "status", "kafka_offset"))[0].drop("batch_id")
+    return run_bounded(wire, step, lambda s: T.parse(s, "value").select("event_id", "vehicle_id", "status", "kafka_offset"))[0].drop("batch_id")
+
+
+#: What a stepped stream has seen of each step and partition: the newest valid event, and the offset to come next.
+STEPS = "batch long, partition int, top timestamp_ntz, reached long"
+KEPT = "event_id string, kafka_offset long, log_partition int, log_offset long"
+
+
+def not_late(root: str, step: int, p: Params = DEFAULT) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink of a log: the valid events that the watermark lets through, which moves
+    after every ``step`` offsets of a partition, as in a stream with triggers of that size.
+
+    A batch may hold many steps, whole ones. What it has seen of each is kept below ``root`` with
+    its rows, and a row is held against the steps before its own, in this batch or earlier ones.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        e = T.validated(T.archived(df), p).withColumn("batch", F.floor(F.col("log_offset") / step))
+        e = e.select("event_id", "kafka_offset", "log_partition", "log_offset", "event_time", "reason", "batch").persist()
+        ok = F.col("reason").isNull()
+        seen = e.groupBy("batch", F.col("log_partition").alias("partition")).agg(F.max(F.when(ok, F.col("event_time"))).alias("top"), (F.max("log_offset") + 1).alias("reached"))
+        jobs.own(seen, f"{root}/steps", batch)
+        known = steps(df.sparkSession, root).where(F.col("batch_id") <= batch).groupBy("batch").agg(F.max("top").alias("top"))
+        j = e.where(ok).join(F.broadcast(T.watermarks(known)), "batch", "left")
+        in_time = F.col("event_time") > F.expr(f"timestampadd(MINUTE, -{p.watermark_min}, seen)")
+        jobs.own(j.where(F.coalesce(in_time, F.lit(True))).select("event_id", "kafka_offset", "log_partition", "log_offset"), f"{root}/out", batch)
+        e.unpersist()
+
+    return write
+
+
+def steps(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.schema(f"{STEPS}, batch_id long").parquet(f"{root}/steps")
+
+
+def run_stepped(wire: DataFrame, step: int) -> tuple[DataFrame, DataFrame, DataFrame, OffsetLog]:
+    """The events of ``wire``'s log that a stream with a watermark lets through, in steps of
+    ``step`` offsets a partition; (its rows, its steps, the progress of every batch, the log)."""
+    spark, root = wire.sparkSession, jobs.folder(wire.sparkSession)
+    log = logged(wire, root)
+    progress = _run_bounded(bounded(log, root, trigger_offsets(log, step)), root, not_late(root, step))
+    return spark.read.schema(f"{KEPT}, batch_id long").parquet(f"{root}/out"), steps(spark, root), progress, log
 
 
-def not_late(stream: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """The valid events that the watermark lets through: told apart by their place in the log,
-    so that nothing else is left out."""
-    e = T.valid(T.archived(stream), p).withColumn("event_time", F.col("event_time").cast("timestamp"))
-    e = e.withWatermark("event_time", f"{p.watermark_min} minutes").dropDuplicatesWithinWatermark(["log_partition", "log_offset"])
-    return e.select("event_id", "kafka_offset", "log_partition", "log_offset")
+def steps_behind(seen: DataFrame, log: OffsetLog) -> DataFrame:
+    """(batch_id, partition, reached, behind) after every step: the offset that comes next in each
+    partition, and the rows that the log has beyond it now."""
+    grid = seen.select("batch").distinct().join(F.broadcast(log.bounds()))
+    so_far = F.max("reached").over(Window.partitionBy("partition").orderBy("batch"))
+    at = grid.join(seen.select("batch", "partition", "reached"), ["batch", "partition"], "left").withColumn("reached", F.coalesce(so_far, "start"))
+    return at.select(F.col("batch").alias("batch_id"), "partition", "reached", (F.col("end") - F.col("reached")).alias("behind"))
