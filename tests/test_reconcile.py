@@ -135,3 +135,9 @@ def test_archive_day_reads_one_partition_and_guards_the_date(spark, tmp_path):
 def test_percent_takes_halves_by_decimal_digits(spark):
     df = spark.createDataFrame([(0, 0.0045), (1, -0.0045), (2, 0.0185), (3, 0.0044), (4, -0.0003)], "i int, b double")
     assert [r[0] for r in df.orderBy("i").select(X.percent(F.col("b"))).collect()] == ["0.5%", "-0.5%", "1.9%", "0.4%", "-0.0%"]
+
+
+def test_ratios_that_are_ties_are_rounded_as_in_sql(spark):
+    x = abs(689.766 - 264.0) / 264.0
+    df = spark.createDataFrame([(x,), (-x,), (0.12346,), (0.0,)], "x double")
+    assert [r[0] for r in df.select(X.round_ratio(F.col("x"))).collect()] == [1.6127, -1.6127, 0.1235, 0.0]

@@ -83,9 +83,9 @@ def reconciled(days: DataFrame, costs: DataFrame, p: Params = DEFAULT) -> DataFr
     j = j.withColumn("total_cost", F.round(F.col("fuel_cost") + F.col("maintenance_cost"), 2))
     j = j.withColumn("net_profit", F.round(F.col("revenue") - F.col("total_cost"), 2))
     j = j.withColumns({
-        "margin": F.round(X.safe_div(F.col("net_profit"), F.col("revenue")), 4),
-        "revenue_per_km": F.round(X.safe_div(F.col("revenue"), F.col("gps_km")), 4), "cost_per_km": F.round(X.safe_div(F.col("total_cost"), F.col("gps_km")), 4),
-        "mismatch_pct": F.round(F.when(reported > 0, F.abs(F.col("gps_km") - reported) / reported).otherwise(0.0), 4),
+        "margin": X.round_ratio(X.safe_div(F.col("net_profit"), F.col("revenue"))),
+        "revenue_per_km": X.round_ratio(X.safe_div(F.col("revenue"), F.col("gps_km"))), "cost_per_km": X.round_ratio(X.safe_div(F.col("total_cost"), F.col("gps_km"))),
+        "mismatch_pct": X.round_ratio(F.when(reported > 0, F.abs(F.col("gps_km") - reported) / reported).otherwise(0.0)),
     })
     j = j.withColumns({
         "unprofitable": F.col("net_profit") < 0, "low_margin": (F.col("revenue") > 0) & (F.col("margin") < p.low_margin), "distance_mismatch": F.col("mismatch_pct") > p.distance_mismatch,
