@@ -1,5 +1,7 @@
 """Source rows are derived on all cores, parsed once, and ids that vehicles share are found among few rows."""
 
+from types import SimpleNamespace
+
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -7,6 +9,7 @@ from wayledger.operators import telemetry as T
 from wayledger.plans import queries
 from wayledger.schemas import EVENT
 from wayledger.sources import fleet
+from wayledger.streaming import monitor
 
 SF = "/root/testdata/sf0.001"
 
@@ -43,3 +46,8 @@ def test_suspects_hold_all_rows_of_shared_ids_and_few_others(spark):
     assert {r["event_id"] for r in left.collect()} == {"e3", "e500"} and left.count() == 4 and left.columns == both.columns
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(T.shared(left)) == rows(T.shared(both)) == [("2024-03-01", "e3", "V9"), ("2024-03-01", "e500", "V9")]
+
+
+def test_a_trigger_of_all_jobs_does_not_grow_with_the_log():
+    log = lambda longest: SimpleNamespace(newest=lambda: {"ends": {"0": longest, "1": 5}})
+    assert [monitor.share_offsets(log(n), 4) for n in (0, 9, 1_000_000, 6_000_000, 10**9)] == [2, 3, 250_000, 320_000, 320_000]

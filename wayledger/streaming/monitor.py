@@ -197,11 +197,12 @@ def run_until_read(start: Callable[[], dict[str, StreamingQuery]], root: str, sp
 
 
 def run_all(wire: DataFrame, triggers: int = 4) -> tuple[str, DataFrame, DataFrame]:
-    """All jobs over ``wire``, delivered as it arrived in ``triggers`` parts, until nothing is
-    left; (their folder, the progress of every batch, starts and ends)."""
+    """All jobs over ``wire``, delivered as it arrived in ``triggers`` parts (more of them where one
+    would be beyond what a trigger may take), until nothing is left; (their folder, the progress
+    of every batch, starts and ends)."""
     spark, root = wire.sparkSession, jobs.folder(wire.sparkSession)
     log = logged(wire, root)
-    most = max(1, -(-max(log.newest()["ends"].values(), default=0) // triggers))
+    most = share_offsets(log, triggers)
     again = lambda name: bounded(log, f"{root}/{name}", most)
     progress, life = run_until_read(lambda: start_all(again, root, trigger={"processingTime": "0 seconds"}), root, spark)
     return root, with_backlog(progress, log), life
@@ -225,6 +226,12 @@ def outputs(spark: SparkSession, root: str) -> DataFrame:
 TRIGGERS, MOST = 16, 320_000
 
 
+def share_offsets(log: OffsetLog, triggers: int) -> int:
+    """What a trigger takes of each partition if ``triggers`` of them are to read the log: at most
+    ``MOST``, as what the jobs hold in memory grows with a trigger."""
+    return max(1, min(-(-max(log.newest()["ends"].values(), default=0) // triggers), MOST))
+
+
 def trigger_offsets(log: OffsetLog, step: int) -> int:
     """What a trigger takes of each partition: whole steps, as many as make ``TRIGGERS`` triggers of
     the log, so that their number doesn't grow with it until a trigger is as large as it may be."""
