@@ -4,6 +4,8 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -223,6 +225,45 @@ def test_bm25_in_blocks_is_exact(spark, odd, monkeypatch, limit):
     assert len({r[0] for r in plain}) == len(BASE.split()) + 2
 
 
+def test_bm25_shards_travel_one_at_a_time(spark, monkeypatch):
+    docs = spark.range(2 * bm25.SHARD_DOCS + 5).coalesce(1).selectExpr("id AS doc_id", "concat('w', id % 100) AS text")
+    held, plain = [], bm25._search_block
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    def seen(index, *rest):
+        held.extend(r["n"] for r in index.mapInArrow(rows, "n long").collect())
+        return plain(index, *rest)
+
+    monkeypatch.setattr(bm25, "_search_block", seen)
+    found = bm25.search(docs, items(spark, ["w7"]), k=3).orderBy("rank").collect()
+    assert [r["doc_id"] for r in found] == [7, 107, 207] and held == [1, 1, 1]
+
+
+def test_bm25_row_groups_hold_few_shards(spark):
+    docs = spark.range(6).coalesce(1).selectExpr("id AS doc_id", "concat_ws(' ', transform(sequence(1, 600000), i -> hex(i * 8 + id))) AS text")
+    (file,) = bm25.build_index(docs).inputFiles()
+    found = pq.ParquetFile(file.removeprefix("file:")).metadata
+    groups = [found.row_group(i) for i in range(found.num_row_groups)]
+    assert found.num_rows > 1 and all(g.num_rows == 1 or g.total_byte_size <= 32 << 20 for g in groups)
+
+
+def test_bm25_postings_take_few_bytes():
+    often = [np.full(300, 5, np.uint64), np.arange(40, dtype=np.uint64)]
+    parts = often + [np.arange(i % 7, 200, dtype=np.uint64) for i in range(20_000)]
+    sizes = [np.array([len(p)]) for p in parts]
+    batch = bm25._shard(list(range(len(parts))), sizes, parts)
+    row = {c: batch.column(c)[0].as_py() for c in batch.schema.names}
+    vocab = np.arange(200, dtype=np.uint64)
+    shard = bm25.Shard(row, vocab, np.ones(200), 200.0)
+    *_, begin, end = shard.lists[5]
+    want = [d for d, p in enumerate(parts) if 5 in p]
+    assert shard.docs[begin[0] : end[-1]].tolist() == want and shard.tfs[begin[0] : end[-1]].tolist() == [300] + [1] * (len(want) - 1)
+    assert sum(len(v) for v in row.values() if isinstance(v, bytes)) < 4 * len(shard.docs)
+
+
 def test_bm25_of_documents_matches_brute_force(spark, tmp_path):
     rng = np.random.default_rng(9)
     texts = [" ".join(f"w{i}" for i in rng.integers(0, 30, rng.integers(1, 25))) for _ in range(70)]

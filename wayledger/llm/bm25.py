@@ -1,11 +1,11 @@
 """Exact BM25 top-k with block-max WAND pruning, per shard, merged exactly.
 
-A shard is a bounded run of documents with its inverted index: per term the documents and
-frequencies, and per block of ``BLOCK`` documents that hold it where its postings end, the
-largest frequency and the smallest length. From these a bound on the term's contribution to
-the block follows once the global statistics are known, without touching a posting. Shards
-are searched with global statistics, so their scores compare, and the best k of all shards
-are the answer.
+A shard is a bounded run of documents with its inverted index: per term the documents (by
+their place in a block) and frequencies, and per block of ``BLOCK`` documents that hold it the
+number of its postings, the largest frequency and the smallest length. From these a bound on
+the term's contribution to the block follows once the global statistics are known, without
+touching a posting. Shards are searched with global statistics, so their scores compare, and
+the best k of all shards are the answer.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textbytes as tb
-from .common import Scratch, stored, table
+from .common import Scratch, single_rows, stored, table
 
 SHARD_BYTES, SHARD_DOCS = 8 << 20, 20_000
 BLOCK = 64
@@ -31,10 +31,20 @@ MAX_QUERIES, MAX_WORDS = 4096, 1 << 20
 #: Scores are compared after rounding to so many digits; pruning keeps this margin.
 DIGITS, MARGIN = 6, 1e-5
 
-INDEX = "shard string, ids array<bigint>, sizes array<bigint>, terms binary, dfs binary, docs binary, tfs binary, n_blocks binary, blocks binary, block_ends binary, block_tfs binary, block_sizes binary"
+INDEX = "shard string, ids array<bigint>, sizes array<bigint>, terms binary, dfs binary, docs binary, tfs binary, n_blocks binary, blocks binary, block_lens binary, block_tfs binary, block_sizes binary"
 HITS = "query bigint, id bigint, score double"
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """Numbers in as many bytes each as the largest takes; that many come first."""
+    width = np.min_scalar_type(a.max(initial=0)).itemsize
+    return bytes([width]) + a.astype(f"<u{width}").tobytes()
+
+
+def _unpacked(b: bytes) -> np.ndarray:
+    return np.frombuffer(b, f"<u{b[0]}", offset=1).astype(np.int64)
+
+
 def _shard(ids: list, sizes: list[np.ndarray], parts: list[np.ndarray]) -> pa.RecordBatch:
     n = np.concatenate(sizes)
     h = np.concatenate(parts)
@@ -46,15 +56,15 @@ def _shard(ids: list, sizes: list[np.ndarray], parts: list[np.ndarray]) -> pa.Re
     at = np.flatnonzero(new)
     tf = np.diff(np.append(at, len(h)))
     term, first = np.unique(h[at], return_index=True)
-    raw = lambda a, t: pa.array([a.astype(t).tobytes()], pa.binary())
+    raw = lambda b: pa.array([b], pa.binary())
     d, which = doc[at], np.repeat(np.arange(len(term)), np.diff(np.append(first, len(at))))
     begin = np.ones(len(d), bool)
     begin[1:] = (which[1:] != which[:-1]) | (d[1:] // BLOCK != d[:-1] // BLOCK)
     b = np.flatnonzero(begin)
     most, least = (np.maximum.reduceat(tf, b), np.minimum.reduceat(n[d], b)) if len(b) else (b, b)
     arrays = [
-        pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), raw(term, "<u8"), raw(np.diff(np.append(first, len(at))), "<u4"), raw(d, "<u4"), raw(tf, "<u4"),
-        raw(np.bincount(which[b], minlength=len(term)), "<u4"), raw(d[b] // BLOCK, "<u4"), raw(np.append(b[1:], len(d))[: len(b)], "<u4"), raw(most, "<u4"), raw(least, "<u4"),
+        pa.array([uuid.uuid4().hex]), pa.array([ids], pa.list_(pa.int64())), pa.array([n], pa.list_(pa.int64())), raw(term.astype("<u8").tobytes()),
+        *(raw(_packed(x)) for x in (np.diff(np.append(first, len(at))), d % BLOCK, tf, np.bincount(which[b], minlength=len(term)), d[b] // BLOCK, np.diff(np.append(b, len(d))), most, least)),
     ]
     return pa.RecordBatch.from_arrays(arrays, names=[c.split(" ")[0] for c in INDEX.split(", ")])
 
@@ -77,7 +87,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if ids:
             yield _shard(ids, sizes, parts)
 
-    return store(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, INDEX), "bm25")
+    return store(docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, INDEX), "bm25", large_rows=True)
 
 
 def _gain(tf: np.ndarray, size: np.ndarray, mean: float) -> np.ndarray:
@@ -88,19 +98,20 @@ class Shard:
     """One row of the index; the lists of ``vocab`` words with their global weights."""
 
     def __init__(self, row: dict, vocab: np.ndarray, weight: np.ndarray, mean: float):
-        ints = {c: np.frombuffer(row[c], "<u4").astype(np.int64) for c in ("dfs", "docs", "tfs", "n_blocks", "blocks", "block_ends", "block_tfs", "block_sizes")}
+        ints = {c: _unpacked(row[c]) for c in ("docs", "tfs", "n_blocks", "blocks", "block_lens", "block_tfs", "block_sizes")}
         term = np.frombuffer(row["terms"], "<u8")
         _, mine, have = np.intersect1d(vocab, term, assume_unique=True, return_indices=True)
         last = np.cumsum(ints["n_blocks"])
         self.ids, self.sizes, self.mean = row["ids"], np.asarray(row["sizes"], np.int64), mean
-        self.docs, self.tfs = ints["docs"], ints["tfs"]
+        self.docs, self.tfs = np.repeat(ints["blocks"] * BLOCK, ints["block_lens"]) + ints["docs"], ints["tfs"]
         self.count = -(-len(self.sizes) // BLOCK)
-        begins = np.concatenate([[0], ints["block_ends"]])
+        ends = np.cumsum(ints["block_lens"])
+        begins = np.concatenate([[0], ends])
         self.lists = {}
         for i, j in zip(mine, have, strict=True):
             own = slice(last[j] - ints["n_blocks"][j], last[j])
             bound = weight[i] * _gain(ints["block_tfs"][own], ints["block_sizes"][own], mean)
-            self.lists[int(vocab[i])] = (weight[i], ints["blocks"][own], bound, begins[own], ints["block_ends"][own])
+            self.lists[int(vocab[i])] = (weight[i], ints["blocks"][own], bound, begins[own], ends[own])
 
     def top(self, words: np.ndarray, k: int) -> tuple[list[tuple[float, int]], int, int]:
         """The best k (score, document), and all that tie with the k-th; postings scored, and
@@ -199,7 +210,7 @@ def _search_block(index: DataFrame, asked: list[tuple[int, np.ndarray]], n_docs:
         for batch in batches:
             for t, n in zip(batch.column(0), batch.column(1), strict=True):
                 _, mine, theirs = np.intersect1d(vocab, np.frombuffer(t.as_py(), "<u8"), assume_unique=True, return_indices=True)
-                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(np.frombuffer(n.as_py(), "<u4")[theirs].astype(np.int64))], names=["term", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(mine), pa.array(_unpacked(n.as_py())[theirs])], names=["term", "n"])
 
     df = {r["term"]: r["n"] for r in index.select("terms", "dfs").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     n = np.array([df.get(i, 0) for i in range(len(vocab))])
@@ -222,7 +233,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
     all documents. Scores are rounded to ``DIGITS`` and ties go to the smaller id; documents
     without any query word are never returned. Null or wordless queries find nothing. Rows
     repeating an id are ranked on their own. Queries are searched in blocks of bounded size
-    against the one stored index, so more queries cost more passes, not more memory.
+    against the one stored index, so more queries cost more passes, not more memory. A task
+    holds one shard at a time: shards, some MB each, are read and sent to Python one by one.
     """
     with Scratch(docs.sparkSession) as scratch:
         index = build_index(docs, id_col, text_col, scratch.stored)
@@ -231,7 +243,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "doc_
         mean = n_words / n_docs if n_words else 1.0
         rows = queries.select(F.col(query_id).cast("long"), F.col(query_text)).where(F.col(query_id).isNotNull())
         asked = scratch.stored(_asked(rows), "asked")
-        found = [scratch.stored(_best(_search_block(index, block, n_docs, mean, k), k).drop("rank"), "hits") for block in _query_blocks(asked)]
+        found = []
+        for block in _query_blocks(asked):
+            with single_rows(docs.sparkSession):
+                found.append(scratch.stored(_best(_search_block(index, block, n_docs, mean, k), k).drop("rank"), "hits"))
         hits = reduce(DataFrame.unionByName, found) if found else docs.sparkSession.createDataFrame([], HITS)
         return scratch.result(_best(hits, k).select(F.col("query").alias(query_id), "rank", F.col("id").alias(id_col), "score"), "best")
 
